@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_near_dedup": op4_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

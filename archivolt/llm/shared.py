@@ -72,8 +72,13 @@ def ranked(df: DataFrame, keys: list[str], order: list, n_salts: int, to: str, s
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """A string column with nulls as empty texts and 64-bit offsets."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """A string column with nulls as empty texts and 64-bit offsets that start at 0, as Arrow's string kernels need
+    them for slices."""
+    full = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(full.buffers()[1], np.int64)[full.offset : full.offset + len(full) + 1] if len(full) else np.zeros(1, np.int64)
+    data = full.buffers()[2]
+    data = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(full), pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), data)
 
 
 def slices(batches, most_bytes: int = 8 << 20):
