@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,20 +15,38 @@ END = 1  # the id that ends a document
 
 
 class Encoder:
-    """Encodes distinct words once and gathers their ids; a bounded cache is kept for the life of a Python worker.
+    """Encodes distinct words once and gathers their ids; two bounded generations of them are kept for the life of a
+    Python worker.
 
     The result equals encoding the whole text: the tokenizer drops white space, its normaliser and pre-tokenizer
-    look at nothing beyond it, and its special tokens hold none."""
-
-    held: dict[tuple, Encoder] = {}
+    look at nothing beyond it, and its special tokens hold none.  Words of letters are one pre-token each, so they go
+    through a tokenizer of the same vocabulary without those steps, many in one call; the marks that end its words
+    tell them apart.  All other words take the tokenizer as it is."""
 
-    def __init__(self, path: str, cache: int = 400_000):
-        import os
+    held: dict[str, Encoder] = {}
 
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), cache, {}
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
+        end = plan["model"]["end_of_word_suffix"]
+        vocabulary = plan["model"]["vocab"]
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
+        plan["normalizer"] = None
+        plan["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        plan["added_tokens"] = []
+        self.letters = Tokenizer.from_str(json.dumps(plan))
+        self.most = most
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """slot 0 is the empty word, slot 1 the end of a document; pool holds the ids of all slots."""
+        self.slots = {"": 0}
+        self.begin, self.size, self.pool = np.array([0, 0]), np.array([0, 1]), np.array([END], np.uint32)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -32,39 +54,56 @@ class Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _fill(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.cache[word] = coded.ids
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.size)
+        self.slots.update(zip(words, range(first, first + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _learn(self, need: set[str]) -> None:
+        plain = [w for w in need if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
+        other = list(need.difference(plain))
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) == len(some):
+                self._add(some, np.diff(ends, prepend=-1), ids)
+            else:
+                other += some
+        if other:
+            lists = [x.ids for x in self.whole.encode_batch(other, add_special_tokens=False)]
+            self._add(other, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32))
 
-    def _split(self, word: str) -> tuple[str, str]:
-        """A word of letters and the mark that ends it are pre-tokens of their own, and case is folded."""
-        if word[-1:] in (",", ".") and word[:-1].isascii() and word[:-1].isalpha():
-            return word[:-1].lower(), word[-1]
-        return (word.lower(), "") if word.isascii() and word.isalpha() else (word, "")
+    @staticmethod
+    def _split(word: str) -> tuple[str, str]:
+        """A run of letters and the mark that ends it are pre-tokens of their own; ASCII case folds alike anywhere."""
+        if word.isalpha():
+            return (word.lower(), "") if word.isascii() else (word, "")
+        if word[-1] in ",." and word[:-1].isalpha():
+            return (word[:-1].lower(), word[-1]) if word.isascii() else (word[:-1], word[-1])
+        return word, ""
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another (each ended by END), and where each text begins, with the end."""
         words, index, offsets = words_of(texts)
-        parts = [self._split(w) for w in words]
-        need = {x for p in parts for x in p if x and x not in self.cache}
-        if len(self.cache) + len(need) > self.most:
-            self.cache.clear()
-            need = {x for p in parts for x in p if x}
+        one, two = zip(*map(self._split, words), strict=True) if words else ((), ())
+        need = {w for w in one if w not in self.slots}
+        need.update(w for w in {*two} if w not in self.slots)
+        if len(self.slots) + len(need) > self.most:
+            self._fresh()
+            need = {*one, *two} - {""}
         if need:
-            self._fill(sorted(need))
-        get = self.cache
-        lists = [get[a] + get[b] if b else get[a] for a, b in parts]
-        lists.append([END])
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(size.sum()))
-        begin = np.concatenate([[0], np.cumsum(size)])
-        # the words of each text, then the end mark
-        at = np.insert(index, offsets[1:], len(words))
-        bounds = offsets + np.arange(len(offsets))
-        n = size[at]
-        ends = np.cumsum(n)
-        source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)
-        ids = flat[source]
-        return ids, np.concatenate([[0], ends])[bounds]
+            self._learn(need)
+        get = self.slots.__getitem__
+        slot = np.stack([np.fromiter(map(get, one), np.int64, len(one)), np.fromiter(map(get, two), np.int64, len(two))], axis=1)
+        slot = np.concatenate([slot, [[1, 0]]])
+        # the words of each text, then the end mark; each word is a pair of slots
+        at = slot[np.insert(index, offsets[1:], len(words))].ravel()
+        bounds = 2 * (offsets + np.arange(len(offsets)))
+        n = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        source = np.repeat(self.begin[at] - ends[:-1], n)
+        source += np.arange(len(source))
+        return self.pool[source], ends[bounds]
