@@ -25,7 +25,7 @@ class Encoder:
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
