@@ -6,8 +6,9 @@ chance; what stays plausible is confirmed on the full sets.  Equal sets are one
 
 Within a bucket not all pairs are listed.  Each member is first compared with the bucket's least node.  When the links
 found so far have joined all members into one component, nothing more can be learnt from the bucket.  For the others
-the pairs between different components are compared, after further rounds with other leaders as long as those pairs
-would outnumber the buckets' rows by far; so no link between different components is left out."""
+the packed low bits of all pairs between different components are compared in blocks inside the tasks, after further
+rounds with other leaders as long as those pairs would outnumber the buckets' rows by far; only pairs that pass the
+estimate become rows, and no link between different components is left out."""
 
 from __future__ import annotations
 
@@ -78,11 +79,64 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int, bits: int) -> Data
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
-def plausible(pairs: DataFrame, sigs: DataFrame, n: int, bits: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose estimate is within six deviations of it."""
+def least_estimate(n: int, bits: int, percent: int) -> float:
+    """Six deviations below the similarity asked for."""
     least = percent / 100
     agree = least + (1 - least) * 2.0**-bits
-    from_estimate = least - 6 * (agree * (1 - agree) / n) ** 0.5 / (1 - 2.0**-bits)
+    return least - 6 * (agree * (1 - agree) / n) ** 0.5 / (1 - 2.0**-bits)
+
+
+def across(opened: DataFrame, sizes: DataFrame, sigs: DataFrame, n: int, bits: int, percent: int, block: int = 2048) -> DataFrame:
+    """Plausible pairs (a, b) between different components within the buckets of opened(key, node, comp).
+
+    The packed low bits of a bucket are compared in blocks of about `block` members, so only pairs that pass become
+    rows.  A larger bucket is dealt to as many tasks as it has pairs of blocks."""
+    from_estimate = least_estimate(n, bits, percent)
+    dealt = opened.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp"
+    )
+    full = dealt.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs_of(part):
+        nodes, comps, sizes_, own = (np.array([r[k] for r in part], np.int64) for k in (4, 5, 6, 3))
+        low = np.frombuffer(b"".join(r[7] for r in part), np.uint8).reshape(len(part), -1)
+        crossing = part[0][1] != part[0][2]
+        out = []
+        for x in range(len(part) - 1):
+            rest = np.arange(x + 1, len(part))
+            ok = (comps[rest] != comps[x]) & (np.minimum(sizes_[rest], sizes_[x]) * 100 >= np.maximum(sizes_[rest], sizes_[x]) * percent)
+            rest = rest[ok & (own[rest] != own[x]) if crossing else ok]
+            if len(rest):
+                rest = rest[estimated(low[rest], low[x][None], n, bits) >= from_estimate]
+                out += [(min(nodes[x], y), max(nodes[x], y)) for y in nodes[rest]]
+        return out
+
+    def compare(batches):
+        part, held = [], None
+        names = ("key", "i", "j", "own", "node", "comp", "n_shingles", "sig")
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:3] != held and part:
+                    found += pairs_of(part)
+                    part = []
+                held = row[:3]
+                part.append(row)
+            yield batch_of(found)
+        if part:
+            yield batch_of(pairs_of(part))
+
+    return full.select("key", "i", "j", "own", "node", "comp", "n_shingles", "sig").mapInArrow(compare, "a long, b long").distinct()
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame, n: int, bits: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the similarity and whose estimate is within six deviations of it."""
+    from_estimate = least_estimate(n, bits, percent)
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a").join(
         sigs.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b"
     )
@@ -164,16 +218,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         cross = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("x")).first()["x"] or 0
         if not cross:
             break
-        last = cross <= 2 * rows_in_buckets + 100_000 or turn >= 12
+        last = cross <= 256 * rows_in_buckets or turn >= 12
         if last:
-            one, two = opened.alias("one"), opened.alias("two")
-            pairs = one.join(two, F.expr("one.key = two.key and one.comp < two.comp and one.node <> one.lead and two.node <> two.lead")).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+            pairs = across(opened, sizes.select("key", F.col("n").alias("m")), sigs, bands * rows, bits, percent)
         else:
             turn += 1
             leads = opened.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("next"))
             pairs = opened.join(leads, "key").filter("next.comp <> comp").select(F.col("next.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(confirmed(plausible(pairs, sigs, bands * rows, bits, percent), sets, percent), "links")
+            pairs = plausible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sigs, bands * rows, bits, percent)
+        more = written(confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
             joined = written(links.union(more), "links")
             dropped(links, comps)
