@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from archivolt.llm.decontamination import op2_decontamination
 from archivolt.llm.exact_spans import op10_suffix_dedup
 from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

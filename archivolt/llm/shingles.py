@@ -19,6 +19,23 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (coded[index] if len(words) else np.zeros(0, np.uint64)), offsets
 
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def folded(word: str) -> str:
+    """A word in lower case without the ASCII marks around it, or the word itself where nothing else is left."""
+    return word.strip(MARKS).lower() or word
+
+
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all folded words, their lengths in characters, and offsets by text."""
+    words, index, offsets = words_of(texts)
+    words = [folded(w) for w in words]
+    coded = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return (coded[index], size[index], offsets) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), offsets)
+
+
 def chained(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of the `size` words from each position; the last size - 1 positions are left out."""
     n = max(0, len(hashes) - size + 1)
