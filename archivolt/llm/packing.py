@@ -69,7 +69,7 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             ids, begin = encoder.encode(texts_of(batch.column("text")))
             names = batch.column("doc_id").to_pylist()
             raw, rows = memoryview(ids.astype("<u4").tobytes()), []

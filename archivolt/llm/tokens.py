@@ -12,6 +12,7 @@ import pyarrow as pa
 from archivolt.llm.shared import words_of
 
 END = 1  # the id that ends a document
+MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'  # of ASCII's marks, those that no contraction begins with
 
 
 class Encoder:
@@ -25,7 +26,7 @@ class Encoder:
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,11 +79,15 @@ class Encoder:
 
     @staticmethod
     def _split(word: str) -> tuple[str, str]:
-        """A run of letters and the mark that ends it are pre-tokens of their own; ASCII case folds alike anywhere."""
+        """A run of letters and a run of marks that ends the word are pre-tokens of their own; ASCII case folds alike
+        anywhere."""
         if word.isalpha():
             return (word.lower(), "") if word.isascii() else (word, "")
-        if word[-1] in ",." and word[:-1].isalpha():
-            return (word[:-1].lower(), word[-1]) if word.isascii() else (word[:-1], word[-1])
+        core = word.rstrip(MARKS)
+        if core.isalpha() and core.isascii():
+            return core.lower(), word[len(core) :]
+        if core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
+            return core, word[len(core) :]
         return word, ""
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
