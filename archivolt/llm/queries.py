@@ -6,11 +6,13 @@ from archivolt.llm.decontamination import op2_decontamination
 from archivolt.llm.exact_spans import op10_suffix_dedup
 from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
+from archivolt.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
