@@ -249,12 +249,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return spans
 
 
-def without_repeats(docs: DataFrame, length: int = 200, extra: str = "") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, extra: str = "", decoded: bool = False) -> DataFrame:
     """Cuts from each text of docs(doc_id, text, ...) the bytes under strings of `length` bytes that begin at another
     place too, in the same row or another.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, which need not be UTF-8 at the cuts) and removed
-    (array of first byte, end) for every row; columns named in `extra` follow unchanged.  Null texts count as empty;
+    (array of first byte, end) for every row; columns named in `extra` follow unchanged.  With `decoded`, kept is a
+    string without the characters that were cut in two.  Null texts count as empty;
     texts shorter than `length` stay as they are; repeated rows lose all of a text that is long enough; null doc_ids
     are kept.  The result does not depend on order."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
@@ -262,7 +263,7 @@ def without_repeats(docs: DataFrame, length: int = 200, extra: str = "") -> Data
     others = [c for c in extra.split(",") if c]
     asked = spans.select(F.col("doc_id").alias("d"), "dg", "spans").groupBy("d").agg(F.collect_list(F.struct("dg", "spans")).alias("by_text"))
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<first:long,end:long>>" + "".join(f", `{c}` {types[c]}" for c in others)
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}, removed array<struct<first:long,end:long>>" + "".join(f", `{c}` {types[c]}" for c in others)
 
     def cut(batches):
         for batch in slices(batches):
@@ -280,9 +281,9 @@ def without_repeats(docs: DataFrame, length: int = 200, extra: str = "") -> Data
                         merged.append([first, last + length])
                 edges = [0, *(x for m in merged for x in m), b - a]
                 kept = b"".join(raw[a + x : a + y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((b - a, b - a - len(kept), len(merged), kept, [{"first": x, "end": y} for x, y in merged]))
+                rows.append((b - a, b - a - len(kept), len(merged), kept.decode(errors="ignore") if decoded else kept, [{"first": x, "end": y} for x, y in merged]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if decoded else pa.binary(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *(batch.column(c) for c in others)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed", *others])
 
     joined = docs.join(asked.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("d")), "left").select("doc_id", "text", "by_text", *others)
