@@ -6,12 +6,16 @@ from archivolt.llm.decontamination import op2_decontamination
 from archivolt.llm.exact_spans import op10_suffix_dedup
 from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
+from archivolt.llm.quality import op3_quality
+from archivolt.llm.sharding import op5_sharding
 from archivolt.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
+    "op5_sharding": op5_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
