@@ -6,9 +6,9 @@ chance; what stays plausible is confirmed on the full sets.  Equal sets are one
 
 Within a bucket not all pairs are listed.  Each member is first compared with the bucket's least node.  When the links
 found so far have joined all members into one component, nothing more can be learnt from the bucket.  For the others
-the packed low bits of all pairs between different components are compared in blocks inside the tasks, after further
-rounds with other leaders as long as those pairs would outnumber the buckets' rows by far; only pairs that pass the
-estimate become rows, and no link between different components is left out."""
+the packed low bits of all pairs between different components are compared in blocks inside the tasks, and plausible
+ones confirmed there, after further rounds with other leaders as long as a member would meet too many others on
+average; only links become rows, and none between different components is left out."""
 
 from __future__ import annotations
 
@@ -86,52 +86,100 @@ def least_estimate(n: int, bits: int, percent: int) -> float:
     return least - 6 * (agree * (1 - agree) / n) ** 0.5 / (1 - 2.0**-bits)
 
 
-def across(opened: DataFrame, sizes: DataFrame, sigs: DataFrame, n: int, bits: int, percent: int, block: int = 2048) -> DataFrame:
-    """Plausible pairs (a, b) between different components within the buckets of opened(key, node, comp).
+def shared_of(one: np.ndarray, two: np.ndarray) -> int:
+    every = np.sort(np.concatenate([one, two]))
+    return int((every[1:] == every[:-1]).sum())
 
-    The packed low bits of a bucket are compared in blocks of about `block` members, so only pairs that pass become
-    rows.  A larger bucket is dealt to as many tasks as it has pairs of blocks."""
+
+def across(opened: DataFrame, signed_nodes: DataFrame, sets: DataFrame, n: int, bits: int, percent: int, block: int = 2048, held: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that join the components within the buckets of opened(key, node, comp, n_shingles).
+
+    The packed low bits of a bucket are compared in blocks of about `block` members and `held` shingles; a larger
+    bucket is dealt to as many tasks as it has pairs of blocks.  A pair belongs to the first band that both nodes
+    share.  Members of a plausible pair come together again with their full sets, and a pair is confirmed there unless
+    links found before have joined it.  So neither pairs nor more than a block's sets become rows."""
     from_estimate = least_estimate(n, bits, percent)
-    dealt = opened.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp"
-    )
-    full = dealt.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    total = opened.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / held)).cast("int").alias("blocks"))
+    dealt = opened.join(total, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    group = ["key", "i", "j"]
+    full = dealt.join(signed_nodes, "node").repartition(*group).sortWithinPartitions(*group)
 
     def pairs_of(part):
-        nodes, comps, sizes_, own = (np.array([r[k] for r in part], np.int64) for k in (4, 5, 6, 3))
-        low = np.frombuffer(b"".join(r[7] for r in part), np.uint8).reshape(len(part), -1)
-        crossing = part[0][1] != part[0][2]
-        out = []
+        """(x, ys) of the plausible pairs of a group whose first common band is this bucket's."""
+        nodes, comps, sizes, own = (np.array([r[c] for r in part], np.int64) for c in ("node", "comp", "n_shingles", "own"))
+        low = np.frombuffer(b"".join(r["sig"] for r in part), np.uint8).reshape(len(part), -1)
+        bands = np.frombuffer(b"".join(r["bands"] for r in part), ">i8").astype(np.int64).reshape(len(part), -1)
+        at = (bands == part[0]["key"]).argmax(axis=1)
+        crossing = part[0]["i"] != part[0]["j"]
         for x in range(len(part) - 1):
-            rest = np.arange(x + 1, len(part))
-            ok = (comps[rest] != comps[x]) & (np.minimum(sizes_[rest], sizes_[x]) * 100 >= np.maximum(sizes_[rest], sizes_[x]) * percent)
-            rest = rest[ok & (own[rest] != own[x]) if crossing else ok]
+            ok = (comps[x + 1 :] != comps[x]) & (np.minimum(sizes[x + 1 :], sizes[x]) * 100 >= np.maximum(sizes[x + 1 :], sizes[x]) * percent)
+            if crossing:
+                ok &= own[x + 1 :] != own[x]
+            rest = x + 1 + np.flatnonzero(ok)
             if len(rest):
                 rest = rest[estimated(low[rest], low[x][None], n, bits) >= from_estimate]
-                out += [(min(nodes[x], y), max(nodes[x], y)) for y in nodes[rest]]
-        return out
-
-    def compare(batches):
-        part, held = [], None
-        names = ("key", "i", "j", "own", "node", "comp", "n_shingles", "sig")
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(rest):
+                rest = rest[~(bands[rest, : at[x]] == bands[x, : at[x]]).any(axis=1)]
+            if len(rest):
+                yield x, rest, nodes, comps
 
+    def grouped(batches, names, work):
+        part, now = [], None
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:3] != held and part:
-                    found += pairs_of(part)
+            for row in batch.select(names).to_pylist():
+                here = (row["key"], row["i"], row["j"])
+                if here != now and part:
+                    found += work(part)
                     part = []
-                held = row[:3]
+                now = here
                 part.append(row)
-            yield batch_of(found)
+            yield found
         if part:
-            yield batch_of(pairs_of(part))
-
-    return full.select("key", "i", "j", "own", "node", "comp", "n_shingles", "sig").mapInArrow(compare, "a long, b long").distinct()
+            yield work(part)
+
+    names = [*group, "own", "node", "comp", "n_shingles", "sig", "bands"]
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("bands", pa.binary())])
+
+    def taking_part(batches):
+        def work(part):
+            keep = np.zeros(len(part), bool)
+            for x, rest, _, _ in pairs_of(part):
+                keep[x] = True
+                keep[rest] = True
+            return [r for r, k in zip(part, keep.tolist(), strict=True) if k]
+
+        for found in grouped(batches, names, work):
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    def confirm(batches):
+        def work(part):
+            sets_ = [np.frombuffer(r["set"], np.uint64) for r in part]
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            links = []
+            for x, rest, nodes, comps in pairs_of(part):
+                for y in rest.tolist():
+                    one, two = top(int(comps[x])), top(int(comps[y]))
+                    if one != two:
+                        both = shared_of(sets_[x], sets_[y])
+                        if 100 * both >= percent * (len(sets_[x]) + len(sets_[y]) - both):
+                            up[max(one, two)] = min(one, two)
+                            links.append((int(nodes[x]), int(nodes[y])))
+            return links
+
+        for found in grouped(batches, [*names, "set"], work):
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    some = full.select(*names).mapInArrow(taking_part, "key long, i int, j int, own int, node long, comp long, n_shingles long, sig binary, bands binary")
+    whole = some.join(sets, "node").repartition(*group).sortWithinPartitions(*group)
+    return whole.select(*names, "set").mapInArrow(confirm, "a long, b long")
 
 
 def plausible(pairs: DataFrame, sigs: DataFrame, n: int, bits: int, percent: int) -> DataFrame:
@@ -163,8 +211,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                every = np.sort(np.concatenate([one, two]))
-                shared = int((every[1:] == every[:-1]).sum())
+                shared = shared_of(one, two)
                 keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -200,10 +247,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     chosen = written(
         signs.join(nodes.select(F.col("node").alias("uid"), "node"), "uid").select("node", F.col("doc_id").alias("node_doc"), F.col("digest").alias("node_digest"), "n_shingles", "sig", "bands"), "chosen"
     )
-    members = chosen.select("node", F.explode("bands").alias("key"))
+    members = chosen.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lead")).filter("m > 1").select("key", "lead")
-    buckets = written(members.join(shared, "key").select("key", "node", "lead"), "buckets")
+    buckets = written(members.join(shared, "key").select("key", "node", "n_shingles", "lead"), "buckets")
     sigs = chosen.select("node", "n_shingles", "sig")
+    blocks_of = chosen.select("node", "n_shingles", "sig", F.expr("unhex(array_join(transform(bands, b -> lpad(hex(b), 16, '0')), ''))").alias("bands"))
     asked = written(plausible(buckets.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sigs, bands * rows, bits, percent), "pairs")
     within = buckets.select("node").distinct()
     sets = written(sets_of(docs, chosen.join(within, "node").select("node", "node_doc", "node_digest"), size), "sets")
@@ -214,25 +262,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     while True:
         placed = buckets.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).filter("k > 1")
-        opened = written(placed.join(sizes.select("key"), "key").select("key", "node", "comp", "lead"), "open")
-        cross = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("x")).first()["x"] or 0
-        if not cross:
-            break
+        opened = written(placed.join(sizes.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"), "n"), "key").select("key", "node", "comp", "n_shingles", "pairs", "n"), "open")
+        cross = opened.agg(F.sum(F.col("pairs") / F.col("n")).alias("x")).first()["x"] or 0
         last = cross <= 256 * rows_in_buckets or turn >= 12
-        if last:
-            pairs = across(opened, sizes.select("key", F.col("n").alias("m")), sigs, bands * rows, bits, percent)
+        if not cross:
+            more = None
+        elif last:
+            more = across(opened, blocks_of, sets, bands * rows, bits, percent)
         else:
             turn += 1
             leads = opened.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("next"))
             pairs = opened.join(leads, "key").filter("next.comp <> comp").select(F.col("next.node").alias("a"), F.col("node").alias("b"))
-            pairs = plausible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sigs, bands * rows, bits, percent)
-        more = written(confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            joined = written(links.union(more), "links")
-            dropped(links, comps)
-            links = joined
-            comps = components(links)
-        done += [more, opened]
+            more = confirmed(plausible(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sigs, bands * rows, bits, percent), sets, percent)
+        done.append(opened)
+        if more is not None:
+            more = written(more, "links")
+            if not more.isEmpty():
+                joined = written(links.union(more), "links")
+                dropped(links, comps)
+                links = joined
+                comps = components(links)
+            dropped(more)
         if last:
             break
     of_node = nodes.join(comps.select("node", "comp"), "node", "left").select("digest", "first_doc", F.coalesce("comp", "node").alias("comp"))
