@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from archivolt.llm.decontamination import op2_decontamination
 from archivolt.llm.exact_spans import op10_suffix_dedup
+from archivolt.llm.main_text import op6_main_text
 from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
 from archivolt.llm.quality import op3_quality
 from archivolt.llm.sharding import op5_sharding
+from archivolt.llm.topk import op7_topk
 from archivolt.llm.toxicity import op9_toxicity
 
 QUERIES = {
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,
+    "op6_main_text": op6_main_text,
+    "op7_topk": op7_topk,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
