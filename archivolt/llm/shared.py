@@ -94,23 +94,29 @@ def slices(batches, most_bytes: int = 8 << 20):
             start = stop
 
 
-def words_of(texts: pa.Array):
-    """Words (runs without ASCII white space) of a large_string array: dictionary-encoded words, offsets by text."""
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words (runs without ASCII white space) of a large_string array: distinct ones, their numbers in turn, and the
+    offsets by text."""
     parts = pc.ascii_split_whitespace(texts)
     flat, offsets = parts.values, parts.offsets.to_numpy().astype(np.int64)
     flat = flat.slice(offsets[0], offsets[-1] - offsets[0]) if len(offsets) else flat
     offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.to_pylist()
-    if "" in words:  # at the ends of a text
-        empty = words.index("")
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    words = coded.dictionary
+    empty = pc.index(words, "").as_py() if len(words) else -1
+    if empty >= 0:  # at the ends of a text
         keep = index != empty
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         index = index[keep]
     return words, index, offsets
 
 
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    words, index, offsets = coded_words(texts)
+    return words.to_pylist(), index.astype(np.int64), offsets
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -8,16 +8,17 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from archivolt.llm.shared import words_of
+from archivolt.llm.shared import coded_words
 
 END = 1  # the id that ends a document
 MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'  # of ASCII's marks, those that no contraction begins with
 
 
 class Encoder:
-    """Encodes distinct words once and gathers their ids; two bounded generations of them are kept for the life of a
-    Python worker.
+    """Encodes distinct words once and gathers their ids; a bounded number of them is kept for the life of a Python
+    worker.
 
     The result equals encoding the whole text: the tokenizer drops white space, its normaliser and pre-tokenizer
     look at nothing beyond it, and its special tokens hold none.  Words of letters are one pre-token each, so they go
@@ -26,7 +27,7 @@ class Encoder:
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,9 +63,16 @@ class Encoder:
         self.size = np.concatenate([self.size, sizes])
         self.pool = np.concatenate([self.pool, ids])
 
-    def _learn(self, need: set[str]) -> None:
-        plain = [w for w in need if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
-        other = list(need.difference(plain))
+    def _learn(self, need: list[str]) -> None:
+        """Slots of runs of letters and of marks; -1 for any other, whose words are encoded whole."""
+        plain, other = [], []
+        for w in need:
+            if w.isalpha() and (w.isascii() or w.lower().isalpha() and unicodedata.is_normalized("NFC", w)):
+                (plain if w == w.lower() else other).append(w)
+            elif not w.strip(MARKS):
+                other.append(w)
+            else:
+                self.slots[w] = -1
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
@@ -73,42 +81,62 @@ class Encoder:
                 self._add(some, np.diff(ends, prepend=-1), ids)
             else:
                 other += some
-        if other:
-            lists = [x.ids for x in self.whole.encode_batch(other, add_special_tokens=False)]
-            self._add(other, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32))
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        """A run of letters and a run of marks that ends the word are pre-tokens of their own; ASCII case folds alike
-        anywhere."""
-        if word.isalpha():
-            return (word.lower(), "") if word.isascii() else (word, "")
-        core = word.rstrip(MARKS)
-        if core.isalpha() and core.isascii():
-            return core.lower(), word[len(core) :]
-        if core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
-            return core, word[len(core) :]
-        return word, ""
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts behind one another (each ended by END), and where each text begins, with the end."""
-        words, index, offsets = words_of(texts)
-        one, two = zip(*map(self._split, words), strict=True) if words else ((), ())
-        need = {w for w in one if w not in self.slots}
-        need.update(w for w in {*two} if w not in self.slots)
+        self._whole(other)
+
+    def _whole(self, words: list[str]) -> None:
+        if words:
+            lists = [x.ids for x in self.whole.encode_batch(words, add_special_tokens=False)]
+            self._add(words, np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32))
+
+    def _slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two slots for each word: its letters and the marks that end it, or the whole word and nothing.  ASCII case
+        folds alike anywhere, and runs of letters and of marks are pre-tokens of their own."""
+        core = pc.ascii_rtrim(words, characters=MARKS)
+        marked = np.flatnonzero((pc.binary_length(words).to_numpy() != pc.binary_length(core).to_numpy()))
+        core = pc.ascii_lower(core).dictionary_encode()
+        cores, tails = core.dictionary.to_pylist(), np.zeros(len(words), np.int64)
+        ends = [w[len(w.rstrip(MARKS)) :] for w in words.take(pa.array(marked)).to_pylist()]
+        need = [w for w in {*cores, *ends} if w not in self.slots]
         if len(self.slots) + len(need) > self.most:
             self._fresh()
-            need = {*one, *two} - {""}
+            need = [w for w in {*cores, *ends} if w]
         if need:
             self._learn(need)
         get = self.slots.__getitem__
-        slot = np.stack([np.fromiter(map(get, one), np.int64, len(one)), np.fromiter(map(get, two), np.int64, len(two))], axis=1)
-        slot = np.concatenate([slot, [[1, 0]]])
-        # the words of each text, then the end mark; each word is a pair of slots
-        at = slot[np.insert(index, offsets[1:], len(words))].ravel()
-        bounds = 2 * (offsets + np.arange(len(offsets)))
-        n = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        source = np.repeat(self.begin[at] - ends[:-1], n)
+        one = np.fromiter(map(get, cores), np.int64, len(cores))[core.indices.to_numpy(zero_copy_only=False)] if len(cores) else tails
+        tails[marked] = np.fromiter(map(get, ends), np.int64, len(ends))
+        odd = np.flatnonzero(one < 0)
+        if len(odd):
+            odd_words = words.take(pa.array(odd)).to_pylist()  # kept under a name that no run of letters or marks has
+            known = {w: k for w in odd_words if (k := self.slots.get(f"\n{w}")) is not None}
+            fresh = [w for w in odd_words if w not in known]
+            if fresh:
+                first = len(self.size)
+                self._whole([f"\n{w}" for w in fresh])
+                known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            one[odd] = [known[w] for w in odd_words]
+            tails[odd] = 0
+        return one, tails
+
+    def _ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slots behind one another, and the size of each."""
+        n = self.size[slots]
+        source = np.repeat(self.begin[slots] - (np.cumsum(n) - n), n)
+        source += np.arange(len(source))
+        return self.pool[source], n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another (each ended by END), and where each text begins, with the end."""
+        words, index, offsets = coded_words(texts)
+        one, two = self._slots(words)
+        # the ids of each distinct word once, then those of all words, with the end mark after each text
+        flat, n = self._ids(np.append(np.stack([one, two], axis=1).ravel(), 1))
+        size = np.append(n[:-1].reshape(-1, 2).sum(axis=1), 1)
+        begin = np.cumsum(size) - size
+        at = np.insert(index, offsets[1:], len(words))
+        bounds = offsets + np.arange(len(offsets))
+        n = size[at]
+        ends = np.cumsum(n)
+        source = np.repeat(begin[at] - (ends - n), n)
         source += np.arange(len(source))
-        return self.pool[source], ends[bounds]
+        return flat[source], np.concatenate([[0], ends])[bounds]
