@@ -9,6 +9,7 @@ from archivolt.llm.minhash import op4_near_dedup
 from archivolt.llm.packing import op1_packing
 from archivolt.llm.quality import op3_quality
 from archivolt.llm.sharding import op5_sharding
+from archivolt.llm.token_shards import op8_token_shards
 from archivolt.llm.topk import op7_topk
 from archivolt.llm.toxicity import op9_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_main_text": op6_main_text,
     "op7_topk": op7_topk,
+    "op8_token_shards": op8_token_shards,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
