@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from archivolt.llm.shared import dropped, slices, table, texts_of, words_of, written
 from archivolt.llm.shingles import folded
@@ -21,6 +22,7 @@ SAMPLE = 12_000  # labelled rows that a chain is fitted on, at most
 FOLDS = 4
 BEGINNINGS = (3, 4, 5, 6)
 LEAST, DEVIATIONS = 4, 4.5  # rows that have a feature, and how far its share must differ between the classes
+FEATURES = 512  # of a model, at most
 AGAIN = 1  # the feature of a word that follows itself
 
 
@@ -104,7 +106,7 @@ def fitted(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, label: np.nd
 
 
 def telling(counts: DataFrame, totals: dict[tuple, float], n: int) -> DataFrame:
-    """Features that tell the classes apart: with `use`, the models that may see each.  counts: feature, fold, y0.. and
+    """The FEATURES that tell the classes of a model apart best: with `use`, the models that may see each.  counts: feature, fold, y0.. and
     k, the rows; a model is (category, the fold left out, or FOLDS for none)."""
     sums, tests = [], []
     for c in range(n):
@@ -115,8 +117,10 @@ def telling(counts: DataFrame, totals: dict[tuple, float], n: int) -> DataFrame:
             n_one, n_zero = (float(max(1.0, sum(v for (cc, fold, yy), v in totals.items() if (cc, yy) == (c, y) and fold != f))) for y in (1, 0))
             share = (one + zero + 1) / (n_one + n_zero + 2)
             z = F.abs(one / n_one - zero / n_zero) / F.sqrt(share * (1 - share) * (1 / n_one + 1 / n_zero))
-            tests.append(F.when((one + zero >= LEAST) & (z >= DEVIATIONS), F.lit(c * (FOLDS + 1) + f)))
-    return counts.groupBy("feature").agg(*sums).select("feature", F.array_compact(F.array(*tests)).alias("use")).filter("size(use) > 0")
+            tests.append(F.when((one + zero >= LEAST) & (z >= DEVIATIONS), F.struct(F.lit(c * (FOLDS + 1) + f).alias("model"), z.alias("z"))))
+    told = counts.groupBy("feature").agg(*sums).select("feature", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("feature", "t.model", "t.z")
+    best = told.withColumn("turn", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("z"), "feature"))).filter(F.col("turn") <= FEATURES)
+    return best.groupBy("feature").agg(F.collect_list("model").alias("use"))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
