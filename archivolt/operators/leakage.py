@@ -14,7 +14,8 @@ GRAM, LEAST, ANSWER_SHARE, ITEMS, MARKED = 8, 3, 0.5, 3, 20_000
 
 
 def grams(texts: DataFrame, n: int = GRAM) -> DataFrame:
-    return texts.select("id", F.explode(ngrams(tokens(F.col("text")), n)).alias("gram"))
+    words = texts.select("id", tokens(F.col("text")).alias("words"))  # once a text, not once a gram
+    return words.select("id", F.explode(ngrams(F.col("words"), n)).alias("gram"))
 
 
 def shared_grams(questions: DataFrame, chunks: DataFrame, n: int = GRAM) -> DataFrame:
@@ -30,7 +31,7 @@ def severity(questions: DataFrame, answers: DataFrame, chunks: DataFrame, n: int
     answer's, or where ITEMS items hit the chunk; else review."""
     asked = shared_grams(questions, chunks, n)
     answered = shared_grams(answers, chunks, n).withColumnRenamed("shared", "shared_answer")
-    sizes = answers.select(F.col("id").alias("question_id"), F.size(ngrams(tokens(F.col("text")), n)).alias("answer_grams"))
+    sizes = grams(answers, n).groupBy(F.col("id").alias("question_id")).agg(F.count(F.lit(1)).alias("answer_grams"))
     both = asked.join(answered, ["question_id", "chunk_id"], "left").join(sizes, "question_id", "left")
     copied = (F.col("shared") >= LEAST) & (F.col("answer_grams") > 0) & (F.coalesce("shared_answer", F.lit(0)) >= ANSWER_SHARE * F.col("answer_grams"))
     by_chunk = both.groupBy("chunk_id").agg(F.max(F.coalesce(copied, F.lit(False))).alias("copied"), F.array_sort(F.collect_set("question_id")).alias("questions"))
