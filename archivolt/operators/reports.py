@@ -67,7 +67,7 @@ def repeated_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.6, l
     return held.join(counted, "doc_id").filter(F.col("k") >= F.ceil(share * F.col("pages"))).select("doc_id", "line")
 
 
-PAGE_NUMBER = r"(?i)^(p[aá]g(ina)?\.?\s*)?\d{1,4}(\s*(/|de)\s*\d{1,4})?$"
+PAGE_NUMBER = r"(?iU)^(p[aá]g(ina)?\.?\s*)?\d{1,4}(\s*(/|de)\s*\d{1,4})?$"
 
 
 def cleaned_pages(pages: DataFrame) -> DataFrame:

@@ -31,10 +31,17 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip().lower()) for c in rows.columns])
 
 
-def decoded(content: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def decoded(contents: pd.Series) -> pd.Series:
     """Bytes as text: without a byte-order mark, UTF-8 where it is valid, else Windows-1252."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
-    return F.regexp_replace(text, "^﻿", "")
+    return contents.map(as_text)
+
+
+def as_text(content: bytes) -> str:
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode("windows-1252", errors="replace")
 
 
 class PageText(HTMLParser):
@@ -103,9 +110,9 @@ def read_files(spark: SparkSession, path: str, pdf_pages=None) -> DataFrame:
     known = files.withColumn("kind", kind).filter(F.col("kind").isin(*EXTENSIONS))
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-    def read(kinds: pd.Series, contents: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def read(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
         rows = []
-        for kind, content, text in zip(kinds, contents, texts, strict=True):
+        for kind, content in zip(kinds, contents, strict=True):
             try:
                 if kind == ".docx":
                     found = docx_text(content)
@@ -114,13 +121,14 @@ def read_files(spark: SparkSession, path: str, pdf_pages=None) -> DataFrame:
                         raise ValueError("no reader of PDF pages was given")
                     found = "\f".join(pdf_pages(content))
                 else:
+                    text = as_text(content)
                     found = page_text(text) if kind in (".html", ".htm") else text
                 rows.append((found, None if found.strip() else "no text"))
             except Exception as error:  # one damaged file must not end the scan
                 rows.append(("", f"{type(error).__name__}: {error}"))
         return pd.DataFrame(rows, columns=["text", "error"])
 
-    out = known.select("path", read("kind", "content", decoded(F.col("content"))).alias("r"))
+    out = known.select("path", read("kind", "content").alias("r"))
     return out.select("path", joined_hyphens(normalise(F.col("r.text"))).alias("text"), F.col("r.error").alias("error"))
 
 
