@@ -39,11 +39,12 @@ def propagated(state: DataFrame, total: int, shards: int) -> DataFrame:
     for _ in range(ROUNDS):
         loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
         room = every.join(loads, "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("room"))
-        roomy = state.join(F.broadcast(room), "shard").withColumn("whole", F.sum("n").over(Window.partitionBy("grp")))
-        # the label with most of the group that can take more of it; else the largest
-        best = F.max_by("shard", F.struct(F.when(F.col("room") > 0, 1).otherwise(0), F.col("n"), -F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)))).over(Window.partitionBy("grp"))
-        aimed = roomy.withColumn("to", best)
-        asks = aimed.filter("shard <> to").select("grp", "shard", "to", "n", "whole")
+        roomy = state.join(F.broadcast(room), "shard")
+        # the label with most of the group that can take more of it; rows leave no larger part of the group for it
+        rank = F.struct(F.when(F.col("room") > 0, 1).otherwise(0), F.col("n"), -F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)))
+        best = F.max_by(F.struct("shard", "n"), rank).over(Window.partitionBy("grp"))
+        aimed = roomy.withColumn("best", best).withColumn("to", F.col("best.shard"))
+        asks = aimed.filter((F.col("shard") != F.col("to")) & (F.col("n") <= F.col("best.n"))).select("grp", "shard", "to", "n")
         ordered = running(asks.withColumnRenamed("shard", "from"), ["to"], [F.desc("n"), "grp", "from"], "n", "ahead")
         granted = ordered.join(F.broadcast(room.select(F.col("shard").alias("to"), "room")), "to").withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.col("ahead")))).filter("moved > 0")
         gains = granted.select("grp", F.col("to").alias("shard"), F.col("moved").alias("n"))
