@@ -26,4 +26,27 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+NEAR_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a)
+select doc_id, coalesce(n, 0) n_shingles, m component_id, doc_id = m kept
+from documents left join n using (doc_id) join (select a doc_id, min(b) m from r group by 1) using (doc_id)"""
+
+TOP_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+           where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, rank::int rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 10"""
+
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": NEAR_SQL,
+    "op7_topk": TOP_SQL,
+}
