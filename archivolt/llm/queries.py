@@ -46,7 +46,22 @@ s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint s
 select query_id, rank::int rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 10"""
 
+SPANS_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) b, octet_length(encode(coalesce(text, ''))) n from documents),
+p as (select doc_id, i, md5(array_slice(b, i, i + 199)) h from (select doc_id, b, unnest(range(1, n - 198)) i from d where n >= 200)),
+twice as (select h from p group by h having count(*) > 1),
+s as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) step from p semi join twice using (h)),
+g as (select doc_id, i, sum(case when step <= 200 then 0 else 1 end) over (partition by doc_id order by i) g from s),
+r as (select doc_id, g, min(i) a, max(i) + 199 z from g group by 1, 2),
+k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 x, a - 1 y from r
+      union all select doc_id, coalesce(max(z), 0) + 1, any_value(n) from d left join r using (doc_id) group by 1),
+t as (select doc_id, string_agg(case when y >= x then hex(array_slice(b, x, y)) else '' end, '' order by x) kept from k join d using (doc_id) group by 1),
+c as (select doc_id, sum(z - a + 1)::bigint n_removed, count(*) n_spans from r group by 1)
+select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(kept)) kept_sha256
+from d join t using (doc_id) left join c using (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op4_near_dedup": NEAR_SQL,
     "op7_topk": TOP_SQL,
+    "op10_suffix_dedup": SPANS_SQL,
 }
