@@ -7,9 +7,9 @@
 3. Other blocks of an anchor that occurs again are compared by their bytes.  All blocks of an anchor come to one
    shard; shards hold a bounded number of bytes.  Each shard builds its suffix array (Larsson and Sadakane's
    refinement) and the common prefixes of neighbours (Kasai's bound); neighbours that share `length` bytes repeat.
-4. An anchor with more blocks than a shard takes is dealt to as many shards as it needs.  Each of them also gives
-   128-bit digests of its strings; digests are counted over all shards (partial counts first), and those found twice
-   are joined back, so that no task ever holds all of an anchor.
+4. An anchor with more blocks than a shard takes is dealt to as many shards as it needs.  Each of them also packs
+   128-bit digests of its different strings, sorted, in ranges of bounded size; where the lists of a range meet, each
+   is looked up in the merged one by binary search.  No task ever holds all of an anchor.
 
 Bytes under a repeated string are cut at the end, on the input's positions."""
 
@@ -160,49 +160,113 @@ def with_text(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(make, "anchor long, block long, strings int, rel int, bytes binary").dropDuplicates(["anchor", "block"])
 
 
-def in_shards(blocks: DataFrame, length: int, keep_one: bool) -> DataFrame:
-    """Blocks sorted by shard -> anchor, block, runs of starts that repeat in the shard.  With keep_one also
-    digests of its strings, for the merge: as rows with `one` and `two` set and the start in `first`."""
+RUNS = "array<struct<first:int,last:int>>"
+
+
+def shard_of(rows: list[tuple], length: int):
+    """A shard's strings, from rows (anchor, block, strings, rel, bytes): the row and start of each, which repeat
+    within the shard, and the shard's bytes with the place of each row."""
+    lengths = np.array([len(r[4]) for r in rows])
+    begin = np.cumsum(lengths) - lengths
+    raw = b"".join(r[4] for r in rows)
+    n = np.array([r[2] for r in rows])
+    which = np.repeat(np.arange(len(rows)), n)
+    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return which, start, repeated_starts(np.frombuffer(raw, np.uint8), begin[which] + start, length), raw, begin
+
+
+def runs_of(rows: list[tuple], which: np.ndarray, start: np.ndarray, chosen: np.ndarray) -> list[tuple]:
+    """(anchor, block, runs) of the rows that have chosen starts."""
+    parts = np.split(start[chosen], np.searchsorted(which[chosen], np.arange(1, len(rows))))
+    return [(r[0], r[1], [{"first": a, "last": b} for a, b in ranges(part)]) for r, part in zip(rows, parts, strict=True) if len(part)]
+
+
+def run_batch(found: list[tuple]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    cols = list(zip(*found, strict=True)) if found else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), kind), strict=True)], names=["anchor", "block", "runs"])
+
+
+def groups_of(batches, names: list[str], keys: int, least_bytes: int):
+    """Lists of rows, cut where the first `keys` columns change, once least_bytes have come together."""
+    rows, size, held = [], 0, None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if rows and row[:keys] != held and size >= least_bytes:
+                yield rows
+                rows, size = [], 0
+            held = row[:keys]
+            rows.append(row)
+            size += sum(len(x) for x in row if isinstance(x, bytes))
+    if rows:
+        yield rows
+
+
+def in_shards(blocks: DataFrame, length: int) -> DataFrame:
+    """anchor, block and runs of starts that repeat; all blocks of an anchor lie in one shard."""
+
+    def make(batches):
+        for rows in groups_of(batches, ["anchor", "block", "strings", "rel", "bytes"], 1, SHARD_BYTES):
+            which, start, repeat, _, _ = shard_of(rows, length)
+            yield run_batch(runs_of(rows, which, start, repeat))
+
+    parts = blocks.repartition("anchor").sortWithinPartitions("anchor", "block")
+    return parts.select("anchor", "block", "strings", "rel", "bytes").mapInArrow(make, f"anchor long, block long, runs {RUNS}")
+
+
+def across_shards(blocks: DataFrame, length: int) -> DataFrame:
+    """The same for anchors that are dealt to several shards.
+
+    A shard marks what repeats within it and packs the digests of its different strings, sorted, by range.  A range of
+    an anchor holds a bounded number of them; there each shard's list is looked up in the others' by binary search."""
+    names = ["anchor", "shard", "block", "strings", "rel", "bytes", "ranges"]
+    schema = f"anchor long, block long, runs {RUNS}, `range` int, digests binary, blocks binary, starts binary"
+    kinds = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("range", pa.int32()), ("digests", pa.binary()), ("blocks", pa.binary()), ("starts", pa.binary())])
 
     def make(batches):
-        rows, size, held = [], 0, None
-
-        def shard():
-            lengths = np.array([len(r[4]) for r in rows])
-            begin = np.cumsum(lengths) - lengths
-            text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-            n = np.array([r[2] for r in rows])
-            which = np.repeat(np.arange(len(rows)), n)
-            rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            repeat = repeated_starts(text, begin[which] + rel, length)
-            out = []
-            for i, part in enumerate(np.split(rel[repeat], np.searchsorted(which[repeat], np.arange(1, len(rows))))):
-                out += [(rows[i][0], rows[i][1], a, b, None, None) for a, b in ranges(part)]
-            if keep_one:
-                raw = text.tobytes()
-                for i, r in zip(which.tolist(), rel.tolist(), strict=True):
-                    a = int(begin[i]) + r
-                    out.append((rows[i][0], rows[i][1], r, r, *divmod(xxhash.xxh3_128_intdigest(raw[a : a + length]), 1 << 64)))
-            return out
-
-        def batch_of(found):
-            cols = list(zip(*found, strict=True)) if found else [[]] * 6
-            high, low = ([None if v is None else v - (1 << 64) if v >> 63 else v for v in cols[k]] for k in (4, 5))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["anchor", "block", "first", "last", "one", "two"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "strings", "rel", "bytes", "shard")), strict=True):
-                if rows and ((row[0], row[5]) != held and size >= SHARD_BYTES or keep_one and (row[0], row[5]) != held):
-                    yield batch_of(shard())
-                    rows, size = [], 0
-                held = (row[0], row[5])
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield batch_of(shard())
-
-    parts = blocks.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "block")
-    return parts.select("anchor", "block", "strings", "rel", "bytes", "shard").mapInArrow(make, "anchor long, block long, first int, last int, one long, two long")
+        for group in groups_of(batches, names, 2, 0):
+            rows = [(r[0], *r[2:6]) for r in group]
+            which, start, repeat, raw, begin = shard_of(rows, length)
+            out = [{"anchor": a, "block": b, "runs": r} for a, b, r in runs_of(rows, which, start, repeat)]
+            at = (begin[which] + start).tolist()
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in at), ">u8").reshape(-1, 2).astype(np.uint64)
+            by = np.lexsort((digest[:, 1], digest[:, 0]))
+            different = by[np.concatenate([[True], (digest[by[1:]] != digest[by[:-1]]).any(axis=1)])]
+            block = np.array([r[1] for r in rows], np.int64)[which[different]]
+            of = (digest[different, 0] % np.uint64(group[0][6])).astype(np.int64)
+            for k in np.unique(of).tolist():
+                mine = of == k
+                out.append({"anchor": rows[0][0], "range": k, "digests": digest[different[mine]].tobytes(), "blocks": block[mine].tobytes(), "starts": start[different[mine]].astype(np.int32).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    def merge(batches):
+        for group in groups_of(batches, ["anchor", "range", "digests", "blocks", "starts"], 2, 0):
+            lists = [np.frombuffer(r[2], np.dtype([("a", "<u8"), ("b", "<u8")])) for r in group]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            every = np.concatenate(lists)
+            by = np.lexsort((owner, every["b"], every["a"]))
+            merged = every[by]
+            first = np.concatenate([[True], merged[1:] != merged[:-1]])
+            edges = np.append(np.flatnonzero(first), len(merged))
+            found = []
+            for r, mine in zip(group, lists, strict=True):
+                heads = merged[edges[:-1]]
+                place = np.searchsorted(heads["a"], mine["a"])
+                while (later := (heads[np.minimum(place, len(heads) - 1)] != mine)).any():  # equal first halves
+                    place[later] += 1
+                twice = edges[place + 1] - edges[place] > 1
+                block, start = np.frombuffer(r[3], np.int64)[twice], np.frombuffer(r[4], np.int32)[twice]
+                order = np.lexsort((start, block))
+                block, start = block[order], start[order]
+                cut = np.flatnonzero(np.diff(block)) + 1
+                found += [(r[0], int(b[0]), [{"first": x, "last": y} for x, y in ranges(s)]) for b, s in zip(np.split(block, cut), np.split(start, cut), strict=True) if len(b)]
+            yield run_batch(found)
+
+    full = blocks.withColumn("ranges", F.floor(F.col("blocks") * (length - GRAM + 1) / (1 << 18)) + 1).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "block")
+    packed = written(full.select(*names).mapInArrow(make, schema), "packed")
+    lists = packed.filter("digests is not null").repartition("anchor", "range").sortWithinPartitions("anchor", "range")
+    across = lists.select("anchor", "range", "digests", "blocks", "starts").mapInArrow(merge, f"anchor long, block long, runs {RUNS}")
+    return packed.filter("digests is null").select("anchor", "block", "runs").union(across)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -223,18 +287,12 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     )
     texts = with_text(docs, chosen, length).join(wide, "anchor")
     texts = written(texts.withColumn("shard", F.pmod("block", F.floor((F.col("blocks") - 1) / WIDE) + 1)), "blocks")
-    narrow = in_shards(texts.filter(F.col("blocks") <= WIDE), length, False).select("anchor", "block", "first", "last")
+    found = in_shards(texts.filter(F.col("blocks") <= WIDE), length)
     dealt = texts.filter(F.col("blocks") > WIDE)
-    found = narrow
     if not dealt.isEmpty():
-        strings = written(in_shards(dealt, length, True), "strings")
-        inside = strings.filter("one is null").select("anchor", "block", "first", "last")
-        digests_of = strings.filter("one is not null")
-        twice = digests_of.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-        across = digests_of.join(twice, ["one", "two"]).select("anchor", "block", "first", "last")
-        found = narrow.union(inside).union(across)
+        found = found.union(across_shards(dealt, length))
     runs = written(found, "runs")
-    by_block = runs.groupBy("anchor", "block").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    by_block = runs.groupBy("anchor", "block").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     strings_in = F.shiftright("place", 10).bitwiseAND(F.lit(1023)).cast("int")
     start = F.shiftright("place", 20)
     whole = F.array(F.struct(F.lit(0).alias("first"), (strings_in - 1).alias("last")))
