@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -92,6 +93,16 @@ def slices(batches, most_bytes: int = 8 << 20):
             stop = max(start + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
