@@ -19,7 +19,9 @@ def plain(v):
         return bool(v)
     if isinstance(v, int | np.integer):
         return int(v)
-    return round(float(v), 7) if isinstance(v, float | np.floating) else v
+    if isinstance(v, float | np.floating):  # pandas has whole numbers with nulls as floats
+        return int(v) if float(v).is_integer() else round(float(v), 7)
+    return v
 
 
 def rows(df):
