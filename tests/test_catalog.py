@@ -5,13 +5,14 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from archivolt.plans.catalog import ORACLES, QUERIES
 
 
 def plain(v):
-    if v is None or isinstance(v, float | np.floating) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float | np.floating) and math.isnan(v):
         return None
     if isinstance(v, list | np.ndarray):
         return tuple(plain(x) for x in v)
