@@ -272,9 +272,10 @@ def across_shards(blocks: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, dg and spans (array of first and last start of runs of repeated strings) of the texts that have any."""
     anchors = written(anchors_of(docs, length), "anchors")
-    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("differ")).filter("n > 1").select("anchor", "differ")
+    # written, so that nothing above the join needs an anchor's rows together and AQE can split a frequent one
+    again = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("differ")).filter("n > 1").select("anchor", "differ"), "repeated")
     again_rows = written(anchors.join(again, "anchor"), "again")
-    dropped(anchors)
+    dropped(anchors, again)
     kinds = written(
         again_rows.filter("differ").withColumn("row", F.xxhash64("doc_id", "dg", "place"))
         .groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")),
