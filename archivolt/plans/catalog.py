@@ -95,12 +95,12 @@ def word_frequency(spark, d):
     return lexical.word_frequency(words, docs(spark, d))
 
 
-@query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 100 = 0),
+@query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id id, round(round(list_inner_product(v::double[], embedding::double[]), 8), 5) score from q, embeddings)
 select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 10""")
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return dense.dense_topk(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    return dense.dense_topk(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
 def rankings(spark, d):
