@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm.shared import dropped, mixed, ranked, salts, shared_dir, slices, table, texts_of, written
+from archivolt.llm.shared import dropped, mixed, shared_dir, slices, table, texts_of, written
 from archivolt.llm.tokens import Encoder
 
 FEISTEL_ROUNDS = 6
-PAD = 0
+PAD, PADDING = 0, b"\0"
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
-    """doc_id, start, n_tokens and tokens (16-bit little-endian ids, padded to length) of each piece of each text."""
+    """doc_id, start, n_tokens and tokens (16-bit little-endian ids) of each piece of each text."""
 
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
@@ -54,13 +54,10 @@ def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame
             doc = np.repeat(np.arange(len(n)), pieces)
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
             size = np.minimum(length, n[doc] - start)
-            grid = np.full(len(doc) * length, PAD, "<u2")
-            at = np.repeat(np.arange(len(doc)) * length - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            grid[at] = ids
+            raw, edges = ids.astype("<u2").tobytes(), np.append(np.cumsum(size) - size, int(size.sum())) * 2
             for a in range(0, len(doc), 2048):
                 part = slice(a, a + 2048)
-                raw = grid[a * length : (a + 2048) * length].tobytes()
-                tokens = [raw[i : i + 2 * length] for i in range(0, len(raw), 2 * length)]
+                tokens = [raw[x:y] for x, y in zip(edges[part].tolist(), edges[1:][part].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[part])), pa.array(start[part]), pa.array(size[part]), pa.array(tokens, pa.binary())], names=["doc_id", "start", "n_tokens", "tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -77,16 +74,22 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
     attempts leave no half shard.  Beside the shards, index.json holds what a reader needs."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/archivolt/tokens-{uuid.uuid4().hex}"
-    sequences = written(sequences_of(docs, tokenizer_path, length).withColumn("uid", F.monotonically_increasing_id()), "sequences")
-    n = sequences.count()
-    numbered = ranked(sequences.select("uid", "doc_id", "start", F.lit(0).alias("all")), ["all"], ["doc_id", "start", "uid"], salts(n), "at").select("uid", "at")
+    sequences = written(sequences_of(docs, tokenizer_path, length).withColumn("uid", F.monotonically_increasing_id()), "sequences", "zstd")
+    # a row's number among all: the rows of the tasks before its own, and its turn there; one count a task
+    counts = sorted((r["p"], r["n"]) for r in sequences.groupBy(F.shiftright("uid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n, base = 0, {}
+    for p, k in counts:
+        base[p], n = n, n + k
 
     def slot(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(permuted(batch.column("at").to_numpy(), n, key))], names=["uid", "slot"])
+            uid = batch.column("uid").to_numpy()
+            at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
+            slots = permuted(at, n, key)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "tokens")), pa.array(slots), pa.array(slots // rows)], names=["doc_id", "start", "n_tokens", "tokens", "slot", "shard"])
 
-    slots = written(numbered.mapInArrow(slot, "uid long, slot long"), "slots")
-    ordered = sequences.join(slots, "uid").withColumn("shard", F.floor(F.col("slot") / rows)).repartitionByRange(max(1, -(-n // rows)), "shard").sortWithinPartitions("slot")
+    placed = sequences.mapInArrow(slot, "doc_id long, start long, n_tokens long, tokens binary, slot long, shard long")
+    ordered = placed.repartitionByRange(max(1, -(-n // rows)), "shard").sortWithinPartitions("slot")
 
     def write(batches):
         import pyarrow.fs
@@ -100,7 +103,8 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
             store.move(temporary, f"{folder}/{name(now)}")
 
         for batch in batches:
-            shard, tokens = batch.column("shard").to_pylist(), batch.column("tokens").to_pylist()
+            shard = batch.column("shard").to_pylist()
+            tokens = [t.ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
             for s, t in zip(shard, tokens, strict=True):
                 if s != now:
                     if out:
@@ -119,7 +123,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
         return f"shard-{shard:08d}.bin"
 
     done = written(ordered.select("doc_id", "start", "n_tokens", "tokens", "slot", "shard").mapInArrow(write, "doc_id long, start long, n_tokens long, slot long, shard long, tokens_crc32 long, file string"), "placed")
-    dropped(sequences, slots)
+    dropped(sequences)
     about = {"sequences": n, "length": length, "stride": 2 * length, "rows": rows, "key": key, "pad": PAD, "dtype": "<u2"}
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
