@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,11 +83,12 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
         base[p], n = n, n + k
 
     def slot(batches):
+        small = zstandard.ZstdCompressor(level=1)  # the shuffle's own compression does little for 16-bit ids
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
             slots = permuted(at, n, key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "tokens")), pa.array(slots), pa.array(slots // rows)], names=["doc_id", "start", "n_tokens", "tokens", "slot", "shard"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array([small.compress(t) for t in batch.column("tokens").to_pylist()], pa.binary()), pa.array(slots), pa.array(slots // rows)], names=["doc_id", "start", "n_tokens", "tokens", "slot", "shard"])
 
     placed = sequences.mapInArrow(slot, "doc_id long, start long, n_tokens long, tokens binary, slot long, shard long")
     ordered = placed.repartitionByRange(max(1, -(-n // rows)), "shard").sortWithinPartitions("slot")
@@ -96,7 +98,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
 
         store, folder = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
         store.create_dir(folder, recursive=True)
-        now, out, temporary = None, None, None
+        now, out, temporary, whole = None, None, None, zstandard.ZstdDecompressor()
 
         def close():
             out.close()
@@ -104,7 +106,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
 
         for batch in batches:
             shard = batch.column("shard").to_pylist()
-            tokens = [t.ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
+            tokens = [whole.decompress(t).ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
             for s, t in zip(shard, tokens, strict=True):
                 if s != now:
                     if out:
