@@ -1,6 +1,6 @@
 """Passages of benchmark items in documents.
 
-A window of a document is as many words as an item has.  Each window and each item gets a 64-bit SimHash of its word
+A window of a document is as many words as an item has; a document with fewer words is one window.  Each window and each item gets a 64-bit SimHash of its word
 shingles, weighted by their letters.  An index over RADIUS + 1 blocks of the fingerprint finds every item within the
 radius: of so many blocks one must agree.  Candidates are verified by the exact weighted similarity of their shingle
 multisets.  Only windows that hold a shingle of the benchmark are looked at, which loses nothing: without a common
@@ -102,7 +102,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     similar to the item, the first of equal ones, where its similarity is at least `least`.
 
     docs(doc_id, text) and benchmark(item_id, text) may hold nulls (no words, so no match; null ids are kept),
-    repeated rows (one result row each) and other columns.  Words are compared in lower case without the marks around
+    repeated rows (one result row each) and other columns.  A document with fewer words than an item is compared with
+    it whole.  Words are compared in lower case without the marks around
     them.  Items of fewer than `size` words are compared as whole sequences.  Empty tables give no rows.  Items reach the tasks in
     indexes of at most ITEM_WORDS words, or one item; a larger benchmark takes more passes over the documents."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -150,7 +151,9 @@ def finder(kinds: list[Items], size: int, least: float):
                     span = np.arange(-(x.words - k), 1)
                     start = (seed[mine][:, None] + span).ravel()
                     of = np.repeat(seed_text[mine], len(span))
-                    inside = (start >= offsets[of]) & (start + x.words <= offsets[of + 1])
+                    short = offsets[of + 1] - offsets[of] < x.words
+                    start = np.where(short, offsets[of], start)
+                    inside = short | (start >= offsets[of]) & (start + x.words <= offsets[of + 1])
                     start, first = np.unique(start[inside], return_index=True)
                     of = of[inside][first]
                     rows += verified(x, start, of, every, weights, offsets, names, least)
@@ -168,20 +171,21 @@ def finder(kinds: list[Items], size: int, least: float):
 
 def verified(x: Items, start: np.ndarray, of: np.ndarray, every: np.ndarray, weights: np.ndarray, offsets: np.ndarray, names: list, least: float) -> list:
     """Rows (text, (items, item), similarity, first word, words) of the windows that begin at `start`."""
-    rows, n = [], x.words - x.size + 1
+    rows, words = [], np.minimum(x.words, offsets[of + 1] - offsets[of])
+    n = words - x.size + 1
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + STRETCH)))
-        base, end = int(start[a]), int(start[b - 1]) + n
+        base, end = int(start[a]), int((start[a:b] + n[a:b]).max())
         sums = np.zeros((end - base + 1, 64), np.int64)
         np.cumsum(bits_of(every[base:end]) * weights[base:end, None], axis=0, out=sums[1:])
-        from_, to = start[a:b] - base, start[a:b] - base + n
+        from_, to = start[a:b] - base, start[a:b] - base + n[a:b]
         window, item = x.near(fingerprint(sums[to] - sums[from_]))
         for w, j in zip((window + a).tolist(), item.tolist(), strict=True):
-            s = int(start[w])
-            sim = similarity(x.bags[j], every[s : s + n].tolist(), weights[s : s + n].tolist())
+            s, end = int(start[w]), int(start[w] + n[w])
+            sim = similarity(x.bags[j], every[s:end].tolist(), weights[s:end].tolist())
             if sim >= least:
-                rows.append((int(of[w]), (x, j), sim, s - int(offsets[of[w]]), x.words))
+                rows.append((int(of[w]), (x, j), sim, s - int(offsets[of[w]]), int(words[w])))
         a = b
     return rows
 

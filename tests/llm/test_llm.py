@@ -261,6 +261,32 @@ def test_leaks(spark):
     assert decontamination.leaks(frame(spark, []), none).count() == 0
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    r = random.Random(15)
+    words = [f"word{i}" for i in range(400)]
+    items = [(i, [r.choice(words) for _ in range(n)]) for i, n in enumerate((3, 5, 6, 12, 38, 38, 60, 200))]
+    rows = [(100 * i + cut, w[a : len(w) - cut + a]) for i, w in items for cut in (0, 1, 2, 5, 9) for a in {0, cut // 2} if cut < len(w)]
+    rows += [(9000 + i, w[:20] + ["changed"] + w[21:-1]) for i, w in items if len(w) > 30]
+
+    def bag(x, k):
+        return collections.Counter({g: c * sum(map(len, g)) for g, c in collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)).items()})
+
+    expected = collections.Counter()
+    for doc, w in rows:
+        for item, iw in items:
+            k, n, best = min(5, len(iw)), min(len(w), len(iw)), (0, 0)
+            own = bag(iw, k)
+            for p in range(len(w) - n + 1):
+                other = bag(w[p : p + n], k)
+                both = sum((own & other).values())
+                best = max(best, (both / (sum(own.values()) + sum(other.values()) - both), -p))
+            if best[0] >= 0.8:
+                expected[doc, item, best[0], -best[1], n] += 1
+    got = decontamination.leaks(frame(spark, [(d, " ".join(w)) for d, w in rows]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == expected
+    assert any(d % 100 == 1 and i == 4 for d, i, *_ in expected)
+
+
 def test_index_finds_all_within_radius():
     r = np.random.default_rng(6)
     x = decontamination.Items(5, 9)
