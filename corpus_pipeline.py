@@ -17,10 +17,18 @@ from archivolt.session import attach
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids; nulls are equal."""
-    known = ids.select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    return docs.join(known, docs.doc_id.eqNullSafe(F.col("_id")), how).select(COLUMNS)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, written, so that a stage can decide by row whatever the doc_ids are."""
+    return written(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def as_docs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def without_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of numbered() that are (left_semi) or aren't (left_anti) among found(row)."""
+    return rows.join(found.hint("shuffle_hash"), "row", how).select(COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share at least 0.8 of their five-word shingles, the one with the least doc_id stays."""
+    """Of rows that share at least 0.8 of their five-word shingles, one with the least doc_id stays, a null only where
+    all are null; rows with equal doc_ids count each, and rows without words stay."""
     attach(spark)
-    near = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    return without_ids(docs, near.filter("kept"), "left_semi")
+    rows = numbered(docs)
+    near = near_duplicates(as_docs(rows), size=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = near.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    return without_rows(rows, kept, "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +58,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = leaks(docs.select("doc_id", "text"), table(attach(spark), sf_dir, "benchmark"))
-    return without_ids(docs, found, "left_anti")
+    """Rows that hold a passage of the benchmark go; others with their doc_id stay."""
+    attach(spark)
+    rows = numbered(docs)
+    found = leaks(as_docs(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return without_rows(rows, found, "left_anti")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

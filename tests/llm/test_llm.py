@@ -447,3 +447,25 @@ def test_pipeline(spark, sf):
             seen.append(out.count())
             docs = out
     assert out.select("doc_id").distinct().count() == seen[-1] < seen[0]
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(17)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    twice, unnamed, mixed, leak = (text(60) for _ in range(4))
+    clean = [text(60) for _ in range(4)]
+    rows = [(1, twice), (1, twice), (None, unnamed), (None, unnamed), (None, mixed), (7, mixed), (7, clean[0]), (None, clean[1])]
+    rows += [(None, text(5) + " " + leak), (None, clean[2]), (3, leak), (3, clean[3]), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = lambda df: collections.Counter((x.doc_id, x.text) for x in df.collect())
+    near = shared.written(pipeline.drop_near_duplicates(spark, docs, str(tmp_path)), "near_dedup")
+    left = collections.Counter(rows)
+    left.subtract([(1, twice), (None, unnamed), (None, mixed), rows[8]])
+    assert seen(near) == +left
+    cut = shared.written(pipeline.cut_repeats(spark, near, str(tmp_path)), "suffix_dedup")
+    assert seen(cut) == collections.Counter({(d, t or ""): n for (d, t), n in (+left).items()})
+    for before in (cut, docs):
+        kept = {k: n for k, n in seen(before).items() if leak not in (k[1] or "")}
+        assert seen(pipeline.drop_leaks(spark, before, str(tmp_path))) == kept
