@@ -166,43 +166,37 @@ def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
     return out
 
 
-MOST_CELLS = 250_000
-
-
-def matched(one: list, two: list, same) -> list[tuple[int, int]]:
-    """Pairs (i, j) in order that match the most, by the usual dynamic programme over two lists of children.  Equal
-    heads and tails are paired first; if the rest is still over MOST_CELLS cells, it is paired in order."""
-    n, m, head = len(one), len(two), 0
-    pairs = []
-    while head < min(n, m) and same(one[head], two[head]):
-        pairs.append((head, head))
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and same(one[n - 1 - tail], two[m - 1 - tail]):
-        tail += 1
-    a, b = one[head : n - tail], two[head : m - tail]
-    if len(a) * len(b) > MOST_CELLS:
-        j = 0
-        for i, x in enumerate(a):
-            k = next((k for k in range(j, len(b)) if same(x, b[k])), None)
-            if k is not None:
-                pairs.append((head + i, head + k))
-                j = k + 1
-    elif a and b:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same(a[i], b[j]) else 0)
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if same(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-                pairs.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    return pairs + [(n - 1 - k, m - 1 - k) for k in range(tail - 1, -1, -1)]
+def totals(one: list, two: list, score) -> list:
+    """The greatest total score of all of `one` with each beginning of `two`."""
+    row = [0] * (len(two) + 1)
+    for x in one:
+        before, last = row, 0
+        row = [0]
+        for j, y in enumerate(two):
+            last = max(last, before[j + 1], before[j] + (score(x, y) or 0))
+            row.append(last)
+    return row
+
+
+def matched(one: list, two: list, score) -> list[tuple[int, int]]:
+    """Pairs (i, j) in order with the greatest total score (of pairs above 0), for lists of any length: Hirschberg's
+    alignment, which holds two rows of the table at a time."""
+    pairs, todo = [], [(0, len(one), 0, len(two))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            best = max(range(j, m), key=lambda y: score(one[i], two[y]) or 0)
+            if score(one[i], two[best]):
+                pairs.append((i, best))
+            continue
+        mid = (i + k) // 2
+        ahead = totals(one[i:mid], two[j:m], score)
+        back = totals(one[mid:k][::-1], two[j:m][::-1], score)
+        cut = j + max(range(m - j + 1), key=lambda c: ahead[c] + back[m - j - c])
+        todo += [(i, mid, j, cut), (mid, k, cut, m)]
+    return sorted(pairs)
 
 
 class Slot:

@@ -379,6 +379,11 @@ def test_tree_matching():
         assert len(pairs) == best[-1][-1]
 
 
+def test_long_lists_are_matched_exactly():
+    one, two = ["late", *"ab" * 300], [*"ab" * 300, "late", *"cd" * 10]
+    assert len(matched(one, two, lambda a, b: a == b)) == 600
+
+
 def test_broken_markup():
     text = lambda h: [t for _, t in blocks(parse(h))]
     assert text("<p><b>Uno &amp; dos<br><p>tres<i>cuatro</i></p>cinco") == ["Uno & dos", "trescuatro", "cinco"]
