@@ -20,37 +20,44 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead comment comments reply replies disqus respond discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip hidden".split()
 )
+#: Classes that mark noise inside an article too, as whole classes and not on headings.
+NOISE_CLASSES = frozenset("ad ads advert adverts advertisement advertising adsense sponsored cookie cookies gdpr popup modal navbar breadcrumb breadcrumbs sidebar comments disqus newsletter pagination".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+WEAK, STRONG = 1, 2  # noise outside an article or main only, and noise everywhere
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
     __slots__ = ("tag", "key", "noise", "children", "parent")
 
-    def __init__(self, tag: str, key: str, noise: bool, parent: Node | None):
+    def __init__(self, tag: str, key: str, noise: int, parent: Node | None):
         self.tag, self.key, self.noise, self.children, self.parent = tag, key, noise, [], parent
 
 
-def hints(tag: str, attributes: str) -> tuple[str, bool]:
-    """The node's key (tag and first class) and whether its attributes mark it as noise."""
-    key, noise = tag, False
+def hints(tag: str, attributes: str) -> tuple[str, int]:
+    """The node's key (tag and first class) and how surely its attributes mark it as noise: 0, WEAK or STRONG."""
+    key, noise = tag, 0
     if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in HINT.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "class" and value:
                 key = f"{tag}.{value.split()[0]}" if value.split() else tag
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                noise = True
+                noise = STRONG
             elif name == "role":
-                noise = noise or value.lower() in NOISE_ROLES
+                noise = STRONG if value.lower() in NOISE_ROLES else noise
                 key = f"{key}@main" if value.lower() == "main" else key
             elif tag not in ("html", "body", "article", "main"):
-                noise = noise or any(w.lower() in NOISE_WORDS for w in WORDS.findall(value))
+                if name == "class" and tag not in HEADINGS and not NOISE_CLASSES.isdisjoint(value.lower().split()):
+                    noise = STRONG
+                elif any(w.lower() in NOISE_WORDS for w in WORDS.findall(value)):
+                    noise = max(noise, WEAK)
     return key, noise
 
 
 def parse(html: str) -> Node:
     """The tree of a page; broken markup is closed as browsers do in the common cases.  Children are nodes and texts."""
-    root = Node("#root", "#root", False, None)
+    root = Node("#root", "#root", 0, None)
     at, here, depth = 0, root, 0
     search, end = TOKEN.search, len(html)
     while at < end:
@@ -87,27 +94,35 @@ def parse(html: str) -> Node:
                     break
                 x = x.parent
         if tag in VOID:
-            here.children.append(Node(tag, tag, False, here))
+            here.children.append(Node(tag, tag, 0, here))
             continue
         key, noise = hints(tag, found[3])
-        node = Node(tag, key, noise or tag in NOISE_TAGS, here)
+        node = Node(tag, key, STRONG if tag in NOISE_TAGS else noise, here)
         here.children.append(node)
         if not found[3].rstrip().endswith("/") or tag in BLOCK:
             here = node
     return root
 
 
+def is_main(x: Node) -> bool:
+    return x.tag in ("article", "main") or x.key.endswith("@main")
+
+
 def mains(root: Node) -> list[Node]:
-    """The outermost article, main or role=main nodes outside noise; main wins over articles beside it."""
-    found: list[Node] = []
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        for y in reversed(x.children):
-            if isinstance(y, Node) and not y.noise:
-                todo.append(y)
-        if x.tag in ("article", "main") or x.key.endswith("@main"):
-            found.append(x)
+    """The outermost article, main or role=main nodes outside noise; main wins over articles beside it.  Where there is
+    none, those inside nodes that may be noise."""
+    for least in (WEAK, STRONG):
+        found: list[Node] = []
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            for y in reversed(x.children):
+                if isinstance(y, Node) and y.noise < least:
+                    todo.append(y)
+            if is_main(x):
+                found.append(x)
+        if found:
+            break
     ids = {id(x) for x in found}
 
     def inner(x: Node) -> bool:
@@ -128,7 +143,8 @@ def mains(root: Node) -> list[Node]:
 
 
 def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
-    """(path, text) of the blocks below node in page order, without noise; white space is folded."""
+    """(path, text) of the blocks below node in page order, without noise (inside an article or main, without what is
+    surely noise); white space is folded."""
     out: list[tuple[str, str]] = []
     text: list[str] = []
     own = [path + "/" + node.key]
@@ -139,8 +155,7 @@ def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
         if folded:
             out.append((own[0], folded))
 
-    in_article = node.tag in ("article", "main") or node.key.endswith("@main")
-    todo: list[tuple] = [(x, own[0], in_article) for x in reversed(node.children)]
+    todo: list[tuple] = [(x, own[0], is_main(node)) for x in reversed(node.children)]
     while todo:
         x, here, inside = todo.pop()
         if x is None:
@@ -148,7 +163,7 @@ def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
             own[0] = here
         elif isinstance(x, str):
             text.append(x)
-        elif x.noise or x.tag == "footer" or x.tag == "header" and not inside:
+        elif x.noise == STRONG or x.noise and not inside or x.tag == "footer" or x.tag == "header" and not inside:
             text.append(" ")
         elif x.tag in ("br", "td", "th", "img", "wbr", "hr"):
             if x.tag == "hr":
@@ -159,7 +174,7 @@ def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
             flush()
             back, own[0] = own[0], f"{here}/{x.key}"
             todo.append((None, back, inside))
-            todo += [(y, own[0], inside or x.tag in ("article", "main")) for y in reversed(x.children)]
+            todo += [(y, own[0], inside or is_main(x)) for y in reversed(x.children)]
         else:
             todo += [(y, here, inside) for y in reversed(x.children)]
     flush()

@@ -393,6 +393,13 @@ def test_broken_markup():
     assert text("") == [] and text("a < b") == ["a < b"]
 
 
+def test_words_of_a_class_do_not_cut_an_article():
+    article = """<article><div class="article-header"><h1>uno</h1></div><section id="discussion"><p>dos</p></section><h2 id="comments-on-method">tres</h2>
+    <p class="side-note">cuatro</p><div class="map-ad-hoc">cinco</div><div class="box ad">no</div><div hidden>no</div><div role="search">no</div></article>"""
+    read = lambda h: main_text.main_text(f"<body><div class='share-box'>no</div>{h}</body>", {}).split("\n\n")
+    assert read(article) == read(f"<div class='with-sidebar'>{article}</div>") == ["uno", "dos", "tres", "cuatro", "cinco"]
+
+
 def page(i, article):
     return f"<html><body><div id='top'>Sitio</div><div class='box'>{'<p>común</p>'}<div class='story'>{article}</div></div><div class='end'>Derechos {2000}</div></body></html>"
 
