@@ -214,6 +214,23 @@ def matched(one: list, two: list, score) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def tree_match(one: tuple, two: tuple) -> int:
+    """Simple tree matching of trees (key, children): the most nodes that can be paired so that roots, parents and the
+    order of siblings agree.  Children are scored by the match of their subtrees."""
+    if one[0] != two[0]:
+        return 0
+    pairs, size = [(one, two)], {}
+    for x, y in pairs:
+        pairs += [(u, v) for u in x[1] for v in y[1] if u[0] == v[0]]
+
+    def score(u: tuple, v: tuple) -> int:
+        return size.get((id(u), id(v)), 0)
+
+    for x, y in reversed(pairs):
+        size[id(x), id(y)] = 1 + sum(score(x[1][i], y[1][j]) for i, j in matched(x[1], y[1], score))
+    return size[id(one), id(two)]
+
+
 class Slot:
     """A node of a template: its key, the pages it was seen on, and the text of its own blocks where that is constant."""
 

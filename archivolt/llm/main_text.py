@@ -1,88 +1,151 @@
 """Main text of web pages by wrapper induction.
 
-A bounded number of different pages of each host is aligned by simple tree matching.  Nodes whose text stays the same
-are the template; slots that vary are content.  The template of a host says which (path, text) blocks are constant and
-which container holds most of the varying text.  Each page of the host is then read with its template: the article or
-main element if it has one, else that container, without what markup names as menus, adverts, notices, forms,
-comments and the like, and without the template's constant blocks."""
+Every page becomes its blocks of text (path, text): those inside its article or main element if it has one, else all,
+without what markup names as menus, adverts, forms and the like.  The pages of a host are grouped into layouts:
+their skeletons (the paths of blocks, down to the last node that has a class or divides the page) are compared by
+simple tree matching.  Over all different pages of a layout it is counted how many hold a block and how many hold its
+path: a block on 90 % of the pages that have its path is constant and the template's, all others vary and are content.
+Each page is then read with the template of its layout."""
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from archivolt.llm.dom import Node, Slot, blocks, mains, parse
+from archivolt.llm.dom import blocks, mains, parse, tree_match
 from archivolt.llm.shared import table, written
 
-PAGES = 12  # different pages of a host that a template is induced from, at most
-LEAST_PAGES = 3
-
-
-def induced(pages: list[str]) -> dict:
-    """The template of pages of one host: constant blocks and the container of the varying text."""
-    if len(pages) < LEAST_PAGES:
-        return {}
-    trees = [parse(p) for p in pages]
-    template = Slot(trees[0])
-    for tree in trees[1:]:
-        template.align(tree)
-    constant, varying = [], {}
-    todo = [(template, "")]
-    while todo:
-        slot, path = todo.pop()
-        here = path + "/" + slot.key
-        if slot.text and slot.pages >= 0.9 * len(pages):
-            constant.append([here, slot.text])
-        if slot.text is None:
-            parts = here.split("/")
-            for k in range(2, len(parts) + 1):
-                up = "/".join(parts[:k])
-                varying[up] = varying.get(up, 0) + slot.letters
-        todo += [(x, here) for x in slot.children]
-    total = max(varying.values(), default=0)
-    container = max((p for p, n in varying.items() if n >= 0.7 * total and not p.endswith(("/p", "/li"))), key=lambda p: (p.count("/"), p), default="") if total else ""
-    return {"constant": sorted(constant), "container": container}
-
-
-def at_path(root: Node, path: str) -> list[tuple[Node, str]]:
-    keys = path.split("/")[2:]
-    found = [(root, "")]
-    for key in keys:
-        found = [(x, f"{up}/{n.key}") for n, up in found for x in n.children if isinstance(x, Node) and x.key == key and not x.noise]
-    return found
+LEAST_PAGES = 3  # different pages that a constant block is on; 2 where the host has no more
+ALIKE = 0.6  # share of the nodes of two skeletons of one layout that simple tree matching pairs
+DIVIDES = frozenset("article aside div footer header main section".split())
 
 
-def main_text(html: str, template: dict) -> str:
+def page_blocks(html: str) -> tuple[list[tuple[str, str]], bool]:
+    """The blocks that may be content, and whether they are an article's or main's."""
     root = parse(html)
     chosen = mains(root)
-    if chosen:
-        return "\n\n".join(text for x in chosen for _, text in blocks(x))
-    inside = at_path(root, template["container"]) if template.get("container") else []
-    parts = [b for x, up in inside for b in blocks(x, up)] if inside else blocks(root)
-    constant = {tuple(x) for x in template.get("constant", ())}
-    return "\n\n".join(text for path, text in parts if (path, text) not in constant)
+    return [b for x in chosen or [root] for b in blocks(x)], bool(chosen)
+
+
+def number(text: str) -> int:
+    """64 bits of a text as a signed number."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
+
+
+def coded(parts: list[tuple[str, str]]) -> list[int]:
+    return [number(f"{path}\0{text}") for path, text in parts]
+
+
+def skeleton(parts: list[tuple[str, str]]) -> str:
+    """The different paths of blocks in page order, each without the plain nodes at its end, one a line."""
+    seen: dict[str, None] = {}
+    for path in dict.fromkeys(path for path, _ in parts):
+        keys = path.split("/")
+        while len(keys) > 2 and keys[-1] not in DIVIDES and "." not in keys[-1] and "@" not in keys[-1]:
+            keys.pop()
+        seen["/".join(keys)] = None
+    return "\n".join(seen)
+
+
+def tree_of(lines: str) -> tuple[tuple, int]:
+    """A skeleton as a tree (key, children), and its nodes."""
+    root, at = ("", []), {}
+    for line in lines.split("\n"):
+        node, path = root, ""
+        for key in line.split("/")[1:]:
+            path += "/" + key
+            if path not in at:
+                at[path] = (key, [])
+                node[1].append(at[path])
+            node = at[path]
+    return root, len(at) + 1
+
+
+def layouts_of(skeletons: list[str]) -> list[int]:
+    """The layout of each skeleton of a host: that of the first one before it which begins a layout and is alike."""
+    first, out = [], []
+    for lines in skeletons:
+        tree, n = tree_of(lines)
+        own = next((k for k, (other, m) in enumerate(first) if 2 * min(n, m) >= ALIKE * (n + m) and 2 * tree_match(tree, other) >= ALIKE * (n + m)), len(first))
+        if own == len(first):
+            first.append((tree, n))
+        out.append(own)
+    return out
+
+
+def main_text(html: str, template: dict) -> str:
+    """The blocks of a page but for the constant ones of its layout.  An article of which less than a quarter varies is
+    a copy of others on its host and stays whole."""
+    parts, article = page_blocks(html)
+    texts = [text for _, text in parts]
+    constant = template.get(number(skeleton(parts)), ()) if template else ()
+    if constant:
+        left = [text for text, b in zip(texts, coded(parts), strict=True) if b not in constant]
+        if not article or 4 * sum(map(len, left)) >= sum(map(len, texts)):
+            texts = left
+    return "\n\n".join(texts)
 
 
 def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON) from pages(host, html); PAGES different pages a host, the least by hash, make one."""
-    known = pages.filter("html is not null").select("host", F.xxhash64("html").alias("digest"), "html")
-    ranked = known.select("host", "digest").distinct().withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("digest"))).filter(F.col("r") <= PAGES).drop("r")
-    chosen = known.join(ranked, ["host", "digest"]).dropDuplicates(["host", "digest"])
+def outlines(batches):
+    """host, page (a number of its blocks), form (of its skeleton), skeleton, and path and number of its different blocks."""
+    for batch in batches:
+        rows = []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            parts = page_blocks(html)[0]
+            if parts:
+                lines, codes = skeleton(parts), coded(parts)
+                paths = {p: number(p) for p in dict.fromkeys(p for p, _ in parts)}
+                held = {b: {"p": paths[p], "b": b} for b, (p, _) in zip(codes, parts, strict=True)}
+                rows.append((host, number(repr(codes)), number(lines), lines, list(held.values())))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("p", pa.int64()), ("b", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "page", "form", "skeleton", "blocks"])
 
-    def induce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("digest")
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(induced(pdf["html"].tolist()))]})
 
-    return chosen.groupBy("host").applyInPandas(induce, "host string, template string")
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template (JSON: the layout of each form, the constant blocks of each layout) from pages(host, html), of
+    hosts that have constant blocks.
+
+    All different pages count.  Only blocks that two pages hold, and sums by path, meet their layout, so that no
+    host's pages come to one task; what does is a host's different skeletons and its constant blocks."""
+    found = pages.filter("html is not null").mapInArrow(outlines, "host string, page long, form long, skeleton string, blocks array<struct<p:long,b:long>>")
+    pages = written(found.dropDuplicates(["host", "page"]), "outlines")
+    one = F.count(F.lit(1))
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "form"], ascending=[False, True])
+        return pd.DataFrame({"host": pdf["host"], "form": pdf["form"], "layout": layouts_of(pdf["skeleton"].tolist()), "least": max(2, min(LEAST_PAGES, int(pdf["n"].sum())))})
+
+    kinds = pages.groupBy("host", "form", "skeleton").agg(one.alias("n"))
+    layouts = written(kinds.groupBy("host").applyInPandas(group, "host string, form long, layout int, least int"), "layouts")
+    by_path = pages.select("host", "form", F.explode(F.array_distinct("blocks.p")).alias("p")).groupBy("host", "form", "p").agg(one.alias("n"))
+    on_path = by_path.join(layouts, ["host", "form"]).groupBy("host", "layout", "least", "p").agg(F.sum("n").alias("pages"))
+    by_form = pages.select("host", "form", F.explode("blocks").alias("x")).groupBy("host", "form", "x.p", "x.b").agg(one.alias("n"))
+    again = by_form.groupBy("host", "p", "b").agg(F.sum("n").alias("all"), F.collect_list(F.struct("form", "n")).alias("forms")).filter("all > 1")
+    blocks_ = again.select("host", "p", "b", F.explode("forms").alias("f")).select("host", "p", "b", "f.form", "f.n")
+    counts = blocks_.join(layouts.drop("least"), ["host", "form"]).groupBy("host", "layout", "p", "b").agg(F.sum("n").alias("n"))
+    constant = counts.join(on_path, ["host", "layout", "p"]).filter("n >= least and 10 * n >= 9 * pages")
+    held = constant.groupBy("host").agg(F.collect_list(F.struct("layout", "b")).alias("constant"))
+    forms = layouts.groupBy("host").agg(F.collect_list(F.struct("form", "layout")).alias("forms"))
+    return forms.join(held, "host").select("host", F.to_json(F.struct("forms", "constant")).alias("template"))
+
+
+def loaded(template: str) -> dict[int, set[int]]:
+    """The constant blocks of each form."""
+    found, by_layout = json.loads(template), {}
+    for x in found["constant"]:
+        by_layout.setdefault(x["layout"], set()).add(x["b"])
+    return {x["form"]: by_layout[x["layout"]] for x in found["forms"] if x["layout"] in by_layout}
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -101,7 +164,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if template and template not in held:
                     if len(held) >= 256:
                         held.clear()
-                    held[template] = json.loads(template)
+                    held[template] = loaded(template)
                 out.append(main_text(html or "", held.get(template, {})))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.llm import decontamination, exact_spans, main_text, minhash, packing, quality, sharding, shared, suffixes, token_shards, topk, toxicity
-from archivolt.llm.dom import blocks, matched, parse
+from archivolt.llm.dom import blocks, matched, parse, tree_match
 from archivolt.llm.tokens import Encoder
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -400,6 +400,28 @@ def test_words_of_a_class_do_not_cut_an_article():
     assert read(article) == read(f"<div class='with-sidebar'>{article}</div>") == ["uno", "dos", "tres", "cuatro", "cinco"]
 
 
+def test_trees_are_matched_by_their_subtrees():
+    r = random.Random(16)
+
+    def tree(depth):
+        return (r.choice("xy"), [tree(depth - 1) for _ in range(r.randint(0, 3))] if depth else [])
+
+    def brute(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1]):
+            for j, y in enumerate(b[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert tree_match(a, b) == brute(a, b)
+    row = ("div", [("p", []), ("p", [])])
+    assert tree_match(("r", [row]), ("r", [("div", []), row])) == 4
+
+
 def page(i, article):
     return f"<html><body><div id='top'>Sitio</div><div class='box'>{'<p>común</p>'}<div class='story'>{article}</div></div><div class='end'>Derechos {2000}</div></body></html>"
 
