@@ -1,4 +1,4 @@
-"""A small DOM for main-text extraction: tolerant parsing, blocks of text, and simple tree matching."""
+"""A small DOM for main-text extraction: tolerant parsing, blocks of text, and simple tree matching (STM)."""
 
 from __future__ import annotations
 
@@ -229,47 +229,3 @@ def tree_match(one: tuple, two: tuple) -> int:
     for x, y in reversed(pairs):
         size[id(x), id(y)] = 1 + sum(score(x[1][i], y[1][j]) for i, j in matched(x[1], y[1], score))
     return size[id(one), id(two)]
-
-
-class Slot:
-    """A node of a template: its key, the pages it was seen on, and the text of its own blocks where that is constant."""
-
-    __slots__ = ("key", "pages", "text", "letters", "children")
-
-    def __init__(self, node: Node):
-        self.key, self.pages, self.children = node.key, 1, []
-        self.text = own_text(node)
-        self.letters = len(self.text)
-        self.children = [Slot(x) for x in node.children if isinstance(x, Node) and x.tag in BLOCK]
-
-    def align(self, node: Node) -> None:
-        """Simple tree matching of the template with a page: children of equal keys are paired in order."""
-        todo = [(self, node)]
-        while todo:
-            slot, node = todo.pop()
-            slot.pages += 1
-            text = own_text(node)
-            if slot.text is not None and slot.text != text:
-                slot.text = None
-            slot.letters += len(text)
-            own = [x for x in node.children if isinstance(x, Node) and x.tag in BLOCK]
-            pairs = matched(slot.children, own, lambda s, x: s.key == x.key)
-            todo += [(slot.children[i], own[j]) for i, j in pairs]
-            mine = {j for _, j in pairs}
-            fresh = [(j, Slot(x)) for j, x in enumerate(own) if j not in mine]
-            at = {j: i for i, j in pairs}
-            for j, s in reversed(fresh):
-                before = max((i for k, i in at.items() if k < j), default=-1)
-                slot.children.insert(before + 1, s)
-
-
-def own_text(node: Node) -> str:
-    """The folded text of a node outside its inner blocks."""
-    text, todo = [], list(reversed(node.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            text.append(x)
-        elif x.tag not in BLOCK and not x.noise:
-            todo += reversed(x.children)
-    return " ".join(unescape("".join(text)).split())

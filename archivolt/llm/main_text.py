@@ -84,7 +84,7 @@ def main_text(html: str, template: dict) -> str:
     a copy of others on its host and stays whole."""
     parts, article = page_blocks(html)
     texts = [text for _, text in parts]
-    constant = template.get(number(skeleton(parts)), ()) if template else ()
+    constant = template.get(number(skeleton(parts)), ()) if template and not article else ()
     if constant:
         left = [text for text, b in zip(texts, coded(parts), strict=True) if b not in constant]
         if not article or 4 * sum(map(len, left)) >= sum(map(len, texts)):
