@@ -134,12 +134,7 @@ def mains(root: Node) -> list[Node]:
         return False
 
     outer = [x for x in found if not inner(x)]
-    chosen = [x for x in outer if x.tag == "main" or x.key.endswith("@main")] or outer
-    if len(chosen) == 1 and chosen[0].tag != "article":
-        inside = [x for x in found if x.tag == "article" and x is not chosen[0]]
-        if len(inside) == 1:
-            return inside
-    return chosen
+    return [x for x in outer if x.tag == "main" or x.key.endswith("@main")] or outer
 
 
 def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:

@@ -434,12 +434,18 @@ def test_templates_of_whole_hosts(spark):
         rare = "<div><p>Oferta del día</p></div>" * (i % 3 == 0)
         # plain siblings that shift by an advert; two layouts, one of them rare
         add(100 + i, "two.example", f"<body><div>Sitio dos</div>{rare}<div>{n}</div><div>Pie</div></body>" if i < 55 else f"<body><div class='k'><section class='m'><div class='w'><p>Aviso raro</p><p>{n}</p></div></section></div></body>", n.strip())
+        add(200 + i, "head.example", f"<body><h1>título {i}</h1><div class='content'>{n * 5}</div><div class='second'>más {i}</div></body>", f"título {i}\n\n{(n * 5).strip()}\n\nmás {i}")
     for i in range(2):
         add(300 + i, "pair.example", f"<body><div class='top'>Dos páginas</div><p>cosa {i}</p></body>", f"cosa {i}")
     got = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {x.page_id: x.text for x in got} == expected and len(got) == len(rows)
 
 
+def test_main_is_read_whole():
+    html = '<body><main><h1>título</h1><p>texto largo</p><article class="card">otro</article></main></body>'
+    assert main_text.main_text(html, {}) == "título\n\ntexto largo\n\notro"
+
+
 def page(i, article):
     return f"<html><body><div id='top'>Sitio</div><div class='box'>{'<p>común</p>'}<div class='story'>{article}</div></div><div class='end'>Derechos {2000}</div></body></html>"
 
