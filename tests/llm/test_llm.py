@@ -431,12 +431,14 @@ def test_templates_of_whole_hosts(spark):
 
     for i in range(60):
         n = f"texto {i} " + "abc " * 20
-        rare = "<div><p>Oferta del día</p></div>" * (i % 3 == 0)
+        share, rare = "<p>Lee más en nuestro sitio</p>", "<div><p>Oferta del día</p></div>" * (i % 3 == 0)
+        add(i, "in.example", f"<body><article><h1>t{i}</h1><p>{n}</p>{share}<p>fin {i}</p></article></body>", f"t{i}\n\n{n.strip()}\n\nfin {i}")
         # plain siblings that shift by an advert; two layouts, one of them rare
         add(100 + i, "two.example", f"<body><div>Sitio dos</div>{rare}<div>{n}</div><div>Pie</div></body>" if i < 55 else f"<body><div class='k'><section class='m'><div class='w'><p>Aviso raro</p><p>{n}</p></div></section></div></body>", n.strip())
         add(200 + i, "head.example", f"<body><h1>título {i}</h1><div class='content'>{n * 5}</div><div class='second'>más {i}</div></body>", f"título {i}\n\n{(n * 5).strip()}\n\nmás {i}")
     for i in range(2):
         add(300 + i, "pair.example", f"<body><div class='top'>Dos páginas</div><p>cosa {i}</p></body>", f"cosa {i}")
+        add(310 + i, "copies.example", f"<body><article><p>{'igual ' * 50}</p><p>visto {i}</p></article></body>", f"{('igual ' * 50).strip()}\n\nvisto {i}")
     got = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {x.page_id: x.text for x in got} == expected and len(got) == len(rows)
 
