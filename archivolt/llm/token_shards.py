@@ -1,10 +1,11 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
-Documents are encoded and cut into sequences of a fixed number of tokens.  A keyed Feistel permutation over the
-smallest even number of bits that holds the count, with cycle-walking back into the range, gives every sequence its
-global slot: a shuffle that needs no sort of random numbers and can be computed for any slot alone.  Rows are
-range-partitioned by slot and written to shards of a fixed number of rows, each `stride` bytes, so that a reader finds
-slot s at byte (s mod rows) * stride of shard s div rows and can resume anywhere."""
+The ids of a task's documents follow one another as one stream, which is cut into sequences of a fixed number of
+tokens; only a task's last sequence is padded.  A keyed Feistel permutation over the smallest even number of bits that
+holds the count, with cycle-walking back into the range, gives every sequence its global slot: a shuffle that needs no
+sort of random numbers and can be computed for any slot alone.  Rows are range-partitioned by slot and written to
+shards of a fixed number of rows, each `stride` bytes, so that a reader finds slot s at byte (s mod rows) * stride of
+shard s div rows and can resume anywhere."""
 
 from __future__ import annotations
 
@@ -21,7 +22,10 @@ from archivolt.llm.shared import dropped, mixed, shared_dir, slices, table, text
 from archivolt.llm.tokens import Encoder
 
 FEISTEL_ROUNDS = 6
-PAD, PADDING = 0, b"\0"
+PAD = 0
+PART_BYTES = 256 << 20  # of shards that one task writes, where there are tasks enough
+PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
+PARTS_SQL = "array<struct<doc_id:bigint,start:bigint,`offset`:int,length:int>>"
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -40,71 +44,115 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def planes(ids: np.ndarray) -> bytes:
+    """16-bit ids as their high bytes and then their low bytes, which compress apart from each other."""
+    return ids.astype("<u2").view(np.uint8).reshape(-1, 2)[:, ::-1].T.tobytes()
+
+
+def stride_of(held: bytes, length: int) -> bytes:
+    """The bytes of a sequence in its shard: little-endian 16-bit ids, padded."""
+    out = np.full((length, 2), PAD, np.uint8)
+    out[: len(held) // 2] = np.frombuffer(held, np.uint8).reshape(2, -1)[::-1].T
+    return out.tobytes()
+
+
 def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
-    """doc_id, start, n_tokens and tokens (16-bit little-endian ids) of each piece of each text."""
+    """n_tokens, parts (the stretches of documents in it) and tokens of each sequence."""
 
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
         if len(encoder.ends_word) > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
+
+        def sequences(ids, name, start, n, whole):
+            """Sequences of a stream of ids, from its stretches (name, start, n); the rest of the stream is kept."""
+            count = len(ids) // length if whole else -(-len(ids) // length)
+            edges = np.cumsum(n) - n
+            # a stretch is cut wherever a sequence begins inside it
+            cuts = np.unique(np.concatenate([edges, np.arange(count) * length, [min(len(ids), count * length)]]))
+            begin, size = cuts[:-1], np.diff(cuts)
+            mine = begin < count * length
+            begin, size = begin[mine], size[mine]
+            of = np.searchsorted(edges, begin, side="right") - 1
+            seq, used = begin // length, min(len(ids), count * length)
+            parts = pa.StructArray.from_arrays([name.take(pa.array(of)), pa.array(start[of] + begin - edges[of]), pa.array((begin % length).astype(np.int32)), pa.array(size.astype(np.int32))], fields=list(PARTS.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(seq, np.arange(count + 1)).astype(np.int32)), parts)
+            for a in range(0, count, 4096):
+                b = min(count, a + 4096)
+                sizes = np.minimum(length, used - np.arange(a, b) * length)
+                tokens = [planes(ids[k * length : (k + 1) * length]) for k in range(a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), lists.slice(a, b - a), pa.array(tokens, pa.binary())], names=["n_tokens", "parts", "tokens"])
+            last = edges + n > used
+            gone = np.maximum(used - edges[last], 0)
+            rest[:] = [ids[used:], name.filter(pa.array(last)), start[last] + gone, n[last] - gone]
+
+        rest: list = [np.zeros(0, np.uint32), pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for batch in slices(batches):
             ids, begin = encoder.encode(texts_of(batch.column("text")))
-            n = np.diff(begin)
-            pieces = -(-n // length)
-            doc = np.repeat(np.arange(len(n)), pieces)
-            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
-            size = np.minimum(length, n[doc] - start)
-            raw, edges = ids.astype("<u2").tobytes(), np.append(np.cumsum(size) - size, int(size.sum())) * 2
-            for a in range(0, len(doc), 2048):
-                part = slice(a, a + 2048)
-                tokens = [raw[x:y] for x, y in zip(edges[part].tolist(), edges[1:][part].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[part])), pa.array(start[part]), pa.array(size[part]), pa.array(tokens, pa.binary())], names=["doc_id", "start", "n_tokens", "tokens"])
+            held, name, start, n = rest
+            ids = np.concatenate([held, ids])
+            name = pa.concat_arrays([name, batch.column("doc_id")])
+            start, n = np.concatenate([start, np.zeros(batch.num_rows, np.int64)]), np.concatenate([n, np.diff(begin)])
+            yield from sequences(ids, name, start, n, True)
+        yield from sequences(*rest, False)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(cut, "doc_id long, start long, n_tokens long, tokens binary")
+    return docs.mapInArrow(cut, f"n_tokens int, parts {PARTS_SQL}, tokens binary")
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: int = 8192, key: int = 20260101, path: str | None = None) -> DataFrame:
     """Writes all texts of docs(doc_id, text) in training order below path (default: the shared folder).
 
-    Returns a row for each sequence: doc_id, start (ids of its document before it), n_tokens (without padding), slot,
-    shard, byte_offset, tokens_crc32 (of the stride's bytes) and file.  Each document ends with the end id; a null or
-    empty text is that id alone; repeated rows have sequences of their own; null doc_ids are kept; no rows write no
-    shard.  Files are written under a name of their own attempt and renamed when whole, so lost executors and repeated
-    attempts leave no half shard.  Beside the shards, index.json holds what a reader needs."""
+    Returns a row for each sequence: n_tokens (without padding), parts (array of doc_id, start: ids of the document
+    before it, offset: place in the sequence, and length), slot, shard, byte_offset, tokens_crc32 (of the stride's
+    bytes) and file.  Each document ends with the end id; a null or empty text is that id alone; a text of any length
+    goes on through as many sequences as it needs; repeated rows and equal texts are written each; null doc_ids are
+    kept; other columns are ignored; no rows write no shard.  Files are written under a name of their own attempt and
+    take the place of an earlier attempt's when whole, so lost executors and repeated attempts leave no half shard.
+    Beside the shards, index.json holds what a reader needs."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/archivolt/tokens-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/archivolt/tokens-{uuid.uuid4().hex}")
+    path = str(at.getFileSystem(conf).makeQualified(at).toUri().toString())  # with a scheme, so that all tasks mean one store
     sequences = written(sequences_of(docs, tokenizer_path, length).withColumn("uid", F.monotonically_increasing_id()), "sequences", "zstd")
     # a row's number among all: the rows of the tasks before its own, and its turn there; one count a task
     counts = sorted((r["p"], r["n"]) for r in sequences.groupBy(F.shiftright("uid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     n, base = 0, {}
     for p, k in counts:
         base[p], n = n, n + k
+    shards = -(-n // rows)
+    tasks = max(1, min(shards, max(8 * spark.sparkContext.defaultParallelism, -(-n * 2 * length // PART_BYTES))))
+    names = ["n_tokens", "parts", "tokens", "slot", "shard", "task"]
 
     def slot(batches):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
             slots = permuted(at, n, key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "tokens")), pa.array(slots), pa.array(slots // rows)], names=["doc_id", "start", "n_tokens", "tokens", "slot", "shard"])
+            shard = slots // rows
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(slots), pa.array(shard), pa.array((shard * tasks // max(1, shards)).astype(np.int32))], names=names)
 
-    placed = sequences.mapInArrow(slot, "doc_id long, start long, n_tokens long, tokens binary, slot long, shard long")
-    ordered = placed.repartitionByRange(max(1, -(-n // rows)), "shard").sortWithinPartitions("slot")
+    placed = sequences.mapInArrow(slot, f"n_tokens int, parts {PARTS_SQL}, tokens binary, slot long, shard long, task int")
+    # slots are spread evenly by the permutation, so the ranges need no sample
+    ordered = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot")
 
     def write(batches):
         import pyarrow.fs
 
-        store, folder = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+        store, folder = pyarrow.fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         now, out, temporary = None, None, None
 
         def close():
             out.close()
-            store.move(temporary, f"{folder}/{name(now)}")
+            whole = f"{folder}/{name(now)}"
+            if store.get_file_info(whole).type != pyarrow.fs.FileType.NotFound:
+                store.delete_file(whole)
+            store.move(temporary, whole)
 
         for batch in batches:
             shard = batch.column("shard").to_pylist()
-            tokens = [t.ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
+            tokens = [stride_of(t, length) for t in batch.column("tokens").to_pylist()]
             for s, t in zip(shard, tokens, strict=True):
                 if s != now:
                     if out:
@@ -113,8 +161,8 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
                     out = store.open_output_stream(temporary)
                 out.write(t)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "slot", "shard")), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
-                names=["doc_id", "start", "n_tokens", "slot", "shard", "tokens_crc32", "file"],
+                [*(batch.column(c) for c in ("n_tokens", "parts", "slot", "shard")), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
+                names=["n_tokens", "parts", "slot", "shard", "tokens_crc32", "file"],
             )
         if out:
             close()
@@ -122,12 +170,11 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
     def name(shard: int) -> str:
         return f"shard-{shard:08d}.bin"
 
-    done = written(ordered.select("doc_id", "start", "n_tokens", "tokens", "slot", "shard").mapInArrow(write, "doc_id long, start long, n_tokens long, slot long, shard long, tokens_crc32 long, file string"), "placed")
+    done = written(ordered.select(*names[:-1]).mapInArrow(write, f"n_tokens int, parts {PARTS_SQL}, slot long, shard long, tokens_crc32 long, file string"), "placed")
     dropped(sequences)
     about = {"sequences": n, "length": length, "stride": 2 * length, "rows": rows, "key": key, "pad": PAD, "dtype": "<u2"}
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
-    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    index = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
+    stream = index.getFileSystem(conf).create(index, True)
     stream.write(bytearray(json.dumps(about).encode()))
     stream.close()
     out = done.withColumn("byte_offset", F.col("slot") % rows * (2 * length))
@@ -139,4 +186,4 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.select("doc_id", "start", "n_tokens", "slot", "shard", "byte_offset", "tokens_crc32", "file")
+    return found.select(F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.length").alias("lengths"), "n_tokens", "slot", "shard", "byte_offset", "tokens_crc32", "file")

@@ -93,15 +93,38 @@ def test_packing(spark, rows):
 def test_token_shards(spark, tmp_path):
     for n in (1, 2, 3, 10, 1000):
         assert sorted(token_shards.permuted(np.arange(n), n, 5)) == list(range(n))
-    for rows in (ODD, []):
-        path = f"file://{tmp_path}/t{len(rows)}"
-        got = token_shards.materialise(frame(spark, rows), TOKENIZER, 16, 5, path=path).toPandas()
-        assert sorted(got["slot"]) == list(range(len(got)))
-        for r in got.itertuples():
-            with open(f"{path[7:]}/{r.file}", "rb") as f:
-                f.seek(r.byte_offset)
-                assert zlib.crc32(f.read(32)) == r.tokens_crc32 and r.byte_offset == r.slot % 5 * 32
-        assert not [f for f in os.listdir(path[7:]) if f.startswith(".shard") and not f.endswith(".crc")]
+    from tokenizers import Tokenizer
+
+    whole, r = Tokenizer.from_file(TOKENIZER), random.Random(3)
+    many = [(i, " ".join(r.choice(["uno", "dos", "tres!"]) for _ in range(r.randint(0, 60)))) for i in range(200)]
+    for rows, length in ((ODD, 16), (many, 16), (many, 1), ([], 16)):
+        path = f"file://{tmp_path}/t{len(rows)}-{length}"
+        got = token_shards.materialise(frame(spark, rows), TOKENIZER, length, 5, path=path).collect()
+        assert sorted(x.slot for x in got) == list(range(len(got)))
+        held = collections.defaultdict(list)  # ids of each (doc_id, start), read back from the shards
+        for x in got:
+            with open(f"{path[7:]}/{x.file}", "rb") as f:
+                f.seek(x.byte_offset)
+                raw = f.read(2 * length)
+            assert zlib.crc32(raw) == x.tokens_crc32 and x.byte_offset == x.slot % 5 * 2 * length and x.shard == x.slot // 5
+            ids = np.frombuffer(raw, "<u2").tolist()
+            assert ids[x.n_tokens :] == [0] * (length - x.n_tokens) and sum(p.length for p in x.parts) == x.n_tokens
+            at = 0
+            for p in x.parts:
+                assert p.offset == at
+                at += p.length
+                held[p.doc_id, p.start].append(ids[p.offset : at])
+        expected = collections.Counter()
+        for doc, text in rows:
+            expected[doc] += len(whole.encode(text or "", add_special_tokens=False).ids) + 1
+        assert collections.Counter({d: sum(len(x) for (e, _), xs in held.items() if e == d for x in xs) for d, _ in held}) == expected
+        once = {d: t for d, t in rows if sum(e == d for e, _ in rows) == 1}
+        for doc, text in once.items():
+            mine = [i for (d, _), xs in sorted((k, v) for k, v in held.items() if k[0] == doc) for i in xs[0]]
+            assert mine == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        padded = sum(x.n_tokens < length for x in got)
+        assert padded <= 4  # one a task
+        assert not [f for f in (os.listdir(path[7:]) if got else []) if f.startswith(".shard") and not f.endswith(".crc")]
 
 
 # ---------------------------------------------------------------- near duplicates
