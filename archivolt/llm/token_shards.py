@@ -22,7 +22,7 @@ from archivolt.llm.shared import dropped, mixed, shared_dir, slices, table, text
 from archivolt.llm.tokens import Encoder
 
 FEISTEL_ROUNDS = 6
-PAD = 0
+PAD, PADDING = 0, b"\0"
 PART_BYTES = 256 << 20  # of shards that one task writes, where there are tasks enough
 PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
 PARTS_SQL = "array<struct<doc_id:bigint,start:bigint,`offset`:int,length:int>>"
@@ -44,18 +44,6 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def planes(ids: np.ndarray) -> bytes:
-    """16-bit ids as their high bytes and then their low bytes, which compress apart from each other."""
-    return ids.astype("<u2").view(np.uint8).reshape(-1, 2)[:, ::-1].T.tobytes()
-
-
-def stride_of(held: bytes, length: int) -> bytes:
-    """The bytes of a sequence in its shard: little-endian 16-bit ids, padded."""
-    out = np.full((length, 2), PAD, np.uint8)
-    out[: len(held) // 2] = np.frombuffer(held, np.uint8).reshape(2, -1)[::-1].T
-    return out.tobytes()
-
-
 def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
     """n_tokens, parts (the stretches of documents in it) and tokens of each sequence."""
 
@@ -77,10 +65,11 @@ def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame
             seq, used = begin // length, min(len(ids), count * length)
             parts = pa.StructArray.from_arrays([name.take(pa.array(of)), pa.array(start[of] + begin - edges[of]), pa.array((begin % length).astype(np.int32)), pa.array(size.astype(np.int32))], fields=list(PARTS.value_type))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(seq, np.arange(count + 1)).astype(np.int32)), parts)
+            raw = ids[:used].astype("<u2").tobytes()
             for a in range(0, count, 4096):
                 b = min(count, a + 4096)
                 sizes = np.minimum(length, used - np.arange(a, b) * length)
-                tokens = [planes(ids[k * length : (k + 1) * length]) for k in range(a, b)]
+                tokens = [raw[2 * k * length : 2 * (k + 1) * length] for k in range(a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), lists.slice(a, b - a), pa.array(tokens, pa.binary())], names=["n_tokens", "parts", "tokens"])
             last = edges + n > used
             gone = np.maximum(used - edges[last], 0)
@@ -125,12 +114,14 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
     names = ["n_tokens", "parts", "tokens", "slot", "shard", "task"]
 
     def slot(batches):
+        pack = pa.Codec("zstd", 1)  # each sequence on its own, as the shuffle parts them; its own codec finds little in them
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
             slots = permuted(at, n, key)
             shard = slots // rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(slots), pa.array(shard), pa.array((shard * tasks // max(1, shards)).astype(np.int32))], names=names)
+            tokens = pa.array([pack.compress(t, asbytes=True) for t in batch.column("tokens").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("n_tokens"), batch.column("parts"), tokens, pa.array(slots), pa.array(shard), pa.array((shard * tasks // max(1, shards)).astype(np.int32))], names=names)
 
     placed = sequences.mapInArrow(slot, f"n_tokens int, parts {PARTS_SQL}, tokens binary, slot long, shard long, task int")
     # slots are spread evenly by the permutation, so the ranges need no sample
@@ -141,7 +132,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
 
         store, folder = pyarrow.fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        now, out, temporary = None, None, None
+        now, out, temporary, pack = None, None, None, pa.Codec("zstd")
 
         def close():
             out.close()
@@ -152,7 +143,8 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
 
         for batch in batches:
             shard = batch.column("shard").to_pylist()
-            tokens = [stride_of(t, length) for t in batch.column("tokens").to_pylist()]
+            sizes, packed = batch.column("n_tokens").to_pylist(), batch.column("tokens").to_pylist()
+            tokens = [pack.decompress(t, 2 * k, asbytes=True).ljust(2 * length, PADDING) for t, k in zip(packed, sizes, strict=True)]
             for s, t in zip(shard, tokens, strict=True):
                 if s != now:
                     if out:
