@@ -24,8 +24,10 @@ from archivolt.llm.tokens import Encoder
 FEISTEL_ROUNDS = 6
 PAD, PADDING = 0, b"\0"
 PART_BYTES = 256 << 20  # of shards that one task writes, where there are tasks enough
-PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
-PARTS_SQL = "array<struct<doc_id:bigint,start:bigint,`offset`:int,length:int>>"
+SAMPLE = 1000  # sequences that the shuffle's compression dictionary is made from
+DICTIONARY_BYTES = 1 << 14
+COLUMNS = ["n_tokens", "doc_ids", "start", "offsets", "tokens"]
+SCHEMA = "n_tokens int, doc_ids array<long>, start long, offsets array<int>, tokens binary"
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -45,7 +47,8 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
-    """n_tokens, parts (the stretches of documents in it) and tokens of each sequence."""
+    """n_tokens, doc_ids and offsets (where each document begins in it), start (ids of the first one before it) and
+    tokens of each sequence."""
 
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
@@ -57,20 +60,20 @@ def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame
             count = len(ids) // length if whole else -(-len(ids) // length)
             edges = np.cumsum(n) - n
             # a stretch is cut wherever a sequence begins inside it
-            cuts = np.unique(np.concatenate([edges, np.arange(count) * length, [min(len(ids), count * length)]]))
-            begin, size = cuts[:-1], np.diff(cuts)
-            mine = begin < count * length
-            begin, size = begin[mine], size[mine]
+            used = min(len(ids), count * length)
+            begin = np.unique(np.concatenate([edges[edges < used], np.arange(count) * length]))
             of = np.searchsorted(edges, begin, side="right") - 1
-            seq, used = begin // length, min(len(ids), count * length)
-            parts = pa.StructArray.from_arrays([name.take(pa.array(of)), pa.array(start[of] + begin - edges[of]), pa.array((begin % length).astype(np.int32)), pa.array(size.astype(np.int32))], fields=list(PARTS.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(seq, np.arange(count + 1)).astype(np.int32)), parts)
+            heads = np.searchsorted(begin, np.arange(count) * length)
+            edge = np.append(heads, len(begin)).astype(np.int32)
+            names = pa.ListArray.from_arrays(pa.array(edge), name.take(pa.array(of)))
+            offsets = pa.ListArray.from_arrays(pa.array(edge), pa.array((begin % length).astype(np.int32)))
+            first = start[of[heads]] + begin[heads] - edges[of[heads]]
             raw = ids[:used].astype("<u2").tobytes()
             for a in range(0, count, 4096):
                 b = min(count, a + 4096)
-                sizes = np.minimum(length, used - np.arange(a, b) * length)
+                sizes = np.minimum(length, used - np.arange(a, b) * length).astype(np.int32)
                 tokens = [raw[2 * k * length : 2 * (k + 1) * length] for k in range(a, b)]
-                yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), lists.slice(a, b - a), pa.array(tokens, pa.binary())], names=["n_tokens", "parts", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(sizes), names.slice(a, b - a), pa.array(first[a:b]), offsets.slice(a, b - a), pa.array(tokens, pa.binary())], names=COLUMNS)
             last = edges + n > used
             gone = np.maximum(used - edges[last], 0)
             rest[:] = [ids[used:], name.filter(pa.array(last)), start[last] + gone, n[last] - gone]
@@ -86,15 +89,25 @@ def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame
         yield from sequences(*rest, False)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(cut, f"n_tokens int, parts {PARTS_SQL}, tokens binary")
+    return docs.mapInArrow(cut, SCHEMA)
+
+
+def dictionary_of(sequences: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample of sequences; empty where there are too few."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["tokens"]) for r in sequences.select("tokens").limit(SAMPLE).collect()]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: int = 8192, key: int = 20260101, path: str | None = None) -> DataFrame:
     """Writes all texts of docs(doc_id, text) in training order below path (default: the shared folder).
 
-    Returns a row for each sequence: n_tokens (without padding), parts (array of doc_id, start: ids of the document
-    before it, offset: place in the sequence, and length), slot, shard, byte_offset, tokens_crc32 (of the stride's
-    bytes) and file.  Each document ends with the end id; a null or empty text is that id alone; a text of any length
+    Returns a row for each sequence: n_tokens (without padding), doc_ids and offsets (the documents in it and where
+    each begins there), start (ids of the first one that lie in sequences before), slot, shard, byte_offset,
+    tokens_crc32 (of the stride's bytes) and file.  Each document ends with the end id; a null or empty text is that id alone; a text of any length
     goes on through as many sequences as it needs; repeated rows and equal texts are written each; null doc_ids are
     kept; other columns are ignored; no rows write no shard.  Files are written under a name of their own attempt and
     take the place of an earlier attempt's when whole, so lost executors and repeated attempts leave no half shard.
@@ -111,28 +124,32 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
         base[p], n = n, n + k
     shards = -(-n // rows)
     tasks = max(1, min(shards, max(8 * spark.sparkContext.defaultParallelism, -(-n * 2 * length // PART_BYTES))))
-    names = ["n_tokens", "parts", "tokens", "slot", "shard", "task"]
+    dictionary = dictionary_of(sequences)
+
+    def codec():
+        import zstandard
+
+        held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        return zstandard.ZstdCompressor(1, dict_data=held, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=held)
 
     def slot(batches):
-        pack = pa.Codec("zstd", 1)  # each sequence on its own, as the shuffle parts them; its own codec finds little in them
+        pack = codec()[0].compress  # each sequence on its own, as the shuffle parts them
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
-            slots = permuted(at, n, key)
-            shard = slots // rows
-            tokens = pa.array([pack.compress(t, asbytes=True) for t in batch.column("tokens").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("n_tokens"), batch.column("parts"), tokens, pa.array(slots), pa.array(shard), pa.array((shard * tasks // max(1, shards)).astype(np.int32))], names=names)
+            tokens = pa.array([pack(t) for t in batch.column("tokens").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS[:-1]), tokens, pa.array(permuted(at, n, key))], names=[*COLUMNS, "slot"])
 
-    placed = sequences.mapInArrow(slot, f"n_tokens int, parts {PARTS_SQL}, tokens binary, slot long, shard long, task int")
+    placed = sequences.mapInArrow(slot, f"{SCHEMA}, slot long")
     # slots are spread evenly by the permutation, so the ranges need no sample
-    ordered = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot")
+    ordered = placed.repartitionById(tasks, (F.floor(F.col("slot") / rows) * tasks / max(1, shards)).cast("int")).sortWithinPartitions("slot")
 
     def write(batches):
         import pyarrow.fs
 
         store, folder = pyarrow.fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        now, out, temporary, pack = None, None, None, pa.Codec("zstd")
+        now, out, temporary, unpack = None, None, None, codec()[1].decompress
 
         def close():
             out.close()
@@ -142,9 +159,9 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
             store.move(temporary, whole)
 
         for batch in batches:
-            shard = batch.column("shard").to_pylist()
-            sizes, packed = batch.column("n_tokens").to_pylist(), batch.column("tokens").to_pylist()
-            tokens = [pack.decompress(t, 2 * k, asbytes=True).ljust(2 * length, PADDING) for t, k in zip(packed, sizes, strict=True)]
+            slots = batch.column("slot").to_numpy()
+            shard = (slots // rows).tolist()
+            tokens = [unpack(t).ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
             for s, t in zip(shard, tokens, strict=True):
                 if s != now:
                     if out:
@@ -153,8 +170,8 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
                     out = store.open_output_stream(temporary)
                 out.write(t)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("n_tokens", "parts", "slot", "shard")), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
-                names=["n_tokens", "parts", "slot", "shard", "tokens_crc32", "file"],
+                [*(batch.column(c) for c in (*COLUMNS[:-1], "slot")), pa.array(shard, pa.int64()), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
+                names=[*COLUMNS[:-1], "slot", "shard", "tokens_crc32", "file"],
             )
         if out:
             close()
@@ -162,7 +179,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
     def name(shard: int) -> str:
         return f"shard-{shard:08d}.bin"
 
-    done = written(ordered.select(*names[:-1]).mapInArrow(write, f"n_tokens int, parts {PARTS_SQL}, slot long, shard long, tokens_crc32 long, file string"), "placed")
+    done = written(ordered.mapInArrow(write, SCHEMA.removesuffix(", tokens binary") + ", slot long, shard long, tokens_crc32 long, file string"), "placed")
     dropped(sequences)
     about = {"sequences": n, "length": length, "stride": 2 * length, "rows": rows, "key": key, "pad": PAD, "dtype": "<u2"}
     index = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
@@ -178,4 +195,4 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.select(F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.length").alias("lengths"), "n_tokens", "slot", "shard", "byte_offset", "tokens_crc32", "file")
+    return found.select("doc_ids", "start", "offsets", "n_tokens", "slot", "shard", "byte_offset", "tokens_crc32", "file")

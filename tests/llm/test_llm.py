@@ -108,12 +108,9 @@ def test_token_shards(spark, tmp_path):
                 raw = f.read(2 * length)
             assert zlib.crc32(raw) == x.tokens_crc32 and x.byte_offset == x.slot % 5 * 2 * length and x.shard == x.slot // 5
             ids = np.frombuffer(raw, "<u2").tolist()
-            assert ids[x.n_tokens :] == [0] * (length - x.n_tokens) and sum(p.length for p in x.parts) == x.n_tokens
-            at = 0
-            for p in x.parts:
-                assert p.offset == at
-                at += p.length
-                held[p.doc_id, p.start].append(ids[p.offset : at])
+            assert ids[x.n_tokens :] == [0] * (length - x.n_tokens) and x.offsets[0] == 0 and x.offsets == sorted(x.offsets)
+            for k, (doc, a, b) in enumerate(zip(x.doc_ids, x.offsets, [*x.offsets[1:], x.n_tokens], strict=True)):
+                held[doc, 0 if k else x.start].append(ids[a:b])
         expected = collections.Counter()
         for doc, text in rows:
             expected[doc] += len(whole.encode(text or "", add_special_tokens=False).ids) + 1
