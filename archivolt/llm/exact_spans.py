@@ -15,7 +15,6 @@ Bytes under a repeated string are cut at the end, on the input's positions."""
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -116,18 +115,19 @@ def anchors_of(docs: DataFrame, length: int) -> DataFrame:
             texts = texts_of(batch.column("text"))
             data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
             text, first, count, rel, anchor, block = anchored(data[: offsets[-1]], offsets, length)
-            dg = digests(data, offsets)
+            of = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), batch.column("doc_id").take(pa.array(text)), pa.array(dg[text]), pa.array(first << 20 | count << 10 | rel)],
+                [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), batch.column("doc_id").take(of), batch.column("dg").take(of), pa.array(first << 20 | count << 10 | rel)],
                 names=["anchor", "block", "doc_id", "dg", "place"],
             )
 
     return docs.mapInArrow(make, "anchor long, block long, doc_id long, dg long, place long")
 
 
-def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    raw = memoryview(data)
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(offsets) - 1).view(np.int64)
+def by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs(doc_id, dg, ..) joined with rows of the same text, which have one for each (doc_id, dg)."""
+    other = rows.withColumnsRenamed({"doc_id": "d", "dg": "g"})
+    return docs.join(other.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("d")) & (docs.dg == F.col("g")), how).drop("d", "g")
 
 
 def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -146,17 +146,15 @@ def with_text(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-            raw, dg, rows = data.tobytes(), digests(data, offsets).tolist(), []
-            for i, (known, asked_here) in enumerate(zip(batch.column("dg").to_pylist(), batch.column("blocks").to_pylist(), strict=True)):
-                if known == dg[i]:
-                    for x in asked_here:
-                        start, strings = x["place"] >> 20, x["place"] >> 10 & 1023
-                        a = int(offsets[i]) + start
-                        rows.append((x["anchor"], x["block"], strings, x["place"] & 1023, raw[a : a + strings - 1 + length]))
+            raw, rows = data.tobytes(), []
+            for a, asked_here in zip(offsets[:-1].tolist(), batch.column("blocks").to_pylist(), strict=True):
+                for x in asked_here:
+                    start, strings = a + (x["place"] >> 20), x["place"] >> 10 & 1023
+                    rows.append((x["anchor"], x["block"], strings, x["place"] & 1023, raw[start : start + strings - 1 + length]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "block", "strings", "rel", "bytes"])
 
-    found = docs.join(asked.withColumnRenamed("doc_id", "d").hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("d"))).select("dg", "blocks", "text")
+    found = by_text(docs, asked, "inner").select("blocks", "text")
     return found.mapInArrow(make, "anchor long, block long, strings int, rel int, bytes binary").dropDuplicates(["anchor", "block"])
 
 
@@ -270,7 +268,8 @@ def across_shards(blocks: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, dg and spans (array of first and last start of runs of repeated strings) of the texts that have any."""
+    """doc_id, dg and spans (array of first and last start of runs of repeated strings) of the texts that have any;
+    docs(doc_id, dg, text), where dg tells the texts of one doc_id apart."""
     anchors = written(anchors_of(docs, length), "anchors")
     # written, so that nothing above the join needs an anchor's rows together and AQE can split a frequent one
     again = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") != F.max("block")).alias("differ")).filter("n > 1").select("anchor", "differ"), "repeated")
@@ -294,17 +293,19 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         found = found.union(across_shards(dealt, length))
     runs = written(found, "runs")
     by_block = runs.groupBy("anchor", "block").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # what of a block repeats, one row each: a single join then meets the frequent blocks, which AQE can split
+    told = written(
+        kinds.join(by_block, ["anchor", "block"], "left").filter("n > 1 or runs is not null").select("anchor", "block", F.when(F.col("n") == 1, F.col("runs")).alias("runs")), "told"
+    )
     strings_in = F.shiftright("place", 10).bitwiseAND(F.lit(1023)).cast("int")
-    start = F.shiftright("place", 20)
     whole = F.array(F.struct(F.lit(0).alias("first"), (strings_in - 1).alias("last")))
-    counted = again_rows.join(kinds.select("anchor", "block", "n"), ["anchor", "block"], "left").join(by_block, ["anchor", "block"], "left")
-    marks = counted.select(
-        "doc_id", "dg",
-        F.explode(F.when(~F.col("differ") | (F.col("n") > 1), whole).otherwise(F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))).alias("run"),
-        start.alias("start"),
-    ).select("doc_id", "dg", F.struct((F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last")).alias("span"))
-    spans = written(marks.groupBy("doc_id", "dg").agg(F.collect_set("span").alias("spans")), "spans")
-    dropped(again_rows, kinds, texts, runs)
+    of_one = again_rows.filter("not differ").select("doc_id", "dg", "place", whole.alias("runs"))
+    of_more = again_rows.filter("differ").join(told, ["anchor", "block"]).select("doc_id", "dg", "place", F.coalesce("runs", whole).alias("runs"))
+    start = F.shiftright("place", 20)
+    marks = of_one.union(of_more).select("doc_id", "dg", F.explode("runs").alias("run"), start.alias("start"))
+    span = F.struct((F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last"))
+    spans = written(marks.groupBy("doc_id", "dg").agg(F.collect_set(span).alias("spans")), "spans")
+    dropped(again_rows, kinds, texts, runs, told)
     return spans
 
 
@@ -314,26 +315,26 @@ def without_repeats(docs: DataFrame, length: int = 200, extra: str = "", decoded
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, which need not be UTF-8 at the cuts) and removed
     (array of first byte, end) for every row; columns named in `extra` follow unchanged.  With `decoded`, kept is a
-    string without the characters that were cut in two.  Null texts count as empty;
-    texts shorter than `length` stay as they are; repeated rows lose all of a text that is long enough; null doc_ids
-    are kept.  The result does not depend on order."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    spans = repeated_spans(docs.select("doc_id", "text"), length)
+    string without the characters that were cut in two.  Null texts count as empty; texts shorter than `length` stay
+    as they are; texts of any length are read whole; repeated rows lose all of a text that is long enough; null doc_ids
+    are kept; no rows give no rows.  Other columns are ignored, and those in `extra` may have any name.  Spans belong to
+    a row by its doc_id and a digest of its text.  The result does not depend on order, and there are no ties to break."""
     others = [c for c in extra.split(",") if c]
-    asked = spans.select(F.col("doc_id").alias("d"), "dg", "spans").groupBy("d").agg(F.collect_list(F.struct("dg", "spans")).alias("by_text"))
+    held = [f"_{i}" for i in range(len(others))]  # under names of our own, whatever they are called
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(h) for c, h in zip(others, held, strict=True)]).withColumn("dg", F.xxhash64("text"))
+    spans = repeated_spans(docs.select("doc_id", "dg", "text"), length)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}, removed array<struct<first:long,end:long>>" + "".join(f", `{c}` {types[c]}" for c in others)
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}, removed array<struct<first:long,end:long>>" + "".join(f", {h} {types[h]}" for h in held)
 
     def cut(batches):
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-            raw, dg = data.tobytes(), digests(data, offsets).tolist()
-            rows = []
-            for i, by_text in enumerate(batch.column("by_text").to_pylist()):
+            raw, rows = data.tobytes(), []
+            for i, spans_here in enumerate(batch.column("spans").to_pylist()):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 merged: list[list[int]] = []
-                for first, last in sorted((s["first"], s["last"]) for x in by_text or () if x["dg"] == dg[i] for s in x["spans"]):
+                for first, last in sorted((s["first"], s["last"]) for s in spans_here or ()):
                     if merged and first <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], last + length)
                     else:
@@ -343,10 +344,11 @@ def without_repeats(docs: DataFrame, length: int = 200, extra: str = "", decoded
                 rows.append((b - a, b - a - len(kept), len(merged), kept.decode(errors="ignore") if decoded else kept, [{"first": x, "end": y} for x, y in merged]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if decoded else pa.binary(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *(batch.column(c) for c in others)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed", *others])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *(batch.column(h) for h in held)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed", *held])
 
-    joined = docs.join(asked.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("d")), "left").select("doc_id", "text", "by_text", *others)
-    return joined.mapInArrow(cut, schema)
+    joined = by_text(docs, spans, "left").select("doc_id", "text", "spans", *held)
+    found = joined.mapInArrow(cut, schema)
+    return found.select(*found.columns[:6], *[F.col(h).alias(c) for c, h in zip(others, held, strict=True)])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
