@@ -15,7 +15,6 @@ Bytes under a repeated string are cut at the end, on the input's positions."""
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash

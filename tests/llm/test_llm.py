@@ -486,25 +486,50 @@ def test_main_text(spark):
 # ---------------------------------------------------------------- top-k
 
 
+def brute_topk(rows, is_query, k):
+    """Over all rows, with Python's whole numbers."""
+    sound = [(i, [topk.whole(float(np.float64(x)), 1024) for x in v]) for i, v in rows]
+    expected = collections.Counter()
+    for a, (i, q) in enumerate(sound):
+        if i is not None and is_query(i):
+            others = [(-sum(x * y for x, y in zip(q, v, strict=True)), float("inf") if j is None else j) for b, (j, v) in enumerate(sound) if b != a and len(v) == len(q)]
+            for rank, (s, j) in enumerate(sorted(others)[:k], 1):
+                expected[i, rank, None if j == float("inf") else j, max(-topk.LONG - 1, min(topk.LONG, -s))] += 1
+    return expected
+
+
 def test_topk(spark):
     r = np.random.default_rng(11)
     base = r.standard_normal((300, 6)).astype(np.float32)
     vectors = np.concatenate([base, base[:20], np.repeat(base[:1], 40, axis=0)])
     rows = [(int(i * 10), v.tolist()) for i, v in enumerate(vectors)]
     odd = [(100, None), (200, []), (300, [float("nan")] * 6), (400, [None] + [1.0] * 5), (500, [float("inf")] * 6), (600, [1.0, 2.0]), (700, [2.0, 1.0]), (None, [0.5] * 6)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("uid", F.lit(1))
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("uid", F.lit(1)).withColumn("wide", F.lit("x"))
     got = topk.search(df, F.col("vec_id") % 100 == 0).collect()
-    sound = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows + odd[-3:]]
-    expected = collections.Counter()
-    for a, (i, q) in enumerate(sound):
-        if i is not None and i % 100 == 0:
-            others = [(-int(q @ v), float("inf") if j is None else j) for b, (j, v) in enumerate(sound) if b != a and len(v) == len(q)]
-            for rank, (s, j) in enumerate(sorted(others)[:10], 1):
-                expected[i, rank, None if j == float("inf") else j, -s] += 1
-    assert collections.Counter(map(tuple, got)) == expected
+    assert collections.Counter(map(tuple, got)) == brute_topk(rows + odd[-3:], lambda i: i % 100 == 0, 10)
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, r.standard_normal(4).tolist()) for i in range(60)]
+    rows += [(100 + i, (r.standard_normal(4) * 10.0 ** r.integers(3, 39)).tolist()) for i in range(40)]
+    rows += [(200, [2.0**21] * 4), (201, [2.0**21] * 4), (202, [-(2.0**21)] * 4), (203, [1e300, 1.0, -1e300, 0.5]), (204, [1e300, 1.0, -1e300, 0.25]), (205, [8191.5] * 4), (206, [0.0] * 4)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, k=5).collect()
+    assert collections.Counter(map(tuple, got)) == brute_topk(rows, lambda i: i % 2 == 0, 5)
+    assert max(x.score for x in got) == topk.LONG
+
+
+def test_topk_skips_far_rings(spark):
+    r = np.random.default_rng(13)
+    centres = r.standard_normal((12, 8)) * 4
+    rows = [(i, (centres[i % 12] + 0.05 * r.standard_normal(8)).tolist()) for i in range(3000)]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5)
+    assert collections.Counter(map(tuple, found.collect())) == brute_topk(rows, lambda i: i % 50 == 0, 5)
+    searched, every = found._archivolt_searched
+    assert 0 < searched < 0.9 * every
+
+
 # ---------------------------------------------------------------- pipeline
 
 
