@@ -102,7 +102,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     similar to the item, the first of equal ones, where its similarity is at least `least`.
 
     docs(doc_id, text) and benchmark(item_id, text) may hold nulls (no words, so no match; null ids are kept),
-    repeated rows (one result row each) and other columns.  A document with fewer words than an item is compared with
+    repeated rows (one result row each) and other columns, which are ignored.  Texts of any length are read whole, with
+    memory in proportion to them.  A document with fewer words than an item is compared with
     it whole.  Words are compared in lower case without the marks around
     them.  Items of fewer than `size` words are compared as whole sequences.  Empty tables give no rows.  Items reach the tasks in
     indexes of at most ITEM_WORDS words, or one item; a larger benchmark takes more passes over the documents."""
@@ -148,15 +149,8 @@ def finder(kinds: list[Items], size: int, least: float):
                 seed_kind = kind[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                 for j in np.unique(seed_kind).tolist():
                     x, mine = kinds[j], seed_kind == j
-                    span = np.arange(-(x.words - k), 1)
-                    start = (seed[mine][:, None] + span).ravel()
-                    of = np.repeat(seed_text[mine], len(span))
-                    short = offsets[of + 1] - offsets[of] < x.words
-                    start = np.where(short, offsets[of], start)
-                    inside = short | (start >= offsets[of]) & (start + x.words <= offsets[of + 1])
-                    start, first = np.unique(start[inside], return_index=True)
-                    of = of[inside][first]
-                    rows += verified(x, start, of, every, weights, offsets, names, least)
+                    start = starts_of(x, seed[mine], seed_text[mine], offsets)
+                    rows += verified(x, start, np.searchsorted(offsets, start, side="right") - 1, every, weights, offsets, names, least)
             best: dict[tuple, tuple] = {}
             for i, item, sim, first, n in rows:
                 if (i, item) not in best or (-sim, first) < (-best[i, item][0], best[i, item][1]):
@@ -169,6 +163,23 @@ def finder(kinds: list[Items], size: int, least: float):
     return find
 
 
+def starts_of(x: Items, seed: np.ndarray, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where windows of x.words words begin that hold one of the places `seed` (in order, each in its text), or the
+    whole of a shorter text.  Overlapping stretches of such windows are merged before they are written out."""
+    low = np.maximum(offsets[text], seed - (x.words - x.size))
+    high = np.minimum(seed, offsets[text + 1] - x.words)
+    low, high = np.where(high < offsets[text], offsets[text], low), np.maximum(high, offsets[text])
+    some = high >= low
+    low, high = low[some], high[some]
+    if not len(low):
+        return low
+    reach = np.maximum.accumulate(high)
+    fresh = np.concatenate([[True], low[1:] > reach[:-1]])
+    first, last = low[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(low) - 1)]
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def verified(x: Items, start: np.ndarray, of: np.ndarray, every: np.ndarray, weights: np.ndarray, offsets: np.ndarray, names: list, least: float) -> list:
     """Rows (text, (items, item), similarity, first word, words) of the windows that begin at `start`."""
     rows, words = [], np.minimum(x.words, offsets[of + 1] - offsets[of])

@@ -16,6 +16,7 @@ from archivolt.llm.shared import slices, table, texts_of, words_of
 
 SAMPLE = 4000  # labelled texts that are fitted on and vote, at most
 LATENT, NEIGHBOURS, SHARPNESS = 48, 15, 16
+ROWS = 1024  # texts whose terms are held at once
 CLASSES = 16
 TERMS = CLASSES**3 + 1  # the last is the word that follows itself
 
@@ -62,12 +63,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Projection (terms by latent dimensions, idf within), the sample's unit vectors, and their labels.
 
-    labels(doc_id, y); at most SAMPLE rows are used, the least by a hash of doc_id.  Their terms come to the driver as
-    bounded sparse rows."""
-    sample = labels.filter("doc_id is not null and y is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    labels(doc_id, y); at most SAMPLE ids are used, the least by a hash of doc_id, each with the least of its labels and
+    with one of its texts.  Their terms come to the driver as bounded sparse rows."""
+    sample = labels.filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def terms(batches):
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 1 << 20, ROWS):
             x = shares(texts_of(batch.column("text")))
             rows = [np.flatnonzero(r).astype(np.int32) for r in x]
             yield pa.RecordBatch.from_arrays(
@@ -75,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
                 names=["doc_id", "y", "at", "value"],
             )
 
-    found = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(terms, "doc_id long, y int, at binary, value binary").collect()
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    found = texts.select("doc_id", "y", "t.text").mapInArrow(terms, "doc_id long, y int, at binary, value binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["at"], r["value"]))
     x = np.zeros((len(found), TERMS), np.float32)
     for i, r in enumerate(found):
@@ -94,8 +96,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score (0 to 1) for every row of docs(doc_id, text); labels(doc_id, y) holds y in 0 and 1.
 
     A null or empty text has no terms and gets the sample's share of label 1, as do all texts where there are no
-    labels (0.5 then); repeated rows are scored each; null doc_ids are scored but never fitted on.  Scores depend on
-    the text and the labelled sample alone."""
+    labels (0.5 then); texts of any length are read whole; repeated rows are scored each; null doc_ids are scored but
+    never fitted on; no rows give no rows; other columns are ignored.  Of labels that contradict each other the least
+    counts, of different texts with one doc_id the one with the least hash.  Neighbours beyond the last place that are
+    as near as it don't vote.  Scores depend on the text and the labelled sample alone."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     projection, known, y = fit(docs, labels)
     base = float(y.mean()) if len(y) else 0.5
@@ -104,7 +108,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(batches):
         projection, known, y = shared.value
         k = min(NEIGHBOURS, len(y))
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 1 << 20, ROWS):
             vectors = unit(shares(texts_of(batch.column("text"))) @ projection)
             out = np.full(batch.num_rows, base)
             for a in range(0, batch.num_rows if k else 0, 1024):
@@ -118,7 +122,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").cast("int").alias("y"))
     found = quality(table(spark, sf_dir, "documents"), labels)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -82,15 +82,16 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(full), pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), data)
 
 
-def slices(batches, most_bytes: int = 8 << 20):
-    """Record batches cut so that column `text` holds about most_bytes; a longer single text stays whole."""
+def slices(batches, most_bytes: int = 8 << 20, most_rows: int = 1 << 20):
+    """Record batches cut so that column `text` holds about most_bytes, of at most most_rows rows; a longer single text
+    stays whole."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
+            stop = min(start + most_rows, max(start + 1, int(np.searchsorted(size, base + most_bytes, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
     give_back()

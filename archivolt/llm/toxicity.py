@@ -13,7 +13,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from archivolt.llm.shared import dropped, slices, table, texts_of, words_of, written
 from archivolt.llm.shingles import folded
@@ -21,8 +20,7 @@ from archivolt.llm.shingles import folded
 SAMPLE = 12_000  # labelled rows that a chain is fitted on, at most
 FOLDS = 4
 BEGINNINGS = (3, 4, 5, 6)
-LEAST, DEVIATIONS = 4, 4.5  # rows that have a feature, and how far its share must differ between the classes
-FEATURES = 512  # of a model, at most
+LEAST, DEVIATIONS = 4, 6.0  # rows that have a feature, and how far its share must differ between the classes
 AGAIN = 1  # the feature of a word that follows itself
 
 
@@ -106,8 +104,8 @@ def fitted(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, label: np.nd
 
 
 def telling(counts: DataFrame, totals: dict[tuple, float], n: int) -> DataFrame:
-    """The FEATURES that tell the classes of a model apart best: with `use`, the models that may see each.  counts: feature, fold, y0.. and
-    k, the rows; a model is (category, the fold left out, or FOLDS for none)."""
+    """All features that tell the classes of a model apart: with `use`, the models that may see each.  counts: feature,
+    fold, y0.. and k, the rows; a model is (category, the fold left out, or FOLDS for none)."""
     sums, tests = [], []
     for c in range(n):
         for f in range(FOLDS + 1):
@@ -117,23 +115,23 @@ def telling(counts: DataFrame, totals: dict[tuple, float], n: int) -> DataFrame:
             n_one, n_zero = (float(max(1.0, sum(v for (cc, fold, yy), v in totals.items() if (cc, yy) == (c, y) and fold != f))) for y in (1, 0))
             share = (one + zero + 1) / (n_one + n_zero + 2)
             z = F.abs(one / n_one - zero / n_zero) / F.sqrt(share * (1 - share) * (1 / n_one + 1 / n_zero))
-            tests.append(F.when((one + zero >= LEAST) & (z >= DEVIATIONS), F.struct(F.lit(c * (FOLDS + 1) + f).alias("model"), z.alias("z"))))
-    told = counts.groupBy("feature").agg(*sums).select("feature", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("feature", "t.model", "t.z")
-    best = told.withColumn("turn", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("z"), "feature"))).filter(F.col("turn") <= FEATURES)
-    return best.groupBy("feature").agg(F.collect_list("model").alias("use"))
+            tests.append(F.when((one + zero >= LEAST) & (z >= DEVIATIONS), F.lit(c * (FOLDS + 1) + f)))
+    return counts.groupBy("feature").agg(*sums).select("feature", F.array_compact(F.array(*tests)).alias("use")).filter("size(use) > 0")
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Features and one model a category: their weights, and those of (1, log-odds of the categories before).
 
-    Fitted on at most SAMPLE labelled rows, the least by a hash of doc_id.  categories: name -> column of 0/1 over
+    Fitted on at most SAMPLE labelled ids, the least by a hash of doc_id, each with the least of its labels and one of
+    its texts.  categories: name -> column of 0/1 over
     `labels`, in the order of the chain; null for unknown.  Features are counted by class in Spark; those that tell
     the classes apart come to the driver, and the sample's rows by those features alone."""
     n = len(categories)
     ys = [f"y{i}" for i in range(n)]
-    marked = labels.filter("doc_id is not null").select("doc_id", *[F.coalesce(c.cast("int"), F.lit(-1)).alias(y) for y, c in zip(ys, categories.values(), strict=True)]).dropDuplicates(["doc_id"])
+    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.coalesce(F.min(c.cast("int")), F.lit(-1)).alias(y) for y, c in zip(ys, categories.values(), strict=True)])
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("fold", F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3), F.lit(FOLDS)).cast("int"))
-    texts = written(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "fold", *ys), "labelled")
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "fold", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    texts = written(texts.select("doc_id", "t.text", "fold", *ys), "labelled")
     kinds = "fold int, " + ", ".join(f"{y} int" for y in ys)
 
     def count(batches):
@@ -166,14 +164,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column])
     def lists(batches):
         for batch in slices(batches, 3 << 20):
             text, at = distinct_features(texts_of(batch.column("text")), known)
-            edges = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", *ys)), pa.ListArray.from_arrays(pa.array(edges), pa.array(at))], names=["doc_id", "fold", *ys, "at"])
+            edges, raw = (4 * np.searchsorted(text, np.arange(batch.num_rows + 1))).tolist(), at.astype(np.int32).tobytes()
+            held = pa.array([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", *ys)), held], names=["doc_id", "fold", *ys, "at"])
 
-    rows = texts.mapInArrow(lists, f"doc_id long, {kinds}, at array<long>").collect()
+    rows = texts.mapInArrow(lists, f"doc_id long, {kinds}, at binary").collect()
     dropped(texts)
-    rows.sort(key=lambda r: (r["doc_id"], r["at"]))
-    row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows]).astype(np.int64)
-    at = np.array([x for r in rows for x in r["at"]], np.int64)
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
+    row = np.repeat(np.arange(len(rows)), [len(r["at"]) // 4 for r in rows]).astype(np.int64)
+    at = np.frombuffer(b"".join(r["at"] for r in rows), np.int32).astype(np.int64)
     fold = np.array([r["fold"] for r in rows], np.int64)
     dense, models = np.ones((len(rows), 1)), []
 
@@ -198,8 +197,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """Adds p_<category> (0 to 1) to every row of docs(doc_id, text), with the columns named in `keep` beside it.
 
     Null and empty texts have no words and get the base rates; repeated rows are scored each; null doc_ids are scored
-    but never trained on; texts of any length are read whole.  Without labelled rows every probability is 0.5.  What
-    goes to the tasks is bounded by SAMPLE, whatever the size of the corpus."""
+    but never trained on; texts of any length are read whole; no rows give no rows.  Of labels that contradict each
+    other the least counts, of different texts with one doc_id the one with the least hash.  Without labelled rows every
+    probability is 0.5.  Other columns are ignored, but for those in `keep`, whose names may be any but those added.
+    What goes to the tasks is bounded by SAMPLE, whatever the size of the corpus."""
+    clash = {f"p_{c}" for c in categories} & set(keep or ())
+    if clash:
+        raise ValueError(f"columns to keep have the names of those added: {sorted(clash)}")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(fit_chain(docs.select("doc_id", "text"), labels, categories))
     kept, added = list(keep or ["doc_id"]), [f"p_{c}" for c in categories]
