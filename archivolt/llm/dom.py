@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from html import unescape
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: A tag; quotes count after an equals sign only, and nothing that was read is given back.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+TAG_HEAD = re.compile(r"</?[a-zA-Z]")
 HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
@@ -58,39 +61,63 @@ def hints(tag: str, attributes: str) -> tuple[str, int]:
 def parse(html: str) -> Node:
     """The tree of a page; broken markup is closed as browsers do in the common cases.  Children are nodes and texts."""
     root = Node("#root", "#root", 0, None)
-    at, here, depth = 0, root, 0
-    search, end = TOKEN.search, len(html)
+    at, here, end = 0, root, len(html)
+    last, pattern = html.rfind(">"), TAG  # no tag ends after `last`
+    opened: dict[str, int] = {}  # how many nodes of a tag are open
+
+    def up(to: Node) -> Node:
+        """Closes what is open below `to`."""
+        x = here
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
     while at < end:
-        found = search(html, at)
-        if not found:
-            here.children.append(html[at:])
+        begin = html.find("<", at)
+        if begin < 0 or begin > last:
+            here.children.append(html[at:].partition("<!--")[0])
             break
-        if found.start() > at:
-            here.children.append(html[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if not tag:
+        mark = html[begin + 1 : begin + 2]
+        if mark in ("!", "?"):
+            comment = html.startswith("<!--", begin)
+            stop = html.find("-->", begin + 4) if comment else html.find(">", begin)
+            if begin > at:
+                here.children.append(html[at:begin])
+            at = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        found = pattern.match(html, begin)
+        if not found and pattern is TAG and TAG_HEAD.match(html, begin):
+            pattern = PLAIN_TAG  # a quote never ends: none counts from here
+            found = pattern.match(html, begin)
+        if not found:
+            here.children.append(html[at : begin + 1])
+            at = begin + 1
             continue
-        tag = tag.lower()
+        if begin > at:
+            here.children.append(html[at:begin])
+        at = found.end()
+        tag = found[2].lower()
         if found[1]:
-            x = here
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                here = x.parent
+            if opened.get(tag):
+                x = here
+                while x.tag != tag:
+                    x = x.parent
+                here = up(x.parent)
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else end
+            close = re.compile(f"</{tag}\\b", re.IGNORECASE).search(html, at)
+            stop = html.find(">", close.end()) if close else -1
+            at = end if stop < 0 else stop + 1
             continue
-        ends = ENDS.get(tag)
-        if ends or tag in CLOSES_P:
+        ends = [t for t in ENDS.get(tag, ()) if opened.get(t)]
+        if ends or tag in CLOSES_P and opened.get("p"):
             x = here
             while x is not root:
-                if ends and x.tag in ends or x.tag == "p" and tag in CLOSES_P:
-                    here = x.parent
+                if x.tag in ends or x.tag == "p" and tag in CLOSES_P:
+                    here = up(x.parent)
                     break
-                if x.tag in SCOPE and not (ends and x.tag in ends):
+                if x.tag in SCOPE:
                     break
                 x = x.parent
         if tag in VOID:
@@ -101,6 +128,7 @@ def parse(html: str) -> Node:
         here.children.append(node)
         if not found[3].rstrip().endswith("/") or tag in BLOCK:
             here = node
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -116,25 +144,15 @@ def mains(root: Node) -> list[Node]:
         todo = [root]
         while todo:
             x = todo.pop()
+            if is_main(x):
+                found.append(x)  # what is inside belongs to it
+                continue
             for y in reversed(x.children):
                 if isinstance(y, Node) and y.noise < least:
                     todo.append(y)
-            if is_main(x):
-                found.append(x)
         if found:
             break
-    ids = {id(x) for x in found}
-
-    def inner(x: Node) -> bool:
-        p = x.parent
-        while p is not None:
-            if id(p) in ids:
-                return True
-            p = p.parent
-        return False
-
-    outer = [x for x in found if not inner(x)]
-    return [x for x in outer if x.tag == "main" or x.key.endswith("@main")] or outer
+    return [x for x in found if x.tag == "main" or x.key.endswith("@main")] or found
 
 
 def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:

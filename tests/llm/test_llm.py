@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -413,6 +414,16 @@ def test_broken_markup():
     assert text("") == [] and text("a < b") == ["a < b"]
 
 
+def test_long_broken_markup_takes_time_in_proportion():
+    text = lambda h: [t for _, t in blocks(parse(h))]
+    began = time.time()
+    assert text("<div>" + "</p>" * 50_000 + "si") == ["si"] and text("<b>" * 3000 + "</i>" * 50_000 + "si") == ["si"]
+    assert text("<p>si</p>" + "<a " * 300_000)[0] == "si" and text('<a title="x' * 100_000 + "> fin") == ["fin"]
+    assert text("<script>" + "</script" * 50_000) == [] and text("<p>uno</p>" + "<!--" * 100_000) == ["uno"]
+    assert text("<a title=don't>si</a> <i title='a>b'>no</i>") == ["si no"]
+    assert time.time() - began < 20
+
+
 def test_words_of_a_class_do_not_cut_an_article():
     article = """<article><div class="article-header"><h1>uno</h1></div><section id="discussion"><p>dos</p></section><h2 id="comments-on-method">tres</h2>
     <p class="side-note">cuatro</p><div class="map-ad-hoc">cinco</div><div class="box ad">no</div><div hidden>no</div><div role="search">no</div></article>"""
