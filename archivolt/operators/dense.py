@@ -24,6 +24,21 @@ def sigmoid(x):
     return 1 / (1 + F.exp(-x))
 
 
+def rounded(x: np.ndarray, decimals: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    return np.copysign(np.floor(np.abs(x) * 10**decimals + 0.5), x) / 10**decimals
+
+
+def closest_option(answers: DataFrame, options: DataFrame) -> DataFrame:
+    """id, option and cosine (6 decimals): of options(id, option, vec) the one most similar to answers(id, vec), the
+    first by name of equal ones."""
+    both = answers.select("id", F.col("vec").alias("answer")).join(options, "id")
+    cosine = F.round(dot(F.col("answer"), F.col("vec")) / (norm(F.col("answer")) * norm(F.col("vec"))), 6)
+    best = both.select("id", "option", cosine.alias("cosine")).groupBy("id").agg(F.max("cosine").alias("top"), F.collect_list(F.struct("cosine", "option")).alias("all"))
+    first = F.array_min(F.transform(F.filter("all", lambda o: o["cosine"] == F.col("top")), lambda o: o["option"]))
+    return best.select("id", first.alias("option"), F.col("top").alias("cosine"))
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, decimals: int = 5) -> DataFrame:
     """query_id, rank, id, score: the k best inner products of each of queries(query_id, vec) over vectors(id, vec).
 
@@ -40,12 +55,11 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, decimals: in
         def score(batches, ids=ids, matrix=matrix):
             for pdf in batches:
                 if len(ids) and len(pdf):
-                    every = np.round(np.stack(pdf["vec"].to_numpy()).astype(np.float64) @ matrix.T, decimals + 3)
+                    every = rounded(rounded(np.stack(pdf["vec"].to_numpy()).astype(np.float64) @ matrix.T, decimals + 3), decimals)
                     own = pdf["id"].to_numpy()
-                    for j in range(len(ids)):
-                        s = np.round(every[:, j], decimals)
-                        best = np.lexsort((own, -s))[:k]
-                        yield pd.DataFrame({"query_id": ids[j], "id": own[best], "score": s[best]})
+                    best = np.concatenate([np.lexsort((own, -every[:, j]))[:k] for j in range(len(ids))])
+                    of = np.repeat(np.arange(len(ids)), min(k, len(own)))
+                    yield pd.DataFrame({"query_id": ids[of], "id": own[best], "score": every[best, of]})
 
         one = vectors.select("id", "vec").mapInPandas(score, "query_id long, id long, score double")
         found = one if found is None else found.union(one)

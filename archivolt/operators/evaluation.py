@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from archivolt.functions.grammar import bodies_of, extract_citations
+from archivolt.operators.runs import placed
 
 # Points of the components and the rules' weights.
 POINTS = {"closed": 20.0, "judge": 30.0, "citations": 20.0, "abstention": 10.0}
@@ -86,25 +86,17 @@ def total_points(components: DataFrame) -> DataFrame:
 
 
 def latency(times: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """n, mean, p50, p95 and max of times(seconds): the percentiles are values of the sorted list, not between them."""
-    ranked = times.withColumn("r", F.row_number().over(Window.partitionBy(*(group or [])).orderBy("seconds")) - 1) if group else None
-    if ranked is None:
-        values = F.sort_array(F.collect_list("seconds"))
-        return times.groupBy().agg(values.alias("v")).filter("size(v) > 0").select(*_latency("v"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    sized = ranked.withColumn("n", n)
-    at = lambda i: F.max(F.when(F.col("r") == i, F.col("seconds")))
-    return sized.groupBy(*group, "n").agg(
-        F.round(F.avg("seconds"), 2).alias("mean"), F.round(at(F.floor(F.col("n") / 2)), 2).alias("p50"), F.round(at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))), 2).alias("p95"), F.round(F.max("seconds"), 2).alias("max")
-    )
-
-
-def _latency(v: str) -> list:
-    n = F.size(v)
-    return [
-        n.alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, 2).alias("mean"), F.round(F.element_at(v, F.floor(n / 2).cast("int") + 1), 2).alias("p50"),
-        F.round(F.element_at(v, F.least(n - 1, F.floor(n * 0.95).cast("int")) + 1), 2).alias("p95"), F.round(F.element_at(v, n), 2).alias("max"),
-    ]
+    """n, mean, p50, p95 and max of times(seconds), by group or over all: the percentiles are values of the sorted list,
+    not between them.  Ranks come from range partitions, so that not even all rows of one group meet in a task."""
+    keys = list(group or [])
+    sums = times.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.max("seconds").alias("max")).filter("n > 0")
+    ranked = placed(times.select(*keys, "seconds"), "seconds", tuple(keys))
+    wanted = sums.select(*[F.col(c).alias(f"_{c}") for c in keys], (F.floor(F.col("n") / 2) + 1).alias("i50"), (F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1).alias("i95"))
+    same = [ranked[c].eqNullSafe(wanted[f"_{c}"]) for c in keys] + [(F.col("pos") == F.col("i50")) | (F.col("pos") == F.col("i95"))]
+    at = lambda i: F.max(F.when(F.col("pos") == F.col(i), F.col("seconds")))
+    found = ranked.join(F.broadcast(wanted), same).groupBy(*keys).agg(at("i50").alias("p50"), at("i95").alias("p95"))
+    both = sums.alias("s").join(found.alias("f"), [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys] or F.lit(True))
+    return both.select(*[F.col(f"s.{c}") for c in keys], "n", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "max")])
 
 
 def retrieval_quality(items: DataFrame) -> DataFrame:

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-
-def placed(items: DataFrame, order: str) -> DataFrame:
-    """Adds pos from 1.  Rows are counted by range partition first, so no task sorts all of them."""
-    ranged = items.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    within = Window.partitionBy("_p").orderBy(order)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_s")
-    return ranged.withColumn("_r", F.row_number().over(within)).join(F.broadcast(shift), "_p").withColumn("pos", F.col("_r") + F.col("_s")).drop("_p", "_r", "_s")
+from archivolt.session import materialised
+
+
+def placed(items: DataFrame, order: str, keys: tuple = ()) -> DataFrame:
+    """Adds pos, from 1 within keys.  Rows are range-partitioned and their partitions written down once, so that no
+    task sorts all of a key and both branches below mean the same partitions."""
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialised(items.repartitionByRange(parts, *[F.col(c) for c in (*keys, order)]).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*keys, "_p", "_s")
+    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order)))
+    same = [ranked[c].eqNullSafe(shift[c]) for c in (*keys, "_p")]
+    return ranked.join(F.broadcast(shift) if not keys else shift, same).select(*[ranked[c] for c in items.columns], (F.col("_r") + F.col("_s")).alias("pos"))
 
 
 def position_range(items: DataFrame, order: str, first: int, last: int) -> DataFrame:

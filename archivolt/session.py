@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -24,6 +25,30 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only in a single-JVM session."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("archivolt.work.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="archivolt-")
+    spark.conf.set("archivolt.work.dir", made)
+    return made
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{work_dir(spark)}/archivolt/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what is computed once means the same in every branch of a plan."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and benches."""
     spark = (
