@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,22 @@ def fold_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+#: A text of these characters alone is in composed form already.
+COMPOSED = r"^[\x{0}-\x{2FF}\x{400}-\x{482}\x{2010}-\x{2027}\x{20AC}\x{4E00}-\x{9FFF}]*$"
+
+
+@F.arrow_udf(T.StringType())
+def composed(texts: pa.Array) -> pa.Array:
+    """Texts in canonical composition."""
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+
 def normalise(text: Column) -> Column:
+    """spaced() of the text in canonical composition; only texts that may not be in it leave the JVM."""
+    return spaced(F.coalesce(composed(F.when(~text.rlike(COMPOSED), text)), text))
+
+
+def spaced(text: Column) -> Column:
     """Line ends as \\n, odd spaces as spaces, no invisible characters, lines trimmed with single spaces, at most one
     blank line in a row, one line end at the end, or an empty text."""
     x = F.regexp_replace(text, "\r\n?", "\n")
@@ -90,14 +106,23 @@ def visible_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
-    return normalise(x)
+    return spaced(x)
+
+
+#: Words without meaning for a search.
+STOPWORDS = tuple(
+    """a al algo algunas algunos ante antes como con contra cual cuales cuando de del desde donde durante e el ella ellas
+    ellos en entre era es esa esas ese eso esos esta estas este esto estos fue fueron ha han hasta la las le les lo los
+    mas me mi muy no nos o otra otras otro otros para pero por que quien quienes se sea segun ser si sin sino sobre su sus
+    tal tambien te tiene tienen toda todas todo todos tu un una uno unos y ya""".split()
+)
 
 
-def legal_tokens(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
+def legal_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Folded tokens of legal text: court ids (sl3385 is sl-3385), article numbers with dots and hyphens, and words
     that are not stopwords, without a plain plural ending."""
     x = F.regexp_replace(fold(text), r"\b(c|t|su|sl|sc|sp|stc|stl|ac|au) *-? *0*(\d{1,5})\b", "$1-$2")
-    x = F.regexp_replace(x, r"\b(\d+) *(?:o|º|°)(?![a-z])", "$1")
+    x = F.regexp_replace(x, r"\b(\d+) *(?:o\b|º|°)", "$1")
     found = F.regexp_extract_all(x, F.lit(r"[a-z]{1,4}-\d{1,5}|\d+(?:[.\-]\d+)*[a-z]?|[a-z]+"), 0)
     kept = F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
     return F.transform(kept, stem)

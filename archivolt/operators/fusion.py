@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 # Fixed values of the ranking policy.
+#: Kinds of documents that count as norms.
+NORM_KINDS = ("constitucion", "codigo", "ley", "decreto", "decreto_ley", "acto_legislativo", "decision_andina", "resolucion", "circular")
 RRF_K, PER_UNIT, PER_DOCUMENT, QUOTA, TOP_K = 60, 3, 4, 4, 10
 BOOST_AREA, BOOST_BODY = 0.002, 0.01
 
@@ -52,6 +54,16 @@ def diversity_caps(candidates: DataFrame, per_unit: int = PER_UNIT, per_document
     return kept.drop("_t")
 
 
+def is_norm(kind):
+    return F.coalesce(kind.isin(*NORM_KINDS), F.lit(False))
+
+
+def with_complementary(candidates: DataFrame, listed: DataFrame, doc: str = "doc") -> DataFrame:
+    """Adds complementary: whether a candidate's document is in listed(value)."""
+    marks = listed.select(F.col("value").alias(doc), F.lit(True).alias("complementary")).distinct()
+    return candidates.join(marks, doc, "left").withColumn("complementary", F.coalesce("complementary", F.lit(False)))
+
+
 def quota_for(k: int, quota: int = QUOTA, top_k: int = TOP_K) -> int:
     return min(k, round(quota * k / top_k)) if quota and top_k else 0
 
@@ -89,9 +101,14 @@ def slotted(question: DataFrame, options: DataFrame, k: int = TOP_K, from_questi
     each option in turn, and the question's rest.
 
     question(query_id, id, pos) and options(query_id, letter, id, pos) hold bounded candidate lists; rounds depend on
-    what earlier letters took, so a query is one fold over its candidates."""
+    what earlier letters took, so a query is one fold over its candidates.  Where question has is_norm, its first places
+    keep their part of the quota of norms."""
     import pandas as pd
 
+    if "is_norm" in question.columns:
+        head = with_quota(question, from_question, quota_for(from_question, top_k=k)).select("query_id", "id", F.col("place").alias("_place"))
+        by = Window.partitionBy("query_id").orderBy(F.col("_place").isNull(), "_place", "pos")
+        question = question.join(head, ["query_id", "id"], "left").select("query_id", "id", F.row_number().over(by).cast("long").alias("pos"))
     both = question.select("query_id", F.lit("").alias("letter"), "id", "pos").union(options.select("query_id", "letter", "id", "pos"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

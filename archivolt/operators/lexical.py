@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -17,27 +17,44 @@ def postings(docs: DataFrame, words: Column | None = None) -> DataFrame:
     return listed.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(docs: DataFrame) -> DataFrame:
-    """One row: n and avgdl; texts without words count."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def save_index(docs: DataFrame, path: str, words: Column | None = None) -> None:
+    """Postings and document lengths of docs(id, text) below path, sorted by term so that a search reads few row groups."""
+    posted = postings(docs, words)
+    posted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select("id", F.size(tokens(F.col("text")) if words is None else words).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def saved_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
+    """bm25() over a saved index."""
+    size = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return ranked_terms(asked_terms(queries, analyser), spark.read.parquet(f"{path}/postings"), size, k)
+
+
+def asked_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
+    return queries.select(F.col("id").alias("query_id"), F.explode(analyser(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
     """The k best documents of each query: query_id, rank, id, score (6 decimals), only positive scores, ties to the
     smaller id.
 
     Terms of the queries are joined with postings of the same terms before frequencies are counted, so what is
-    shuffled follows the queries' vocabulary; repeated query terms add up."""
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    posted = postings(docs).join(vocabulary, "term", "left_semi")
+    shuffled follows the queries' vocabulary; repeated query terms add up.  analyser turns a text into its terms."""
+    listed = docs.select("id", analyser(F.col("text")).alias("words"))
+    size = listed.select(F.size("words").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return ranked_terms(asked_terms(queries, analyser), postings(listed, F.col("words")), size, k)
+
+
+def ranked_terms(asked: DataFrame, posted: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """The k best documents of asked(query_id, term, qtf) by postings and the one row of size(n, avgdl)."""
+    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
     weighed = asked.join(document_frequency(posted), "term")
     scored = (
-        weighed.join(posted, "term").crossJoin(F.broadcast(corpus_size(docs)))
+        weighed.join(posted, "term").crossJoin(F.broadcast(size))
         .withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
         .groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from archivolt.functions.grammar import fold_text
+from archivolt.functions.json_repair import first_object, whole_pairs
 
 
 class Encoder(Protocol):
@@ -70,3 +73,51 @@ def reranked(pairs: DataFrame, score: Callable[[str, list[str]], list[float]] =
 def extractive_answers(items: DataFrame) -> DataFrame:
     """A stand-in for a decoder: the first evidence passage as the answer to items(id, evidence: array of texts)."""
     return items.select("id", F.coalesce(F.try_element_at("evidence", F.lit(1)), F.lit("")).alias("respuesta"), (F.size("evidence") == 0).alias("abstencion"))
+
+
+def prefixed(text, is_query: bool, encoder: str):
+    """Texts as an encoder wants them: one family tells questions from passages by a prefix."""
+    return F.concat(F.lit("query: " if is_query else "passage: "), text) if "e5" in encoder.lower() else text
+
+
+def option_query(question, option, rare=None):
+    """The text an option is searched with: the option and some rare words of the question, or the question and it."""
+    option = F.trim(option)
+    return F.concat_ws(" ", F.trim(question), option) if rare is None else F.concat_ws(" ", option, F.array_join(rare, " "))
+
+
+def fallback_option(options: DataFrame) -> DataFrame:
+    """id and option of options(id, option, score) where no answer is usable: the best score, the first by name of equal
+    ones and where no score exists."""
+    best = F.max("score").over(Window.partitionBy("id"))
+    top = options.withColumn("best", best).filter(F.col("best").isNull() | (F.col("score") == F.col("best")))
+    return top.groupBy("id").agg(F.min("option").alias("option"))
+
+
+CORRECTION = "\n\nLa salida anterior no era un JSON completo. Devuelve solo el objeto."
+
+
+def generated(requests: DataFrame, generate: Callable[[str], tuple[str, bool]], cache: DataFrame | None = None) -> DataFrame:
+    """id, key, answer (JSON or null) and tries (0: from the cache) of requests(id, key, prompt).
+
+    generate gives a text and whether it was cut off.  What is no object is asked for once more with a correction,
+    unless it was cut; of a cut one the whole pairs count.  cache(key, answer) is looked up first."""
+
+    @F.pandas_udf("answer string, tries int")
+    def answer(prompts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for prompt in prompts:
+            text, cut = generate(prompt)
+            found, tries = first_object(text), 1
+            if found is None and not cut:
+                text, cut = generate(prompt + CORRECTION)
+                found, tries = first_object(text), 2
+            found = found if found is not None else whole_pairs(text)
+            rows.append((None if found is None else json.dumps(found, ensure_ascii=False), tries))
+        return pd.DataFrame(rows, columns=["answer", "tries"])
+
+    if cache is None:
+        return requests.select("id", "key", answer("prompt").alias("a")).select("id", "key", "a.answer", "a.tries")
+    kept = cache.select("key", "answer").dropDuplicates(["key"])
+    fresh = requests.join(kept, "key", "left_anti").select("id", "key", answer("prompt").alias("a")).select("id", "key", "a.answer", "a.tries")
+    return requests.join(kept, "key").select("id", "key", "answer", F.lit(0).alias("tries")).union(fresh)

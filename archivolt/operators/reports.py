@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -92,3 +93,54 @@ def with_block(document: str, name: str, body: str) -> str:
     if not found.search(document):
         raise ValueError(f"the document has no block {name}")
     return found.sub(lambda m: f"{m[1]}\n{body}\n{m[2]}", document)
+
+
+def body_name(kind, number, year):
+    """What a body is called in a report."""
+    words = F.regexp_replace(kind, "_", " ")
+    plain = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    return F.when(kind == "jurisprudencia", F.concat(F.lit("Sentencia "), number, F.lit(" de "), year)).when(number.isNotNull(), F.concat(plain, F.lit(" "), number, F.lit(" de "), year)).otherwise(plain)
+
+
+def short_area(area, slugs: dict[str, str]):
+    """An area's short name with a capital, or its own."""
+    short = area
+    for name, slug in slugs.items():
+        short = F.when(area == name, F.lit(slug)).otherwise(short)
+    return F.concat(F.upper(F.substring(short, 1, 1)), F.lower(F.substring(short, 2, 1000)))
+
+
+def cell(value):
+    """A value in a Markdown table."""
+    text = F.replace(value.cast("string"), F.lit("|"), F.lit("\\|"))
+    return F.when(value.isNull() | (text == ""), "—").otherwise(text)
+
+
+def markdown_rows(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """line of each row of a Markdown table, with its order."""
+    return rows.select(order, F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.col(c)) for c in columns]), F.lit(" |")).alias("line"))
+
+
+# How a manifest says that documents were read.
+METHODS = ((("html", "htm"), "parser HTML"), (("pdf",), "extraccion de PDF (OCR si no hay capa de texto)"), (("docx",), "extraccion DOCX"), (("txt",), "texto plano"))
+BY_SECTION, BY_ARTICLE, SECTIONED = "segmentacion por seccion", "segmentacion por articulo", ("sentencia", "concepto")
+
+
+def ingestion_method(formats, kind):
+    """How documents of these formats (an array) and kind were read and cut."""
+    read = [F.when(F.arrays_overlap(formats, F.array(*map(F.lit, names))), F.lit(text)) for names, text in METHODS]
+    return F.concat_ws(" + ", *read, F.when(kind.isin(*SECTIONED), BY_SECTION).otherwise(BY_ARTICLE))
+
+
+def manifest(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id and entry: the JSON object of each of documents(doc_id, formats, type, ..) with columns in the order given
+    and metodo_ingesta after them."""
+    entry = F.struct(*[F.col(c) for c in columns], ingestion_method(F.col("formats"), F.col("type")).alias("metodo_ingesta"))
+    return documents.select("doc_id", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
+
+
+def write_manifest(documents: DataFrame, columns: list[str], path: str, about: dict) -> None:
+    """The manifest as JSON lines: what it is about, and then the documents in order."""
+    head = documents.sparkSession.createDataFrame([(json.dumps(about, ensure_ascii=False),)], "value string")
+    head.write.mode("overwrite").text(f"{path}/about")
+    manifest(documents, columns).orderBy("doc_id").select(F.col("entry").alias("value")).write.mode("overwrite").text(f"{path}/documents")

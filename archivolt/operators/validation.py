@@ -84,3 +84,21 @@ def delivery(lines: DataFrame, expected: DataFrame) -> DataFrame:
     fourth = per_id.join(expected, "id", "left_anti").agg(F.count(F.lit(1)).alias("extra"))
     fifth = lines.join(expected.select("id", F.col("formato").alias("wanted")), "id").filter("not (formato <=> wanted)").agg(F.count(F.lit(1)).alias("wrong_format"))
     return first.crossJoin(second).crossJoin(third).crossJoin(fourth).crossJoin(fifth)
+
+
+def allowed_runs(runs: DataFrame, allowed: tuple) -> DataFrame:
+    """Adds refused to runs(model, temperature): why a run may not start, or null."""
+    return runs.withColumn("refused", F.when(~F.coalesce(F.col("model").isin(*allowed), F.lit(False)), "model").when(F.col("temperature") != 0, "temperature"))
+
+
+def output_schema(kind: str, letters: tuple = ("A", "B", "C", "D")) -> dict:
+    """The JSON schema of an answer of a format, its fields in the order they are to be written."""
+    text, used = {"type": "string"}, {"type": "array", "items": {"type": "integer", "minimum": 1, "maximum": 20}, "maxItems": 10}
+    by_letter = {"type": "object", "properties": dict.fromkeys(letters, text), "required": list(letters)}
+    special = {
+        "analisis_opciones": by_letter, "respuesta_correcta": {"type": "string", "enum": list(letters)},
+        "palabras_clave": {"type": "array", "items": text, "minItems": 3, "maxItems": 6},
+    }
+    names = ("analisis_opciones", "respuesta_correcta", "justificacion") if kind == "multiple_choice" else REQUIRED[kind]
+    fields = {**{n: special.get(n, text) for n in names}, "pasajes_usados": used}
+    return {"type": "object", "properties": fields, "required": list(fields)}

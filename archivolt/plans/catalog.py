@@ -198,7 +198,7 @@ def html_visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.visible_text(F.col("html")).alias("text"))
 
 
-@query(f"select doc_id, case when y = '' then '' else y || chr(10) end text from (select doc_id, {duck_normalise('text')} y from documents)")
+@query(f"select doc_id, case when y = '' then '' else y || chr(10) end text from (select doc_id, {duck_normalise('nfc_normalize(text)')} y from documents)")
 def text_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("text"))
 
@@ -249,14 +249,14 @@ def embedding_cache_misses(spark, d):
     return sources.cache_misses(x.select("text"), cache).agg(F.count(F.lit(1)).alias("misses"))
 
 
-SUMMARY = """with s as (select source doc_id, nullif(count(distinct case when doc_id % 2 = 0 then doc_id % 7 end), 0) articles, count(*) fragments, sum(length(text))::bigint characters,
- sha256(string_agg(text, chr(10) || chr(10) order by doc_id)) sha256, list_sort(list(distinct lang)) formats, list_sort(list(distinct 'ley|' || doc_id % 5)) bodies from documents group by 1)"""
+SUMMARY = """with s as (select conv_id doc_id, nullif(count(distinct case when turn % 2 = 0 then turn % 7 end), 0) articles, count(*) fragments, sum(length(text))::bigint characters,
+ sha256(string_agg(text, chr(10) || chr(10) order by turn)) sha256, list_sort(list(distinct role)) formats, list_sort(list(distinct 'ley|' || turn % 5)) bodies from conversations group by 1)"""
 
 
 def summary(spark, d):
-    chunk = table(spark, d, "documents").select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), "text", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 7).alias("article"), F.col("lang").alias("format"),
-        F.array(F.concat(F.lit("ley|"), (F.col("doc_id") % 5).cast("string"))).alias("bodies"),
+    chunk = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text", F.when(F.col("turn") % 2 == 0, F.col("turn") % 7).alias("article"), F.col("role").alias("format"),
+        F.array(F.concat(F.lit("ley|"), (F.col("turn") % 5).cast("string"))).alias("bodies"),
     )
     return reports.document_summary(chunk)
 
@@ -296,7 +296,7 @@ def section_alerts(spark, d):
 
 def cited_orders(spark, d):
     """Text with one statute and one article for each order."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 300).cast("string").alias("a"), (F.col("o_orderkey") % 2000).cast("string").alias("n"), F.year("o_orderdate").cast("string").alias("y"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", (F.col("o_custkey") % 300).cast("string").alias("a"), (F.col("o_orderkey") % 2000).cast("string").alias("n"), F.year("o_orderdate").cast("string").alias("y"))
     return o.withColumn("text", F.concat(F.lit("Según el art. "), "a", F.lit(" de la Ley "), "n", F.lit(" de "), "y", F.lit(" procede.")))
 
 
@@ -329,7 +329,7 @@ select items, n_ref, n_cited, hits, hits_supported, hits_unsupported, wrong, uns
 
 @query(SCORED)
 def citation_score(spark, d):
-    x = cited_orders(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id").withColumn("cited", bodies_of(extract_citations("text")))
+    x = cited_orders(spark, d).withColumn("cited", bodies_of(extract_citations("text")))
     none = F.array().cast("array<string>")
     key = x.select("id", F.when(F.col("id") % 3 == 0, F.col("cited")).otherwise(F.array(F.lit("ley|1|1999"))).alias("reference"))
     answers = x.filter("o_custkey % 11 <> 0").select("id", (F.col("o_custkey") % 7 == 0).alias("abstained"), "cited", F.when(F.col("id") % 2 == 0, F.col("cited")).otherwise(none).alias("supported"))
@@ -478,10 +478,23 @@ def component_points(spark, d):
     return one.select("name", "total", "possible")
 
 
-# Queries that SQL cannot express; the tests hold them against plain restatements.
+# Texts made from keys: what must come out follows from the same keys.
 
 
-@query()
+GREEDY = r"""with recursive p as (select doc_id, unnest(l) t, generate_subscripts(l, 1) i from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') l from documents)),
+w as (select doc_id, i, t, regexp_extract_all(t, '\S+') w from p),
+cut as (select doc_id, i, 0 s, t, len(w) n from w where len(w) <= 300 union all
+ select doc_id, i, s, array_to_string(w[s + 1:s + 300], ' '), len(w[s + 1:s + 300]) from (select *, unnest(range(0, greatest(1, len(w) - 45), 255)) s from w where len(w) > 300)),
+u as (select doc_id, t, n, row_number() over (partition by doc_id order by i, s) u from cut),
+r as (select doc_id, u, 0 part, [{'t': t, 'n': n}] win from u where u = 1 union all
+ select r.doc_id, u.u, case when list_sum(list_transform(win, lambda x: x.n)) + u.n <= 300 then part else part + 1 end,
+  case when list_sum(list_transform(win, lambda x: x.n)) + u.n <= 300 then list_append(win, {'t': u.t, 'n': u.n})
+   else list_append(win[len(win) + 1 - len(list_filter(range(1, len(win) + 1), lambda i: list_sum(list_transform(win[len(win) - i + 1:], lambda x: x.n)) <= 45)):], {'t': u.t, 'n': u.n}) end
+ from r join u on u.doc_id = r.doc_id and u.u = r.u + 1)
+select doc_id, part, array_to_string(list_transform(win, lambda x: x.t), chr(10)) text from (select *, row_number() over (partition by doc_id, part order by u desc) z from r) where z = 1"""
+
+
+@query(GREEDY)
 def greedy_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.windows_of("text")).alias("part", "text"))
 
@@ -496,24 +509,47 @@ def statutes(spark, d):
     return table(spark, d, "customer").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
 
 
-@query()
+STATUTES = """with c as (select c_custkey k, c_custkey % 2 = 0 even, c_custkey % 9 a, c_name, c_mktsegment from customer),
+s as (select k doc_id, 0 ord, 'preamble' kind, null article, null section, 'LEY ' || k || case when even then '' else chr(10) || 'Por la cual se dicta' || chr(10) || 'DISPOSICIONES GENERALES' end text from c
+ union all select k, 1, 'article', a::varchar, case when even then 'TÍTULO I DISPOSICIONES GENERALES' end, 'ARTÍCULO ' || a || 'o. Objeto.' || chr(10) || c_name from c
+ union all select k, 2, 'note', a::varchar, case when even then 'TÍTULO I DISPOSICIONES GENERALES' end, 'Notas de vigencia' || chr(10) || 'Modificado en ' || k from c
+ union all select k, 3, 'article', (a + 1) || 'A', case when even then 'TÍTULO I DISPOSICIONES GENERALES' end, 'Artículo ' || (a + 1) || 'A. Alcance.' || chr(10) || c_mktsegment from c)"""
+
+
+@query(STATUTES + " select * from s")
 def article_segments(spark, d):
     return segment.statute_segments(statutes(spark, d))
 
 
-@query()
+@query("""select c_custkey doc_id, unnest([0, 1, 2, 3, 4, 5]) block, unnest([null, 'ANTECEDENTES', 'CONSIDERACIONES', 'RESUELVE', null, 'ACLARACIÓN DE VOTO']) section,
+unnest(['Magistrada ponente', 'I. ANTECEDENTES' || chr(10) || c_name, 'II. CONSIDERACIONES DE LA CORTE' || chr(10) || c_mktsegment, 'RESUELVE' || chr(10) || 'Primero.', 'Notifíquese y cúmplase' || chr(10) || 'Firmas',
+ 'ACLARACIÓN DE' || chr(10) || 'VOTO DEL MAGISTRADO' || chr(10) || 'fin']) text from customer""")
 def judgment_sections(spark, d):
     text = F.concat(F.lit("Magistrada ponente\nI. ANTECEDENTES\n"), F.col("c_name"), F.lit("\nII. CONSIDERACIONES DE LA CORTE\n"), F.col("c_mktsegment"), F.lit("\nRESUELVE\nPrimero.\nNotifíquese y cúmplase\nFirmas\nACLARACIÓN DE\nVOTO DEL MAGISTRADO\nfin"))
     return segment.judgment_sections(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
-@query()
+@query(STATUTES + """, h as (select *, 'Ley ' || doc_id || ' de 2012' || case kind when 'preamble' then ' (encabezado).' when 'note' then ', artículo ' || article || ' (notas de vigencia y jurisprudencia).' else ', artículo ' || article || '.' end || chr(10) || text whole from s),
+o as (select *, coalesce(sum(length(whole) + 2) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint b from h)
+select doc_id || '#' || lpad(ord::varchar, 5, '0') chunk_id, doc_id, b "begin", b + length(whole) "end", whole text, kind, article, section, 1 part, 1 parts from o""")
 def statute_chunks(spark, d):
     named = statutes(spark, d).select("doc_id", F.lit("ley").alias("type"), F.concat(F.lit("Ley "), F.col("doc_id").cast("string"), F.lit(" de 2012")).alias("name"), "text")
     return segment.chunks(named)
 
 
-@query()
+SLOTS = BM25 + """, b as (select query_id, rank pos, id from bm25 where rank <= 20),
+steps as (
+ select query_id, row_number() over (partition by query_id order by phase, round, letter, pos) step, cands, letter from (
+  select query_id, case when pos <= 4 then 1 else 3 end phase, 0 round, '' letter, pos, [id] cands from b where query_id % 5 = 0
+  union all select q, 2, r, letter, 0, cands from (select query_id - query_id % 5 q, substr('ABCD', (query_id % 5)::int, 1) letter, list(id order by pos) cands, unnest([1, 2]) r from b where query_id % 5 <> 0 group by 1, 2))),
+r as (select query_id, 0::bigint step, []::bigint[] seen, []::varchar[] origins from (select distinct query_id from steps) union all
+ select r.query_id, s.step, case when pick is null then seen else list_append(seen, pick) end, case when pick is null then origins else list_append(origins, case when s.letter = '' then 'question' else s.letter end) end
+ from r join steps s on s.query_id = r.query_id and s.step = r.step + 1, lateral (select case when len(seen) < 10 then list_filter(s.cands, lambda x: not list_contains(seen, x))[1] end pick)),
+z as (select * from r qualify row_number() over (partition by query_id order by step desc) = 1)
+select query_id, unnest(range(1, len(seen) + 1))::int place, unnest(seen) id, unnest(origins) origin from z"""
+
+
+@query(SLOTS.replace("with d as", "with recursive d as", 1))
 def option_slotting(spark, d):
     best = lexical.bm25(docs(spark, d), items(spark, d), 20)
     question = best.filter("query_id % 5 = 0").select("query_id", "id", F.col("rank").cast("long").alias("pos"))
@@ -521,7 +557,7 @@ def option_slotting(spark, d):
     return fusion.slotted(question, options)
 
 
-@query()
+@query("""select event_id, '{"id": ' || event_id || ', "type": "' || event_type || '", "props": ' || props || '}' json from events""")
 def json_repair(spark, d):
     from archivolt.functions.json_repair import repaired_json
 
@@ -529,7 +565,7 @@ def json_repair(spark, d):
     return table(spark, d, "events").select("event_id", repaired_json(made).alias("json"))
 
 
-@query()
+@query("""select o_orderkey id, case when o_orderkey % 2 = 0 then 'Según el art. ' || o_custkey % 300 || ' de la Ley ' || o_orderkey % 2000 || ' de ' || year(o_orderdate) || ' procede.' else 'Según la normativa aplicable procede.' end text from orders""")
 def citation_filter(spark, d):
     from archivolt.operators.postprocess import filter_citations
 

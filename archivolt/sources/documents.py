@@ -197,3 +197,21 @@ def direct_link(url: Column) -> Column:
         F.when(drive != "", F.concat(F.lit("https://drive.google.com/uc?export=download&id="), drive)).when(url.rlike(r"^https://(www\.)?dropbox\.com/"), F.concat(bare, mark, F.lit("dl=1")))
         .when(url.rlike(r"^https://[^/]*(sharepoint\.com|1drv\.ms)/"), F.concat(bare, mark, F.lit("download=1"))).when(zenodo != "", F.concat(zenodo, F.lit("?download=1"))).otherwise(url)
     )
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file (its path below `path`) and sha256 of every file below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", f"{path.rstrip('/').rsplit('/', 1)[1]}/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """file and problem (missing, changed or extra) where found(file, sha256) is not what manifest(file, sha256) says."""
+    both = manifest.select("file", F.col("sha256").alias("wanted")).join(found, "file", "full")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("wanted").isNull(), "extra").when(F.col("wanted") != F.col("sha256"), "changed")
+    return both.select("file", problem.alias("problem")).filter("problem is not null")
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """A dense index: vectors(id, vec) below path."""
+    vectors.select("id", "vec").write.mode("overwrite").parquet(path)
