@@ -112,7 +112,7 @@ def generated(requests: DataFrame, generate: Callable[[str], tuple[str, bool]],
             if found is None and not cut:
                 text, cut = generate(prompt + CORRECTION)
                 found, tries = first_object(text), 2
-            found = found if found is not None else whole_pairs(text)
+            found = whole_pairs(text) if found is None and cut else found
             rows.append((None if found is None else json.dumps(found, ensure_ascii=False), tries))
         return pd.DataFrame(rows, columns=["answer", "tries"])
 

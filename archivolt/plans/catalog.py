@@ -557,11 +557,12 @@ def option_slotting(spark, d):
     return fusion.slotted(question, options)
 
 
-@query("""select event_id, '{"id": ' || event_id || ', "type": "' || event_type || '", "props": ' || props || '}' json from events""")
+@query("""select event_id, '{"id": ' || event_id || ', "type": "' || event_type || '"' || case when event_id % 3 = 0 then '' else ', "props": ' || props end || '}' json from events""")
 def json_repair(spark, d):
     from archivolt.functions.json_repair import repaired_json
 
-    made = F.concat(F.lit('<think>x</think>```json\n{"id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('", "props": '), F.col("props"), F.when(F.col("event_id") % 3 == 0, ', "cut": "of').otherwise("}\n```"))
+    end = F.when(F.col("event_id") % 3 == 0, ', "cut": "of').otherwise(F.concat(F.lit(', "props": '), F.col("props"), F.lit("}\n```")))
+    made = F.concat(F.lit('<think>x</think>```json\n{"id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('"'), end)
     return table(spark, d, "events").select("event_id", repaired_json(made).alias("json"))
 
 
@@ -571,3 +572,6 @@ def citation_filter(spark, d):
 
     x = cited_orders(spark, d).withColumn("own", bodies_of(extract_citations("text")))
     return x.select("id", filter_citations("text", F.when(F.col("id") % 2 == 0, F.col("own")).otherwise(F.array().cast("array<string>"))).alias("text"))
+
+
+from archivolt.plans import cases  # noqa: E402, F401

@@ -81,6 +81,12 @@ def page_text(html: str) -> str:
     return "".join(page.parts)
 
 
+@F.pandas_udf(T.StringType())
+def page_texts(html: pd.Series) -> pd.Series:
+    """page_text() of each page, by a parser."""
+    return html.map(lambda h: page_text(h or ""))
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs, table rows with their cells in one line, and numbered notes without separators."""
     def plain(xml: str) -> str:
@@ -101,6 +107,24 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out)
 
 
+@F.pandas_udf(T.StringType())
+def docx_texts(contents: pd.Series) -> pd.Series:
+    return contents.map(docx_text)
+
+
+@F.pandas_udf(T.BinaryType())
+def made_docx(names: pd.Series, cells: pd.Series) -> pd.Series:
+    """Small DOCX files with a paragraph, a table row and a note, for trials."""
+    def one(name, cell):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f"<w:document><w:p><w:t>Hola {name}</w:t></w:p><w:tr><w:tc><w:p><w:t>a</w:t></w:p></w:tc><w:tc><w:p><w:t>{cell}</w:t></w:p></w:tc></w:tr></w:document>")
+            z.writestr("word/footnotes.xml", '<w:footnotes><w:footnote w:type="separator" w:id="0"><w:t>-</w:t></w:footnote><w:footnote w:id="2"><w:t>nota</w:t></w:footnote></w:footnotes>')
+        return out.getvalue()
+
+    return pd.Series([one(n, c) for n, c in zip(names, cells, strict=True)])
+
+
 def read_files(spark: SparkSession, path: str, pdf_pages=None) -> DataFrame:
     """path, text and error of each file below path with a known extension; a damaged file is a row with its error.
 
