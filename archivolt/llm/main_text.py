@@ -152,7 +152,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text (blocks joined by an empty line; empty if none) for every row of pages(page_id, url, html).
 
     Null or empty html gives an empty text; null urls share one template; repeated rows are read each; html of any
-    length is read whole; other columns are ignored."""
+    length is read whole; other columns are ignored; no rows give no rows.  Forms of a host that as many pages have are
+    taken in the order of their hash."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of("url"))
     known = written(templates(pages.select("host", "html")), "templates")
 

@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     empty texts and texts of white space have no shingles and are linked with nothing; equal sets, so also repeated
     rows and texts of equal words, are one group whatever their doc_id; a null doc_id is never a component_id unless
     all of its group are null, and is never kept beside another.  Of rows that share the least doc_id, one is kept per
-    row.  Other columns are ignored.  A pair at the very threshold has a chance of (1 - 0.8**rows)**bands to meet in no
+    row.  Other columns are ignored; texts of any length are read whole; no rows give no rows.  A pair at the very threshold has a chance of (1 - 0.8**rows)**bands to meet in no
     band (3e-6 as set here); longer rows and more bands trade time for it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signs = written(signed(docs, size, bands, rows, bits).withColumn("uid", F.monotonically_increasing_id()), "signs")

@@ -1,9 +1,9 @@
 """Packing by minimum bin slack.
 
 Documents are cut into pieces of at most the window's size.  The lengths of the pieces make a histogram with one
-count per length, whatever the size of the corpus.  For one window after the other, a subset-sum over a bitset finds
-the multiset of remaining lengths that comes closest to the capacity; backtracking gives how often it takes each
-length.  The multiset is then used for as many windows as the counts allow, so that the number of steps follows the
+count per length, whatever the size of the corpus.  For one window after the other, the longest piece left begins it
+and a subset-sum over a bitset finds the multiset of remaining lengths that comes closest to the capacity; backtracking
+gives how often it takes each length.  The multiset is then used for as many windows as the counts allow, so that the number of steps follows the
 number of distinct lengths and not that of documents.  Pieces find their window by their rank within their length."""
 
 from __future__ import annotations
@@ -46,13 +46,23 @@ def best_fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return sorted(took.items(), reverse=True)
 
 
+def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
+    """The multiset for the next window: the longest piece left, which has the fewest places it fits, and the best fill of
+    what remains beside it."""
+    longest = max(counts)
+    rest = {length: n - (length == longest) for length, n in counts.items() if length <= capacity - longest}
+    took = dict(best_fill({length: n for length, n in rest.items() if n}, capacity - longest))
+    took[longest] = took.get(longest, 0) + 1
+    return sorted(took.items(), reverse=True)
+
+
 def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first_rank, per_window, first_window, offset): pieces of this length with ranks from first_rank
     go into windows from first_window, per_window of them in each, the first at offset."""
     left = {k: v for k, v in histogram.items() if v > 0}
     used, rows, window = dict.fromkeys(left, 0), [], 0
     while left:
-        fill = best_fill(left, capacity)
+        fill = fullest(left, capacity)
         times = min(left[length] // n for length, n in fill)
         offset = 0
         for length, n in fill:
@@ -87,16 +97,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFram
     """Packs every document of docs(doc_id, text) into windows of at most capacity tokens.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A null text
-    counts as empty and is the end id alone; a null doc_id is kept; repeated rows are packed each; other columns are
-    ignored; no rows give no rows.  Only the histogram of lengths (capacity numbers) reaches the driver, and the plan
-    sent back holds a bounded number of rows: each step uses up a length, and a step has at most
-    sqrt(2 * capacity) distinct lengths."""
+    counts as empty and is the end id alone; a text of any length is cut into as many pieces as it needs; a null doc_id
+    is kept; repeated rows are packed each; other columns are ignored; no rows give no rows.  Pieces of equal length
+    differ by rank alone, so ties change nothing.  Only the histogram of lengths (capacity numbers) reaches the driver.
+    The plan sent back grows with the logarithm of its counts: a step uses a multiset as often as they allow."""
     pieces = written(pieces_of(docs, tokenizer_path, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_windows(histogram, capacity)
-    by_length: dict[int, np.ndarray] = {}
-    for length in histogram:
-        by_length[length] = np.array([r[1:] for r in plan if r[0] == length], np.int64)
+    steps: dict[int, list] = {length: [] for length in histogram}
+    for length, *step in plan:
+        steps[length].append(step)
+    by_length = {length: np.array(rows, np.int64) for length, rows in steps.items()}
     total = sum(histogram.values())
     at = ranked(pieces, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], salts(total), "rank")
 

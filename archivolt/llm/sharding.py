@@ -64,7 +64,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     Returns doc_id, size (UTF-8 bytes of the text, null: none, plus 8), text_crc32 (unsigned), shard and slot (gapless
     from 0 within a shard).  Counts of shards differ by one at most, also where fewer rows than shards exist.  A null
     text equals other nulls and the empty text; repeated rows and null doc_ids are placed like others; a group larger
-    than a shard is split over as few as have room.  Other columns are ignored."""
+    than a shard is split over as few as have room.  Texts of any length are hashed whole; ties between shards fall by a
+    hash of group and shard; other columns are ignored; no rows give no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"))

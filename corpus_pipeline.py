@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from archivolt.llm.shared import table, written
 from archivolt.llm.toxicity import categories, toxicity
 from archivolt.session import attach
 
+#: All stages read these columns and no others, whatever else a table has; an empty table stays empty.  Texts of any
+#: length are read whole.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,7 +33,8 @@ def without_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain takes for toxic go."""
+    """Documents that the classifier chain takes for toxic go; null and empty texts get the base rate and so stay, equal
+    texts share one verdict."""
     attach(spark)
     scored = toxicity(docs.select(COLUMNS), table(spark, sf_dir, "labels"), categories(), keep=COLUMNS)
     return scored.filter("p_toxic < 0.5").select(COLUMNS)
@@ -40,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that share at least 0.8 of their five-word shingles, one with the least doc_id stays, a null only where
-    all are null; rows with equal doc_ids count each, and rows without words stay."""
+    all are null, and of rows with equal doc_ids the first read; rows without words (null, empty, white space) stay."""
     attach(spark)
     rows = numbered(docs)
     near = near_duplicates(as_docs(rows), size=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
@@ -50,7 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under repeated strings of 200 bytes go; characters cut in two go as well, and documents left empty."""
+    """Bytes under repeated strings of 200 bytes go; characters cut in two go as well, and documents left empty.  A null
+    text becomes an empty one and stays, as do all that were empty; null and repeated doc_ids are kept."""
     attach(spark)
     cut = without_repeats(docs.select("doc_id", "text", "lang", "source"), extra="lang,source", decoded=True)
     left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
@@ -58,7 +61,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a passage of the benchmark go; others with their doc_id stay."""
+    """Rows that hold a passage of the benchmark go; others with their doc_id stay, and so do null and empty texts."""
     attach(spark)
     rows = numbered(docs)
     found = leaks(as_docs(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
@@ -66,7 +69,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 2048 tokens."""
+    """What is left, packed into sequences of 2048 tokens; a null or empty text is the end id alone."""
+    import public_tokenizers
+
     attach(spark)
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 

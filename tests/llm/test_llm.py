@@ -359,6 +359,47 @@ def test_quality(spark):
     assert all(r.score == 0.5 for r in quality.quality(frame(spark, ODD), y.limit(0)).collect())
 
 
+def test_quality_is_the_vote_of_the_nearest(spark):
+    """Against every labelled text, one by one."""
+    rows, marks = labelled(spark, 120)
+    y = marks.select("doc_id", F.col("quality").alias("y")).filter("doc_id % 3 <> 1").union(spark.createDataFrame([(0, 1)], "doc_id long, y int"))  # a label that contradicts
+    docs = frame(spark, rows + ODD)
+    projection, known, label = quality.fit(docs.select("doc_id", "text"), y)
+    got = collections.defaultdict(list)
+    for r in quality.quality(docs, y).collect():
+        got[r.doc_id].append(r.score)
+    base = float(label.mean())
+    for doc, text in rows + ODD:
+        x = quality.unit(quality.shares(pa.array([text or ""], pa.large_string())) @ projection)[0]
+        near = sorted(((max(float(sum(a * b for a, b in zip(x.tolist(), v, strict=True))), 0.0) ** quality.SHARPNESS, l) for v, l in zip(known.tolist(), label.tolist(), strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        want = (sum(w * l for w, l in near) + 1e-6 * base) / (sum(w for w, _ in near) + 1e-6)
+        assert min(abs(s - want) for s in got[doc]) < 1e-3
+    short = [(i, "x" * (i % 3)) for i in range(5000)]
+    assert quality.quality(frame(spark, short), y).count() == 5000
+
+
+def test_toxicity_is_the_chain(spark):
+    """Against a plain walk through the chain, word by word."""
+    rows, marks = labelled(spark, 200)
+    docs = frame(spark, rows + ODD)
+    known, models = toxicity.fit_chain(docs.select("doc_id", "text"), marks, toxicity.categories())
+    place = {f: i for i, f in enumerate(known.tolist())}
+    got = collections.defaultdict(list)
+    for r in toxicity.toxicity(docs, marks, toxicity.categories()).collect():
+        got[r.doc_id].append((r.p_degraded, r.p_toxic))
+    for doc, text in rows + ODD:
+        words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        own = {int(f) for w in words for f in toxicity.features_of([w])[0]} | ({toxicity.AGAIN} if any(a == b for a, b in zip(words, words[1:], strict=False)) else set())
+        at, dense, want = [place[f] for f in own if f in place], [1.0], []
+        for w, v in models:
+            odds = sum(w[i] for i in at) + sum(a * b for a, b in zip(dense, v.tolist(), strict=True))
+            dense.append(max(-8.0, min(8.0, odds)))
+            want.append(1 / (1 + np.exp(-odds)))
+        assert any(np.allclose(p, want, atol=1e-6) for p in got[doc])
+    with pytest.raises(ValueError):
+        toxicity.toxicity(docs.withColumn("p_toxic", F.lit(1)), marks, toxicity.categories(), keep=["doc_id", "p_toxic"])
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -541,9 +582,73 @@ def test_topk_skips_far_rings(spark):
     assert 0 < searched < 0.9 * every
 
 
+# ---------------------------------------------------------------- queries
+
+
+COLUMNS = {
+    "op1_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}, "op2_decontamination": {"doc_id", "item_id", "similarity", "first_word", "n_words"},
+    "op3_quality": {"doc_id", "held_out", "score", "predicted"}, "op4_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"}, "op5_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op6_main_text": {"page_id", "url", "text", "n_chars"}, "op7_topk": {"query_id", "rank", "vec_id", "score"}, "op8_token_shards": {"doc_ids", "slot", "shard", "byte_offset", "tokens_crc32"}, "op9_toxicity": {"doc_id", "score", "predicted"},
+    "op10_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_queries(spark, sf, name):
+    import duckdb
+
+    from archivolt.llm.queries import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(COLUMNS)
+    found = QUERIES[name](spark, sf).toPandas()
+    assert COLUMNS[name] <= set(found.columns) and len(found)
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
+    if name in ORACLES:
+        expected = con.execute(ORACLES[name]).df()[found.columns]
+        assert collections.Counter(map(tuple, found.astype(str).to_numpy().tolist())) == collections.Counter(map(tuple, expected.astype(str).to_numpy().tolist()))
+    docs = con.execute("select count(*) from documents").fetchone()[0]
+    if name in ("op3_quality", "op5_sharding", "op9_toxicity"):
+        assert len(found) == docs
+    if name == "op1_packing":  # hardly any padding, and all of it checked against the tokens there are
+        assert found["length"].sum() >= 0.98 * 2048 * (found["sequence_id"].max() + 1) and found.groupby("doc_id")["length"].sum().eq(found.groupby("doc_id")["doc_tokens"].first()).all()
+    if name == "op3_quality":
+        assert found["held_out"].tolist() == [zlib.crc32(str(d).encode()) % 3 == 1 for d in found["doc_id"]] and found["predicted"].tolist() == (found["score"] >= 0.5).astype(int).tolist()
+    if name == "op6_main_text":
+        assert found["n_chars"].tolist() == found["text"].str.len().tolist()
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, marks = labelled(spark, 120)
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for some in (rows + ODD, []):
+        docs = spark.createDataFrame([(d, t, None, None, None) for d, t in some], kinds)
+        for c in ("row", "uid", "dg", "d", "kept", "removed", "p_toxic", "component_id"):  # names that clash with those inside
+            docs = docs.withColumn(c, F.lit(1))
+        for name, stage in pipeline.STAGES:
+            out = shared.written(stage(spark, docs, str(tmp_path)), name)
+            left = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+            if name != "packing":
+                assert out.columns == pipeline.COLUMNS and [f.dataType.simpleString() for f in out.schema] == ["bigint", "string", "string", "string", "bigint"]
+            if name in ("suffix_dedup", "decontamination"):
+                # the long text repeats within itself and the toxic ones are short: nothing else is cut or dropped
+                gone = collections.Counter(d for d, _ in some) - left
+                assert gone <= collections.Counter({6: 1} if name == "suffix_dedup" else {})
+            if name == "toxicity" and some:
+                assert left.total() == sum(1 for i, _ in rows if i % 5) + len(ODD)
+            if not some:
+                assert not left
+
+
+
+
 def test_pipeline(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(pipeline.COLUMNS)
