@@ -90,17 +90,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fitted(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, label: np.ndarray, weight: np.ndarray, width: int, steps: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression by Adam on rows of positive weight: weights of the features and of the dense columns."""
+    """Logistic regression by Adam on rows of positive weight: weights of the features and of the dense columns.
+
+    Features that the same rows have get the same weight in every step, so one stands for all of them (told by the sum
+    of 64 random bits a row); those that no row has keep 0."""
+    live = weight[row] > 0
+    row, feature = row[live], feature[live]
+    by = np.argsort(feature, kind="stable")
+    used, first = np.unique(feature[by], return_index=True)
+    marks = np.random.default_rng(5).integers(0, 1 << 64, len(label), np.uint64)
+    alike = np.add.reduceat(marks[row[by]], first) if len(used) else np.zeros(0, np.uint64)
+    _, lead, group, times = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
+    column = np.full(width, -1)
+    column[used[lead]] = np.arange(len(lead))
+    own = column[feature]
+    row, own = row[own >= 0], own[own >= 0]
     share = weight / max(1e-9, weight.sum())
-    w, v = np.zeros(width), np.zeros(dense.shape[1])
+    w, v = np.zeros(len(lead)), np.zeros(dense.shape[1])
     m, s = [np.zeros(len(w)), np.zeros(len(v))], [np.zeros(len(w)), np.zeros(len(v))]
     for t in range(1, steps + 1):
-        error = (sigmoid(np.bincount(row, w[feature], len(label)) + dense @ v) - label) * share
-        for k, (x, g) in enumerate(((w, np.bincount(feature, error[row], width) + ridge * w), (v, dense.T @ error))):
+        error = (sigmoid(np.bincount(row, (times * w)[own], len(label)) + dense @ v) - label) * share
+        for k, (x, g) in enumerate(((w, np.bincount(own, error[row], len(w)) + ridge * w), (v, dense.T @ error))):
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.99 * s[k] + 0.01 * g * g
             x -= 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
-    return w, v
+    full = np.zeros(width)
+    full[used] = w[group]
+    return full, v
 
 
 def telling(counts: DataFrame, totals: dict[tuple, float], n: int) -> DataFrame:
