@@ -690,3 +690,23 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     for before in (cut, docs):
         kept = {k: n for k, n in seen(before).items() if leak not in (k[1] or "")}
         assert seen(pipeline.drop_leaks(spark, before, str(tmp_path))) == kept
+
+
+def test_fitted_is_the_optimum():
+    """Against Newton's method on the whole matrix, with features that the same rows have and one that no row has."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((120, 9)) < 0.4).astype(float)
+    x[:, 4], x[:, 7] = x[:, 2], 0.0
+    label, weight = (rng.random(120) < 0.3 + 0.4 * x[:, 0]).astype(float), (rng.random(120) < 0.8).astype(float)
+    dense = np.stack([np.ones(120), rng.normal(size=120)], axis=1)
+    row, feature = np.nonzero(x)
+    w, v = toxicity.fitted(row, feature, dense, label, weight, 9, ridge=1e-2, close=1e-9)
+    both, damp, best, share = np.concatenate([x, dense], axis=1), np.array([1e-2] * 9 + [0.0] * 2), np.zeros(11), weight / weight.sum()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-both @ best))
+        best -= np.linalg.solve((both * (share * p * (1 - p))[:, None]).T @ both + np.diag(damp), both.T @ ((p - label) * share) + damp * best)
+    assert np.allclose(np.concatenate([w, v]), best, atol=1e-6) and w[7] == 0 and w[2] == w[4]
+    none = toxicity.fitted(row, feature, dense, label, np.zeros(120), 9)
+    assert not none[0].any() and not none[1].any()  # no labelled row: odds of 0
+    nothing = toxicity.fitted(np.zeros(0, int), np.zeros(0, int), dense[:, :1], label, np.ones(120), 0)
+    assert np.allclose(nothing[1], np.log(label.mean() / (1 - label.mean())), atol=1e-3)  # no feature: the base rate
