@@ -6,12 +6,15 @@ from archivolt.llm.decontamination import op2_decontamination
 from archivolt.llm.exact_spans import op10_suffix_dedup
 from archivolt.llm.main_text import op6_main_text
 from archivolt.llm.minhash import op4_near_dedup
+from archivolt.llm.mixing import MIXING_SQL, op13_mixing
 from archivolt.llm.packing import op1_packing
+from archivolt.llm.prefix_trie import TRIE_SQL, op11_prefix_trie
 from archivolt.llm.quality import op3_quality
 from archivolt.llm.sharding import op5_sharding
 from archivolt.llm.token_shards import op8_token_shards
 from archivolt.llm.topk import op7_topk
 from archivolt.llm.toxicity import op9_toxicity
+from archivolt.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_mixing": op13_mixing,
 }
 
 NEAR_SQL = r"""
@@ -64,4 +70,6 @@ ORACLES: dict[str, str] = {
     "op4_near_dedup": NEAR_SQL,
     "op7_topk": TOP_SQL,
     "op10_suffix_dedup": SPANS_SQL,
+    "op11_prefix_trie": TRIE_SQL,
+    "op13_mixing": MIXING_SQL,
 }
