@@ -15,6 +15,7 @@ from archivolt.functions.grammar import ALIASES, article_level, bodies_of, body_
 from archivolt.operators import dense, evaluation, fusion, lexical, models, postprocess, reports, router, runs, segment, validation
 from archivolt.plans.catalog import BM25, CAPPED, candidates, cited_orders, docs, items, query, table
 from archivolt.session import work_path
+from archivolt.sources import committed
 from archivolt.sources import documents as sources
 
 
@@ -276,10 +277,10 @@ def same_length_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", X.same_length_fold(F.col("text")).alias("folded"), F.length("text").cast("long").alias("n"))
 
 
-@query(r"select conv_id, turn, regexp_replace(replace(text, ' ', '-' || chr(10)), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g') joined from conversations where turn % 2 = 0")
+@query(r"select conv_id, turn, regexp_replace(replace(text, ' ', '-' || chr(10)), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g') joined from conversations")
 def joined_hyphens(spark, d):
     text = F.replace(F.col("text"), F.lit(" "), F.lit("-\n"))
-    return table(spark, d, "conversations").filter("turn % 2 = 0").select("conv_id", "turn", X.joined_hyphens(text).alias("joined"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.joined_hyphens(text).alias("joined"))
 
 
 FOLDED = "trim(regexp_replace(lower(translate(text, '{a}', '{p}')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))".replace("{a}", X.ACCENTED).replace("{p}", X.PLAIN)
@@ -400,8 +401,7 @@ def listed_values(spark, d):
 def corpus_texts(spark, d):
     path = work_path(spark, "texts")
     sources.write_texts(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text"), path)
-    files = spark.read.text(path, wholetext=True)
-    return files.select("doc_id", F.regexp_replace("value", r"\n$", "").alias("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return committed.load(spark, path, "doc_id long, text string")
 
 
 @query("select c_custkey id, c_name || ' café' as text from customer")
@@ -446,11 +446,11 @@ def generated_answers(spark, d):
     return models.generated(e, generate, cache).select("id", "answer", "tries")
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then n_chars end size from documents where doc_id % 2 = 0")
+@query("select doc_id, case when doc_id % 3 = 0 then n_chars end size from documents")
 def cached_values(spark, d):
     x = table(spark, d, "documents")
     cache = x.filter("doc_id % 3 = 0").groupBy(F.sha2("text", 256).alias("key")).agg(F.max("n_chars").alias("size"))
-    found = sources.from_cache(x.filter("doc_id % 2 = 0").select("doc_id", "text"), cache)
+    found = sources.from_cache(x.select("doc_id", "text"), cache)
     return found.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("size")).alias("size"))
 
 

@@ -574,4 +574,4 @@ def citation_filter(spark, d):
     return x.select("id", filter_citations("text", F.when(F.col("id") % 2 == 0, F.col("own")).otherwise(F.array().cast("array<string>"))).alias("text"))
 
 
-from archivolt.plans import cases  # noqa: E402, F401
+from archivolt.plans import cases, storage  # noqa: E402, F401

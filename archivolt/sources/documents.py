@@ -21,6 +21,10 @@ EXTENSIONS = (".html", ".htm", ".txt", ".pdf", ".docx")
 NOISE = frozenset("script style noscript nav header footer form aside button iframe svg template".split())
 BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table section article blockquote pre dd dt dl hr".split())
 
+#: Windows-1252 differs from ISO-8859-1 in the bytes that are controls there.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+SIGNS = bytes(range(0x80, 0xA0)).decode("windows-1252", errors="replace")
+
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of sources: semicolons where the first line has more of them than commas, a byte-order mark or none,
@@ -31,10 +35,10 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip().lower()) for c in rows.columns])
 
 
-@F.pandas_udf(T.StringType())
-def decoded(contents: pd.Series) -> pd.Series:
+def decoded(contents: Column) -> Column:
     """Bytes as text: without a byte-order mark, UTF-8 where it is valid, else Windows-1252."""
-    return contents.map(as_text)
+    bare = F.when(F.substring(contents, 1, 3) == F.unhex(F.lit("EFBBBF")), F.substring(contents, 4, 2147483647)).otherwise(contents)
+    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.translate(F.decode(contents, "ISO-8859-1"), CONTROLS, SIGNS))
 
 
 def as_text(content: bytes) -> str:
@@ -125,35 +129,15 @@ def made_docx(names: pd.Series, cells: pd.Series) -> pd.Series:
     return pd.Series([one(n, c) for n, c in zip(names, cells, strict=True)])
 
 
-def read_files(spark: SparkSession, path: str, pdf_pages=None) -> DataFrame:
-    """path, text and error of each file below path with a known extension; a damaged file is a row with its error.
+def read_files(spark: SparkSession, path: str, pdf_pages: str = "", unknown: str = "error") -> DataFrame:
+    """path, text, problem and error of each file below path, with normalised texts; a damaged file, and one of an unknown
+    kind (unless unknown is skip), is a row with its problem.
 
-    pdf_pages(bytes) -> list of page texts is a parameter, as no PDF reader is at hand here."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kind = F.lower(F.concat(F.lit("."), F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    known = files.withColumn("kind", kind).filter(F.col("kind").isin(*EXTENSIONS))
-
-    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-    def read(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for kind, content in zip(kinds, contents, strict=True):
-            try:
-                if kind == ".docx":
-                    found = docx_text(content)
-                elif kind == ".pdf":
-                    if pdf_pages is None:
-                        raise ValueError("no reader of PDF pages was given")
-                    found = "\f".join(pdf_pages(content))
-                else:
-                    text = as_text(content)
-                    found = page_text(text) if kind in (".html", ".htm") else text
-                rows.append((found, None if found.strip() else "no text"))
-            except Exception as error:  # one damaged file must not end the scan
-                rows.append(("", f"{type(error).__name__}: {error}"))
-        return pd.DataFrame(rows, columns=["text", "error"])
-
-    out = known.select("path", read("kind", "content").alias("r"))
-    return out.select("path", joined_hyphens(normalise(F.col("r.text"))).alias("text"), F.col("r.error").alias("error"))
+    pdf_pages (module:function, from bytes to the texts of pages) is a parameter, as no PDF reader is at hand here."""
+    from archivolt.sources.files import scan
+
+    out = scan(spark, path, pdf=pdf_pages, unknown=unknown)
+    return out.select("path", "extension", joined_hyphens(normalise(F.col("text"))).alias("text"), "problem", "error")
 
 
 def joined_files(files: DataFrame, key: Column) -> DataFrame:
@@ -184,9 +168,11 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_texts(chunks: DataFrame, path: str) -> None:
-    """A folder for each document with its whole text; what an earlier run left goes first."""
+    """A file for each document with its whole text; what an earlier run left goes when this one is whole."""
+    from archivolt.sources.committed import save
+
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda c: c["text"]), "\n\n")
-    chunks.groupBy("doc_id").agg(text.alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("doc_id").text(path)
+    save(chunks.groupBy("doc_id").agg(text.alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), path)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
