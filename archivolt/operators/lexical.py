@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from archivolt.functions.text import tokens
+from archivolt.session import materialised, work_path
 
 K1, B = 1.5, 0.75
+#: Documents of a block of postings, and blocks of a query that are scored before its threshold is known.
+BLOCK, FIRST = 128, 4
 
 
 def postings(docs: DataFrame, words: Column | None = None) -> DataFrame:
@@ -21,17 +30,114 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def save_index(docs: DataFrame, path: str, words: Column | None = None) -> None:
-    """Postings and document lengths of docs(id, text) below path, sorted by term so that a search reads few row groups."""
-    posted = postings(docs, words)
-    posted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    docs.select("id", F.size(tokens(F.col("text")) if words is None else words).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+def inverted(batches, block_rows: int, kind: pa.DataType):
+    """Blocks of postings from rows (no, id, words) in the order of no: for each block of documents and term the ids, counts
+    and lengths of the documents that hold it; a null term has the block's documents and words."""
+    held, own = [], None
+
+    def flush():
+        ids, lists = (pa.concat_arrays(c) for c in zip(*held, strict=True))
+        words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        coded = words.dictionary_encode()
+        pairs, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+        terms, docs = np.divmod(pairs, len(ids))
+        begins = np.flatnonzero(np.diff(terms, prepend=-1))
+        offsets = pa.array(np.append(begins, len(pairs)).astype(np.int32))
+        every = lambda values: pa.ListArray.from_arrays(offsets, values)
+        names = pa.concat_arrays([coded.dictionary.take(pa.array(terms[begins])), pa.array([None], pa.string())])
+        whole = pa.array([[len(ids)]], pa.list_(pa.int32())), pa.array([[int(sizes.sum())]], pa.list_(pa.int64()))
+        columns = [names, pa.array(np.full(len(names), own)), pa.concat_arrays([every(ids.take(pa.array(docs))), pa.array([[]], pa.list_(kind))])]
+        columns += [pa.concat_arrays([every(pa.array(counts.astype(np.int32))), whole[0]]), pa.concat_arrays([every(pa.array(sizes[docs])), whole[1]])]
+        return pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "tfs", "dls"])
+
+    for batch in batches:
+        of = batch.column("no").to_numpy() // block_rows
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if begin < end:
+                if held and of[begin] != own:
+                    yield flush()
+                    held.clear()
+                own = of[begin]
+                held.append((batch.column("id").slice(begin, end - begin), batch.column("words").slice(begin, end - begin)))
+    if held:
+        yield flush()
+
+
+def save_index(docs: DataFrame, path: str, analyser=tokens, block: int = BLOCK) -> None:
+    """An index of docs(id, text) below path: blocks of postings, each of `block` documents in the order they are read, with
+    the block's greatest impact, sorted by term.
+
+    Each text is read and split once, and blocks are made where it was read; only they are shuffled.  Documents and words
+    in all, document frequencies and impacts come from the blocks.  A null text has no words; ids may be repeated."""
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType
+    listed = docs.select(F.monotonically_increasing_id().alias("no"), "id", analyser(F.col("text")).alias("words"))
+    schema = f"term string, block long, ids array<{kind.simpleString()}>, tfs array<int>, dls array<bigint>"
+    listed.mapInArrow(partial(inverted, block_rows=block, kind=to_arrow_type(kind)), schema).write.mode("overwrite").parquet(f"{path}/blocks")
+    made = spark.read.schema(schema).parquet(f"{path}/blocks")
+    size = made.filter("term is null").agg(F.coalesce(F.sum(F.col("tfs")[0]), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("dls")[0]) / F.sum(F.col("tfs")[0]), F.lit(0.0)).alias("avgdl"))
+    n, avgdl = size.first()
+    size.write.mode("overwrite").parquet(f"{path}/size")
+    top_ = F.array_max(F.zip_with("tfs", "dls", lambda tf, dl: impact(tf, dl, F.lit(avgdl))))
+    found = made.filter("term is not null").select("term", "block", F.size("ids").alias("held"), top_.alias("top"), "ids", "tfs", "dls")
+    found.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def impact(tf, dl, avgdl):
+    return tf / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def index_frequency(spark: SparkSession, path: str) -> DataFrame:
+    """term and df by a saved index."""
+    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("held").alias("df"))
 
 
 def saved_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
-    """bm25() over a saved index."""
-    size = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return ranked_terms(asked_terms(queries, analyser), spark.read.parquet(f"{path}/postings"), size, k)
+    """The k best documents of each query by a saved index.
+
+    The greatest impacts of a block's terms bound the score of its documents.  The blocks with the greatest bounds are
+    scored first, and of the others only those whose bound reaches the k-th score so far; none that could hold a better
+    document is left out."""
+    return search_index(spark, path, queries, k, analyser)[0]
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """saved_bm25() and the pairs of queries and blocks with `scored`, whether their documents were scored."""
+    size = spark.read.parquet(f"{path}/size").first()
+    asked = materialised(asked_terms(queries, analyser), "asked")
+    postings_ = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
+    heads = postings_.select("term", "block", "held", "top")
+    df = heads.groupBy("term").agg(F.sum("held").alias("df"))
+    idf = F.log1p((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = materialised(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), "weighed")
+    bounds = materialised(weighed.join(heads, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.max("held").alias("held")), "bounds")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    best = bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first).drop("turn")
+    begun = materialised(scores(best, weighed, postings_, size["avgdl"], k), "begun")
+    # a bound is a sum in another order than the score, which is rounded: a margin of two of its last places
+    least = begun.filter(F.col("rank") == k).select("query_id", (F.col("score") - 2e-6).alias("least"))
+    rest = bounds.join(best.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("bound >= coalesce(least, 0.0)")
+    rest = materialised(rest.select("query_id", "block"), "rest")
+    more = scores(rest, weighed, postings_, size["avgdl"], k)
+    found = top(begun.select("query_id", "id", "score").union(more.select("query_id", "id", "score")), k)
+    read = best.select("query_id", "block").union(rest).withColumn("scored", F.lit(True))
+    return found, bounds.select("query_id", "block").join(read, ["query_id", "block"], "left").fillna(False, ["scored"])
+
+
+def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float, k: int) -> DataFrame:
+    """The k best documents of the blocks of pairs(query_id, block)."""
+    wanted = pairs.select("query_id", "block").join(weighed, "query_id")
+    each = wanted.join(held, ["term", "block"]).select("query_id", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    part = F.col("weight") * impact(F.col("p.tfs"), F.col("p.dls"), F.lit(avgdl))
+    scored = each.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored.filter("score > 0"), k)
+
+
+def overlap(spark: SparkSession, path: str, queries: DataFrame, analyser=tokens) -> DataFrame:
+    """query_id, id and score: how many different words of a query a document holds, by a saved index."""
+    asked = asked_terms(queries, analyser).select("query_id", "term")
+    each = asked.join(spark.read.parquet(f"{path}/postings").select("term", "ids"), "term").select("query_id", F.explode("ids").alias("id"))
+    return each.groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
 def asked_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
@@ -40,26 +146,10 @@ def asked_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
     """The k best documents of each query: query_id, rank, id, score (6 decimals), only positive scores, ties to the
-    smaller id.
-
-    Terms of the queries are joined with postings of the same terms before frequencies are counted, so what is
-    shuffled follows the queries' vocabulary; repeated query terms add up.  analyser turns a text into its terms."""
-    listed = docs.select("id", analyser(F.col("text")).alias("words"))
-    size = listed.select(F.size("words").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return ranked_terms(asked_terms(queries, analyser), postings(listed, F.col("words")), size, k)
-
-
-def ranked_terms(asked: DataFrame, posted: DataFrame, size: DataFrame, k: int) -> DataFrame:
-    """The k best documents of asked(query_id, term, qtf) by postings and the one row of size(n, avgdl)."""
-    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = asked.join(document_frequency(posted), "term")
-    scored = (
-        weighed.join(posted, "term").crossJoin(F.broadcast(size))
-        .withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-        .groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    )
-    return top(scored.filter("score > 0"), k)
+    smaller id.  Repeated query terms add up; analyser turns a text into its terms.  By an index in the shared folder."""
+    path = work_path(docs.sparkSession, "bm25")
+    save_index(docs, path, analyser)
+    return saved_bm25(docs.sparkSession, path, queries, k, analyser)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

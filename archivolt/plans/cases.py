@@ -13,7 +13,7 @@ from archivolt.functions import prompts
 from archivolt.functions import text as X
 from archivolt.functions.grammar import ALIASES, article_level, bodies_of, body_key, extract_citations, locate_citations
 from archivolt.operators import dense, evaluation, fusion, lexical, models, postprocess, reports, router, runs, segment, validation
-from archivolt.plans.catalog import BM25, CAPPED, candidates, cited_orders, docs, items, query, table
+from archivolt.plans.catalog import BM25, CAPPED, DENSE, candidates, cited_orders, docs, items, query, table
 from archivolt.session import work_path
 from archivolt.sources import committed
 from archivolt.sources import documents as sources
@@ -309,6 +309,14 @@ def bm25_saved(spark, d):
     return lexical.saved_bm25(spark, path, items(spark, d))
 
 
+@query(BM25 + " select count(*) terms, sum(df)::bigint postings from df")
+def index_counts(spark, d):
+    path = work_path(spark, "bm25")
+    lexical.save_index(docs(spark, d), path)
+    df = lexical.index_frequency(spark, path)
+    return df.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
+
+
 @query(r"""select c_custkey id, trim(regexp_replace(lower(translate('Área ' || c_mktsegment || ' N.º ' || c_custkey, 'Á', 'A')), '[^a-z0-9]+', '_', 'g'), '_') slug, sha256(c_name) hash from customer""")
 def slugs(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.slug(F.concat(F.lit("Área "), F.col("c_mktsegment"), F.lit(" N.º "), s("c_custkey"))).alias("slug"), F.sha2("c_name", 256).alias("hash"))
@@ -479,9 +487,7 @@ def first_items(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).orderBy("id").limit(25)
 
 
-@query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 50 = 0),
-s as (select query_id, vec_id id, round(round(list_inner_product(v::double[], embedding::double[]), 8), 5) score from q, embeddings)
-select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 5""")
+@query(DENSE.format(which="vec_id % 50 = 0", k=5))
 def dense_saved(spark, d):
     path = work_path(spark, "vectors")
     sources.save_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path)

@@ -12,6 +12,7 @@ from archivolt.functions import text as X
 from archivolt.functions.grammar import bodies_of, body_key, extract_citations
 from archivolt.operators import dense, evaluation, fusion, leakage, lexical, reports, router, runs, segment, validation
 from archivolt.sources import documents as sources
+from archivolt.session import spread, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def items(spark, d):
@@ -95,19 +96,35 @@ def word_frequency(spark, d):
     return lexical.word_frequency(words, docs(spark, d))
 
 
-@query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 50 = 0),
-s as (select query_id, vec_id id, round(round(list_inner_product(v::double[], embedding::double[]), 8), 5) score from q, embeddings)
-select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 10""")
+DENSE = """with q as (select vec_id query_id, embedding v from embeddings where {which}),
+s as (select query_id, vec_id id, round(list_inner_product(v::double[], embedding::double[]), 8) raw from q, embeddings),
+c as (select *, row_number() over (partition by query_id order by raw desc, id) t from s)
+select query_id, row_number() over (partition by query_id order by round(raw, 5) desc, id) rank, id, round(raw, 5) score from c where t <= {k}"""
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query(DENSE.format(which="vec_id % 50 = 0", k=10))
 def dense_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    return dense.dense_topk(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    held = vectors(spark, d)
+    return dense.dense_topk(held.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), held)
+
+
+@query(DENSE.format(which="true", k=3))
+def dense_neighbours(spark, d):
+    """Every vector asks."""
+    held = vectors(spark, d)
+    return dense.dense_topk(held.withColumnRenamed("id", "query_id"), held, 3)
 
 
 def rankings(spark, d):
-    best = lexical.bm25(docs(spark, d), items(spark, d), 50)
-    terms = lambda t, name: t.select(F.col("id").alias(name), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    shared = terms(items(spark, d), "query_id").join(terms(docs(spark, d), "id"), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    one = best.withColumn("origin", F.lit("bm25")).unionByName(lexical.top(shared, 50).withColumn("origin", F.lit("dense")))
+    """BM25 and the count of shared words, both by one index of the documents."""
+    path = work_path(spark, "bm25")
+    lexical.save_index(docs(spark, d), path)
+    best = lexical.saved_bm25(spark, path, items(spark, d), 50)
+    one = best.withColumn("origin", F.lit("bm25")).unionByName(lexical.top(lexical.overlap(spark, path, items(spark, d)), 50).withColumn("origin", F.lit("dense")))
     return one.withColumn("weight", F.lit(1.0))
 
 
