@@ -7,14 +7,22 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archivolt.functions.grammar import CHAMBERS
+from archivolt.functions.stemming import stemmed
+
 #: Accented Latin letters and what they fold to.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
+#: What becomes a space, what is trimmed off lines, and what can't be seen.
+SPACES = "\u00a0\u2007\u202f\t\f\x0b"
+EDGE = r"\x{1c}-\x{1f}\x{85} \x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -63,13 +71,21 @@ def spaced(text: Column) -> Column:
     """Line ends as \\n, odd spaces as spaces, no invisible characters, lines trimmed with single spaces, at most one
     blank line in a row, one line end at the end, or an empty text."""
     x = F.regexp_replace(text, "\r\n?", "\n")
-    x = F.regexp_replace(x, "[   \t]", " ")
-    x = F.regexp_replace(x, "[​‌‍⁠﻿­]", "")
+    x = F.translate(x, SPACES + INVISIBLE, " " * len(SPACES))
     x = F.regexp_replace(x, " +", " ")
-    x = F.regexp_replace(x, " ?\n ?", "\n")
+    x = F.regexp_replace(x, rf"(?<![{EDGE}])[{EDGE}]++\n", "\n")
+    x = F.regexp_replace(x, rf"\n[{EDGE}]+", "\n")
     x = F.regexp_replace(x, "\n{3,}", "\n\n")
-    x = F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
-    return F.when(x == "", "").otherwise(F.concat(x, F.lit("\n")))
+    # one line end at the end of what is left, none of an empty text
+    x = F.regexp_replace(x, rf"^[{EDGE}\n]+|(?<![{EDGE}\n])[{EDGE}\n]++$", "")
+    return F.regexp_replace(F.concat(x, F.lit("\n")), r"^\n$", "")
+
+
+def normalised(texts: DataFrame, column: str = "text") -> DataFrame:
+    """texts with normalise() of a column, where only rows that may not be composed go through Python."""
+    is_composed = F.coalesce(F.col(column).rlike(COMPOSED), F.lit(True))
+    as_is = texts.filter(is_composed).withColumn(column, spaced(F.col(column)))
+    return as_is.union(texts.filter(~is_composed).withColumn(column, spaced(composed(F.col(column)))))
 
 
 def joined_hyphens(text: Column) -> Column:
@@ -118,16 +134,19 @@ STOPWORDS = tuple(
 )
 
 
-def legal_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Folded tokens of legal text: court ids (sl3385 is sl-3385), article numbers with dots and hyphens, and words
-    that are not stopwords, without a plain plural ending."""
-    x = F.regexp_replace(fold(text), r"\b(c|t|su|sl|sc|sp|stc|stl|ac|au) *-? *0*(\d{1,5})\b", "$1-$2")
+#: A court id is a chamber and a number; tokens are court ids, numbers with their dots, hyphens and letter, and words.
+COURT_ID = rf"\b({'|'.join(CHAMBERS)}) *-? *0*(\d{{1,5}})\b"
+LEGAL_TOKEN = "|".join([r"[a-z]{1,4}-\d{1,5}", r"\d+(?:[.\-]\d+)*[a-z]?", "[a-z]+"])
+
+
+def legal_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Folded tokens of legal text: court ids (sl3385 is sl-3385), article numbers, and words that are not stopwords."""
+    x = F.regexp_replace(fold(text), COURT_ID, "$1-$2")
     x = F.regexp_replace(x, r"\b(\d+) *(?:o\b|º|°)", "$1")
-    found = F.regexp_extract_all(x, F.lit(r"[a-z]{1,4}-\d{1,5}|\d+(?:[.\-]\d+)*[a-z]?|[a-z]+"), 0)
-    kept = F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
-    return F.transform(kept, stem)
+    found = F.regexp_extract_all(x, F.lit(LEGAL_TOKEN), 0)
+    return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
 
 
-def stem(word: Column) -> Column:
-    """A light suffix rule for Spanish plurals and endings; identifiers and short words stay."""
-    return F.when(word.rlike("^[a-z]{5,}$"), F.regexp_replace(word, "(?:mente|idades|idad|ciones|cion|es|s|[aeo])$", "")).otherwise(word)
+def legal_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """legal_words() with their stems in place of words; identifiers stay."""
+    return stemmed(legal_words(text, stopwords))

@@ -96,40 +96,46 @@ def two_phase(candidates: DataFrame, n: int = 20) -> DataFrame:
     return positions(placed.withColumn("tier", tier).withColumn("final", final), "final").drop("_p")
 
 
-def slotted(question: DataFrame, options: DataFrame, k: int = TOP_K, from_question: int = 4, per_option: int = 2) -> DataFrame:
-    """Places passages of a question and of its options: the question's best first, then in rounds the best unseen of
-    each option in turn, and the question's rest.
-
-    question(query_id, id, pos) and options(query_id, letter, id, pos) hold bounded candidate lists; rounds depend on
-    what earlier letters took, so a query is one fold over its candidates.  Where question has is_norm, its first places
-    keep their part of the quota of norms."""
-    import pandas as pd
-
-    if "is_norm" in question.columns:
-        head = with_quota(question, from_question, quota_for(from_question, top_k=k)).select("query_id", "id", F.col("place").alias("_place"))
-        by = Window.partitionBy("query_id").orderBy(F.col("_place").isNull(), "_place", "pos")
-        question = question.join(head, ["query_id", "id"], "left").select("query_id", "id", F.row_number().over(by).cast("long").alias("pos"))
-    both = question.select("query_id", F.lit("").alias("letter"), "id", "pos").union(options.select("query_id", "letter", "id", "pos"))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = {letter: list(g.sort_values("pos")["id"]) for letter, g in pdf.groupby("letter")}
-        main, rows = lists.pop("", []), []
-        seen = set()
-
-        def take(item, origin):
-            if item not in seen and len(rows) < k:
-                seen.add(item)
-                rows.append((item, origin))
-
-        for item in main[:from_question]:
-            take(item, "question")
-        for _ in range(per_option):
-            for letter in sorted(lists):
-                fresh = next((x for x in lists[letter] if x not in seen), None)
-                if fresh is not None:
-                    take(fresh, letter)
-        for item in main[from_question:]:
-            take(item, "question")
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "place": range(1, len(rows) + 1), "id": [r[0] for r in rows], "origin": [r[1] for r in rows]})
-
-    return both.groupBy("query_id").applyInPandas(place, "query_id long, place int, id long, origin string")
+def slotted(question: DataFrame, options: DataFrame, k: int = TOP_K, from_question: int = 4, per_option: int = 2, per_document: int = 0, complementary: int = 0) -> DataFrame:
+    """Places passages of a question and of its options: the question's best first, then in rounds the best of each option
+    in turn that may still come in, and the question's rest.
+
+    question(query_id, id, pos) and options(query_id, letter, id, pos) may have doc, mentioned, complementary and is_norm:
+    a passage comes in once, while its document (unless mentioned) and the complementary ones have room, and the first
+    places keep their part of the quota of norms.  Lists are cut to what can be placed (k, and per_option + 2 of an
+    option) before they meet; a query is then one fold over its turns, each a list of candidates."""
+    fields = {"doc": F.lit(None).cast("string"), "mentioned": F.lit(False), "complementary": F.lit(False), "is_norm": F.lit(False)}
+
+    def cut(found: DataFrame, keys: list[str], most: int) -> DataFrame:
+        for name, default in fields.items():
+            found = found if name in found.columns else found.withColumn(name, default)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+        return found.withColumn("pos", rank).filter(F.col("pos") <= most)
+
+    base, rounds = cut(question, ["query_id"], k), per_option + 2
+    head = with_quota(base, min(from_question, k), quota_for(min(from_question, k), top_k=k)).select("query_id", "id", "place")
+    by = cut(options, ["query_id", "letter"], rounds)
+    item = lambda origin: F.struct("id", F.lit(origin).alias("origin") if isinstance(origin, str) else origin.alias("origin"), "doc", "mentioned", (F.col("complementary") & ~F.col("mentioned")).alias("counted"))
+    in_order = lambda found: F.transform(F.array_sort(F.collect_list(found)), lambda x: x["item"])
+    main = base.join(head, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", item("question").alias("item"))))), lambda x: F.array(x["item"])).alias("first"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", item("question").alias("item")))), lambda x: F.array(x["item"])).alias("rest"),
+    )
+    lists = by.groupBy("query_id", "letter").agg(in_order(F.struct("pos", item(F.col("letter")).alias("item"))).alias("list"))
+    turn = lists.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("letter", "list"))), lambda x: x["list"]).alias("round"))
+    both = main.join(turn, "query_id", "full")
+    none = F.array().cast(both.schema["rest"].dataType)
+    turns = F.concat(F.coalesce("first", none), F.flatten(F.array_repeat(F.coalesce("round", none), rounds)), F.coalesce("rest", none))
+
+    def comes_in(taken, c):
+        fresh = ~F.exists(taken, lambda x: x["id"] == c["id"])
+        room = F.lit(True) if not per_document else c["mentioned"] | c["doc"].isNull() | (F.size(F.filter(taken, lambda x: x["doc"] == c["doc"])) < per_document)
+        few = F.lit(True) if not complementary else ~c["counted"] | (F.size(F.filter(taken, lambda x: x["counted"])) < complementary)
+        return fresh & room & few
+
+    def step(taken, candidates):
+        return F.when(F.size(taken) >= k, taken).otherwise(F.concat(taken, F.slice(F.filter(candidates, lambda c: comes_in(taken, c)), 1, 1)))
+
+    start = F.array().cast(both.schema["rest"].dataType.elementType)
+    placed = both.select("query_id", F.posexplode(F.aggregate(turns, start, step)).alias("at", "p"))
+    return placed.select("query_id", (F.col("at") + 1).alias("place"), F.col("p.id").alias("id"), F.col("p.origin").alias("origin"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -76,14 +76,32 @@ def submission_rules(expected: DataFrame) -> dict[str, Column]:
 
 
 def delivery(lines: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: lines, repeated, missing and extra ids, wrong formats, lines over ten passages, abstentions."""
-    per_id = lines.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    first = lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum((F.col("n_passages") > 10).cast("int")), F.lit(0)).alias("over_ten"), F.coalesce(F.sum(F.col("abstencion").cast("int")), F.lit(0)).alias("abstentions"))
-    second = per_id.agg(F.coalesce(F.sum((F.col("k") > 1).cast("int")), F.lit(0)).alias("repeated"))
-    third = expected.join(per_id, "id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    fourth = per_id.join(expected, "id", "left_anti").agg(F.count(F.lit(1)).alias("extra"))
-    fifth = lines.join(expected.select("id", F.col("formato").alias("wanted")), "id").filter("not (formato <=> wanted)").agg(F.count(F.lit(1)).alias("wrong_format"))
-    return first.crossJoin(second).crossJoin(third).crossJoin(fourth).crossJoin(fifth)
+    """One row: lines, repeated, missing and extra ids, wrong formats, lines over ten passages, abstentions.
+
+    Lines are counted by id and format where they are read, meet the expected ids once, and are summed by id and then in
+    all, so each table is read once.  A null id is an extra one."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    kinds = lines.groupBy("id", "formato").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_passages") > 10).alias("over"), F.count_if("abstencion").alias("abstained"))
+    both = kinds.join(expected.select("id", F.col("formato").alias("wanted"), F.lit(True).alias("known")), "id", "full")
+    wrong = F.when(F.col("known") & F.col("n").isNotNull() & ~F.col("formato").eqNullSafe(F.col("wanted")), F.col("n"))
+    per_id = both.groupBy("id").agg(count("n").alias("n"), count("over").alias("over"), count("abstained").alias("abstained"), count(wrong).alias("wrong"), F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"))
+    return per_id.agg(
+        count("n").alias("lines"), count("over").alias("over_ten"), count("abstained").alias("abstentions"), F.count_if(F.col("n") > 1).alias("repeated"),
+        F.count_if(F.col("known") & (F.col("n") == 0)).alias("missing"), F.count_if(~F.col("known") & (F.col("n") > 0)).alias("extra"), count("wrong").alias("wrong_format"),
+    )
+
+
+def delivered(lines: DataFrame, path: str) -> dict:
+    """Writes lines as JSON below path and tells, by what was observed beside the sink, how many there were, how many of
+    each problem, and the abstentions: no second pass, and no figure that another read might give."""
+    seen = Observation()
+    empty = F.col("id").isNull()
+    watched = lines.observe(
+        seen, F.count(F.lit(1)).alias("lines"), F.count_if(empty).alias("without_id"), F.count_if(F.col("n_passages") > 10).alias("over_ten"),
+        F.count_if("abstencion").alias("abstentions"), F.count_if(~F.coalesce("formato", F.lit("")).isin(*REQUIRED)).alias("unknown_format"),
+    )
+    watched.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return seen.get
 
 
 def allowed_runs(runs: DataFrame, allowed: tuple) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import Window
 from archivolt.config import Config
 from archivolt.functions import prompts
 from archivolt.functions import text as X
+from archivolt.functions.stemming import stemmed
 from archivolt.functions.grammar import ALIASES, article_level, bodies_of, body_key, extract_citations, locate_citations
 from archivolt.operators import dense, evaluation, fusion, lexical, models, postprocess, reports, router, runs, segment, validation
-from archivolt.plans.catalog import BM25, CAPPED, DENSE, candidates, cited_orders, docs, items, query, table
+from archivolt.plans.catalog import BM25, CAPPED, DENSE, WORDS, candidates, cited_orders, docs, items, query, table
 from archivolt.session import work_path
 from archivolt.sources import committed
 from archivolt.sources import documents as sources
@@ -284,17 +285,71 @@ def joined_hyphens(spark, d):
 
 
 FOLDED = "trim(regexp_replace(lower(translate(text, '{a}', '{p}')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))".replace("{a}", X.ACCENTED).replace("{p}", X.PLAIN)
-LEGAL = rf"""list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace({FOLDED}, '\b(c|t|su|sl|sc|sp|stc|stl|ac|au) *-? *0*(\d{{1,5}})\b', '\1-\2', 'g'), '\b(\d+) *(?:o\b|º|°)', '\1', 'g'), '[a-z]{{1,4}}-\d{{1,5}}|\d+(?:[.\-]\d+)*[a-z]?|[a-z]+'),
- lambda w: not list_contains({sql_list(X.STOPWORDS)}, w)), lambda w: case when regexp_matches(w, '^[a-z]{{5,}}$') then regexp_replace(w, '(?:mente|idades|idad|ciones|cion|es|s|[aeo])$', '') else w end)"""
+LEGAL = rf"""list_filter(regexp_extract_all(regexp_replace(regexp_replace({FOLDED}, '\b(c|t|su|sl|sc|sp|stc|stl|ac|au) *-? *0*(\d{{1,5}})\b', '\1-\2', 'g'), '\b(\d+) *(?:o\b|º|°)', '\1', 'g'), '[a-z]{{1,4}}-\d{{1,5}}|\d+(?:[.\-]\d+)*[a-z]?|[a-z]+'),
+ lambda w: not list_contains({sql_list(X.STOPWORDS)}, w))"""
+
+
+def ended(word: str, suffixes: str, least: str = "0") -> str:
+    """The longest of the suffixes that ends a word and begins at `least` or later."""
+    return f"regexp_extract(substr({word}, {least} + 1), '({'|'.join(suffixes.split())})$')"
+
+
+def region(word: str) -> str:
+    """The length of what comes before the region after the first consonant that follows a vowel."""
+    return f"coalesce(nullif(length(regexp_extract({word}, '^[^aeiou]*[aeiou]+[^aeiou]')), 0), length({word}))"
+
+
+AGENT = "adora ador acion adoras adores aciones ante antes ancia ancias"
+DERIVATIONS = f"anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos {AGENT} ucion uciones encia encias amente mente idad idades iva ivo ivas ivos"
+#: Endings with an accent are no endings without it.
+VERB_ENDINGS = """aremos eremos iremos aba ada ida ara iera ad ed id ase iese aste iste an aban aran ieran asen iesen aron ieron ado ido ando iendo ar er ir as abas adas idas aras ieras ases ieses
+ abais arais ierais aseis ieseis asteis isteis ados idos amos imos en es emos"""
+#: Stems of the words of a table words(word), by the published rules for words without accents.
+STEMS = f"""a as (select distinct word w from words),
+m as (select w, {region("w")} r1, case when length(w) <= 2 then length(w)
+  when regexp_matches(w, '^.[^aeiou]') then coalesce(nullif(length(regexp_extract(w, '^.[^aeiou]+[aeiou]')), 0), length(w))
+  when regexp_matches(w, '^[aeiou]') then coalesce(nullif(length(regexp_extract(w, '^[aeiou]+[^aeiou]')), 0), length(w)) else 3 end rv from a where regexp_matches(w, '^[a-z]+$')),
+m2 as (select *, r1 + {region("substr(w, r1 + 1)")} r2, {ended("w", "me se sela selo selas selos la le lo las les los nos")} p from m),
+m3 as (select *, {ended("left(w, length(w) - length(p))", "ando iendo ar er ir yendo")} v from m2),
+s0 as (select w, r1, r2, rv, case when p <> '' and v <> '' and length(w) - length(p) - length(v) >= rv and (v <> 'yendo' or substr(w, length(w) - length(p) - 5, 1) = 'u') then left(w, length(w) - length(p)) else w end x from m3),
+d as (select *, {ended("x", DERIVATIONS)} f from s0),
+d2 as (select *, case when f <> '' and length(x) - length(f) >= case when f = 'amente' then r1 else r2 end then left(x, length(x) - length(f)) || case when f in ('ucion', 'uciones') then 'u' when f in ('encia', 'encias') then 'ente' else '' end end y from d),
+d3 as (select *, case when f in ({", ".join(f"'{x}'" for x in AGENT.split())}) then {ended("y", "ic")} when f = 'mente' then {ended("y", "ante able ible")} when f in ('idad', 'idades') then {ended("y", "abil ic iv")}
+  when f in ('iva', 'ivo', 'ivas', 'ivos') then {ended("y", "at")} when f = 'amente' then {ended("y", "ativ iv os ic ad")} else '' end e from d2),
+d4 as (select *, case when y is null then null when length(y) - length(e) >= r2 then left(y, length(y) - length(e)) when e = 'ativ' and length(y) - 2 >= r2 then left(y, length(y) - 2) else y end z from d3),
+v as (select *, {ended("x", "ya ye yan yen yeron yendo yo yas yes yais yamos", "rv")} g, {ended("x", VERB_ENDINGS, "rv")} h from d4),
+v2 as (select *, case when z is not null then z when g <> '' and substr(x, length(x) - length(g), 1) = 'u' then left(x, length(x) - length(g))
+  when h in ('en', 'es', 'emos') and left(x, length(x) - length(h)) like '%gu' then left(x, length(x) - length(h) - 1) when h <> '' then left(x, length(x) - length(h)) else x end t from v),
+v3 as (select *, {ended("t", "os a o e")} i from v2),
+stems as (select w word, case when i = '' or length(t) - length(i) < rv then t when i = 'e' and left(t, length(t) - 1) like '%gu' and length(t) - 2 >= rv then left(t, length(t) - 2) else left(t, length(t) - length(i)) end term from v3
+  union all select w, w from a where not regexp_matches(w, '^[a-z]+$'))"""
+
+
+@query(f"with w as (select doc_id, unnest({LEGAL}) word from documents), words as (select word from w), {STEMS} select term, count(*) n, count(distinct doc_id) df from w join stems using (word) group by 1")
+def legal_terms(spark, d):
+    terms = docs(spark, d).select("id", F.explode(X.legal_tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("df"))
 
 
-@query(f"with w as (select doc_id, unnest({LEGAL}) term from documents) select term, count(*) n, count(distinct doc_id) df from w group by 1")
-def legal_terms(spark, d):
-    terms = table(spark, d, "documents").select("doc_id", F.explode(X.legal_tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"))
+SPANISH = """abandonadas abandono abogado aceptaremos aclaratorias actuaciones adquiriendo agravantes agua alegatos amablemente amplísimo anticonstitucionalmente aplicables aseguran asistencia averigüe biología
+cantándole circunstancialmente comprándoselo constitución constituyendo contribuyeron creería cuyos dándoselas definitivamente derogatorias ejecutoriadas existencias fraudulentamente guerras habitabilidad huyendo
+iniciativas jurisprudenciales jurídicas legítimamente logías matándolos obligatoriedad pague paguen persigue posibilidad probatoriamente reivindicativamente responsabilidades revoluciones sentencia siguen
+simultáneamente solidaridad sostenible subsidiariamente trabajadoras urgentemente viviendas""".split()
+
+
+@query(f"with k as (select c_custkey id, {sql_list(SPANISH)}[(c_custkey % {len(SPANISH)})::int + 1] raw from customer), w as (select id, translate(raw, 'áéíóúü', 'aeiouu') || case when id % 3 = 0 then 's' else '' end word from k), words as (select word from w), {STEMS} select id, word, term stem from w join stems using (word)")
+def spanish_stems(spark, d):
+    raw = F.element_at(F.array(*[F.lit(w) for w in SPANISH]), (F.col("c_custkey") % len(SPANISH) + 1).cast("int"))
+    word = F.concat(F.translate(raw, "áéíóúü", "aeiouu"), F.when(F.col("c_custkey") % 3 == 0, "s").otherwise(""))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), word.alias("word"))
+    return rows.select("id", "word", stemmed(F.array("word"))[0].alias("stem"))
 
 
-BM25_TERMS = BM25.replace("regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')", LEGAL)
+BM25_TERMS = f"with words as (select unnest({LEGAL}) word from documents union all select unnest({LEGAL}) from benchmark), {STEMS.replace('d as', 'd0 as', 1).replace(' from d)', ' from d0)', 1)}, " + (
+    BM25.strip().removeprefix("with ").replace(WORDS, LEGAL)
+    .replace("select id, term, dl, count(*) tf from (select id, len(w) dl, unnest(w) term from d)", "select id, term, dl, count(*) tf from (select id, len(w) dl, unnest(w) word from d) join stems using (word)")
+    .replace(f"select item_id query_id, unnest({LEGAL}) term from benchmark", f"select query_id, term from (select item_id query_id, unnest({LEGAL}) word from benchmark) join stems using (word)")
+)
 
 
 @query(BM25_TERMS + " select query_id, rank, id, score from bm25 where rank <= 10")

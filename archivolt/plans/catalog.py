@@ -12,7 +12,7 @@ from archivolt.functions import text as X
 from archivolt.functions.grammar import bodies_of, body_key, extract_citations
 from archivolt.operators import dense, evaluation, fusion, leakage, lexical, reports, router, runs, segment, validation
 from archivolt.sources import documents as sources
-from archivolt.session import spread, work_path
+from archivolt.session import materialised, spread, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,7 +217,7 @@ def html_visible_text(spark, d):
 
 @query(f"select doc_id, case when y = '' then '' else y || chr(10) end text from (select doc_id, {duck_normalise('nfc_normalize(text)')} y from documents)")
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("text"))
+    return X.normalised(docs(spark, d)).withColumnRenamed("id", "doc_id")
 
 
 @query(f"select doc_id, trim(regexp_replace(lower(translate(text, '{X.ACCENTED}', '{X.PLAIN}')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) folded from documents")
@@ -313,7 +313,7 @@ def section_alerts(spark, d):
 
 def cited_orders(spark, d):
     """Text with one statute and one article for each order."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", (F.col("o_custkey") % 300).cast("string").alias("a"), (F.col("o_orderkey") % 2000).cast("string").alias("n"), F.year("o_orderdate").cast("string").alias("y"))
+    o = spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", (F.col("o_custkey") % 300).cast("string").alias("a"), (F.col("o_orderkey") % 2000).cast("string").alias("n"), F.year("o_orderdate").cast("string").alias("y"))
     return o.withColumn("text", F.concat(F.lit("Según el art. "), "a", F.lit(" de la Ley "), "n", F.lit(" de "), "y", F.lit(" procede.")))
 
 
@@ -346,7 +346,7 @@ select items, n_ref, n_cited, hits, hits_supported, hits_unsupported, wrong, uns
 
 @query(SCORED)
 def citation_score(spark, d):
-    x = cited_orders(spark, d).withColumn("cited", bodies_of(extract_citations("text")))
+    x = materialised(cited_orders(spark, d).select("id", "o_custkey", bodies_of(extract_citations("text")).alias("cited")), "cited")
     none = F.array().cast("array<string>")
     key = x.select("id", F.when(F.col("id") % 3 == 0, F.col("cited")).otherwise(F.array(F.lit("ley|1|1999"))).alias("reference"))
     answers = x.filter("o_custkey % 11 <> 0").select("id", (F.col("o_custkey") % 7 == 0).alias("abstained"), "cited", F.when(F.col("id") % 2 == 0, F.col("cited")).otherwise(none).alias("supported"))
@@ -513,7 +513,7 @@ select doc_id, part, array_to_string(list_transform(win, lambda x: x.t), chr(10)
 
 @query(GREEDY)
 def greedy_windows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(segment.windows_of("text")).alias("part", "text"))
+    return docs(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(segment.windows_of("text")).alias("part", "text"))
 
 
 def statutes(spark, d):
@@ -554,24 +554,29 @@ def statute_chunks(spark, d):
     return segment.chunks(named)
 
 
-SLOTS = BM25 + """, b as (select query_id, rank pos, id from bm25 where rank <= 20),
+SLOTS = BM25 + """, b as (select query_id, rank pos, id, source doc, source = 'src0' m, source in ('src1', 'src2', 'src3') and source <> 'src0' c, lang <> 'en' is_norm from bm25 join documents on doc_id = id where rank <= 10),
+h as (select *, least(2 - sum((pos <= 4 and is_norm)::int) over w, sum((pos > 4 and is_norm)::int) over w, sum((pos <= 4 and not is_norm)::int) over w) swap,
+  sum((pos > 4 and is_norm)::int) over (partition by query_id order by pos) i, sum((pos <= 4 and not is_norm)::int) over (partition by query_id order by pos desc) o from b where query_id % 5 = 0 window w as (partition by query_id)),
 steps as (
  select query_id, row_number() over (partition by query_id order by phase, round, letter, pos) step, cands, letter from (
-  select query_id, case when pos <= 4 then 1 else 3 end phase, 0 round, '' letter, pos, [id] cands from b where query_id % 5 = 0
-  union all select q, 2, r, letter, 0, cands from (select query_id - query_id % 5 q, substr('ABCD', (query_id % 5)::int, 1) letter, list(id order by pos) cands, unnest([1, 2]) r from b where query_id % 5 <> 0 group by 1, 2))),
-r as (select query_id, 0::bigint step, []::bigint[] seen, []::varchar[] origins from (select distinct query_id from steps) union all
+  select query_id, 1 phase, 0 round, '' letter, pos, [{'id': id, 'doc': doc, 'm': m, 'c': c}] cands from h where (pos <= 4 and (is_norm or o > greatest(swap, 0))) or (pos > 4 and is_norm and i <= swap)
+  union all select query_id, 3, 0, '', pos, [{'id': id, 'doc': doc, 'm': m, 'c': c}] from h
+  union all select q, 2, r, letter, 0, cands from (select query_id - query_id % 5 q, substr('ABCD', (query_id % 5)::int, 1) letter, list({'id': id, 'doc': doc, 'm': m, 'c': c} order by pos) cands, unnest([1, 2, 3, 4]) r from b where query_id % 5 <> 0 and pos <= 4 group by 1, 2))),
+r as (select query_id, 0::bigint step, []::struct(id bigint, doc varchar, m boolean, c boolean)[] seen, []::varchar[] origins from (select distinct query_id from steps) union all
  select r.query_id, s.step, case when pick is null then seen else list_append(seen, pick) end, case when pick is null then origins else list_append(origins, case when s.letter = '' then 'question' else s.letter end) end
- from r join steps s on s.query_id = r.query_id and s.step = r.step + 1, lateral (select case when len(seen) < 10 then list_filter(s.cands, lambda x: not list_contains(seen, x))[1] end pick)),
+ from r join steps s on s.query_id = r.query_id and s.step = r.step + 1, lateral (select case when len(seen) < 10 then list_filter(s.cands, lambda x: not list_contains(list_transform(seen, lambda y: y.id), x.id)
+   and (x.m or len(list_filter(seen, lambda y: y.doc = x.doc)) < 2) and (not x.c or len(list_filter(seen, lambda y: y.c)) < 1))[1] end pick)),
 z as (select * from r qualify row_number() over (partition by query_id order by step desc) = 1)
-select query_id, unnest(range(1, len(seen) + 1))::int place, unnest(seen) id, unnest(origins) origin from z"""
+select query_id, unnest(range(1, len(seen) + 1))::int place, unnest(list_transform(seen, lambda x: x.id)) id, unnest(origins) origin from z"""
 
 
 @query(SLOTS.replace("with d as", "with recursive d as", 1))
 def option_slotting(spark, d):
-    best = lexical.bm25(docs(spark, d), items(spark, d), 20)
-    question = best.filter("query_id % 5 = 0").select("query_id", "id", F.col("rank").cast("long").alias("pos"))
-    options = best.filter("query_id % 5 <> 0").select((F.col("query_id") - F.col("query_id") % 5).alias("query_id"), F.substring(F.lit("ABCD"), (F.col("query_id") % 5).cast("int"), F.lit(1)).alias("letter"), "id", F.col("rank").cast("long").alias("pos"))
-    return fusion.slotted(question, options)
+    """With the quota of norms, two passages of a document unless it is mentioned, and one of the complementary ones."""
+    about = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), (F.col("source") == "src0").alias("mentioned"), F.col("source").isin("src1", "src2", "src3").alias("complementary"), (F.col("lang") != "en").alias("is_norm"))
+    best = lexical.bm25(docs(spark, d), items(spark, d), 10).join(about, "id").withColumn("pos", F.col("rank").cast("long"))
+    options = best.filter("query_id % 5 <> 0").withColumn("letter", F.substring(F.lit("ABCD"), (F.col("query_id") % 5).cast("int"), F.lit(1))).withColumn("query_id", F.col("query_id") - F.col("query_id") % 5)
+    return fusion.slotted(best.filter("query_id % 5 = 0"), options, per_document=2, complementary=1)
 
 
 @query("""select event_id, '{"id": ' || event_id || ', "type": "' || event_type || '"' || case when event_id % 3 = 0 then '' else ', "props": ' || props end || '}' json from events""")

@@ -38,14 +38,15 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 def decoded(contents: Column) -> Column:
     """Bytes as text: without a byte-order mark, UTF-8 where it is valid, else Windows-1252."""
     bare = F.when(F.substring(contents, 1, 3) == F.unhex(F.lit("EFBBBF")), F.substring(contents, 4, 2147483647)).otherwise(contents)
-    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.translate(F.decode(contents, "ISO-8859-1"), CONTROLS, SIGNS))
+    return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.translate(F.decode(bare, "ISO-8859-1"), CONTROLS, SIGNS))
 
 
 def as_text(content: bytes) -> str:
+    bare = content.removeprefix(b"\xef\xbb\xbf")
     try:
-        return content.decode("utf-8-sig")
+        return bare.decode("utf-8")
     except UnicodeDecodeError:
-        return content.decode("windows-1252", errors="replace")
+        return bare.decode("windows-1252", errors="replace")
 
 
 class PageText(HTMLParser):

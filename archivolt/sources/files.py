@@ -71,6 +71,7 @@ class FilesReader(DataSourceReader):
         self.most = int(options.get("taskbytes", TASK_BYTES))
         self.unknown = options.get("unknown", "error")
         self.pdf = options.get("pdf", "")
+        self.listed = options.get("read", "true").lower() == "false"
         self.wanted: set[str] | None = None
         if not self.folder:
             raise ValueError("corpus_files needs a folder: load(path)")
@@ -121,8 +122,8 @@ class FilesReader(DataSourceReader):
         pdf_pages = getattr(importlib.import_module(module), name) if module else None
         rows, held = [], 0
         for path, size in partition.files:
-            rows.append(self.row(store, path, size, pdf_pages))
-            held += len(rows[-1][3])
+            rows.append((path, extension_of(path), size, None, None, None) if self.listed else self.row(store, path, size, pdf_pages))
+            held += len(rows[-1][3] or "")
             if held > BATCH_BYTES:
                 yield batch(rows)
                 rows, held = [], 0
@@ -140,7 +141,7 @@ class CorpusFiles(DataSource):
     """path, extension, bytes, text, problem and error of every file below a folder, or of one file.
 
     Options: taskBytes (bytes of files in a task), unknown (error: files of other kinds are rows with a problem; skip: they
-    are left out), pdf (module:function, which takes a PDF's bytes and gives the texts of its pages)."""
+    are left out), read (false: names and sizes only), pdf (module:function, which takes a PDF's bytes and gives the texts of its pages)."""
 
     @classmethod
     def name(cls):

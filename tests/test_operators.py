@@ -89,13 +89,27 @@ def test_article_header(spark, line, article):
     assert spark.createDataFrame([(line,)], "l string").select(segment.article_id(F.col("l"))).first()[0] == article
 
 
-def test_windows():
-    six = ["p " * 100] * 6
-    assert [len(w.split()) for w in segment.greedy_windows(six)] == [300, 300]
-    cut = segment.greedy_windows([" ".join(map(str, range(1000)))])
+def test_windows(spark):
+    def windows(*lines):
+        return spark.createDataFrame([("\n".join(lines),)], "t string").select(segment.windows_of("t")).first()[0]
+
+    assert [len(w.split()) for w in windows(*["p " * 100] * 6)] == [300, 300]
+    cut = windows(" ".join(map(str, range(1000))))
     assert [w.split()[0] for w in cut] == ["0", "255", "510", "765"] and cut[-1].split()[-1] == "999"
-    carried = segment.greedy_windows(["a " * 280, "b " * 20, "c " * 100])
-    assert carried[1].split()[0] == "b" and segment.greedy_windows([]) == []
+    carried = windows("a " * 280, "b " * 20, "c " * 100)
+    assert carried[1].split()[0] == "b" and windows() == [] and windows("", " \u3000 ") == []
+    assert spark.createDataFrame([(None,)], "t string").select(segment.windows_of("t")).first()[0] == []
+
+
+def test_slots_with_caps(spark):
+    """Documents have two places unless mentioned, complementary ones one; norms come up by their quota."""
+    schema = "query_id long, id long, pos long, doc string, mentioned boolean, complementary boolean, is_norm boolean"
+    q = spark.createDataFrame([(1, i, i, "a" if i < 5 else "b", False, False, i in (6, 7)) for i in range(1, 9)], schema)
+    o = spark.createDataFrame([(1, "A", 1, 30, "a", True, False), (1, "A", 2, 31, "c", False, True), (1, "B", 1, 32, "d", False, True), (1, "B", 2, 33, "a", False, False), (2, "A", 1, 40, "x", False, False)], "query_id long, letter string, pos long, id long, doc string, mentioned boolean, complementary boolean")
+    found = fusion.slotted(q, o, 10, 4, 2, per_document=2, complementary=1).orderBy("query_id", "place").collect()
+    assert [(r.id, r.origin) for r in found if r.query_id == 1] == [(1, "question"), (2, "question"), (6, "question"), (7, "question"), (30, "A"), (32, "B")]
+    assert [(r.id, r.origin) for r in found if r.query_id == 2] == [(40, "A")]
+    assert "Python" not in fusion.slotted(q, o)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_chunks_are_literal(spark):

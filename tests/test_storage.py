@@ -176,3 +176,95 @@ def test_stream_replaces_a_batch_that_was_cut_off(spark, tmp_path):
     assert got == [(i, "x") for i in (1, 2, 3, 4, 5)]
     assert seen["questions"] >= 6
     assert run(whole)["questions"] == 0
+
+
+# ---------------------------------------------------------------- saved caches, hash trees, spans
+
+
+def test_bucketed_cache(spark, tmp_path):
+    from archivolt.sources.saved_cache import BucketedCache
+
+    cache = BucketedCache(spark, f"file://{tmp_path}/cache", "size int", 4)
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "key string")
+    assert sorted(r.key for r in cache.misses(rows).collect()) == ["a", "b"]
+    cache.append(cache.misses(rows).withColumn("size", F.lit(1)), 1)
+    more = spark.createDataFrame([("b",), ("c",)], "key string")
+    assert [r.key for r in cache.misses(more).collect()] == ["c"]
+    cache.append(more.withColumn("size", F.lit(2)), 2)  # b twice: the first stays
+    cache.compact()
+    assert sorted((r.key, r.size) for r in cache.table().collect()) == [("a", 1), ("b", 1), ("c", 2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = cache.found(spark.createDataFrame([("a",), ("z",), (None,)], "key string"))
+        assert sorted(((r.key or "", r.size) for r in found.collect()), key=str) == sorted([("a", 1), ("z", None), ("", None)], key=str)
+        plan = cache.found(more)._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") <= 1, plan  # of the asked rows only
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hash_trees(spark, tmp_path):
+    import hashlib
+
+    from archivolt.sources import hash_tree
+
+    contents = {"a": b"x" * 1000, "b": b"", "c": bytes(range(256)) * 3}
+    (tmp_path / "one").mkdir()
+    for name, content in contents.items():
+        (tmp_path / "one" / name).write_bytes(content)
+    found = hash_tree.leaves(spark, str(tmp_path / "one"), 100)
+    hashed = sorted((r.path.rsplit("/", 1)[1], r.offset, r.hash) for r in found.collect())
+    assert hashed == sorted((n, o, hashlib.sha256(c[o : o + 100]).hexdigest()) for n, c in contents.items() for o in range(0, max(1, len(c)), 100))
+
+    def root(content, fan):
+        level = [hashlib.sha256(content[o : o + 100]).hexdigest() for o in range(0, max(1, len(content)), 100)]
+        most = 10  # ranges of the largest file
+        while True:
+            level = [hashlib.sha256("".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+            most = -(-most // fan)
+            if most <= 1:
+                return level[0]
+
+    for fan in (3, 1024):
+        assert {r.path.rsplit("/", 1)[1]: (r.ranges, r.root) for r in hash_tree.roots(found, fan).collect()} == {n: (max(1, -(-len(c) // 100)), root(c, fan)) for n, c in contents.items()}
+    named = lambda df: df.withColumn("path", F.substring_index("path", "/", -1))
+    before = spark.createDataFrame(hashed, "path string, offset long, hash string")
+    (tmp_path / "one" / "a").write_bytes(b"x" * 150 + b"y" + b"x" * 900)
+    (tmp_path / "one" / "b").unlink()
+    changed = hash_tree.changed_ranges(before, named(hash_tree.leaves(spark, str(tmp_path / "one"), 100))).collect()
+    assert {(r.path, r.offset, r.problem) for r in changed} == {("a", 100, "changed"), ("a", 1000, "extra"), ("b", 0, "missing")}
+
+
+def test_spans(spark):
+    from archivolt.operators import spans
+
+    rows = [(1, 0, 5, "a"), (1, 3, 9, "b"), (1, 9, 12, "a"), (1, 14, 15, "c"), (1, 1, 2, "a"), (2, 4, 6, "z")]
+    runs = spans.merged(spark.createDataFrame(rows, "id long, begin int, end int, body string"))
+    assert sorted((r.id, r.begin, r.end, r.bodies) for r in runs.collect()) == [(1, 0, 12, ["a", "b"]), (1, 14, 15, ["c"]), (2, 4, 6, ["z"])]
+    texts = spark.createDataFrame([(1, "ñ23456789012 4x6"), (2, "0123456"), (3, "nothing"), (4, None)], "id long, text string")
+    assert {r.id: r.text for r in spans.spliced(texts, runs, F.lit("_")).collect()} == {1: "_ 4_6", 2: "0123_6", 3: "nothing", 4: None}
+    found = spans.located(spark.createDataFrame([(1, "Ley 5 de 2001; ley 5 de 2001"), (2, "nada"), (3, None), (4, "café ley 7 de 1990")], "id long, text string")).collect()
+    assert sorted((r.id, r.body) for r in found) == [(1, "ley|5|2001"), (1, "ley|5|2001"), (4, "ley|7|1990")]
+
+
+def test_gate_lets_all_citations_through(spark):
+    from archivolt.functions.grammar import CODES, GRAMMAR, extract_citations, gate
+
+    texts = [p.upper() for ps in CODES.values() for p in ps] + ["LÉY 5 DE 2001", "Léy 5 de 2001", "resolución nº 5 de 2001", "Cо́digo", "C-1 de 2001", "nada", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.g, r.c) for r in df.select("id", gate(F.col("text")).alias("g"), F.size(extract_citations("text")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i][1] if got[i][1] is not None and got[i][1] > 0 else 0) == len(GRAMMAR.citations(t))
+    assert not got[len(texts) - 2][0]
+
+
+def test_delivered(spark, tmp_path):
+    from archivolt.operators import validation
+
+    lines = spark.createDataFrame([(1, "multiple_choice", 11, False), (None, "x", 2, True), (1, None, None, None)], "id long, formato string, n_passages int, abstencion boolean")
+    assert validation.delivered(lines, str(tmp_path / "out")) == {"lines": 3, "without_id": 1, "over_ten": 1, "abstentions": 1, "unknown_format": 2}
+    expected = spark.createDataFrame([(1, "semi_open"), (2, "semi_open")], "id long, formato string")
+    row = validation.delivery(lines, expected).first().asDict()
+    assert row == {"lines": 3, "over_ten": 1, "abstentions": 1, "repeated": 1, "missing": 1, "extra": 1, "wrong_format": 2}
+    plan = validation.delivery(lines, expected)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
