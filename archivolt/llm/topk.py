@@ -3,9 +3,10 @@
 Vectors are made of whole numbers, floor(scale * x).  With one more coordinate, sqrt(M^2 - |v|^2) where M is the
 greatest norm, the largest inner product is the least distance.  Every vector is keyed by its nearest pivot and its
 distance to it; rings (annuli) of a pivot are cut into blocks of bounded size.  By the triangle inequality a ring holds
-nothing nearer to a query than the gap between the query's distance to the pivot and the ring.  A query takes the rings
-in the order of these bounds, a growing number of them at a time, and stops as soon as the next bound lies beyond the
-radius of its k-th score so far, so the result is exact.
+nothing nearer to a query than the gap between the query's distance to the pivot and the ring.  Queries near one pivot
+come in packs of bounded size; a pack takes the rings in the order of the least of its queries' bounds, a growing number
+of them at a time, and leaves out those that lie beyond the radius of the k-th score so far of all its queries, so the
+result is exact and what is joined are packs and blocks, not queries and blocks.
 
 Vectors with components too large for exact sums in floating point stand apart: all queries search them, and they as
 queries search all, in Python's whole numbers."""
@@ -25,8 +26,8 @@ from archivolt.llm.shared import dropped, table, written
 
 SAMPLE = 4096  # vectors that pivots are taken from, at most
 MOST_PIVOTS = 256
-BLOCK = 2048  # about so many vectors make a block
-PACK = 1024  # and so many queries a pack
+BLOCK_BYTES = 1 << 19  # of the components of about so many vectors that make a block
+PACK_BYTES = 1 << 18  # and of the queries of a pack
 RINGS = 24  # rings over the spread of distances in the sample; one more on each side takes what lies beyond
 FIRST, GROWTH = 2, 16  # rings that a query takes first, and how their number grows
 LONG = 2**63 - 1
@@ -164,7 +165,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
             )
 
     keyed = written(rows.mapInArrow(key, "d int, pivot int, ring int, r double, uid long, vec_id long, v binary"), "keyed")
-    sizes = written(keyed.groupBy("d", "pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("r").alias("low"), F.max("r").alias("high")), "rings")
+    sizes = written(keyed.groupBy("d", "pivot", "ring").agg(F.ceil(F.count(F.lit(1)) * F.col("d") * 4 / BLOCK_BYTES).cast("int").alias("parts"), F.min("r").alias("low"), F.max("r").alias("high")), "rings")
     edges: dict[int, tuple] = {}
     for d in top:
         mine = sorted((r["pivot"], r["ring"], r["low"], r["high"]) for r in sizes.filter(F.col("d") == d).collect())
@@ -199,36 +200,47 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
 
     def ask(batches):
         for d, wide, batch in by_kind(batches):
-            q = vectors_of(batch)
-            qq = np.zeros(len(q)) if wide else (np.floor(scale * q) ** 2).sum(axis=1)
+            q, n = vectors_of(batch), batch.num_rows
+            qq, own = np.zeros(n), np.full(n, -1)
+            if not wide:
+                f = np.floor(scale * q)
+                qq = (f**2).sum(axis=1)
+                own = distances(f, np.zeros(n), pivots[d]).argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("vec_id"), pa.array(np.full(len(q), d, np.int32)), batch.column("wide"), pa.array(qq), pa.array(packed(q, wide, scale), pa.binary())],
-                names=["uid", "query_id", "d", "wide", "qq", "q"],
+                [batch.column("uid"), batch.column("vec_id"), pa.array(np.full(n, d, np.int32)), batch.column("wide"), pa.array(own.astype(np.int32)), pa.array(qq), pa.array(packed(q, wide, scale), pa.binary())],
+                names=["uid", "query_id", "d", "wide", "own", "qq", "q"],
             )
 
-    queries = written(rows.filter("vec_id is not null").filter(is_query).mapInArrow(ask, "uid long, query_id long, d int, wide boolean, qq double, q binary"), "queries")
+    asked_rows = written(rows.filter("vec_id is not null").filter(is_query).mapInArrow(ask, "uid long, query_id long, d int, wide boolean, own int, qq double, q binary"), "asked")
+    of_pivot = ["d", "wide", "own"]
+    packs = asked_rows.groupBy(*of_pivot).agg(F.ceil(F.count(F.lit(1)) * F.col("d") * 4 / PACK_BYTES).alias("packs"))
+    pack = F.xxhash64(*of_pivot, F.pmod(F.xxhash64("uid"), "packs"))
+    queries = written(asked_rows.join(packs, of_pivot).withColumn("pack", pack).drop("own", "packs"), "queries")
 
     def expand(first: int, last: int | None):
-        """The rings of each query from its first-th to before its last-th, as far as they may hold something better."""
+        """The rings of each pack from its first-th to before its last-th, as far as they may hold something better."""
 
         def run(batches):
             for batch in batches:
-                uids, at_pivot, at_ring = [], [], []
-                for uid, d, wide, qq, q, least in zip(*(batch.column(c).to_pylist() for c in ("uid", "d", "wide", "qq", "q", "least")), strict=True):
+                at_pack, at_pivot, at_ring, at_d, held = [], [], [], [], []
+                for number, d, wide, asked in zip(*(batch.column(c).to_pylist() for c in ("pack", "d", "wide", "asked")), strict=True):
                     pivot, ring, low, high = edges[d]
-                    bound = np.zeros(len(pivot))  # wide vectors may be anywhere, and wide queries search all
-                    radius = math.inf
-                    if not wide and d in pivots:
-                        at = distances(unpacked(q, d, False, scale), np.zeros(1), pivots[d])[0][pivot]
+                    near = np.zeros((len(asked), len(pivot)), bool)
+                    if wide or d not in pivots:  # wide vectors may be anywhere, and wide queries search all
+                        bound = np.zeros(near.shape)
+                    else:
+                        q = unpacked(b"".join(a["q"] for a in asked), d, False, scale)
+                        at = distances(q, np.zeros(len(q)), pivots[d])[:, pivot]
                         bound = np.where(pivot < 0, 0, np.maximum(np.maximum(at - high, low - at), 0))
-                        if least is not None:
-                            radius = math.sqrt(max(0.0, qq + top[d] - 2 * least)) + slack(d, top[d])
-                    order = np.argsort(bound, kind="stable")[first:last]
-                    order = order[bound[order] <= radius]
-                    uids += [uid] * len(order)
+                    radius = np.array([math.inf if wide or a["least"] is None else math.sqrt(max(0.0, a["qq"] + top[d] - 2 * a["least"])) + slack(d, top[d]) for a in asked])
+                    order = np.argsort(bound.min(axis=0), kind="stable")[first:last]
+                    order = order[(bound[:, order] <= radius[:, None]).any(axis=0)]
+                    at_pack += [number] * len(order)
+                    at_d += [d] * len(order)
                     at_pivot += pivot[order].tolist()
                     at_ring += ring[order].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(at_pivot, pa.int32()), pa.array(at_ring, pa.int32())], names=["uid", "pivot", "ring"])
+                    held += [len(asked)] * len(order)
+                yield pa.RecordBatch.from_arrays([pa.array(at_pack, pa.int64()), pa.array(at_d, pa.int32()), pa.array(at_pivot, pa.int32()), pa.array(at_ring, pa.int32()), pa.array(held, pa.int64())], names=["pack", "d", "pivot", "ring", "held"])
 
         return run
 
@@ -239,12 +251,12 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
         if best is not None:
             have = best.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
             asking = queries.join(have, "uid", "left").withColumn("least", F.when(F.col("n") >= k, F.col("least")))
-        asking = written(asking.select("uid", "d", "wide", "qq", "q", "least"), "asking")
-        asked = written(asking.mapInArrow(expand(first, last), "uid long, pivot int, ring int"), "asked")
-        n = asked.count()
+        asking = written(asking.groupBy("pack", "d", "wide").agg(F.collect_list(F.struct("uid", "least", "qq", "q")).alias("asked")), "asking")
+        asked = written(asking.mapInArrow(expand(first, last), "pack long, d int, pivot int, ring int, held long"), "asked")
+        n = asked.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
         searched += n
         if n:
-            pairs = asked.join(asking.select("uid", "d"), "uid").join(blocks.select("block", "d", "pivot", "ring"), ["d", "pivot", "ring"]).select("uid", "block")
+            pairs = asked.join(blocks.select("block", "d", "pivot", "ring"), ["d", "pivot", "ring"]).select("pack", "block")
             found = scored(pairs, asking, blocks, k, scale)
             fresh = written(best_of(found if best is None else best.union(found), k), "best")
             dropped(*([best] if best is not None else []))
@@ -261,7 +273,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
         dropped(best)
     asking_all = queries.groupBy("d").count().collect()
     out._archivolt_searched = (searched, sum(r["count"] * every[r["d"]] for r in asking_all))
-    dropped(rows, keyed, sizes, blocks, queries)
+    dropped(rows, keyed, sizes, blocks, asked_rows, queries)
     return out
 
 
@@ -271,15 +283,10 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 
 
 def scored(asks: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, scale: int) -> DataFrame:
-    """uid, vec_id, score and key (key_of the score): for each asked (uid, block) the k best of the block that reach
-    the query's `least`.
-
-    Queries of a block come together in packs, so a task multiplies a pack with a block."""
-    packs = (
-        asks.join(asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")), "block").join(queries.select("uid", "wide", "q", "least"), "uid")
-        .groupBy("block", "wide", F.pmod(F.xxhash64("uid"), "packs").alias("pack")).agg(F.collect_list(F.struct("uid", "least", "q")).alias("asked"))
-    )
+    """uid, vec_id, score and key (key_of the score): for each asked (pack, block) the k best of the block for each query of
+    the pack that reach its `least`.
 
+    A task multiplies a pack of queries with a block."""
     def exact(asked, q, v, uids, ids, nulls):
         for a, row in zip(asked, products(q, v).tolist(), strict=True):
             shown = [max(-LONG - 1, min(LONG, int(s))) for s in row]
@@ -308,7 +315,8 @@ def scored(asks: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, scale
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["uid", "vec_id", "score", "key"])
 
-    return packs.join(blocks.select("block", "d", "pivot", "uids", "ids", "nulls", "vs"), "block").select("asked", "wide", "d", "pivot", "uids", "ids", "nulls", "vs").mapInArrow(multiply, "uid long, vec_id long, score long, key binary")
+    held = blocks.select("block", "pivot", "uids", "ids", "nulls", "vs")
+    return asks.join(queries.select("pack", "d", "wide", "asked"), "pack").join(held, "block").select("asked", "wide", "d", "pivot", "uids", "ids", "nulls", "vs").mapInArrow(multiply, "uid long, vec_id long, score long, key binary")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
