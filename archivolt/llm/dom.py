@@ -20,47 +20,53 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("article aside blockquote body div footer form header main nav ol section table td th ul dl menu".split())
 NOISE_TAGS = frozenset("nav aside form script style noscript template iframe svg button select textarea title head dialog menu object canvas audio video map search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead comment comments reply replies disqus respond discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip hidden".split()
+#: Names by which pages mark what is no text of theirs, as whole words of a class or id.
+NOISE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar masthead footer comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar hidden".split()
+)
+#: What such a name may be joined to and still be one: parts of a layout, not matters that a text may be about.
+NAME_PARTS = frozenset(
+    "area aside bar block body bottom box btn button buttons center col column container content desktop entry fixed form global group inner item items js large left link links list main mobile outer page panel placeholder post posts right row section site skip slot small sticky tag text thread title top unit user wrap wrapper widget widgets zone".split()
 )
-#: Classes that mark noise inside an article too, as whole classes and not on headings.
-NOISE_CLASSES = frozenset("ad ads advert adverts advertisement advertising adsense sponsored cookie cookies gdpr popup modal navbar breadcrumb breadcrumbs sidebar comments disqus newsletter pagination".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-WEAK, STRONG = 1, 2  # noise outside an article or main only, and noise everywhere
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
     __slots__ = ("tag", "key", "noise", "children", "parent")
 
-    def __init__(self, tag: str, key: str, noise: int, parent: Node | None):
+    def __init__(self, tag: str, key: str, noise: bool, parent: Node | None):
         self.tag, self.key, self.noise, self.children, self.parent = tag, key, noise, [], parent
 
 
-def hints(tag: str, attributes: str) -> tuple[str, int]:
-    """The node's key (tag and first class) and how surely its attributes mark it as noise: 0, WEAK or STRONG."""
-    key, noise = tag, 0
+def is_noise_name(token: str) -> bool:
+    """Whether a word of a class or id is a noise name: comment-list is one, with-sidebar and comments-on-method aren't."""
+    parts = [w.lower() for w in WORDS.findall(token)]
+    named = [w for w in parts if w in NOISE_NAMES]
+    return bool(named) and all(w in NOISE_NAMES or w in NAME_PARTS for w in parts)
+
+
+def hints(tag: str, attributes: str) -> tuple[str, bool]:
+    """The node's key (tag and first class) and whether its attributes mark it as noise."""
+    key, noise = tag, False
     if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in HINT.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "class" and value:
                 key = f"{tag}.{value.split()[0]}" if value.split() else tag
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                noise = STRONG
+                noise = True
             elif name == "role":
-                noise = STRONG if value.lower() in NOISE_ROLES else noise
+                noise = noise or value.lower() in NOISE_ROLES
                 key = f"{key}@main" if value.lower() == "main" else key
-            elif tag not in ("html", "body", "article", "main"):
-                if name == "class" and tag not in HEADINGS and not NOISE_CLASSES.isdisjoint(value.lower().split()):
-                    noise = STRONG
-                elif any(w.lower() in NOISE_WORDS for w in WORDS.findall(value)):
-                    noise = max(noise, WEAK)
+            elif tag not in ("html", "body", "main") and tag not in HEADINGS and name in ("class", "id"):
+                noise = noise or any(map(is_noise_name, value.split()))
     return key, noise
 
 
 def parse(html: str) -> Node:
     """The tree of a page; broken markup is closed as browsers do in the common cases.  Children are nodes and texts."""
-    root = Node("#root", "#root", 0, None)
+    root = Node("#root", "#root", False, None)
     at, here, end = 0, root, len(html)
     last, pattern = html.rfind(">"), TAG  # no tag ends after `last`
     opened: dict[str, int] = {}  # how many nodes of a tag are open
@@ -121,10 +127,10 @@ def parse(html: str) -> Node:
                     break
                 x = x.parent
         if tag in VOID:
-            here.children.append(Node(tag, tag, 0, here))
+            here.children.append(Node(tag, tag, False, here))
             continue
         key, noise = hints(tag, found[3])
-        node = Node(tag, key, STRONG if tag in NOISE_TAGS else noise, here)
+        node = Node(tag, key, noise or tag in NOISE_TAGS, here)
         here.children.append(node)
         if not found[3].rstrip().endswith("/") or tag in BLOCK:
             here = node
@@ -132,68 +138,54 @@ def parse(html: str) -> Node:
     return root
 
 
-def is_main(x: Node) -> bool:
-    return x.tag in ("article", "main") or x.key.endswith("@main")
-
-
-def mains(root: Node) -> list[Node]:
-    """The outermost article, main or role=main nodes outside noise; main wins over articles beside it.  Where there is
-    none, those inside nodes that may be noise."""
-    for least in (WEAK, STRONG):
-        found: list[Node] = []
-        todo = [root]
-        while todo:
-            x = todo.pop()
-            if is_main(x):
-                found.append(x)  # what is inside belongs to it
-                continue
-            for y in reversed(x.children):
-                if isinstance(y, Node) and y.noise < least:
-                    todo.append(y)
-        if found:
-            break
-    return [x for x in found if x.tag == "main" or x.key.endswith("@main")] or found
+#: Kinds of blocks.
+ARTICLE, MAIN = 1, 2
 
 
-def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
-    """(path, text) of the blocks below node in page order, without noise (inside an article or main, without what is
-    surely noise); white space is folded."""
-    out: list[tuple[str, str]] = []
+def blocks(node: Node, path: str = "") -> list[tuple[str, str, int]]:
+    """(path, text, kind) of the blocks below node in page order, without noise; white space is folded.  The kind tells
+    whether a block lies in an article or in main.  A header counts inside these only, a footer nowhere."""
+    out: list[tuple[str, str, int]] = []
     text: list[str] = []
-    own = [path + "/" + node.key]
+    own = [(path + "/" + node.key, kind_of(node, 0))]
 
     def flush() -> None:
         folded = " ".join(unescape("".join(text)).split())
         text.clear()
         if folded:
-            out.append((own[0], folded))
+            out.append((own[0][0], folded, own[0][1]))
 
-    todo: list[tuple] = [(x, own[0], is_main(node)) for x in reversed(node.children)]
+    todo: list[tuple] = [(x, *own[0]) for x in reversed(node.children)]
     while todo:
-        x, here, inside = todo.pop()
+        x, here, kind = todo.pop()
         if x is None:
             flush()
-            own[0] = here
+            own[0] = (here, kind)
         elif isinstance(x, str):
             text.append(x)
-        elif x.noise == STRONG or x.noise and not inside or x.tag == "footer" or x.tag == "header" and not inside:
+        elif x.noise or x.tag == "footer" or x.tag == "header" and not kind:
             text.append(" ")
         elif x.tag in ("br", "td", "th", "img", "wbr", "hr"):
             if x.tag == "hr":
                 flush()
             text.append("" if x.tag == "wbr" else " ")
-            todo += [(y, here, inside) for y in reversed(x.children)]
+            todo += [(y, here, kind) for y in reversed(x.children)]
         elif x.tag in BLOCK:
             flush()
-            back, own[0] = own[0], f"{here}/{x.key}"
-            todo.append((None, back, inside))
-            todo += [(y, own[0], inside or is_main(x)) for y in reversed(x.children)]
+            back, own[0] = own[0], (f"{here}/{x.key}", kind_of(x, kind))
+            todo.append((None, *back))
+            todo += [(y, *own[0]) for y in reversed(x.children)]
         else:
-            todo += [(y, here, inside) for y in reversed(x.children)]
+            todo += [(y, here, kind) for y in reversed(x.children)]
     flush()
     return out
 
 
+def kind_of(x: Node, kind: int) -> int:
+    """The kind of blocks in x, which lies in one of `kind`: what is in main is main's, whatever is between."""
+    return MAIN if kind == MAIN or x.tag == "main" or x.key.endswith("@main") else ARTICLE if kind or x.tag == "article" else 0
+
+
 def totals(one: list, two: list, score) -> list:
     """The greatest total score of all of `one` with each beginning of `two`."""
     row = [0] * (len(two) + 1)

@@ -16,6 +16,7 @@ from archivolt.llm.shared import slices, table, texts_of, words_of
 
 SAMPLE = 4000  # labelled texts that are fitted on and vote, at most
 LATENT, NEIGHBOURS, SHARPNESS = 48, 15, 16
+STEPS = 1 << 20  # of a cosine
 ROWS = 1024  # texts whose terms are held at once
 CLASSES = 16
 TERMS = CLASSES**3 + 1  # the last is the word that follows itself
@@ -98,24 +99,27 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text has no terms and gets the sample's share of label 1, as do all texts where there are no
     labels (0.5 then); texts of any length are read whole; repeated rows are scored each; null doc_ids are scored but
     never fitted on; no rows give no rows; other columns are ignored.  Of labels that contradict each other the least
-    counts, of different texts with one doc_id the one with the least hash.  Neighbours beyond the last place that are
-    as near as it don't vote.  Scores depend on the text and the labelled sample alone."""
+    counts, of different texts with one doc_id the one with the least hash.  Of neighbours that are as near as
+    the last place, the first of the sample vote.  Cosines are taken in double precision and rounded to whole
+    2**-20 before they are compared, so a score depends on the text and the labelled sample, not on the texts beside it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     projection, known, y = fit(docs, labels)
     base = float(y.mean()) if len(y) else 0.5
-    shared = docs.sparkSession.sparkContext.broadcast((projection.astype(np.float32), known.astype(np.float32), y))
+    shared = docs.sparkSession.sparkContext.broadcast((projection.astype(np.float64), known.astype(np.float64), y))
 
     def score(batches):
         projection, known, y = shared.value
-        k = min(NEIGHBOURS, len(y))
+        k, turn = min(NEIGHBOURS, len(y)), np.arange(len(y))[::-1]
         for batch in slices(batches, 1 << 20, ROWS):
-            vectors = unit(shares(texts_of(batch.column("text"))) @ projection)
+            vectors = unit(shares(texts_of(batch.column("text"))).astype(np.float64) @ projection)
             out = np.full(batch.num_rows, base)
-            for a in range(0, batch.num_rows if k else 0, 1024):
-                near = vectors[a : a + 1024] @ known.T
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** SHARPNESS
-                out[a : a + 1024] = ((weight * y[top]).sum(axis=1) + 1e-6 * base) / (weight.sum(axis=1) + 1e-6)
+            for a in range(0, batch.num_rows if k else 0, 256):
+                # whole steps of the cosine, and the sample's turn among equal ones, in one number
+                near = np.rint(vectors[a : a + 256] @ known.T * STEPS).astype(np.int64) * len(y) + turn
+                top = -np.sort(-np.partition(near, len(y) - k, axis=1)[:, len(y) - k :], axis=1)
+                weight = np.maximum(top // len(y) / STEPS, 0) ** SHARPNESS
+                label = y[len(y) - 1 - top % len(y)]
+                out[a : a + 256] = ((weight * label).sum(axis=1) + 1e-6 * base) / (weight.sum(axis=1) + 1e-6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.mapInArrow(score, "doc_id long, score double")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.llm import decontamination, exact_spans, main_text, minhash, packing, quality, sharding, shared, suffixes, token_shards, topk, toxicity
-from archivolt.llm.dom import blocks, matched, parse, tree_match
+from archivolt.llm.dom import blocks, matched, parse, tree_match  # noqa: F401
 from archivolt.llm.tokens import Encoder
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -447,7 +447,7 @@ def test_long_lists_are_matched_exactly():
 
 
 def test_broken_markup():
-    text = lambda h: [t for _, t in blocks(parse(h))]
+    text = lambda h: [t for _, t, _ in blocks(parse(h))]
     assert text("<p><b>Uno &amp; dos<br><p>tres<i>cuatro</i></p>cinco") == ["Uno & dos", "trescuatro", "cinco"]
     assert text('<script>var t="</p><p>no";</script><!-- <p>no</p> --><p>si<!-- x') == ["si"]
     assert text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == ["a", "b", "c d"]
@@ -456,7 +456,7 @@ def test_broken_markup():
 
 
 def test_long_broken_markup_takes_time_in_proportion():
-    text = lambda h: [t for _, t in blocks(parse(h))]
+    text = lambda h: [t for _, t, _ in blocks(parse(h))]
     began = time.time()
     assert text("<div>" + "</p>" * 50_000 + "si") == ["si"] and text("<b>" * 3000 + "</i>" * 50_000 + "si") == ["si"]
     assert text("<p>si</p>" + "<a " * 300_000)[0] == "si" and text('<a title="x' * 100_000 + "> fin") == ["fin"]
@@ -465,11 +465,95 @@ def test_long_broken_markup_takes_time_in_proportion():
     assert time.time() - began < 20
 
 
-def test_words_of_a_class_do_not_cut_an_article():
+def read_alone(spark, *pages):
+    """The texts of pages that are the only ones of their hosts."""
+    rows = [(i, f"http://h{i}.example/", html) for i, html in enumerate(pages)]
+    return [r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_words_of_a_class_do_not_cut_an_article(spark):
     article = """<article><div class="article-header"><h1>uno</h1></div><section id="discussion"><p>dos</p></section><h2 id="comments-on-method">tres</h2>
     <p class="side-note">cuatro</p><div class="map-ad-hoc">cinco</div><div class="box ad">no</div><div hidden>no</div><div role="search">no</div></article>"""
-    read = lambda h: main_text.main_text(f"<body><div class='share-box'>no</div>{h}</body>", {}).split("\n\n")
-    assert read(article) == read(f"<div class='with-sidebar'>{article}</div>") == ["uno", "dos", "tres", "cuatro", "cinco"]
+    one = "uno\n\ndos\n\ntres\n\ncuatro\n\ncinco"
+    assert read_alone(spark, f"<body><div class='share-box'>no</div>{article}</body>", f"<body><div class='with-sidebar'>{article}</div></body>") == [one, one]
+
+
+def test_names_and_teasers_lose_to_the_story(spark):
+    inside = "".join(f'<div class="{c}">no no no no</div>' for c in ("comment-list", "share-bar", "related-posts", "newsletter-box", "cookie-banner", "userComments", "site-footer"))
+    got = read_alone(
+        spark,
+        '<div class="content with-sidebar"><h1>T</h1><p>Story</p></div>',
+        '<div class="post">story</div><div id="comments"><article>nice post, and a long one</article></div>',
+        '<article class="teaser">read this</article><div class="story">a story that is longer</div>',
+        '<p class="side effects">of a cure</p>',
+        f"<article><p>story</p>{inside}</article>",
+        "<main><p>story of some length</p></main><article>teaser</article><div>note</div>",
+        "<div role='main'>short</div><div><p>what lies outside of it is the longer part of this page</p></div>",
+    )
+    assert got == ["T\n\nStory", "story", "a story that is longer", "of a cure", "story", "story of some length", "what lies outside of it is the longer part of this page"]
+
+
+def plain_wrapper(pages):
+    """Wrapper induction page by page: pages of a host with equal sets of skeleton lines are a layout; the blocks that the
+    next page would hold go, and the text is where most of what is left lies."""
+    hosts = collections.defaultdict(list)
+    for i, host, html in pages:
+        parts = blocks(parse(html or ""))
+        hosts[host, frozenset(main_text.skeleton(parts).split("\n"))].append((i, parts))
+    out = {}
+    for found in hosts.values():
+        different = {tuple(parts) for _, parts in found if parts}
+        for i, parts in found:
+            def constant(part, different=different):
+                held = sum(part in other for other in different)
+                pages = sum(any(part[0] == x[0] for x in other) for other in different)
+                return held > 1 and (held + 1) / (pages + 2) >= (0.9 if part[2] else 0.75)
+
+            left = [x for x in parts if not constant(x)] or parts
+            size = lambda kinds, left=left: sum(len(t) for _, t, k in left if k in kinds)
+            for kind in (2, 1, 0):
+                some = [x for x in left if x[2] == kind]
+                if some and (kind == 0 or 2 * size((kind,)) >= size((0, 1, 2))):
+                    left = some
+                    break
+            out[i] = "\n\n".join(t for _, t, _ in left)
+    return out
+
+
+def test_wrapper_against_brute_force(spark):
+    r = random.Random(12)
+    pages, changed = [], 0
+    for host in range(12):
+        fixed = [" ".join(r.choices("menú sitio aviso legal inicio más leer".split(), k=r.randint(1, 5))) for _ in range(4)]
+        kind = r.choice(["article", "main", "div", "section"])
+        for i in range(r.choice([1, 2, 3, 8, 25])):
+            story = "".join(f"<p>{' '.join(r.choices('abc def ghi jkl mno'.split(), k=r.randint(1, 20)))}</p>" for _ in range(3))
+            often = f"<p>{fixed[3]}</p>" if r.random() < 0.8 else f"<p>{fixed[3]} {i}</p>"
+            html = f"<body><div class='t'>{fixed[0]}</div><{kind}><h1>t {i}</h1>{story}{often}<p>{fixed[1]}</p></{kind}><div class='e'><p>{fixed[2]}</p></div></body>"
+            pages.append((len(pages), f"h{host}", html))
+            if r.random() < 0.1:
+                pages.append((len(pages), f"h{host}", html))
+    rows = [(i, f"http://{host}/{i}", html) for i, host, html in pages]
+    got = {x.page_id: x.text for x in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = plain_wrapper(pages)
+    assert got == want
+    alone = plain_wrapper([(i, str(i), html) for i, _, html in pages])
+    assert sum(got[i] != alone[i] for i in got) > len(got) // 2  # it is the templates that decide
+
+
+def test_skeletons_of_a_host_meet_in_rounds(spark):
+    """Layouts of many forms: alike ones lead to one layout, different ones don't meet."""
+    rows = []
+    for layout in range(5):
+        for i in range(30):
+            lines = [f"/#root/body/div.l{layout}/section.s{j}" for j in range(12)] + [f"/#root/body/div.l{layout}/section.x{i}"]
+            rows.append(("h", 100 * layout + i, "\n".join(lines), 1))
+    found = main_text.layouts(spark.createDataFrame(rows, "host string, form long, skeleton string, n long")).collect()
+    assert len(found) == len(rows)
+    by = collections.defaultdict(set)
+    for x in found:
+        by[x.form // 100].add(x.layout)
+    assert all(len(v) <= 2 and {y // 100 for y in v} == {k} for k, v in by.items())
 
 
 def test_trees_are_matched_by_their_subtrees():
@@ -515,9 +599,8 @@ def test_templates_of_whole_hosts(spark):
     assert {x.page_id: x.text for x in got} == expected and len(got) == len(rows)
 
 
-def test_main_is_read_whole():
-    html = '<body><main><h1>título</h1><p>texto largo</p><article class="card">otro</article></main></body>'
-    assert main_text.main_text(html, {}) == "título\n\ntexto largo\n\notro"
+def test_main_is_read_whole(spark):
+    assert read_alone(spark, '<body><main><h1>título</h1><p>texto largo</p><article class="card">otro</article></main></body>') == ["título\n\ntexto largo\n\notro"]
 
 
 def page(i, article):
