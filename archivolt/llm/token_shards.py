@@ -46,14 +46,20 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
+def id_bytes(tokenizer_path: str) -> int:
+    """Bytes that an id of a vocabulary takes: two up to 65,536 ids, else four."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        plan = json.load(file)
+    most = max([*plan["model"]["vocab"].values(), *(t["id"] for t in plan.get("added_tokens") or [])], default=0)
+    return 2 if most < 1 << 16 else 4
+
+
+def sequences_of(docs: DataFrame, tokenizer_path: str, length: int, width: int = 2) -> DataFrame:
     """n_tokens, doc_ids and offsets (where each document begins in it), start (ids of the first one before it) and
     tokens of each sequence."""
 
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
-        if len(encoder.ends_word) > 1 << 16:
-            raise ValueError("ids of this vocabulary do not fit 16 bits")
 
         def sequences(ids, name, start, n, whole):
             """Sequences of a stream of ids, from its stretches (name, start, n); the rest of the stream is kept."""
@@ -68,11 +74,11 @@ def sequences_of(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame
             names = pa.ListArray.from_arrays(pa.array(edge), name.take(pa.array(of)))
             offsets = pa.ListArray.from_arrays(pa.array(edge), pa.array((begin % length).astype(np.int32)))
             first = start[of[heads]] + begin[heads] - edges[of[heads]]
-            raw = ids[:used].astype("<u2").tobytes()
+            raw = ids[:used].astype(f"<u{width}").tobytes()
             for a in range(0, count, 4096):
                 b = min(count, a + 4096)
                 sizes = np.minimum(length, used - np.arange(a, b) * length).astype(np.int32)
-                tokens = [raw[2 * k * length : 2 * (k + 1) * length] for k in range(a, b)]
+                tokens = [raw[width * k * length : width * (k + 1) * length] for k in range(a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(sizes), names.slice(a, b - a), pa.array(first[a:b]), offsets.slice(a, b - a), pa.array(tokens, pa.binary())], names=COLUMNS)
             last = edges + n > used
             gone = np.maximum(used - edges[last], 0)
@@ -102,38 +108,84 @@ def dictionary_of(sequences: DataFrame) -> bytes:
         return b""
 
 
-def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: int = 8192, key: int = 20260101, path: str | None = None) -> DataFrame:
+def codec(dictionary: bytes):
+    import zstandard
+
+    held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(1, dict_data=held, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=held)
+
+
+def shard_writer(path: str, rows: int, stride: int, dictionary: bytes):
+    """Writes the sequences of a task, in order of their slots, to files of `rows` strides, and gives a row for each.
+
+    Every attempt of a task writes files with names of its own, and only the rows of the attempt that counts, which name
+    them, get into the result: an attempt that dies, is late or runs beside another can't touch a file of another's."""
+
+    def write(batches):
+        import pyarrow.fs
+
+        store, folder = pyarrow.fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        attempt, now, out, unpack = uuid.uuid4().hex[:12], None, None, codec(dictionary)[1].decompress
+
+        def name(shard: int) -> str:
+            return f"shard-{shard:08d}-{attempt}.bin"
+
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            shard = (slots // rows).tolist()
+            tokens = [unpack(t).ljust(stride, PADDING) for t in batch.column("tokens").to_pylist()]
+            for s, t in zip(shard, tokens, strict=True):
+                if s != now:
+                    if out:
+                        out.close()
+                    now, out = s, store.open_output_stream(f"{folder}/{name(s)}")
+                out.write(t)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*COLUMNS[:-1], "slot")), pa.array(shard, pa.int64()), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
+                names=[*COLUMNS[:-1], "slot", "shard", "tokens_crc32", "file"],
+            )
+        if out:
+            out.close()
+
+    return write
+
+
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """shard, file, first (slot) and sequences of each shard that was committed below path; other files there are of
+    attempts that did not count."""
+    return spark.read.schema("shard long, file string, first long, sequences long").json(f"{path}/index")
+
+
+def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: int = 8192, key: int = 20260101, path: str | None = None, width: int | None = None) -> DataFrame:
     """Writes all texts of docs(doc_id, text) in training order below path (default: the shared folder).
 
     Returns a row for each sequence: n_tokens (without padding), doc_ids and offsets (the documents in it and where
     each begins there), start (ids of the first one that lie in sequences before), slot, shard, byte_offset,
     tokens_crc32 (of the stride's bytes) and file.  Each document ends with the end id; a null or empty text is that id alone; a text of any length
     goes on through as many sequences as it needs; repeated rows and equal texts are written each; null doc_ids are
-    kept; other columns are ignored; no rows write no shard.  Files are written under a name of their own attempt and
-    take the place of an earlier attempt's when whole, so lost executors and repeated attempts leave no half shard.
-    Beside the shards, index.json holds what a reader needs."""
+    kept; other columns are ignored; no rows write no shard; ties can't occur, as every sequence has a slot of its own.
+    Ids take `width` bytes (by default two up to 65,536 ids of the vocabulary, else four).  Files have the name of their
+    attempt, and those that count are named in the result and by shard_files(), so lost executors and repeated attempts
+    leave no half shard among them.  Beside the shards, index.json holds what a reader needs."""
     spark = docs.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/archivolt/tokens-{uuid.uuid4().hex}")
     path = str(at.getFileSystem(conf).makeQualified(at).toUri().toString())  # with a scheme, so that all tasks mean one store
-    sequences = written(sequences_of(docs, tokenizer_path, length).withColumn("uid", F.monotonically_increasing_id()), "sequences", "zstd")
+    width = width or id_bytes(tokenizer_path)
+    stride = width * length
+    sequences = written(sequences_of(docs, tokenizer_path, length, width).withColumn("uid", F.monotonically_increasing_id()), "sequences", "zstd")
     # a row's number among all: the rows of the tasks before its own, and its turn there; one count a task
     counts = sorted((r["p"], r["n"]) for r in sequences.groupBy(F.shiftright("uid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     n, base = 0, {}
     for p, k in counts:
         base[p], n = n, n + k
     shards = -(-n // rows)
-    tasks = max(1, min(shards, max(8 * spark.sparkContext.defaultParallelism, -(-n * 2 * length // PART_BYTES))))
+    tasks = max(1, min(shards, max(8 * spark.sparkContext.defaultParallelism, -(-n * stride // PART_BYTES))))
     dictionary = dictionary_of(sequences)
 
-    def codec():
-        import zstandard
-
-        held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        return zstandard.ZstdCompressor(1, dict_data=held, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=held)
-
     def slot(batches):
-        pack = codec()[0].compress  # each sequence on its own, as the shuffle parts them
+        pack = codec(dictionary)[0].compress  # each sequence on its own, as the shuffle parts them
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             at = np.fromiter((base[p] for p in (uid >> 33).tolist()), np.int64, len(uid)) + (uid & (1 << 33) - 1)
@@ -144,49 +196,15 @@ def materialise(docs: DataFrame, tokenizer_path: str, length: int = 512, rows: i
     # slots are spread evenly by the permutation, so the ranges need no sample
     ordered = placed.repartitionById(tasks, (F.floor(F.col("slot") / rows) * tasks / max(1, shards)).cast("int")).sortWithinPartitions("slot")
 
-    def write(batches):
-        import pyarrow.fs
-
-        store, folder = pyarrow.fs.FileSystem.from_uri(path)
-        store.create_dir(folder, recursive=True)
-        now, out, temporary, unpack = None, None, None, codec()[1].decompress
-
-        def close():
-            out.close()
-            whole = f"{folder}/{name(now)}"
-            if store.get_file_info(whole).type != pyarrow.fs.FileType.NotFound:
-                store.delete_file(whole)
-            store.move(temporary, whole)
-
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            shard = (slots // rows).tolist()
-            tokens = [unpack(t).ljust(2 * length, PADDING) for t in batch.column("tokens").to_pylist()]
-            for s, t in zip(shard, tokens, strict=True):
-                if s != now:
-                    if out:
-                        close()
-                    now, temporary = s, f"{folder}/.{name(s)}.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temporary)
-                out.write(t)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*COLUMNS[:-1], "slot")), pa.array(shard, pa.int64()), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([name(s) for s in shard], pa.string())],
-                names=[*COLUMNS[:-1], "slot", "shard", "tokens_crc32", "file"],
-            )
-        if out:
-            close()
-
-    def name(shard: int) -> str:
-        return f"shard-{shard:08d}.bin"
-
-    done = written(ordered.mapInArrow(write, SCHEMA.removesuffix(", tokens binary") + ", slot long, shard long, tokens_crc32 long, file string"), "placed")
+    done = written(ordered.mapInArrow(shard_writer(path, rows, stride, dictionary), SCHEMA.removesuffix(", tokens binary") + ", slot long, shard long, tokens_crc32 long, file string"), "placed")
     dropped(sequences)
-    about = {"sequences": n, "length": length, "stride": 2 * length, "rows": rows, "key": key, "pad": PAD, "dtype": "<u2"}
+    done.groupBy("shard").agg(F.min("file").alias("file"), F.min("slot").alias("first"), F.count(F.lit(1)).alias("sequences")).write.mode("overwrite").json(f"{path}/index")
+    about = {"sequences": n, "length": length, "stride": stride, "rows": rows, "key": key, "pad": PAD, "dtype": f"<u{width}"}
     index = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
     stream = index.getFileSystem(conf).create(index, True)
     stream.write(bytearray(json.dumps(about).encode()))
     stream.close()
-    out = done.withColumn("byte_offset", F.col("slot") % rows * (2 * length))
+    out = done.withColumn("byte_offset", F.col("slot") % rows * stride)
     out._archivolt_shards = path
     return out
 

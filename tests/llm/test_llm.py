@@ -98,17 +98,18 @@ def test_token_shards(spark, tmp_path):
 
     whole, r = Tokenizer.from_file(TOKENIZER), random.Random(3)
     many = [(i, " ".join(r.choice(["uno", "dos", "tres!"]) for _ in range(r.randint(0, 60)))) for i in range(200)]
-    for rows, length in ((ODD, 16), (many, 16), (many, 1), ([], 16)):
-        path = f"file://{tmp_path}/t{len(rows)}-{length}"
-        got = token_shards.materialise(frame(spark, rows), TOKENIZER, length, 5, path=path).collect()
+    assert token_shards.id_bytes(TOKENIZER) == 2
+    for rows, length, width in ((ODD, 16, None), (many, 16, None), (many, 1, None), (many, 16, 4), ([], 16, None)):
+        path, size = f"file://{tmp_path}/t{len(rows)}-{length}-{width}", width or 2
+        got = token_shards.materialise(frame(spark, rows), TOKENIZER, length, 5, path=path, width=width).collect()
         assert sorted(x.slot for x in got) == list(range(len(got)))
         held = collections.defaultdict(list)  # ids of each (doc_id, start), read back from the shards
         for x in got:
             with open(f"{path[7:]}/{x.file}", "rb") as f:
                 f.seek(x.byte_offset)
-                raw = f.read(2 * length)
-            assert zlib.crc32(raw) == x.tokens_crc32 and x.byte_offset == x.slot % 5 * 2 * length and x.shard == x.slot // 5
-            ids = np.frombuffer(raw, "<u2").tolist()
+                raw = f.read(size * length)
+            assert zlib.crc32(raw) == x.tokens_crc32 and x.byte_offset == x.slot % 5 * size * length and x.shard == x.slot // 5
+            ids = np.frombuffer(raw, f"<u{size}").tolist()
             assert ids[x.n_tokens :] == [0] * (length - x.n_tokens) and x.offsets[0] == 0 and x.offsets == sorted(x.offsets)
             for k, (doc, a, b) in enumerate(zip(x.doc_ids, x.offsets, [*x.offsets[1:], x.n_tokens], strict=True)):
                 held[doc, 0 if k else x.start].append(ids[a:b])
@@ -122,7 +123,35 @@ def test_token_shards(spark, tmp_path):
             assert mine == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
         padded = sum(x.n_tokens < length for x in got)
         assert padded <= 4  # one a task
-        assert not [f for f in (os.listdir(path[7:]) if got else []) if f.startswith(".shard") and not f.endswith(".crc")]
+        index = {(x.shard, x.file): x for x in token_shards.shard_files(spark, path).collect()}
+        assert set(index) == {(x.shard, x.file) for x in got}
+        assert all(x.first == 5 * x.shard and os.path.getsize(f"{path[7:]}/{x.file}") == x.sequences * size * length for x in index.values())
+
+
+def test_attempts_of_a_task_do_not_touch_each_other(tmp_path):
+    """One is cut off in the middle of a shard, one runs whole, one comes late and is cut off as well."""
+    import zstandard
+
+    tokens = [bytes([i]) * 8 for i in range(20)]
+    pack = zstandard.ZstdCompressor(1).compress
+    lists = {"n_tokens": pa.array([4] * 20, pa.int32()), "doc_ids": pa.array([[1]] * 20), "start": pa.array([0] * 20), "offsets": pa.array([[0]] * 20, pa.list_(pa.int32())), "tokens": pa.array([pack(t) for t in tokens], pa.binary()), "slot": pa.array(range(20), pa.int64())}
+    whole = pa.RecordBatch.from_pydict(lists)
+    write = token_shards.shard_writer(f"file://{tmp_path}", 8, 8, b"")
+
+    def cut_off():
+        yield whole.slice(0, 11)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        list(write(cut_off()))
+    rows = [r for b in write(iter([whole.slice(0, 7), whole.slice(7)])) for r in b.to_pylist()]
+    with pytest.raises(RuntimeError):
+        list(write(cut_off()))
+    for r in rows:
+        with open(tmp_path / r["file"], "rb") as f:
+            f.seek(r["slot"] % 8 * 8)
+            assert f.read(8) == tokens[r["slot"]]
+    assert len(os.listdir(tmp_path)) == 7 and len({r["file"] for r in rows}) == 3
 
 
 # ---------------------------------------------------------------- near duplicates
