@@ -287,3 +287,119 @@ def test_whitening_query(spark, sf):
     found = QUERIES["op12_whitening"](spark, sf).toPandas()
     assert list(found.columns) == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
     assert len(found) == 32 * 500 and found.identity_error.iloc[0] < 1e-9 and found.deviation.dtype == np.int64
+
+
+# ---------------------------------------------------------------- earlier operators against plain versions
+
+
+def plain_propagation(groups, shards, seed):
+    """Balanced label propagation row by row: rows move to the label that most of their group has, while it has room."""
+    r = random.Random(seed)
+    total = sum(map(len, groups.values()))
+    quota = [(s + 1) * total // shards - s * total // shards for s in range(shards)]
+    label = {row: r.randrange(shards) for rows in groups.values() for row in rows}
+    load = collections.Counter(label[row] for rows in groups.values() if len(rows) > 1 for row in rows)
+    for _ in range(12):
+        moved = 0
+        for rows in groups.values():
+            held = collections.Counter(label[row] for row in rows)
+            if len(rows) > 1 and len(held) > 1:
+                to = max(held, key=lambda s: (load[s] < quota[s], held[s], -s))
+                for row in rows:
+                    if label[row] != to and load[to] < quota[to] and held[label[row]] <= held[to]:
+                        load[label[row]] -= 1
+                        load[to] += 1
+                        label[row] = to
+                        moved += 1
+        if not moved:
+            break
+    over = [row for s in range(shards) for row in [x for x in label if label[x] == s and len(groups[x[0]]) > 1][quota[s] :]]
+    free = over + [row for row in label if len(groups[row[0]]) == 1]
+    taken = collections.Counter(label[row] for row in label if row not in set(free))
+    for row in free:
+        label[row] = next(s for s in range(shards) if taken[s] < quota[s])
+        taken[label[row]] += 1
+    return label
+
+
+def cut_links(labels):
+    """Pairs of a group that lie in different shards."""
+    cut = 0
+    for held in labels.values():
+        n = sum(held.values())
+        cut += (n * n - sum(k * k for k in held.values())) // 2
+    return cut
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sharding_cuts_as_few_links_as_plain_propagation(spark, seed):
+    from archivolt.llm import sharding
+
+    r = random.Random(seed)
+    groups = {g: [(g, i) for i in range(r.choice([1, 1, 1, 2, 3, 5, 9]))] for g in range(300)} | {999: [(999, i) for i in range(150)]}
+    rows = [(1000 * g + i, f"text {g}") for g, found in groups.items() for _, i in found]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    mine = collections.defaultdict(collections.Counter)
+    for x in got:
+        mine[x.text_crc32][x.shard] += 1
+    plain = collections.defaultdict(collections.Counter)
+    for (g, _), s in plain_propagation(groups, 8, seed).items():
+        plain[g][s] += 1
+    sizes = collections.Counter(x.shard for x in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(got) == len(rows)
+    every = cut_links({g: collections.Counter(range(len(v))) for g, v in groups.items()})
+    assert cut_links(mine) <= 1.1 * cut_links(plain) + 0.01 * every
+    small = [{g: v for g, v in x.items() if sum(v.values()) < 100} for x in (mine, plain)]
+    assert cut_links(small[0]) <= 0.3 * cut_links({g: collections.Counter(range(sum(v.values()))) for g, v in small[0].items()})
+
+
+def test_quality_of_a_text_does_not_hang_on_its_neighbours(spark):
+    from archivolt.llm import quality
+
+    r = random.Random(8)
+    words = [("good clean words here to read", 1), ("BAD!!! $$$ |||| ### 000", 0)]
+    texts = [(i, " ".join(r.choices(words[i % 2][0].split(), k=r.randint(1, 60)))) for i in range(600)]
+    marks = spark.createDataFrame([(i, words[i % 2][1]) for i in range(200)], "doc_id long, y int")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        alone = {x.doc_id: x.score for x in quality.quality(df.repartition(7), marks).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert alone == {x.doc_id: x.score for x in quality.quality(df.coalesce(1), marks).collect()}
+
+
+def test_benchmark_index_is_selective_and_bounded():
+    """26,000 items of one length: memory, the share of unrelated pairs that pass, and those within the radius."""
+    import tracemalloc
+
+    from archivolt.llm import decontamination
+
+    r = np.random.default_rng(9)
+    x = decontamination.Items(5, 38)
+    x.ids = list(range(26_000))
+    x.prints = r.integers(0, 1 << 63, 26_000).astype(np.uint64).tolist()
+    x.index()
+    windows = r.integers(0, 1 << 63, 3000).astype(np.uint64)
+    windows[:100] = x.table[:100] ^ np.uint64((1 << 20) - 1)
+    tracemalloc.start()
+    window, item = x.near(windows)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert {(i, i) for i in range(100)} <= set(zip(window.tolist(), item.tolist(), strict=True))
+    assert x.passed(windows[100:600]).mean() < 0.05
+    assert (np.bitwise_count(windows[window] ^ x.table[item]) <= decontamination.RADIUS).all()
+
+
+def test_recall_of_the_radius():
+    """Windows whose weighted similarity to an item is just 0.8: how many are within the radius."""
+    from archivolt.llm import decontamination as D
+
+    r = np.random.default_rng(10)
+    near, trials = 0, 3000
+    for _ in range(trials):
+        shared, own, other = 32, 4, 4  # 32 / 40 of equal weights
+        common = r.integers(0, 1 << 63, shared).astype(np.uint64)
+        prints = [D.fingerprint(D.bits_of(np.concatenate([common, r.integers(0, 1 << 63, n).astype(np.uint64)])).sum(axis=0)[None])[0] for n in (own, other)]
+        near += int(np.bitwise_count(prints[0] ^ prints[1])) <= D.RADIUS
+    assert near >= 0.995 * trials
