@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm.dom import ARTICLE, MAIN, blocks, parse, tree_match
-from archivolt.llm.shared import dropped, table, written
+from archivolt.llm.shared import table, written
 
 #: How likely the next page of a layout holds a block that is the template's: (pages with it + 1) / (pages with its path
 #: + 2), so that few pages prove little.  Markup speaks for blocks of an article or main, and more is asked there.
@@ -153,11 +153,8 @@ def extract(pages: DataFrame) -> DataFrame:
     layout with a single page can't be told from a template's, so there tags, roles and names decide alone.  Forms of a
     host that as many pages have lead in the order of their hash."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of("url"))
-    known = written(read.mapInArrow(outlines, OUTLINE), "outlines")
-    held = templates(known)
-    out = written(known.join(held, ["host", "form"], "left").select("page_id", "url", content(F.col("blocks"), F.col("constant")).alias("text")), "texts")
-    dropped(known)
-    return out
+    known = written(read.mapInArrow(outlines, OUTLINE), "outlines", "zstd")
+    return known.join(templates(known), ["host", "form"], "left").select("page_id", "url", content(F.col("blocks"), F.col("constant")).alias("text"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
