@@ -222,30 +222,63 @@ def canonical_names(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), segment.canonical_name(kind, title, number, year, F.when(k == 3, "Corte"), ALIASES).alias("name"))
 
 
-HEADERS = ["ARTÍCULO 1o. Objeto", "ARTICULO 11A. Objeto", "Artículo 5 bis. Objeto", "ART. 20.", "ARTÍCULO 240-1. Objeto", "Artículo 2.2.1.1.1. Objeto", "ARTICULO TRANSITORIO 3o. Objeto", "ARTÍCULO 1o. TRANSITORIO. Objeto", "Artículo 5 de la Ley 3", "El artículo 5."]
-HEADER_IDS = ["1", "11A", "5 bis", "20", "240-1", "2.2.1.1.1", "T3", "T1", None, None]
-
-
 def sql_list(values) -> str:
     return "[" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def split_columns(listed: str) -> list[str]:
+    """The expressions of a select list whose commas at the top level stand before a name's end."""
+    out, depth, begin = [], 0, 0
+    for i, c in enumerate(listed):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(listed[begin:i].strip())
+            begin = i + 1
+    return [*out, listed[begin:].strip()]
+
+
 def turned(values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % len(values) + 1).cast("int"))
 
 
-@query(f"select c_custkey id, ({sql_list(HEADER_IDS)})[c_custkey % {len(HEADERS)} + 1] article from customer")
+#: Parts of a header by the key: how it begins, its number, what is tied to the number, and how it ends.
+HEADER_PARTS = """(k % 7) % 3 b, case k % 4 when 0 then (k % 900 + 1)::varchar when 1 then (k % 90 + 1) || '.' || (k % 8 + 1) when 2 then (k % 90 + 1) || '-' || (k % 5 + 1) else (k % 9 + 1) || '.' || (k % 7 + 1) || '.' || (k % 3 + 1) end n,
+ case k % 5 when 1 then 'o' when 2 then chr((65 + k % 14)::int) when 3 then ' bis' else '' end t, case k % 11 when 0 then '' when 1 then ' de la ley' when 2 then ': texto' else '. Texto' end e"""
+
+
+@query(f"""with p as (select k, {HEADER_PARTS} from (select c_custkey k from customer))
+select k id, case when b = 2 then 'T' else '' end || n || case when k % 5 in (2, 3) then t else '' end article
+from p where k % 11 <> 1""")
 def article_headers(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), segment.article_id(turned(HEADERS)).alias("article"))
+    """Headers composed of parts by the key; those that go on like a sentence are no headers."""
+    parts = HEADER_PARTS.replace("(k % 900 + 1)::varchar", "string(k % 900 + 1)").replace("chr((65 + k % 14)::int)", "char(65 + k % 14)")
+    made = table(spark, d, "customer").selectExpr("c_custkey k").filter("k % 11 <> 1").selectExpr("k", *split_columns(parts))
+    line = F.expr("case b when 0 then 'Artículo ' when 1 then 'ART. ' else 'ARTICULO TRANSITORIO ' end || n || t || e")
+    return made.select(F.col("k").alias("id"), segment.article_id(line).alias("article"))
+
+
+@query("select c_custkey id from customer where c_custkey % 4 > 0 and c_custkey % 3 = 0")
+def headers_in_sentences(spark, d):
+    """A number with levels before running text ends at its last separator; one without is no header."""
+    line = F.expr("'Artículo ' || case when c_custkey % 4 > 0 then (1 + c_custkey % 9) || '.' || (1 + c_custkey % 8) else '' || c_custkey end || case when c_custkey % 3 = 0 then ' de la ley' else ' x. y' end")
+    found = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), segment.article_id(line).alias("article"))
+    return found.filter("article is not null and id % 3 = 0").select("id")
 
 
-TITLE_LINES = ["I. ANTECEDENTES", "CONSIDERACIONES DE LA CORTE", "2. Caso concreto", "la decisión fue otra", "2.1. Decisión", "RESUELVE:", "SALVAMENTO DE VOTO DEL MAGISTRADO", "ACLARACIÓN DE VOTO", "III. EL PROBLEMA JURÍDICO", "Hechos", "IV. Hechos relevantes", "FUNDAMENTOS JURÍDICOS", "CONSIDERACIONES SOBRE EL MAR"]
-TITLE_NAMES = ["ANTECEDENTES", "CONSIDERACIONES", "CASO CONCRETO", None, None, "RESUELVE", "SALVAMENTO DE VOTO", "ACLARACIÓN DE VOTO", "PROBLEMA JURÍDICO", None, "HECHOS", "CONSIDERACIONES", None]
+#: Section titles by the key: a known phrase, the label before it, its letters and its end.
+TITLE_CASES = [("antecedentes procesales", "ANTECEDENTES"), ("consideraciones de la sala", "CONSIDERACIONES"), ("análisis del caso", "CASO CONCRETO"), ("la norma acusada", "NORMA DEMANDADA"), ("concepto del procurador", "CONCEPTO DEL MINISTERIO PÚBLICO"),
+    ("salvamento parcial de voto de la magistrada", "SALVAMENTO DE VOTO"), ("resuelve", "RESUELVE"), ("intervenciones en el mar", None), ("competencia", "COMPETENCIA")]
+TITLE_LABELS = ["", "II. ", "3) ", "4.2. "]
 
 
-@query(f"select c_custkey id, ({sql_list(TITLE_NAMES)})[c_custkey % {len(TITLE_LINES)} + 1] title from customer")
+@query(f"""with k as (select c_custkey id, c_custkey % {len(TITLE_CASES)} t, (c_custkey // 9) % 4 l, (c_custkey // 36) % 2 u from customer)
+select id, case when l = 3 or (u = 0 and (l = 0 or t = 5)) then null else ({sql_list([n for _, n in TITLE_CASES])})[t + 1] end title from k""")
 def section_titles(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), segment.section_title(turned(TITLE_LINES)).alias("title"))
+    """Titles count in upper case or with a label of one level, those of votes in upper case only."""
+    k = table(spark, d, "customer").selectExpr("c_custkey id", f"int(c_custkey % {len(TITLE_CASES)}) t", "int(c_custkey div 9 % 4) l", "int(c_custkey div 36 % 2) u")
+    title = F.element_at(F.array(*[F.lit(x) for x, _ in TITLE_CASES]), F.col("t") + 1)
+    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in TITLE_LABELS]), F.col("l") + 1), F.when(F.col("u") == 1, F.upper(title)).otherwise(title), F.when(F.col("id") % 2 == 0, ":").otherwise(""))
+    return k.select("id", segment.section_title(line).alias("title"))
 
 
 NUMBER_LINES = ["Página 3", "pág. 12 de 40", "17", "3/9", "17 casos", "Pagina"]

@@ -84,9 +84,38 @@ def test_judgment(spark):
     assert got[1].text == "I. ANTECEDENTES\na\nla decisión fue\n2.1. Decisión" and got[4].text == "Notifíquese\nfirma"
 
 
-@pytest.mark.parametrize("line, article", [("ARTÍCULO 1o. Objeto", "1"), ("ARTICULO 11A. Objeto", "11A"), ("Artículo 5 bis. Objeto", "5 bis"), ("ART. 20.", "20"), ("ARTÍCULO 240-1. Objeto", "240-1"), ("Artículo 2.2.1.1.1. Objeto", "2.2.1.1.1"), ("ARTICULO TRANSITORIO 3o. Objeto", "T3"), ("ARTÍCULO 1o. TRANSITORIO. Objeto", "T1"), ("Artículo 5 de la Ley 3", None), ("El artículo 5.", None), ("", None)])
-def test_article_header(spark, line, article):
-    assert spark.createDataFrame([(line,)], "l string").select(segment.article_id(F.col("l"))).first()[0] == article
+def test_article_headers(spark):
+    """Every way to begin, tie and end a header, and the same numbers in running text."""
+    begins = [("Artículo ", ""), ("ARTICULO\t", ""), ("art. ", ""), ("Artículo transitorio ", "T")]
+    numbers, ties = ["7", "88-2", "4.3.2", "31.1-4"], [("", ""), ("º", ""), ("C", "C"), (" ter", " ter"), (". TRANSITORIO", "T")]
+    lines = {}
+    for begin, early in begins:
+        for number in numbers:
+            for tie, shown in ties:
+                name = ("T" if early or shown == "T" else "") + number + (shown if shown != "T" else "")
+                for end in (".", " -", ": De los ríos", "", ". De los ríos"):
+                    lines[f"{begin}{number}{tie}{end}"] = name
+        lines[f"{begin}7 de la Constitución"] = None
+        lines[f"{begin}9876543. Largo"] = None
+        lines[f"{begin}4.3 de la Constitución"] = early + "4"  # the separator is a mark
+        lines[f"{begin}x"] = lines[f"del {begin}7."] = None
+    lines |= {"": None, "Artículo": None, "Artículos 7.": None}
+    got = spark.createDataFrame(list(lines), "string").select("value", segment.article_id(F.col("value")).alias("a")).collect()
+    assert {r.value: r.a for r in got} == lines
+
+
+def test_title_phrases():
+    assert segment.spelled("[a|b c] {d|e f} g") == ["a d g", "a e f g", "b c d g", "b c e f g", "d g", "e f g"]
+    assert segment.SECTION_OF["texto de las normas demandadas"] == "NORMA DEMANDADA" and segment.SECTION_OF["fundamentos"] == "CONSIDERACIONES" and "caso" not in segment.SECTION_OF
+
+
+@pytest.mark.parametrize("passage, name", [
+    ("Ley 7 de 1999, artículo 3. (parte 2 de 9)\n(x)", "Ley 7 de 1999, artículo 3"), ("Ley 7 (encabezado). [HECHOS]", "Ley 7"), ("Ley 7 (parte x de 2) (de 1999)", "Ley 7 (parte x de 2) (de 1999)"),
+    ("[A] [B] Ley 7 [C", "Ley 7 [C"), ("", ""), ("...", ""),
+])
+def test_references(spark, passage, name):
+    assert postprocess.reference(passage) == name
+    assert spark.createDataFrame([(passage,)], "t string").select(postprocess.passage_reference(F.col("t"))).first()[0] == name
 
 
 def test_windows(spark):
