@@ -6,6 +6,9 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Config:
@@ -43,3 +46,13 @@ class Config:
             raise ValueError(f"{self.model} is not an allowed model")
         if self.temperature != 0:
             raise ValueError("answers must be reproducible: temperature 0")
+
+
+def resolved(given: DataFrame) -> DataFrame:
+    """run, name and value of every setting of the runs in given(run, name, value): blank or absent means the default, and
+    secrets are masked."""
+    defaults = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(str(f.default)).alias("default")) for f in fields(Config)])
+    every = given.select("run").distinct().select("run", F.explode(defaults).alias("d")).select("run", "d.*")
+    value = F.coalesce(F.nullif(F.trim("value"), F.lit("")), F.col("default"))
+    shown = F.when(F.col("name").contains("key") & (value != ""), "***").otherwise(value)
+    return every.join(given, ["run", "name"], "left").select("run", "name", shown.alias("value"))

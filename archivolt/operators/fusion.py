@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -139,3 +139,12 @@ def slotted(question: DataFrame, options: DataFrame, k: int = TOP_K, from_questi
     start = F.array().cast(both.schema["rest"].dataType.elementType)
     placed = both.select("query_id", F.posexplode(F.aggregate(turns, start, step)).alias("at", "p"))
     return placed.select("query_id", (F.col("at") + 1).alias("place"), F.col("p.id").alias("id"), F.col("p.origin").alias("origin"))
+
+
+def fitted(passages: DataFrame, fixed: Column, window: int, reserve: int, margin: int = 32, most: int = TOP_K) -> DataFrame:
+    """The first of passages(query_id, pos, tokens) that fit a model's window beside `fixed` tokens of the prompt, `reserve`
+    for its output and a margin; at most `most`.  The last go first, so what does not fit takes all behind it along."""
+    order = Window.partitionBy("query_id").orderBy("pos")
+    used = F.sum("tokens").over(order)
+    placed = passages.withColumn("used", used.cast("long")).withColumn("_n", F.row_number().over(order))
+    return placed.filter((F.col("_n") <= most) & (fixed + F.col("used") <= window - reserve - margin)).drop("_n")

@@ -79,11 +79,14 @@ def cleaned_pages(pages: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", "page").agg(F.regexp_replace(text, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2").alias("text"))
 
 
-def markdown_table(rows: DataFrame, columns: list[str], limit: int = 1000) -> str:
-    """A Markdown table of a bounded report."""
-    cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.select(*columns).limit(limit).collect()])
+def markdown_table(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A Markdown table of a report of at most `most` rows; a longer one is an error, as markdown_rows() is for those."""
+    text = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows; use markdown_rows()")
+    line = lambda values: "| " + " | ".join(values) + " |"
+    return "\n".join([line(columns), "|" + "---|" * len(columns), *(line([text(r[c]) for c in columns]) for r in found)])
 
 
 def with_block(document: str, name: str, body: str) -> str:
@@ -98,7 +101,7 @@ def with_block(document: str, name: str, body: str) -> str:
 def body_name(kind, number, year):
     """What a body is called in a report."""
     words = F.regexp_replace(kind, "_", " ")
-    plain = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    plain = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, F.length(words)))
     return F.when(kind == "jurisprudencia", F.concat(F.lit("Sentencia "), number, F.lit(" de "), year)).when(number.isNotNull(), F.concat(plain, F.lit(" "), number, F.lit(" de "), year)).otherwise(plain)
 
 
@@ -107,7 +110,7 @@ def short_area(area, slugs: dict[str, str]):
     short = area
     for name, slug in slugs.items():
         short = F.when(area == name, F.lit(slug)).otherwise(short)
-    return F.concat(F.upper(F.substring(short, 1, 1)), F.lower(F.substring(short, 2, 1000)))
+    return F.concat(F.upper(F.substring(short, 1, 1)), F.lower(F.substring(short, 2, F.length(short))))
 
 
 def cell(value):

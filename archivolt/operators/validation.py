@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from archivolt.functions.grammar import CHAMBERS
+
 # Fixed values of the inventory's contract.
 TYPES = ("constitucion", "codigo", "ley", "decreto", "decreto_ley", "acto_legislativo", "resolucion", "circular", "sentencia", "decision_andina", "concepto")
 NUMBERED = ("ley", "decreto", "decreto_ley", "acto_legislativo", "resolucion", "circular", "sentencia", "decision_andina")
@@ -56,6 +58,45 @@ def inventory_rules(areas: list[str]) -> dict[str, Column]:
     }
 
 
+def inventory(rows: DataFrame, files: DataFrame, areas: list[str], order: str = "row") -> DataFrame:
+    """Adds errors and first_row to rows(row, doc_id, archivo, ..) of an inventory: the rules of a row alone, files that
+    files(path) lacks (a folder is there where a file is below it), rulings whose number has no such form, and ids that an
+    earlier row has, with that row's number."""
+    parts = F.split("path", "/")
+    places = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    there = files.select(F.explode(places).alias("archivo")).distinct().withColumn("there", F.lit(True))
+    first = F.min(order).over(Window.partitionBy("doc_id"))
+    joined = rows.join(there, "archivo", "left").withColumn("first_row", F.when(F.coalesce(F.trim("doc_id"), F.lit("")) != "", first))
+    rules = {
+        **inventory_rules(areas),
+        "doc_id_repeated": F.col("first_row") < F.col(order),
+        "numero_form": (F.col("tipo") == "sentencia") & (F.coalesce(F.trim("numero"), F.lit("")) != "") & ~F.upper("numero").rlike(rf"^(?:{'|'.join(CHAMBERS).upper()})-\d+"),
+        "archivo_missing": (F.coalesce(F.trim("archivo"), F.lit("")) != "") & F.col("there").isNull(),
+    }
+    found = with_errors(joined, rules)
+    return found.withColumn("first_row", F.when(F.col("first_row") < F.col(order), F.col("first_row"))).drop("there")
+
+
+def header_problems(headers: DataFrame, required: list[str], known: list[str]) -> DataFrame:
+    """id, column and problem (required or unknown) of the header lines of headers(id, header), as missing_columns() has
+    them for a table: separated by semicolons where those are more than the commas."""
+    count = lambda mark: F.length("header") - F.length(F.replace(F.col("header"), F.lit(mark), F.lit("")))
+    names = F.when(count(";") > count(","), F.split("header", ";")).otherwise(F.split("header", ","))
+    have = F.array_distinct(F.transform(names, lambda n: F.lower(F.trim(n, F.lit(" \"\ufeff")))))
+    rows = headers.select("id", have.alias("have"))
+    wanted = lambda listed: F.array(*[F.lit(c) for c in listed])
+    problems = F.concat(
+        F.transform(F.array_except(wanted(required), "have"), lambda c: F.struct(c.alias("column"), F.lit("required").alias("problem"))),
+        F.transform(F.array_except("have", wanted(known)), lambda c: F.struct(c.alias("column"), F.lit("unknown").alias("problem"))),
+    )
+    return rows.select("id", F.explode(problems).alias("p")).select("id", "p.*")
+
+
+def required_fields(kind: Column) -> Column:
+    """The fields that an answer of a kind must have, in the order they are to be written; null for other kinds."""
+    return F.try_element_at(F.create_map(*[x for k in REQUIRED for x in (F.lit(k), F.array(*[F.lit(f) for f in output_schema(k)["required"]]))]), kind)
+
+
 def aliased(values: Column, aliases: dict[str, str]) -> Column:
     """Names of a pipe-separated list by alias, without unknown ones, each once in the order given."""
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from archivolt.config import Config
+from archivolt.config import resolved
 from archivolt.functions import prompts
 from archivolt.functions import text as X
 from archivolt.functions.stemming import stemmed
@@ -641,11 +641,11 @@ def filled_prompts(spark, d):
 # ---------------------------------------------------------------- rules
 
 
-@query("select * from (values ('url', 'required'), ('extra', 'unknown')) t(\"column\", problem)")
+@query("""select c_custkey id, unnest(case when c_custkey % 3 = 0 then ['url', 'nota' || c_custkey % 5] when c_custkey % 3 = 1 then ['titulo'] else [] end) as "column", unnest(case when c_custkey % 3 = 0 then ['required', 'unknown'] when c_custkey % 3 = 1 then ['required'] else [] end) problem from customer""")
 def column_checks(spark, d):
-    rows = spark.createDataFrame([], "Doc_ID string, titulo string, extra string")
-    lacking, unknown = validation.missing_columns(rows, ["doc_id", "titulo", "url"], ["doc_id", "titulo", "url"])
-    return spark.createDataFrame([(c, "required") for c in lacking] + [(c, "unknown") for c in unknown], "column string, problem string")
+    """Header lines with other separators, letters and order."""
+    line = F.expr("case c_custkey % 3 when 0 then '\ufeffDOC_ID; Titulo ;nota' || c_custkey % 5 when 1 then 'url,doc_id' else '\"url\",\"TITULO\",\"doc_id\"' end")
+    return validation.header_problems(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("header")), ["doc_id", "titulo", "url"], ["doc_id", "titulo", "url"])
 
 
 @query("select o_orderkey id, o_custkey k, f first_row from (select *, min(o_orderkey) over (partition by o_custkey) f from orders) where o_orderkey > f")
@@ -705,17 +705,49 @@ def allowed_runs(spark, d):
     return validation.allowed_runs(e, ("click", "view")).drop("temperature")
 
 
-@query("select * from (values ('api_key', '***'), ('quota', '4'), ('top_k', '5'), ('rrf_k', '60'), ('temperature', '0.0')) t(name, \"value\")")
+@query("""select c_custkey run, unnest(['top_k', 'quota', 'api_key', 'rrf_k', 'temperature']) as name, unnest([case when c_custkey % 3 = 0 then '10' else (c_custkey % 20)::varchar end, '4', case when c_custkey % 2 = 0 then '***' else '' end, '60', '0.0']) as "value" from customer""")
 def settings(spark, d):
-    shown = Config.load({"ARCHIVOLT_TOP_K": "5", "ARCHIVOLT_QUOTA": " ", "ARCHIVOLT_API_KEY": "s"}).shown()
-    return spark.createDataFrame([(n, str(v)) for n, v in shown.items() if n in ("api_key", "quota", "top_k", "rrf_k", "temperature")], "name string, value string")
+    """Of each run: a number or a blank for top_k, and a key or none."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("run"))
+    given = c.select("run", F.lit("top_k").alias("name"), F.when(F.col("run") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), (F.col("run") % 20).cast("string"))).alias("value"))
+    given = given.union(c.filter("run % 2 = 0").select("run", F.lit("api_key"), s("run")))
+    return resolved(given).filter(F.col("name").isin("top_k", "quota", "api_key", "rrf_k", "temperature"))
 
 
-@query("""select * from (values ('multiple_choice', 'analisis_opciones,respuesta_correcta,justificacion,pasajes_usados'), ('semi_open', 'respuesta,palabras_clave,referencia_legal,pasajes_usados'),
- ('open_ended', 'marco_normativo,analisis,jurisprudencia,conclusion,pasajes_usados')) t(kind, fields)""")
+@query("""select event_id id, case event_id % 3 when 0 then ['respuesta_correcta'] when 1 then ['palabras_clave', 'referencia_legal'] else ['marco_normativo'] end lacking from events where event_id % 4 > 0
+union all select event_id, [] from events where event_id % 4 = 0""")
 def output_schemas(spark, d):
-    found = [(k, json.loads(json.dumps(validation.output_schema(k)))["required"]) for k in validation.REQUIRED]
-    return spark.createDataFrame([(k, ",".join(names)) for k, names in found], "kind string, fields string")
+    """Fields that answers of three kinds lack."""
+    fields = {0: ["analisis_opciones", "justificacion", "pasajes_usados"], 1: ["pasajes_usados", "respuesta"], 2: ["analisis", "jurisprudencia", "conclusion", "pasajes_usados"]}
+    k, e = F.col("event_id") % 3, table(spark, d, "events")
+    kind = F.when(k == 0, "multiple_choice").when(k == 1, "semi_open").otherwise("open_ended")
+    part = F.when(k == 0, F.array(*map(F.lit, fields[0]))).when(k == 1, F.array(*map(F.lit, fields[1]))).otherwise(F.array(*map(F.lit, fields[2])))
+    required = validation.required_fields(kind)
+    return e.select(F.col("event_id").alias("id"), F.array_except(required, F.when(F.col("event_id") % 4 == 0, required).otherwise(part)).alias("lacking"))
+
+
+@query("""with k as (select c_custkey r, 'd' || c_custkey % 200 doc, case c_custkey % 4 when 0 then 'C-' || c_custkey when 1 then 'X-1' else c_custkey::varchar end n, case when c_custkey % 4 < 2 then 'sentencia' else 'ley' end t from customer), f as (select *, min(r) over (partition by doc) f from k)
+select r as row, doc doc_id, list_filter([case when f < r then 'doc_id_repeated' end, case when r % 4 = 1 then 'numero_form' end, case when r % 5 = 0 then 'archivo_missing' end], lambda x: x is not null) errors, case when f < r then f end first_row from f""")
+def inventory_checked(spark, d):
+    """Files and folders that a listing has or lacks, numbers of rulings, ids that come again."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    rows = c.select(
+        k.alias("row"), F.concat(F.lit("d"), (k % 200).cast("string")).alias("doc_id"), F.concat(F.when(k % 5 == 0, "nada/").otherwise("f/"), k.cast("string"), F.when(k % 2 == 0, "/a.txt").otherwise("")).alias("archivo"),
+        F.when(k % 4 < 2, "sentencia").otherwise("ley").alias("tipo"), F.when(k % 4 == 0, F.concat(F.lit("c-"), k.cast("string"))).when(k % 4 == 1, "X-1").otherwise(k.cast("string")).alias("numero"),
+        *[F.lit(v).alias(n) for n, v in {"titulo": "t", "anio": "2001", "organo_emisor": "o", "fuente": "f", "url": "https://x", "fecha_consulta": "2024-01-31", "areas": "civil", "vigencia": ""}.items()],
+    )
+    files = c.select(F.concat(F.lit("f/"), k.cast("string"), F.lit("/a.txt")).alias("path"))
+    return validation.inventory(rows, files, ["civil"]).select("row", "doc_id", "errors", "first_row")
+
+
+@query("""with l as (select doc_id % 40 doc_id, doc_id // 40 page, 'cuerpo ' || doc_id || ' partido ' || doc_id as text from documents), n as (select doc_id, count(*) n from l group by 1)
+select doc_id, page, case when n >= 3 then '' else 'CABECERA ' || doc_id || chr(10) end || text as text from l join n using (doc_id)""")
+def clean_pages(spark, d):
+    """Pages with a repeated head, a page number and a word that a line end breaks."""
+    x = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("doc"), F.floor(F.col("doc_id") / 40).alias("page"), s("doc_id").alias("i"))
+    text = F.concat(F.lit("CABECERA "), F.col("doc").cast("string"), F.lit("\nPágina "), (F.col("page") % 900 + 1).cast("string"), F.lit("\ncuerpo "), F.col("i"), F.lit(" par-\ntido "), F.col("i"))
+    return reports.cleaned_pages(x.select(F.col("doc").alias("doc_id"), "page", text.alias("text")))
 
 
 # ---------------------------------------------------------------- ranking

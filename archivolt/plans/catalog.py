@@ -463,10 +463,13 @@ def reproducibility(spark, d):
     return evaluation.reproduced(one, two, ["status", "price"])
 
 
-@query("""with w as (select conv_id, turn, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) n from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) s from w) select conv_id, turn, s::bigint words from r where s <= 200""")
+@query("""with w as (select conv_id, turn, row_number() over (partition by conv_id order by turn) i, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) n from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) s from w)
+select conv_id, turn, s::bigint words from r where i <= 5 and conv_id % 30 + s <= 400 - 150 - 32""")
 def context_fit(spark, d):
-    used = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", X.word_count(F.col("text")).alias("n")).withColumn("words", used.cast("long")).filter("words <= 200").select("conv_id", "turn", "words")
+    """A window of 400, 150 of it for the output, beside a prompt of up to 30."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), X.word_count(F.col("text")).alias("tokens"))
+    kept = fusion.fitted(turns, F.col("query_id") % 30, 400, 150, most=5)
+    return kept.select(F.col("query_id").alias("conv_id"), F.col("pos").alias("turn"), F.col("used").alias("words"))
 
 
 @query("""select conv_id, string_agg('[P' || r || '] ' || text, chr(10) || chr(10) order by r) evidence from (select conv_id, text, row_number() over (partition by conv_id order by turn) r from conversations) group by 1""")
