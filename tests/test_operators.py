@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from archivolt.config import Config
 from archivolt.functions.grammar import ALIASES
-from archivolt.operators import dense, evaluation, fusion, leakage, models, reports, runs, segment, validation
+from archivolt.operators import dense, evaluation, fusion, leakage, models, postprocess, reports, runs, segment, validation
 from archivolt.sources import documents as sources
 
 
