@@ -3,7 +3,6 @@ keys."""
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window

@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.functions import text as X
 from archivolt.operators import dense, lexical
 
 K1, B = 1.5, 0.75
