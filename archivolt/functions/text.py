@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +38,24 @@ def same_length_fold(text: Column) -> Column:
     return F.lower(fold_accents(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", " ")))
 
 
-@F.pandas_udf(T.StringType())
-def fold_unicode(texts: pd.Series) -> pd.Series:
-    """Like fold, for every script: canonical decomposition without combining marks."""
-    def one(text):
-        if text is None:
-            return None
+#: Texts of these characters alone are folded by fold(): ASCII and the letters it knows.
+FOLDED_IN_JVM = rf"^[\x{{0}}-\x{{1B}}\x{{20}}-\x{{7E}}{ACCENTED}]*$"
+
+
+@F.arrow_udf(T.StringType())
+def unmarked(texts: pa.Array) -> pa.Array:
+    """Lower case without combining marks after canonical decomposition, with single spaces and none at the ends."""
+    def one(text: str) -> str:
         bare = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-        return re.sub(r"\s+", " ", bare.lower()).strip()
+        return " ".join(bare.lower().split())
+
+    return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+
 
-    return texts.map(one, na_action="ignore")
+def fold_unicode(text: Column | str) -> Column:
+    """Like fold, for every script; only texts of other characters than fold() knows leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(FOLDED_IN_JVM), fold(text)).otherwise(unmarked(F.when(~text.rlike(FOLDED_IN_JVM), text)))
 
 
 #: A text of these characters alone is in composed form already.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -61,11 +62,17 @@ def embedded(texts: DataFrame, make: Callable[[], Encoder], is_query: bool = Fal
 
 
 def reranked(pairs: DataFrame, score: Callable[[str, list[str]], list[float]] = overlap) -> DataFrame:
-    """Adds rerank (5 decimals) to pairs(question, text)."""
+    """Adds rerank (5 decimals) to pairs(question, text).  The model gets all texts of a question in a batch at once."""
 
     @F.pandas_udf(T.DoubleType())
     def rate(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([round(float(score(q, [t])[0]), 5) for q, t in zip(questions, texts, strict=True)], dtype=float)
+        asked: dict = defaultdict(list)
+        for i, question in enumerate(questions):
+            asked[question].append(i)
+        out = np.zeros(len(questions))
+        for question, rows in asked.items():
+            out[rows] = score(question, texts.iloc[rows].tolist())
+        return pd.Series([round(float(x), 5) for x in out], dtype=float)
 
     return pairs.withColumn("rerank", rate("question", "text"))
 

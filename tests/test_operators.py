@@ -231,6 +231,12 @@ def test_models(spark):
     rows = models.embedded(texts, models.HashedWords).collect()
     assert len(rows[0].vec) == 64 and abs(sum(x * x for x in rows[0].vec) - 1) < 1e-5
     assert models.reranked(spark.createDataFrame([("la ley", "ley 1")], "question string, text string")).first().rerank == 0.5
+
+    def calls(question, texts):  # how many texts came together
+        return [len(texts) / 10] * len(texts)
+
+    many = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", None), (None, "z"), ("a", "x")], "question string, text string").coalesce(1)
+    assert sorted((r.question or "", r.rerank) for r in models.reranked(many, calls).collect()) == [("", 0.1), ("a", 0.3), ("a", 0.3), ("a", 0.3), ("b", 0.1)]
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "id long, vec array<double>")
     assert [r.id for r in dense.dense_topk(q, v, 4).orderBy("rank").collect()] == [2, 5, 8, 1]
