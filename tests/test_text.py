@@ -81,3 +81,31 @@ def test_columns(spark):
     assert [r[0] for r in words.select(X.tokens(words.t).alias("w")).select(X.ngrams(F.col("w"), 2)).collect()] == [["a b", "b c"], []]
     legal = spark.createDataFrame([("Artículo 1o. de la SL3385 y 240-1",)], "t string")
     assert legal.select(X.legal_tokens(legal.t, ("de", "la", "y"))).first()[0] == ["articul", "1", "sl-3385", "240-1"]
+
+
+STEMS = """cheque chequ cheques chequ chica chic toreado tor torneo torne tortillas tortill trabajadoras trabaj tranquilidad tranquil
+constitución constitu constituciones constitu jurisprudencia jurisprudent legalmente legal rápidamente rapid cantándole cant biología biolog biologia biologi
+sigue sig sigues sig contribuyeron contribu a a el el amablemente amabl revoluciones revolu existencias existent iniciativas inici oí oi""".split()
+
+
+@pytest.mark.parametrize("word, stem", list(zip(STEMS[::2], STEMS[1::2], strict=True)))
+def test_stems(word, stem):
+    from archivolt.functions.stemming import stem_word
+
+    assert stem_word(word) == stem
+
+
+def test_lists_of_stems(spark):
+    from archivolt.functions.stemming import stemmed
+
+    rows = [(["leyes", "c-355", "240-1", None, "x"],), ([],), (None,), (["ñandúes", "leyes"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "w array<string>").coalesce(1).select(stemmed(F.col("w"))).collect()]
+    assert got == [["ley", "c-355", "240-1", None, "x"], [], None, ["ñandu", "ley"]]
+
+
+def test_spaces_and_edges(spark):
+    cases = {"a\fb\x0bc": "a b c\n", "　a　\n\x1c b　": "a\nb\n", "　" * 50_000: "", "a" + "　" * 50_000 + "b": "a" + "　" * 50_000 + "b\n", "a\n\n\n\nb\r\nc": "a\n\nb\nc\n", " \n ": "", "": "", "x­y": "xy\n", None: None, "a  b": "a b\n"}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(X.spaced(F.col("t"))).collect()] == list(cases.values())
+    rows = {r.t for r in X.normalised(spark.createDataFrame([("é",), ("café ",), (None,)], "t string"), "t").collect()}
+    assert rows == {"é\n", "café\n", None}
