@@ -348,7 +348,9 @@ select items, n_ref, n_cited, hits, hits_supported, hits_unsupported, wrong, uns
 def citation_score(spark, d):
     x = materialised(cited_orders(spark, d).select("id", "o_custkey", bodies_of(extract_citations("text")).alias("cited")), "cited")
     none = F.array().cast("array<string>")
-    key = x.select("id", F.when(F.col("id") % 3 == 0, F.col("cited")).otherwise(F.array(F.lit("ley|1|1999"))).alias("reference"))
+    # what the others refer to is never what they cite, also where that is Ley 1 de 1999
+    foreign = F.when(F.array_contains("cited", "ley|1|1999"), "ley|1|1998").otherwise("ley|1|1999")
+    key = x.select("id", F.when(F.col("id") % 3 == 0, F.col("cited")).otherwise(F.array(foreign)).alias("reference"))
     answers = x.filter("o_custkey % 11 <> 0").select("id", (F.col("o_custkey") % 7 == 0).alias("abstained"), "cited", F.when(F.col("id") % 2 == 0, F.col("cited")).otherwise(none).alias("supported"))
     return evaluation.citation_index(key, answers)
 
