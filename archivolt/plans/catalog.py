@@ -423,7 +423,7 @@ def latency_percentiles(spark, d):
 @query("""with r as (select c_custkey id, list_filter([case when c_acctbal < 0 then 'negative_balance' end, case when c_custkey % 50 = 0 then 'name_required' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'AUTOMOBILE') then 'segment_unknown' end,
  case when first < c_custkey then 'name_repeated' end], lambda x: x is not null) errors from (select *, min(c_custkey) over (partition by c_nationkey, c_mktsegment, c_acctbal::int) "first" from customer)) select id, errors from r""")
 def validation_errors(spark, d):
-    by = Window.partitionBy("c_nationkey", "c_mktsegment", F.round("c_acctbal", 0).cast("int"))
+    by = Window.partitionBy("c_nationkey", "c_mktsegment", F.rint("c_acctbal").cast("int"))  # halves to the even one, as SQL's cast does
     c = table(spark, d, "customer").withColumn("first", F.min("c_custkey").over(by))
     rules = {
         "negative_balance": F.col("c_acctbal") < 0, "name_required": F.col("c_custkey") % 50 == 0, "segment_unknown": ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE"), "name_repeated": F.col("first") < F.col("c_custkey"),

@@ -23,3 +23,10 @@ def test_own_body_is_no_foreign_reference(spark, tmp_path):
     keys = [2000 * i + 1 for i in range(12)]
     orders = {"o_orderkey": keys, "o_custkey": [3 * i + 1 for i in range(12)], "o_orderstatus": ["F"] * 12, "o_totalprice": [1.0] * 12, "o_orderdate": [datetime.datetime(1999, 5, 1)] * 12, "o_orderpriority": ["1-URGENT"] * 12}
     agree(spark, tmp_path, "citation_score", orders=orders)
+
+
+def test_halves_round_to_even(spark, tmp_path):
+    balances = [4.5, 4.0, 5.5, 6.0, -2.5, -2.0, -3.0, 5.0, 0.5, 0.0, -0.5, 1.0, 1.5, 2.0]
+    n = len(balances)
+    customer = {"c_custkey": list(range(n)), "c_name": ["x"] * n, "c_nationkey": pa.array([1] * n, pa.int32()), "c_acctbal": balances, "c_mktsegment": ["BUILDING"] * n}
+    agree(spark, tmp_path, "validation_errors", customer=customer)
