@@ -24,6 +24,11 @@ INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def lowered(text: Column) -> Column:
+    """Lower case by single characters: the JVM makes two of a capital I with a dot, and looks around a sigma."""
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def fold_accents(text: Column) -> Column:
     """Latin letters without their accents; the length stays the same, so offsets stay true."""
     return F.translate(text, ACCENTED, PLAIN)
@@ -31,11 +36,11 @@ def fold_accents(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, no accents, white space as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(fold_accents(text)), r"[ \t\n\r\f\x0B]+", " "))
+    return F.trim(F.regexp_replace(lowered(fold_accents(text)), r"[ \t\n\r\f\x0B]+", " "))
 
 
 def same_length_fold(text: Column) -> Column:
-    return F.lower(fold_accents(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", " ")))
+    return lowered(fold_accents(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", " ")))
 
 
 #: Texts of these characters alone are folded by fold(): ASCII and the letters it knows.
@@ -100,7 +105,7 @@ def joined_hyphens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), 0)
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -140,15 +145,17 @@ STOPWORDS = tuple(
 )
 
 
+#: Bounds of a word of ASCII letters, digits and _; the JVM's own may take letters of other scripts for parts of a word.
+BEGIN, END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 #: A court id is a chamber and a number; tokens are court ids, numbers with their dots, hyphens and letter, and words.
-COURT_ID = rf"\b({'|'.join(CHAMBERS)}) *-? *0*(\d{{1,5}})\b"
+COURT_ID = rf"{BEGIN}({'|'.join(CHAMBERS)}) *-? *0*(\d{{1,5}}){END}"
 LEGAL_TOKEN = "|".join([r"[a-z]{1,4}-\d{1,5}", r"\d+(?:[.\-]\d+)*[a-z]?", "[a-z]+"])
 
 
 def legal_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Folded tokens of legal text: court ids (sl3385 is sl-3385), article numbers, and words that are not stopwords."""
     x = F.regexp_replace(fold(text), COURT_ID, "$1-$2")
-    x = F.regexp_replace(x, r"\b(\d+) *(?:o\b|º|°)", "$1")
+    x = F.regexp_replace(x, rf"{BEGIN}(\d+) *(?:o{END}|º|°)", "$1")
     found = F.regexp_extract_all(x, F.lit(LEGAL_TOKEN), 0)
     return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
 

@@ -30,3 +30,11 @@ def test_halves_round_to_even(spark, tmp_path):
     n = len(balances)
     customer = {"c_custkey": list(range(n)), "c_name": ["x"] * n, "c_nationkey": pa.array([1] * n, pa.int32()), "c_acctbal": balances, "c_mktsegment": ["BUILDING"] * n}
     agree(spark, tmp_path, "validation_errors", customer=customer)
+
+
+def test_legal_words_of_other_scripts(spark, tmp_path):
+    """Words end at letters that are not ASCII ones; a capital I with a dot is one letter."""
+    texts = ["ßsl 3385 y", "sl 3385ß", "ж12 o", "12 oж", "日c-004", "İA İstanbul", "ΑΣ 7 º", "sl3385 12 o", None, ""]
+    documents = {"doc_id": list(range(len(texts))), "text": texts, "lang": ["es"] * len(texts), "source": ["s"] * len(texts), "n_chars": [0] * len(texts)}
+    agree(spark, tmp_path, "legal_terms", documents=documents)
+    agree(spark, tmp_path, "term_document_frequency", documents=documents)
