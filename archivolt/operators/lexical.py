@@ -18,6 +18,8 @@ from archivolt.session import materialised, work_path
 K1, B = 1.5, 0.75
 #: Documents of a block of postings, and blocks of a query that are scored before its threshold is known.
 BLOCK, FIRST = 128, 4
+#: Blocks and queries, about, that one task scores together.
+SPAN, PACK = 16, 256
 
 
 def postings(docs: DataFrame, words: Column | None = None) -> DataFrame:
@@ -118,26 +120,98 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     least = begun.filter(F.col("rank") == k).select("query_id", (F.col("score") - 2e-6).alias("least"))
     rest = bounds.join(best.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("bound >= coalesce(least, 0.0)")
     rest = materialised(rest.select("query_id", "block"), "rest")
-    more = scores(rest, weighed, postings_, size["avgdl"], k)
+    more = materialised(scores(rest, weighed, postings_, size["avgdl"], k), "more")
     found = top(begun.select("query_id", "id", "score").union(more.select("query_id", "id", "score")), k)
     read = best.select("query_id", "block").union(rest).withColumn("scored", F.lit(True))
     return found, bounds.select("query_id", "block").join(read, ["query_id", "block"], "left").fillna(False, ["scored"])
 
 
-def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float, k: int) -> DataFrame:
-    """The k best documents of the blocks of pairs(query_id, block)."""
-    wanted = pairs.select("query_id", "block").join(weighed, "query_id")
-    each = wanted.join(held, ["term", "block"]).select("query_id", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-    part = F.col("weight") * impact(F.col("p.tfs"), F.col("p.dls"), F.lit(avgdl))
-    scored = each.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored.filter("score > 0"), k)
-
-
-def overlap(spark: SparkSession, path: str, queries: DataFrame, analyser=tokens) -> DataFrame:
-    """query_id, id and score: how many different words of a query a document holds, by a saved index."""
-    asked = asked_terms(queries, analyser).select("query_id", "term")
-    each = asked.join(spark.read.parquet(f"{path}/postings").select("term", "ids"), "term").select("query_id", F.explode("ids").alias("id"))
-    return each.groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float | None, k: int) -> DataFrame:
+    """The k best documents of the blocks of pairs(query_id, block); without avgdl a term counts its weight alone.
+
+    SPAN neighbouring blocks and a pack of about PACK queries meet in one task, which sums up all terms of its documents
+    and passes on the k best of each query, so that no row for a query and a document is shuffled but those."""
+    span = F.floor(F.col("block") / SPAN).alias("span")
+    packs = 1 + weighed.select("query_id").distinct().count() // PACK
+    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")
+    wanted = pairs.select(span, pack, "query_id", "block")
+    terms = wanted.select("span", "pack", "query_id").distinct().join(weighed.select("query_id", "term", "weight"), "query_id")
+    asked = wanted.unionByName(terms, allowMissingColumns=True)
+    dealt = held.select(span, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"), "term", "block", "ids", "tfs", "dls")
+    kinds = {"query_id": pairs.schema["query_id"].dataType, "id": held.schema["ids"].dataType.elementType}
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", score double"
+    best = partial(best_of, k=k, avgdl=avgdl, kinds={name: to_arrow_type(kind) for name, kind in kinds.items()})
+    found = dealt.groupBy("span", "pack").cogroup(asked.groupBy("span", "pack")).applyInArrow(best, schema)
+    return top(found.groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score")), k)
+
+
+def best_of(held: pa.Table, asked: pa.Table, k: int, avgdl: float | None, kinds: dict[str, pa.DataType]) -> pa.Table:
+    """query_id, id and score (6 decimals) of the k best documents of each query among blocks of postings: asked has the
+    terms and weights of each query, and with a null term the blocks in which it is asked."""
+    schema = pa.schema([*kinds.items(), ("score", pa.float64())])
+    is_pair = pc.is_null(asked["term"])
+    pairs, weights = asked.filter(is_pair), asked.filter(pc.invert(is_pair))
+    names = pc.unique(weights["term"])
+    held = held.filter(pc.is_in(held["term"], names)).combine_chunks()
+    if not held.num_rows or not pairs.num_rows:
+        return schema.empty_table()
+    flat = lambda name: held[name].combine_chunks().flatten()
+    sizes = pc.list_value_length(held["ids"]).to_numpy().astype(np.int64)
+    coded = flat("ids").dictionary_encode(null_encoding="encode")
+    code = coded.indices.to_numpy().astype(np.int64)
+    blocks, block = np.unique(held["block"].to_numpy(), return_inverse=True)
+    every, doc = np.unique(code * len(blocks) + np.repeat(block, sizes), return_inverse=True)
+    queries = pc.unique(pairs["query_id"])
+    number = lambda column, among: pc.index_in(column, among).to_numpy().astype(np.int64)
+    value = np.ones(len(doc))
+    if avgdl is not None:
+        tf = flat("tfs").to_numpy().astype(np.float64)
+        value = impact(tf, flat("dls").to_numpy(), avgdl)
+    # postings and weights, each in the order of their terms
+    term = np.repeat(number(held["term"], names), sizes)
+    order, by = np.argsort(term, kind="stable"), np.argsort(number(weights["term"], names), kind="stable")
+    doc, value = doc[order], value[order]
+    edges = np.searchsorted(term[order], np.arange(len(names) + 1))
+    cuts = np.searchsorted(number(weights["term"], names)[by], np.arange(len(names) + 1))
+    query, weight = number(weights["query_id"], queries)[by], weights["weight"].to_numpy()[by]
+    total = np.zeros((len(every), len(queries)))
+    alone = len(np.unique(term[order] * len(every) + doc)) == len(doc)  # no document twice with a term
+    for a, b, c, d in zip(edges[:-1].tolist(), edges[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a < b:
+            part = value[a:b, None] * weight[None, c:d]
+            if alone:
+                total[doc[a:b, None], query[None, c:d]] += part
+            else:
+                np.add.at(total, (doc[a:b, None], query[None, c:d]), part)
+    at = np.searchsorted(blocks, pairs["block"].to_numpy())
+    known = (at < len(blocks)) & (blocks[np.minimum(at, len(blocks) - 1)] == pairs["block"].to_numpy())
+    wanted = np.zeros((len(blocks), len(queries)), bool)
+    wanted[at[known], number(pairs["query_id"], queries)[known]] = True
+    total[~wanted[every % len(blocks)]] = 0.0
+    ids, own = coded.dictionary, every // len(blocks)
+    if len(ids) < len(every):  # the same id in several blocks
+        summed = np.zeros((len(ids), len(queries)))
+        np.add.at(summed, own, total)
+        total, own = summed, np.arange(len(ids))
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    total = np.floor(total * 1e6 + 0.5) / 1e6
+    rows, columns = [], []
+    for q in range(len(queries)):
+        some = np.flatnonzero(total[:, q] > 0)
+        best = some[np.lexsort((place[own[some]], -total[some, q]))[:k]]
+        rows.append(best)
+        columns.append(np.full(len(best), q))
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    return pa.table([queries.take(pa.array(column)), ids.take(pa.array(own[row])), pa.array(total[row, column])], schema=schema)
+
+
+def overlap(spark: SparkSession, path: str, queries: DataFrame, k: int, analyser=tokens) -> DataFrame:
+    """query_id, rank, id and score: how many different words of a query a document holds, by a saved index; the k best."""
+    asked = materialised(asked_terms(queries, analyser).select("query_id", "term", F.lit(1.0).alias("weight")), "asked")
+    postings_ = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
+    blocks = materialised(postings_.select("block").distinct(), "blocks")
+    return scores(asked.select("query_id").distinct().crossJoin(blocks), asked, postings_, None, k)
 
 
 def asked_terms(queries: DataFrame, analyser=tokens) -> DataFrame:

@@ -124,7 +124,7 @@ def rankings(spark, d):
     path = work_path(spark, "bm25")
     lexical.save_index(docs(spark, d), path)
     best = lexical.saved_bm25(spark, path, items(spark, d), 50)
-    one = best.withColumn("origin", F.lit("bm25")).unionByName(lexical.top(lexical.overlap(spark, path, items(spark, d)), 50).withColumn("origin", F.lit("dense")))
+    one = best.withColumn("origin", F.lit("bm25")).unionByName(lexical.overlap(spark, path, items(spark, d), 50).withColumn("origin", F.lit("dense")))
     return one.withColumn("weight", F.lit(1.0))
 
 
