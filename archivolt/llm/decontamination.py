@@ -21,6 +21,7 @@ from archivolt.llm.shingles import chained, folded_words
 RADIUS, BLOCKS = 20, 2
 PAIRS = 1 << 21  # of windows and items that are compared at a time
 ITEM_WORDS = 1_000_000  # words of items in one index; more items make more passes
+SLICE = 1 << 20  # bytes of texts that are looked at together; what they need is some forty times that
 STRETCH = 8192  # words of a document whose bit sums are held at once
 
 
@@ -155,7 +156,7 @@ def finder(kinds: list[Items], size: int, least: float):
         for k, (known, _) in by_shingle.items():
             quick[k] = np.zeros(1 << 20, bool)
             quick[k][known >> np.uint64(44)] = True
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             names = batch.column("doc_id").to_pylist()
             hashes, letters, offsets = folded_words(texts_of(batch.column("text")))
             rows = []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.llm.shared import dropped, mixed, slices, table, texts_of, written
+from archivolt.llm.shared import dropped, give_back, mixed, slices, table, texts_of, written
 from archivolt.llm.suffixes import repeated_starts
 
 GRAM = 32
@@ -110,7 +110,7 @@ def anchors_of(docs: DataFrame, length: int) -> DataFrame:
     """anchor, block, doc_id, dg (digest of the text), place (start << 20 | strings << 10 | anchor's place)."""
 
     def make(batches):
-        for batch in slices(batches, 3 << 20):
+        for batch in slices(batches, 1 << 20):
             texts = texts_of(batch.column("text"))
             data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
             text, first, count, rel, anchor, block = anchored(data[: offsets[-1]], offsets, length)
@@ -197,6 +197,7 @@ def groups_of(batches, names: list[str], keys: int, least_bytes: int):
             size += sum(len(x) for x in row if isinstance(x, bytes))
     if rows:
         yield rows
+    give_back()
 
 
 def in_shards(blocks: DataFrame, length: int) -> DataFrame:
