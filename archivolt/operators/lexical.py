@@ -32,9 +32,10 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def inverted(batches, block_rows: int, kind: pa.DataType):
-    """Blocks of postings from rows (no, id, words) in the order of no: for each block of documents and term the ids, counts
-    and lengths of the documents that hold it; a null term has the block's documents and words."""
+def inverted(batches, block_rows: int, kind: pa.DataType, number: pa.DataType):
+    """Blocks of postings from rows (no, id, words) in the order of no.  A row with a null term has the ids of a block's
+    documents and their lengths; one for each term has, of those that hold it, the places in that list and the counts, and
+    the counts and lengths that no other has at a greater count and a smaller length."""
     held, own = [], None
 
     def flush():
@@ -44,13 +45,21 @@ def inverted(batches, block_rows: int, kind: pa.DataType):
         pairs, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
         terms, docs = np.divmod(pairs, len(ids))
         begins = np.flatnonzero(np.diff(terms, prepend=-1))
-        offsets = pa.array(np.append(begins, len(pairs)).astype(np.int32))
-        every = lambda values: pa.ListArray.from_arrays(offsets, values)
+        # by length, a posting counts where its count is above all of its term before it
+        order = np.lexsort((-counts, sizes[docs], terms))
+        reached = terms[order] * (counts.max(initial=0) + 1) + counts[order]
+        best = order[np.diff(np.maximum.accumulate(reached), prepend=-1) > 0]
         names = pa.concat_arrays([coded.dictionary.take(pa.array(terms[begins])), pa.array([None], pa.string())])
-        whole = pa.array([[len(ids)]], pa.list_(pa.int32())), pa.array([[int(sizes.sum())]], pa.list_(pa.int64()))
-        columns = [names, pa.array(np.full(len(names), own)), pa.concat_arrays([every(ids.take(pa.array(docs))), pa.array([[]], pa.list_(kind))])]
-        columns += [pa.concat_arrays([every(pa.array(counts.astype(np.int32))), whole[0]]), pa.concat_arrays([every(pa.array(sizes[docs])), whole[1]])]
-        return pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "tfs", "dls"])
+
+        def lists_of(values: np.ndarray, edges: np.ndarray, of: pa.DataType):
+            made = pa.ListArray.from_arrays(pa.array(np.append(edges, len(values)).astype(np.int32)), pa.array(values).cast(of))
+            return pa.concat_arrays([made, pa.array([[]], pa.list_(of))])
+
+        whole = lambda values: pa.concat_arrays([pa.nulls(len(begins), pa.list_(values.type)), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), values)])
+        tops = np.searchsorted(terms[best], terms[begins])
+        columns = [names, pa.array(np.full(len(names), own)), pa.array(np.diff(begins, append=len(pairs)).tolist() + [0], pa.int32())]
+        columns += [lists_of(docs, begins, number), lists_of(counts, begins, pa.int32()), lists_of(counts[best], tops, pa.int32()), lists_of(sizes[docs[best]], tops, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, whole(ids), whole(pa.array(sizes))], ["term", "block", "held", "docs", "tfs", "top_tfs", "top_dls", "ids", "dls"])
 
     for batch in batches:
         of = batch.column("no").to_numpy() // block_rows
@@ -67,22 +76,20 @@ def inverted(batches, block_rows: int, kind: pa.DataType):
 
 
 def save_index(docs: DataFrame, path: str, analyser=tokens, block: int = BLOCK) -> None:
-    """An index of docs(id, text) below path: blocks of postings, each of `block` documents in the order they are read, with
-    the block's greatest impact, sorted by term.
+    """An index of docs(id, text) below path: blocks of postings, each of `block` documents in the order they are read, as
+    inverted() has them.
 
-    Each text is read and split once, and blocks are made where it was read; only they are shuffled.  Documents and words
+    Each text is read and split once, and blocks are written where it was read; nothing is shuffled.  Documents and words
     in all, document frequencies and impacts come from the blocks.  A null text has no words; ids may be repeated."""
     spark, kind = docs.sparkSession, docs.schema["id"].dataType
     listed = docs.select(F.monotonically_increasing_id().alias("no"), "id", analyser(F.col("text")).alias("words"))
-    schema = f"term string, block long, ids array<{kind.simpleString()}>, tfs array<int>, dls array<bigint>"
-    listed.mapInArrow(partial(inverted, block_rows=block, kind=to_arrow_type(kind)), schema).write.mode("overwrite").parquet(f"{path}/blocks")
-    made = spark.read.schema(schema).parquet(f"{path}/blocks")
-    size = made.filter("term is null").agg(F.coalesce(F.sum(F.col("tfs")[0]), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("dls")[0]) / F.sum(F.col("tfs")[0]), F.lit(0.0)).alias("avgdl"))
-    n, avgdl = size.first()
-    size.write.mode("overwrite").parquet(f"{path}/size")
-    top_ = F.array_max(F.zip_with("tfs", "dls", lambda tf, dl: impact(tf, dl, F.lit(avgdl))))
-    found = made.filter("term is not null").select("term", "block", F.size("ids").alias("held"), top_.alias("top"), "ids", "tfs", "dls")
-    found.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    short = block <= 1 << 15
+    schema = f"term string, block long, held int, docs array<{'smallint' if short else 'int'}>, tfs array<int>, top_tfs array<int>, top_dls array<bigint>, ids array<{kind.simpleString()}>, dls array<bigint>"
+    made = listed.mapInArrow(partial(inverted, block_rows=block, kind=to_arrow_type(kind), number=pa.int16() if short else pa.int32()), schema)
+    made.write.mode("overwrite").parquet(f"{path}/postings", compression="zstd")
+    about = spark.read.schema(schema).parquet(f"{path}/postings").filter("term is null")
+    n, words = F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x))
+    about.agg(n.alias("n"), words.alias("words")).select("n", F.coalesce(F.try_divide("words", "n"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def impact(tf, dl, avgdl):
@@ -91,7 +98,14 @@ def impact(tf, dl, avgdl):
 
 def index_frequency(spark: SparkSession, path: str) -> DataFrame:
     """term and df by a saved index."""
-    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("held").alias("df"))
+    return spark.read.parquet(f"{path}/postings").filter("term is not null").groupBy("term").agg(F.sum("held").alias("df"))
+
+
+def postings_of(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The rows of a saved index with the terms of asked(term), and those with a null term, which have the documents."""
+    index, terms = spark.read.parquet(f"{path}/postings"), asked.select(F.col("term").alias("asked")).distinct()
+    terms = terms.union(terms.sparkSession.range(1).select(F.lit(None).cast("string")))
+    return index.join(terms, F.col("term").eqNullSafe(F.col("asked")), "left_semi")
 
 
 def saved_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
@@ -107,22 +121,23 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     """saved_bm25() and the pairs of queries and blocks with `scored`, whether their documents were scored."""
     size = spark.read.parquet(f"{path}/size").first()
     asked = materialised(asked_terms(queries, analyser), "asked")
-    postings_ = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
-    heads = postings_.select("term", "block", "held", "top")
+    postings_ = postings_of(spark, path, asked)
+    top_ = F.array_max(F.zip_with("top_tfs", "top_dls", lambda tf, dl: impact(tf, dl, F.lit(size["avgdl"]))))
+    heads = postings_.filter("term is not null").select("term", "block", "held", top_.alias("top"))
     df = heads.groupBy("term").agg(F.sum("held").alias("df"))
     idf = F.log1p((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = materialised(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), "weighed")
-    bounds = materialised(weighed.join(heads, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.max("held").alias("held")), "bounds")
+    bounds = materialised(weighed.join(heads, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound")), "bounds")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    best = bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first).drop("turn")
+    best = materialised(bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first).select("query_id", "block"), "best")
     begun = materialised(scores(best, weighed, postings_, size["avgdl"], k), "begun")
     # a bound is a sum in another order than the score, which is rounded: a margin of two of its last places
     least = begun.filter(F.col("rank") == k).select("query_id", (F.col("score") - 2e-6).alias("least"))
-    rest = bounds.join(best.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("bound >= coalesce(least, 0.0)")
+    rest = bounds.join(best, ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("bound >= coalesce(least, 0.0)")
     rest = materialised(rest.select("query_id", "block"), "rest")
     more = materialised(scores(rest, weighed, postings_, size["avgdl"], k), "more")
     found = top(begun.select("query_id", "id", "score").union(more.select("query_id", "id", "score")), k)
-    read = best.select("query_id", "block").union(rest).withColumn("scored", F.lit(True))
+    read = best.union(rest).withColumn("scored", F.lit(True))
     return found, bounds.select("query_id", "block").join(read, ["query_id", "block"], "left").fillna(False, ["scored"])
 
 
@@ -130,14 +145,16 @@ def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float |
     """The k best documents of the blocks of pairs(query_id, block); without avgdl a term counts its weight alone.
 
     SPAN neighbouring blocks and a pack of about PACK queries meet in one task, which sums up all terms of its documents
-    and passes on the k best of each query, so that no row for a query and a document is shuffled but those."""
+    and passes on the k best of each query, so that no row for a query and a document is shuffled but those.  Of held, only
+    the blocks of a pair are."""
     span = F.floor(F.col("block") / SPAN).alias("span")
     packs = 1 + weighed.select("query_id").distinct().count() // PACK
     pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")
-    wanted = pairs.select(span, pack, "query_id", "block")
-    terms = wanted.select("span", "pack", "query_id").distinct().join(weighed.select("query_id", "term", "weight"), "query_id")
-    asked = wanted.unionByName(terms, allowMissingColumns=True)
-    dealt = held.select(span, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"), "term", "block", "ids", "tfs", "dls")
+    words = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("words"))
+    asked = pairs.select(span, pack, "query_id", "block").groupBy("span", "pack", "query_id").agg(F.collect_list("block").alias("blocks"))
+    asked = asked.join(words, "query_id").select("span", "pack", "query_id", "blocks", F.col("words.term").alias("terms"), F.col("words.weight").alias("weights"))
+    held = held.join(materialised(pairs.select("block").distinct(), "blocks"), "block", "left_semi")
+    dealt = held.select(span, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"), "term", "block", "docs", "tfs", "ids", "dls")
     kinds = {"query_id": pairs.schema["query_id"].dataType, "id": held.schema["ids"].dataType.elementType}
     schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", score double"
     best = partial(best_of, k=k, avgdl=avgdl, kinds={name: to_arrow_type(kind) for name, kind in kinds.items()})
@@ -147,49 +164,39 @@ def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float |
 
 def best_of(held: pa.Table, asked: pa.Table, k: int, avgdl: float | None, kinds: dict[str, pa.DataType]) -> pa.Table:
     """query_id, id and score (6 decimals) of the k best documents of each query among blocks of postings: asked has the
-    terms and weights of each query, and with a null term the blocks in which it is asked."""
+    terms and weights of each query, and the blocks in which it is asked."""
     schema = pa.schema([*kinds.items(), ("score", pa.float64())])
-    is_pair = pc.is_null(asked["term"])
-    pairs, weights = asked.filter(is_pair), asked.filter(pc.invert(is_pair))
-    names = pc.unique(weights["term"])
-    held = held.filter(pc.is_in(held["term"], names)).combine_chunks()
-    if not held.num_rows or not pairs.num_rows:
+    flat = lambda table, name: table[name].combine_chunks().flatten()
+    length = lambda table, name: pc.list_value_length(table[name]).to_numpy().astype(np.int64)
+    names = pc.unique(flat(asked, "terms"))
+    about, held = held.filter(pc.is_null(held["term"])).sort_by("block").combine_chunks(), held.filter(pc.is_in(held["term"], names)).combine_chunks()
+    if not held.num_rows or not asked.num_rows:
         return schema.empty_table()
-    flat = lambda name: held[name].combine_chunks().flatten()
-    sizes = pc.list_value_length(held["ids"]).to_numpy().astype(np.int64)
-    coded = flat("ids").dictionary_encode(null_encoding="encode")
-    code = coded.indices.to_numpy().astype(np.int64)
-    blocks, block = np.unique(held["block"].to_numpy(), return_inverse=True)
-    every, doc = np.unique(code * len(blocks) + np.repeat(block, sizes), return_inverse=True)
-    queries = pc.unique(pairs["query_id"])
+    # a row for each document, block after block
+    blocks, rows_of, counts = about["block"].to_numpy(), length(about, "ids"), length(held, "docs")
+    start, block = np.cumsum(rows_of) - rows_of, np.repeat(np.arange(len(blocks)), rows_of)
+    coded, dl = flat(about, "ids").dictionary_encode(null_encoding="encode"), flat(about, "dls").to_numpy()
+    doc = flat(held, "docs").to_numpy() + np.repeat(start[np.searchsorted(blocks, held["block"].to_numpy())], counts)
+    queries = asked["query_id"].combine_chunks()
     number = lambda column, among: pc.index_in(column, among).to_numpy().astype(np.int64)
-    value = np.ones(len(doc))
-    if avgdl is not None:
-        tf = flat("tfs").to_numpy().astype(np.float64)
-        value = impact(tf, flat("dls").to_numpy(), avgdl)
+    value = np.ones(len(doc)) if avgdl is None else impact(flat(held, "tfs").to_numpy().astype(np.float64), dl[doc], avgdl)
     # postings and weights, each in the order of their terms
-    term = np.repeat(number(held["term"], names), sizes)
-    order, by = np.argsort(term, kind="stable"), np.argsort(number(weights["term"], names), kind="stable")
+    term, word = np.repeat(number(held["term"], names), counts), number(flat(asked, "terms"), names)
+    order, by = np.argsort(term, kind="stable"), np.argsort(word, kind="stable")
     doc, value = doc[order], value[order]
     edges = np.searchsorted(term[order], np.arange(len(names) + 1))
-    cuts = np.searchsorted(number(weights["term"], names)[by], np.arange(len(names) + 1))
-    query, weight = number(weights["query_id"], queries)[by], weights["weight"].to_numpy()[by]
-    total = np.zeros((len(every), len(queries)))
-    alone = len(np.unique(term[order] * len(every) + doc)) == len(doc)  # no document twice with a term
+    cuts = np.searchsorted(word[by], np.arange(len(names) + 1))
+    query, weight = np.repeat(np.arange(len(queries)), length(asked, "terms"))[by], flat(asked, "weights").to_numpy()[by]
+    total = np.zeros((len(block), len(queries)))
     for a, b, c, d in zip(edges[:-1].tolist(), edges[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if a < b:
-            part = value[a:b, None] * weight[None, c:d]
-            if alone:
-                total[doc[a:b, None], query[None, c:d]] += part
-            else:
-                np.add.at(total, (doc[a:b, None], query[None, c:d]), part)
-    at = np.searchsorted(blocks, pairs["block"].to_numpy())
-    known = (at < len(blocks)) & (blocks[np.minimum(at, len(blocks) - 1)] == pairs["block"].to_numpy())
+            total[doc[a:b, None], query[None, c:d]] += value[a:b, None] * weight[None, c:d]
+    at, among = np.searchsorted(blocks, flat(asked, "blocks").to_numpy()), np.repeat(np.arange(len(queries)), length(asked, "blocks"))
     wanted = np.zeros((len(blocks), len(queries)), bool)
-    wanted[at[known], number(pairs["query_id"], queries)[known]] = True
-    total[~wanted[every % len(blocks)]] = 0.0
-    ids, own = coded.dictionary, every // len(blocks)
-    if len(ids) < len(every):  # the same id in several blocks
+    wanted[at, among] = True
+    total[~wanted[block]] = 0.0
+    ids, own = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if len(ids) < len(own):  # the same id more than once
         summed = np.zeros((len(ids), len(queries)))
         np.add.at(summed, own, total)
         total, own = summed, np.arange(len(ids))
@@ -209,8 +216,8 @@ def best_of(held: pa.Table, asked: pa.Table, k: int, avgdl: float | None, kinds:
 def overlap(spark: SparkSession, path: str, queries: DataFrame, k: int, analyser=tokens) -> DataFrame:
     """query_id, rank, id and score: how many different words of a query a document holds, by a saved index; the k best."""
     asked = materialised(asked_terms(queries, analyser).select("query_id", "term", F.lit(1.0).alias("weight")), "asked")
-    postings_ = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
-    blocks = materialised(postings_.select("block").distinct(), "blocks")
+    postings_ = postings_of(spark, path, asked)
+    blocks = materialised(postings_.filter("term is not null").select("block").distinct(), "blocks")
     return scores(asked.select("query_id").distinct().crossJoin(blocks), asked, postings_, None, k)
 
 
