@@ -13,7 +13,7 @@ from archivolt.functions import text as X
 from archivolt.functions.stemming import stemmed
 from archivolt.functions.grammar import ALIASES, article_level, bodies_of, body_key, extract_citations, locate_citations
 from archivolt.operators import dense, evaluation, fusion, lexical, models, postprocess, reports, router, runs, segment, validation
-from archivolt.plans.catalog import BM25, CAPPED, DENSE, WORDS, candidates, cited_orders, docs, items, query, table
+from archivolt.plans.catalog import BM25, CAPPED, DENSE, WORDS, candidates, cited_orders, customers, docs, items, query, table
 from archivolt.session import work_path
 from archivolt.sources import committed
 from archivolt.sources import documents as sources
@@ -49,7 +49,7 @@ def forms_sql() -> str:
 
 def cited_texts(spark, d):
     text = F.expr("case " + " ".join(f"when c_custkey % {len(FORMS)} = {i} then {t}" for i, (t, _) in enumerate(FORMS)) + " end")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"), "c_mktsegment")
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), text.alias("text"), "c_mktsegment")
 
 
 @query(f"with f as ({forms_sql()}) select * from f")
@@ -66,14 +66,14 @@ def article_citations(spark, d):
 def citation_spans(spark, d):
     text = F.concat(F.lit("Conforme al Código\tCivil y C-"), (3000 + F.col("c_custkey") % 1000).cast("string"), F.lit(" de 1999."))
     text = F.replace(text, F.lit(" y C-"), F.lit(" y va C-"))
-    found = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(locate_citations(text)).alias("m"))
+    found = customers(spark, d).select(F.col("c_custkey").alias("id"), F.explode(locate_citations(text)).alias("m"))
     return found.select("id", "m.begin", "m.end", "m.kind")
 
 
 @query("""select c_custkey id, case when c_custkey % 3 = 0 then 'La Ley 3001 de 1999 y el decreto 12 dicen' else 'La Ley 3001 y el decreto 12 dicen' end text from customer""")
 def dated_statutes(spark, d):
     own = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("ley|3001|1999"), F.lit("codigo_civil||"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("ley|3001|1999"), F.lit("ley|3001|2000"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.date_citations(F.lit("La Ley 3001 y el decreto 12 dicen"), own).alias("text"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.date_citations(F.lit("La Ley 3001 y el decreto 12 dicen"), own).alias("text"))
 
 
 @query("""select c_custkey id, 'Vale la Ley ' || (3000 + c_custkey % 1000) || ' de 2001. ' || case when c_custkey % 3 = 0 then 'Según la normativa aplicable rige. ' else '' end || 'Fin.' text from customer""")
@@ -83,20 +83,20 @@ def cut_citations(spark, d):
     bad = F.when(k == 0, "Según el artículo 5 del Código Penal, la Sentencia de tutela T-9 de 2010 rige. ").otherwise("")
     text = F.concat(F.lit("Vale la Ley "), n, F.lit(" de 2001. "), bad, F.lit("Fin."))
     own = F.array(F.concat(F.lit("ley|"), n, F.lit("|2001")))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.filter_citations(text, own).alias("text"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.filter_citations(text, own).alias("text"))
 
 
 @query("""select c_custkey id, unnest(['Uno ' || c_name || '.', '¿Dos?', 'Tres; cuatro:', 'Cinco.']) sentence from customer""")
 def sentence_split(spark, d):
     text = F.concat(F.lit("Uno "), F.col("c_name"), F.lit(". ¿Dos? Tres; cuatro: Cinco."))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(postprocess.sentence_list(text)).alias("sentence"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), F.explode(postprocess.sentence_list(text)).alias("sentence"))
 
 
 @query("""select c_custkey id, case c_custkey % 3 when 0 then 'Uno ' || c_name || '. Dos tres.' when 1 then 'uno dos tres cuatro' else '' end text from customer""")
 def limited_texts(spark, d):
     k = F.col("c_custkey") % 3
     text = F.when(k == 0, F.concat(F.lit("Uno "), F.col("c_name"), F.lit(". Dos tres. Cuatro cinco seis. Siete."))).when(k == 1, "uno dos tres cuatro cinco seis").otherwise("")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.limit_text(text, 3, 4).alias("text"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.limit_text(text, 3, 4).alias("text"))
 
 
 @query(f"with f as ({forms_sql()}), b as (select distinct id, kind || '|' || coalesce(number, '') || '|' || coalesce(\"year\", '') body from f), p as (select 'estatuto_consumidor||' body, 'd1' doc union all select 'codigo_penal||', 'd2' union all select 'codigo_penal||', 'd3') select id query_id, doc from b join p using (body)")
@@ -111,7 +111,7 @@ p as (select c_custkey id, 1 pos, 'codigo_penal||' body from customer union all
 
 def three_passages(spark, d):
     texts = F.array(F.lit("Dice el Código Penal que sí."), F.lit("Ley 1480 de 2011, art. 3"), F.lit("La ley 599 de 2000 manda"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(texts).alias("p", "text")).select("id", (F.col("p") + 1).alias("pos"), "text")
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), F.posexplode(texts).alias("p", "text")).select("id", (F.col("p") + 1).alias("pos"), "text")
 
 
 @query(SUPPORT + " select b.id, b.body, coalesce(list_sort(list(pos) filter (pos is not null)), []) passages from b left join p using (id, body) group by 1, 2")
@@ -156,13 +156,13 @@ def used_references(spark, d):
         F.struct(F.lit("Sentencia C-1 de 2003. [HECHOS]\ny").alias("text"), F.lit(None).cast("double").alias("score_rerank"), F.array(F.when(k == 1, "router").otherwise("bm25")).alias("origins")),
     )
     used = F.when(k == 0, F.array(F.lit(2), F.lit(9))).otherwise(F.lit(None).cast("array<int>"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.used_references(passages, used).alias("refs"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.used_references(passages, used).alias("refs"))
 
 
 @query("""select c_custkey id, 'Ley ' || c_custkey || ' de 2001, artículo 3' reference from customer""")
 def passage_references(spark, d):
     text = F.concat(F.lit("Ley "), s("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, " de 2001, artículo 3. (parte 1 de 2)\ncuerpo").otherwise(" de 2001, artículo 3 (notas de vigencia y jurisprudencia). [HECHOS]"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.passage_reference(text).alias("reference"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.passage_reference(text).alias("reference"))
 
 
 @query("""select c_custkey id, case c_custkey % 3
@@ -179,7 +179,7 @@ def delivered_answers(spark, d):
         .otherwise(F.concat(F.lit('{"analisis": "Caso '), name, F.lit('."}')))
     )
     passages = F.lit('[{"text": "Ley 1 de 2001 (encabezado).\\nx", "score_rerank": 0.9, "origins": []}]')
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), postprocess.delivered_fields(item, answer, passages).alias("fields"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), postprocess.delivered_fields(item, answer, passages).alias("fields"))
 
 
 @query("""select event_id id, 'd' || user_id doc_id, event_id "begin", event_id + 9 "end", event_type "text", round(value / 7.0::double, 4) score from events""")
@@ -509,13 +509,13 @@ def byte_decode(spark, d):
 
 @query("select c_custkey id, 'Hola ' || c_name || chr(10) || 'a ' || c_mktsegment || chr(10) || '[2] nota' as text from customer")
 def docx_paragraphs(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), sources.docx_texts(sources.made_docx("c_name", "c_mktsegment")).alias("text"))
+    return customers(spark, d).select(F.col("c_custkey").alias("id"), sources.docx_texts(sources.made_docx("c_name", "c_mktsegment")).alias("text"))
 
 
 @query("select page_id, text from (select c_custkey page_id, c_name || ' & co.' || chr(10) || chr(10) || 'x ' || c_mktsegment || chr(10) as text from customer)")
 def parsed_pages(spark, d):
     html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><p>"), F.col("c_name"), F.lit(" &amp; co.</p><table><tr><td>x</td><td>"), F.col("c_mktsegment"), F.lit("</td></tr></table><footer>pie</footer></body></html>"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), X.normalise(sources.page_texts(html)).alias("text"))
+    return customers(spark, d).select(F.col("c_custkey").alias("page_id"), X.normalise(sources.page_texts(html)).alias("text"))
 
 
 # ---------------------------------------------------------------- caches, runs and indexes

@@ -36,6 +36,11 @@ def docs(spark, d):
     return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def customers(spark, d):
+    """For work that costs more than moving the rows."""
+    return spread(table(spark, d, "customer"))
+
+
 def items(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
 
@@ -528,7 +533,7 @@ def statutes(spark, d):
         F.concat(F.lit("LEY "), k.cast("string")), F.when(k % 2 == 0, "TÍTULO I").otherwise("Por la cual se dicta"), F.lit("DISPOSICIONES GENERALES"), F.concat(F.lit("ARTÍCULO "), (k % 9).cast("string"), F.lit("o. Objeto.")), F.col("c_name"),
         F.lit("Notas de vigencia"), F.concat(F.lit("Modificado en "), k.cast("string")), F.lit("Concordancias"), F.lit("Ley 1"), F.concat(F.lit("Artículo "), (k % 9 + 1).cast("string"), F.lit("A. Alcance.")), F.col("c_mktsegment"),
     )
-    return table(spark, d, "customer").select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    return customers(spark, d).select(k.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
 
 
 STATUTES = """with c as (select c_custkey k, c_custkey % 2 = 0 even, c_custkey % 9 a, c_name, c_mktsegment from customer),
@@ -548,7 +553,7 @@ unnest(['Magistrada ponente', 'I. ANTECEDENTES' || chr(10) || c_name, 'II. CONSI
  'ACLARACIÓN DE' || chr(10) || 'VOTO DEL MAGISTRADO' || chr(10) || 'fin']) text from customer""")
 def judgment_sections(spark, d):
     text = F.concat(F.lit("Magistrada ponente\nI. ANTECEDENTES\n"), F.col("c_name"), F.lit("\nII. CONSIDERACIONES DE LA CORTE\n"), F.col("c_mktsegment"), F.lit("\nRESUELVE\nPrimero.\nNotifíquese y cúmplase\nFirmas\nACLARACIÓN DE\nVOTO DEL MAGISTRADO\nfin"))
-    return segment.judgment_sections(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    return segment.judgment_sections(customers(spark, d).select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
 @query(STATUTES + """, h as (select *, 'Ley ' || doc_id || ' de 2012' || case kind when 'preamble' then ' (encabezado).' when 'note' then ', artículo ' || article || ' (notas de vigencia y jurisprudencia).' else ', artículo ' || article || '.' end || chr(10) || text whole from s),

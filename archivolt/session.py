@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -51,9 +52,11 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores before work that costs more than moving its rows: a file of one row group is one task's, however
-    many cores there are.  What has as many partitions stays as it is."""
+    many cores there are and however many splits it is read in, as all but one of them are empty.  What has rows in as many
+    partitions stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = df.rdd.getNumPartitions() < cores or df.select(F.spark_partition_id().alias("part")).distinct().count() < cores
+    return df.repartition(cores) if few else df
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
