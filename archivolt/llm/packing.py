@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from archivolt.llm.shared import ranked, salts, slices, table, texts_of, written
 from archivolt.llm.tokens import Encoder
 
+#: Bytes of text that a task encodes at a time.
+SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -79,7 +81,7 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     def cut(batches):
         encoder = Encoder.at(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             ids, begin = encoder.encode(texts_of(batch.column("text")))
             names = batch.column("doc_id").to_pylist()
             raw, rows = memoryview(ids.astype("<u4").tobytes()), []

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from archivolt.llm.shared import coded_words
+from archivolt.llm.shared import coded_words, give_back
 
 END = 1  # the id that ends a document
 MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'  # of ASCII's marks, those that no contraction begins with
@@ -44,6 +44,8 @@ class Encoder:
         self.letters = Tokenizer.from_str(json.dumps(plan))
         self.most = most
         self._fresh()
+        del plan, vocabulary
+        give_back()
 
     def _fresh(self) -> None:
         """slot 0 is the empty word, slot 1 the end of a document; pool holds the ids of all slots."""
