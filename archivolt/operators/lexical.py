@@ -18,8 +18,9 @@ from archivolt.session import materialised, work_path
 K1, B = 1.5, 0.75
 #: Documents of a block of postings, and blocks of a query that are scored before its threshold is known.
 BLOCK, FIRST = 128, 4
-#: Blocks and queries, about, that one task scores together.
-SPAN, PACK = 16, 256
+#: Blocks that a task scores together: SPAN at least and WIDE times as many at most, with about LOADS tasks a core between;
+#: about PACK queries meet them, and CELL sums of documents and queries are held at a time.
+SPAN, WIDE, LOADS, PACK, CELL = 16, 16, 4, 1 << 14, 1 << 22
 
 
 def postings(docs: DataFrame, words: Column | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def save_index(docs: DataFrame, path: str, analyser=tokens, block: int = BLOCK)
     made.write.mode("overwrite").parquet(f"{path}/postings", compression="zstd")
     about = spark.read.schema(schema).parquet(f"{path}/postings").filter("term is null")
     n, words = F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x))
-    about.agg(n.alias("n"), words.alias("words")).select("n", F.coalesce(F.try_divide("words", "n"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
+    about.agg(n.alias("n"), words.alias("words"), F.count(F.lit(1)).alias("blocks")).select("n", F.coalesce(F.try_divide("words", "n"), F.lit(0.0)).alias("avgdl"), "blocks").write.mode("overwrite").parquet(f"{path}/size")
 
 
 def impact(tf, dl, avgdl):
@@ -111,114 +112,230 @@ def postings_of(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
 def saved_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens) -> DataFrame:
     """The k best documents of each query by a saved index.
 
-    The greatest impacts of a block's terms bound the score of its documents.  The blocks with the greatest bounds are
-    scored first, and of the others only those whose bound reaches the k-th score so far; none that could hold a better
+    The greatest impacts of a block's terms bound the score of its documents.  The k-th score in the blocks with the
+    greatest bounds is a query's threshold, and only blocks whose bound reaches it are scored; none that could hold a better
     document is left out."""
     return search_index(spark, path, queries, k, analyser)[0]
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, analyser=tokens, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-    """saved_bm25() and the pairs of queries and blocks with `scored`, whether their documents were scored."""
+    """saved_bm25() and the pairs of queries and blocks with `scored`, whether their documents were scored.
+
+    There is no table of queries by blocks: bounds are made in the tasks where a span of blocks meets a pack of queries, and
+    only the first blocks of each query, then the blocks that any query needs, leave them."""
     size = spark.read.parquet(f"{path}/size").first()
     asked = materialised(asked_terms(queries, analyser), "asked")
-    postings_ = postings_of(spark, path, asked)
     top_ = F.array_max(F.zip_with("top_tfs", "top_dls", lambda tf, dl: impact(tf, dl, F.lit(size["avgdl"]))))
-    heads = postings_.filter("term is not null").select("term", "block", "held", top_.alias("top"))
-    df = heads.groupBy("term").agg(F.sum("held").alias("df"))
+    held = postings_of(spark, path, asked).withColumn("top", top_)
+    df = held.filter("term is not null").groupBy("term").agg(F.sum("held").alias("df"))
     idf = F.log1p((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = materialised(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), "weighed")
-    bounds = materialised(weighed.join(heads, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound")), "bounds")
+    spans = spans_of(spark, size["blocks"])
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    best = materialised(bounds.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first).select("query_id", "block"), "best")
-    begun = materialised(scores(best, weighed, postings_, size["avgdl"], k), "begun")
+    best = bounds(weighed, held, spans, first=first).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first)
+    best = materialised(best.select("query_id", "block"), "best")
     # a bound is a sum in another order than the score, which is rounded: a margin of two of its last places
-    least = begun.filter(F.col("rank") == k).select("query_id", (F.col("score") - 2e-6).alias("least"))
-    rest = bounds.join(best, ["query_id", "block"], "left_anti").join(least, "query_id", "left").filter("bound >= coalesce(least, 0.0)")
-    rest = materialised(rest.select("query_id", "block"), "rest")
-    more = materialised(scores(rest, weighed, postings_, size["avgdl"], k), "more")
-    found = top(begun.select("query_id", "id", "score").union(more.select("query_id", "id", "score")), k)
-    read = best.union(rest).withColumn("scored", F.lit(True))
-    return found, bounds.select("query_id", "block").join(read, ["query_id", "block"], "left").fillna(False, ["scored"])
-
-
-def scores(pairs: DataFrame, weighed: DataFrame, held: DataFrame, avgdl: float | None, k: int) -> DataFrame:
-    """The k best documents of the blocks of pairs(query_id, block); without avgdl a term counts its weight alone.
-
-    SPAN neighbouring blocks and a pack of about PACK queries meet in one task, which sums up all terms of its documents
-    and passes on the k best of each query, so that no row for a query and a document is shuffled but those.  Of held, only
-    the blocks of a pair are."""
-    span = F.floor(F.col("block") / SPAN).alias("span")
-    packs = 1 + weighed.select("query_id").distinct().count() // PACK
-    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")
+    least = scores(best, weighed, held, size["avgdl"], k, spans).filter(F.col("rank") == k).select("query_id", (F.col("score") - 2e-6).alias("least"))
+    least = materialised(least, "least")
+    needed = materialised(bounds(weighed, held, spans, least).select("block").distinct(), "needed")
+    found = scores(None, weighed, held.join(needed, "block", "left_semi"), size["avgdl"], k, spans, least)
+    read = bounds(weighed, held, spans).join(least, "query_id", "left").join(best.withColumn("first", F.lit(True)), ["query_id", "block"], "left")
+    return found, read.select("query_id", "block", (F.col("first").isNotNull() | (F.col("bound") >= F.coalesce("least", F.lit(0.0)))).alias("scored"))
+
+
+def spans_of(spark: SparkSession, blocks: int) -> int:
+    """Into how many spans an index of so many blocks is dealt.  Each span meets all queries, so there are no more than keep
+    the cores busy, until a span is as wide as a task may hold."""
+    wide = blocks // (LOADS * spark.sparkContext.defaultParallelism)
+    return 1 + blocks // max(SPAN, min(wide, WIDE * SPAN))
+
+
+def packs_of(weighed: DataFrame) -> int:
+    return 1 + weighed.select("query_id").distinct().count() // PACK
+
+
+def meeting(weighed: DataFrame, held: DataFrame, spans: int, packs: int, pairs: DataFrame | None = None, least: DataFrame | None = None):
+    """held and the queries of weighed by span and pack, for a cogroup: a query goes to every span, or where pairs has a
+    block for it."""
+    span, pack = F.pmod(F.xxhash64("block"), F.lit(spans)).alias("span"), F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     words = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("words"))
-    asked = pairs.select(span, pack, "query_id", "block").groupBy("span", "pack", "query_id").agg(F.collect_list("block").alias("blocks"))
-    asked = asked.join(words, "query_id").select("span", "pack", "query_id", "blocks", F.col("words.term").alias("terms"), F.col("words.weight").alias("weights"))
-    held = held.join(materialised(pairs.select("block").distinct(), "blocks"), "block", "left_semi")
-    dealt = held.select(span, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"), "term", "block", "docs", "tfs", "ids", "dls")
-    kinds = {"query_id": pairs.schema["query_id"].dataType, "id": held.schema["ids"].dataType.elementType}
+    words = words.select("query_id", F.col("words.term").alias("terms"), F.col("words.weight").alias("weights"))
+    if least is not None:
+        words = words.join(least, "query_id", "left")
+    if pairs is None:
+        asked = words.select("*", pack, every(spans).alias("span"))
+    else:
+        asked = pairs.select("query_id", "block", span, pack).groupBy("span", "pack", "query_id").agg(F.collect_list("block").alias("blocks")).join(words, "query_id")
+    dealt = held.select("*", span, every(packs).alias("pack"))
+    return dealt.groupBy("span", "pack").cogroup(asked.groupBy("span", "pack"))
+
+
+def bounds(weighed: DataFrame, held: DataFrame, spans: int, least: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """query_id, block and bound, from the greatest impacts of held: the first of each query in each span, or all.  With
+    least(query_id, least) only blocks are returned, those that any query needs."""
+    kind = weighed.schema["query_id"].dataType
+    heads = held.filter("term is not null").select("term", "block", "top")
+    found = meeting(weighed, heads, spans, packs_of(weighed), least=least)
+    return found.applyInArrow(partial(bounds_in, first=first, kind=to_arrow_type(kind)), f"query_id {kind.simpleString()}, block long, bound double")
+
+
+def scores(pairs: DataFrame | None, weighed: DataFrame, held: DataFrame, avgdl: float | None, k: int, spans: int | None = None, least: DataFrame | None = None) -> DataFrame:
+    """The k best documents of the blocks of pairs(query_id, block), or of all held; without avgdl a term counts its weight
+    alone.  With least(query_id, least), of the blocks of held(.., top) whose bound reaches it.
+
+    A span of blocks and a pack of queries meet in one task, which sums up all terms of its documents and passes on the k
+    best of each query, so that no row for a query and a document is shuffled but those.  As a pack holds very many
+    queries, postings are dealt about once.  Of held, only the blocks of a pair are."""
+    if spans is None:
+        spans = 1 + held.filter("term is null").count() // SPAN
+    if pairs is not None:
+        held = held.join(materialised(pairs.select("block").distinct(), "blocks"), "block", "left_semi")
+    kinds = {"query_id": weighed.schema["query_id"].dataType, "id": held.schema["ids"].dataType.elementType}
     schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", score double"
     best = partial(best_of, k=k, avgdl=avgdl, kinds={name: to_arrow_type(kind) for name, kind in kinds.items()})
-    found = dealt.groupBy("span", "pack").cogroup(asked.groupBy("span", "pack")).applyInArrow(best, schema)
+    held = held.select("term", "block", "docs", "tfs", "ids", "dls", *(["top"] if least is not None else []))
+    found = meeting(weighed, held, spans, packs_of(weighed), pairs, least).applyInArrow(best, schema)
     return top(found.groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score")), k)
 
 
+def flat(table: pa.Table, name: str) -> pa.Array:
+    return table[name].combine_chunks().flatten()
+
+
+def lengths(table: pa.Table, name: str) -> np.ndarray:
+    return pc.list_value_length(table[name]).to_numpy().astype(np.int64)
+
+
+def by_term(table: pa.Table, names: pa.Array) -> tuple[pa.Table, np.ndarray]:
+    """The rows of the terms of names, in that order, and each one's number there."""
+    found = table.filter(pc.is_in(table["term"], names)).combine_chunks()
+    number = pc.index_in(found["term"], names).to_numpy().astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    return found.take(pa.array(order)), number[order]
+
+
+def add_terms(sums: np.ndarray, at: np.ndarray, value: np.ndarray, edges: np.ndarray, asked: pa.Table, names: pa.Array) -> None:
+    """Adds to sums(place, query) the weight of each term of a query times its value at the places that hold it: those
+    of term n are between edges n and n + 1."""
+    word = pc.index_in(flat(asked, "terms"), names).to_numpy().astype(np.int64)
+    by = np.argsort(word, kind="stable")
+    query, weight, word = np.repeat(np.arange(asked.num_rows), lengths(asked, "terms"))[by], flat(asked, "weights").to_numpy()[by], word[by]
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    for c, d in zip(begins.tolist(), np.append(begins[1:], len(word)).tolist(), strict=True):
+        a, b = edges[word[c]], edges[word[c] + 1]
+        if a < b:
+            sums[at[a:b, None], query[None, c:d]] += value[a:b, None] * weight[None, c:d]
+
+
+def words_of(asked: pa.Table) -> pa.Array:
+    found = pc.unique(flat(asked, "terms"))
+    return found.take(pc.sort_indices(found))
+
+
+def bounds_among(held: pa.Table, number: np.ndarray, blocks: np.ndarray, asked: pa.Table, names: pa.Array) -> np.ndarray:
+    """The bound of each of the blocks, which are in order, for each query."""
+    sums = np.zeros((len(blocks), asked.num_rows))
+    at = np.searchsorted(blocks, held["block"].to_numpy())
+    add_terms(sums, at, held["top"].to_numpy(), np.searchsorted(number, np.arange(len(names) + 1)), asked, names)
+    return sums
+
+
+def reached(sums: np.ndarray, asked: pa.Table) -> np.ndarray:
+    return (sums > 0) & (sums >= pc.fill_null(asked["least"], 0.0).to_numpy()[None, :])
+
+
+def bounds_in(held: pa.Table, asked: pa.Table, first: int | None, kind: pa.DataType) -> pa.Table:
+    schema = pa.schema([("query_id", kind), ("block", pa.int64()), ("bound", pa.float64())])
+    if not held.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    names = words_of(asked)
+    held, number = by_term(held, names)
+    blocks = np.unique(held["block"].to_numpy())
+    parts = []
+    step = max(1, CELL // max(1, len(blocks)))
+    for begin in range(0, asked.num_rows, step):
+        part = asked.slice(begin, step).combine_chunks()
+        sums = bounds_among(held, number, blocks, part, names)
+        if "least" in part.column_names:
+            row, column = np.flatnonzero(reached(sums, part).any(axis=1)), None
+        elif first is None:
+            row, column = np.nonzero(sums > 0)
+        else:
+            row = np.argsort(-sums, axis=0, kind="stable")[:first].ravel("F")
+            column = np.repeat(np.arange(part.num_rows), min(first, len(blocks)))
+            some = sums[row, column] > 0
+            row, column = row[some], column[some]
+        ids = pa.nulls(len(row), kind) if column is None else part["query_id"].combine_chunks().take(pa.array(column))
+        bound = pa.nulls(len(row), pa.float64()) if column is None else pa.array(sums[row, column])
+        parts.append(pa.table([ids, pa.array(blocks[row]), bound], schema=schema))
+    return pa.concat_tables(parts)
+
+
 def best_of(held: pa.Table, asked: pa.Table, k: int, avgdl: float | None, kinds: dict[str, pa.DataType]) -> pa.Table:
     """query_id, id and score (6 decimals) of the k best documents of each query among blocks of postings: asked has the
-    terms and weights of each query, and the blocks in which it is asked."""
+    terms and weights of each query, and the blocks in which it is asked, or the least bound of those, or neither."""
     schema = pa.schema([*kinds.items(), ("score", pa.float64())])
-    flat = lambda table, name: table[name].combine_chunks().flatten()
-    length = lambda table, name: pc.list_value_length(table[name]).to_numpy().astype(np.int64)
-    names = pc.unique(flat(asked, "terms"))
-    about, held = held.filter(pc.is_null(held["term"])).sort_by("block").combine_chunks(), held.filter(pc.is_in(held["term"], names)).combine_chunks()
     if not held.num_rows or not asked.num_rows:
         return schema.empty_table()
-    # a row for each document, block after block
-    blocks, rows_of, counts = about["block"].to_numpy(), length(about, "ids"), length(held, "docs")
+    names = words_of(asked)
+    about = held.filter(pc.is_null(held["term"])).sort_by("block").combine_chunks()
+    held, number = by_term(held, names)
+    # a row for each document, block after block; postings in the order of their terms
+    blocks, rows_of, counts = about["block"].to_numpy(), lengths(about, "ids"), lengths(held, "docs")
     start, block = np.cumsum(rows_of) - rows_of, np.repeat(np.arange(len(blocks)), rows_of)
     coded, dl = flat(about, "ids").dictionary_encode(null_encoding="encode"), flat(about, "dls").to_numpy()
-    doc = flat(held, "docs").to_numpy() + np.repeat(start[np.searchsorted(blocks, held["block"].to_numpy())], counts)
-    queries = asked["query_id"].combine_chunks()
-    number = lambda column, among: pc.index_in(column, among).to_numpy().astype(np.int64)
-    value = np.ones(len(doc)) if avgdl is None else impact(flat(held, "tfs").to_numpy().astype(np.float64), dl[doc], avgdl)
-    # postings and weights, each in the order of their terms
-    term, word = np.repeat(number(held["term"], names), counts), number(flat(asked, "terms"), names)
-    order, by = np.argsort(term, kind="stable"), np.argsort(word, kind="stable")
-    doc, value = doc[order], value[order]
-    edges = np.searchsorted(term[order], np.arange(len(names) + 1))
-    cuts = np.searchsorted(word[by], np.arange(len(names) + 1))
-    query, weight = np.repeat(np.arange(len(queries)), length(asked, "terms"))[by], flat(asked, "weights").to_numpy()[by]
-    total = np.zeros((len(block), len(queries)))
-    for a, b, c, d in zip(edges[:-1].tolist(), edges[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a < b:
-            total[doc[a:b, None], query[None, c:d]] += value[a:b, None] * weight[None, c:d]
-    at, among = np.searchsorted(blocks, flat(asked, "blocks").to_numpy()), np.repeat(np.arange(len(queries)), length(asked, "blocks"))
-    wanted = np.zeros((len(blocks), len(queries)), bool)
-    wanted[at, among] = True
-    total[~wanted[block]] = 0.0
+    doc = np.repeat(start[np.searchsorted(blocks, held["block"].to_numpy())].astype(np.int32), counts)
+    doc += flat(held, "docs").to_numpy()
+    if avgdl is None:
+        value = np.ones(len(doc))
+    else:
+        value = flat(held, "tfs").to_numpy().astype(np.float64)
+        value /= value + (K1 * (1 - B + B * dl / avgdl))[doc]
+    edges = np.append(0, np.cumsum(counts))[np.searchsorted(number, np.arange(len(names) + 1))]
     ids, own = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    if len(ids) < len(own):  # the same id more than once
-        summed = np.zeros((len(ids), len(queries)))
-        np.add.at(summed, own, total)
-        total, own = summed, np.arange(len(ids))
     place = np.empty(len(ids), np.int64)
     place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-    total = np.floor(total * 1e6 + 0.5) / 1e6
-    rows, columns = [], []
-    for q in range(len(queries)):
-        some = np.flatnonzero(total[:, q] > 0)
-        best = some[np.lexsort((place[own[some]], -total[some, q]))[:k]]
-        rows.append(best)
-        columns.append(np.full(len(best), q))
-    row, column = np.concatenate(rows), np.concatenate(columns)
-    return pa.table([queries.take(pa.array(column)), ids.take(pa.array(own[row])), pa.array(total[row, column])], schema=schema)
+    parts, step = [], max(1, CELL // max(1, len(block)))
+    for begin in range(0, asked.num_rows, step):
+        part = asked.slice(begin, step).combine_chunks()
+        wanted = np.ones((len(blocks), part.num_rows), bool)
+        if "blocks" in part.column_names:
+            wanted[:] = False
+            wanted[np.searchsorted(blocks, flat(part, "blocks").to_numpy()), np.repeat(np.arange(part.num_rows), lengths(part, "blocks"))] = True
+        elif "least" in part.column_names:
+            wanted = reached(bounds_among(held, number, blocks, part, names), part)
+        if not wanted.any():
+            continue
+        total = np.zeros((len(block), part.num_rows))
+        add_terms(total, doc, value, edges, part, names)
+        total[~wanted[block]] = 0.0
+        if len(ids) < len(own):  # the same id more than once
+            summed = np.zeros((len(ids), part.num_rows))
+            np.add.at(summed, own, total)
+            total, of = summed, np.arange(len(ids))
+        else:
+            of = own
+        total = np.floor(total * 1e6 + 0.5) / 1e6
+        rows, columns = [], []
+        for q in range(part.num_rows):
+            column = total[:, q]
+            some = np.flatnonzero(column > 0)
+            if len(some) > k:
+                some = some[column[some] >= np.partition(column[some], -k)[-k]]
+            best = some[np.lexsort((place[of[some]], -column[some]))[:k]]
+            rows.append(best)
+            columns.append(np.full(len(best), q))
+        row, column = np.concatenate(rows), np.concatenate(columns)
+        parts.append(pa.table([part["query_id"].combine_chunks().take(pa.array(column)), ids.take(pa.array(of[row])), pa.array(total[row, column])], schema=schema))
+    return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
 def overlap(spark: SparkSession, path: str, queries: DataFrame, k: int, analyser=tokens) -> DataFrame:
     """query_id, rank, id and score: how many different words of a query a document holds, by a saved index; the k best."""
     asked = materialised(asked_terms(queries, analyser).select("query_id", "term", F.lit(1.0).alias("weight")), "asked")
-    postings_ = postings_of(spark, path, asked)
-    blocks = materialised(postings_.filter("term is not null").select("block").distinct(), "blocks")
-    return scores(asked.select("query_id").distinct().crossJoin(blocks), asked, postings_, None, k)
+    spans = spans_of(spark, spark.read.parquet(f"{path}/size").first()["blocks"])
+    return scores(None, asked, postings_of(spark, path, asked), None, k, spans)
 
 
 def asked_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
